@@ -1,0 +1,206 @@
+"""Predicates, mappers, aggregates, windows and sources on small fixtures."""
+
+import itertools
+from datetime import datetime, timedelta
+
+import numpy as np
+import pytest
+from hypothesis import HealthCheck, given, settings, strategies as st
+
+import weir as w
+from weir.plans import adaptive
+from weir.plans.schema import DataType, Field
+from weir.sources import binary, generator
+
+TYPES = (
+    w.Schema.create().add_fix_size_field("b", DataType.Boolean).add_fix_size_field("c", DataType.Char)
+    .add_fix_size_field("s", DataType.String).add_fix_size_field("i", DataType.Int)
+    .add_fix_size_field("l", DataType.Long).add_fix_size_field("d", DataType.Double)
+)
+
+
+def values(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def run(spark, df, *predicates, **config):
+    q = w.Query.over(df, w.Config(**config))
+    for p in predicates:
+        q = q.filter(p)
+    return values(q.to_df(spark))
+
+
+OPS = [(w.Equal, "__eq__"), (w.NotEqual, "__ne__"), (w.Greater, "__gt__"), (w.GreaterEqual, "__ge__"), (w.Less, "__lt__"), (w.LessEqual, "__le__")]
+
+
+@pytest.mark.parametrize("kind,op", OPS)
+def test_predicate_by_type(spark, kind, op):
+    rows = [(True, "a", "view", 1, 10, 0.5), (False, "b", "viewed", 2, 1, 3.5), (True, "c", "vie", 3, 3, 3.0)]
+    df = spark.createDataFrame(rows, TYPES.struct())
+    for at, (name, value) in enumerate([("b", True), ("c", "b"), ("s", "view"), ("i", 2), ("l", 3), ("d", 3.5)]):
+        assert run(spark, df, kind(name, value)) == sorted(r for r in rows if getattr(r[at], op)(value))
+    assert run(spark, df, kind("i", Field("l", DataType.Long))) == sorted(r for r in rows if getattr(r[3], op)(r[4]))
+
+
+def test_like_is_substring(spark):
+    df = spark.createDataFrame([("view",), ("viewed",), ("View",), ("a%b",), ("axb",)], "s string")
+    assert run(spark, df, w.Like("s", "iew")) == [("View",), ("view",), ("viewed",)]
+    assert run(spark, df, w.Like("s", "%")) == [("a%b",)]
+    with pytest.raises(ValueError):
+        run(spark, spark.createDataFrame([(1,)], "s int"), w.Like("s", "1"))
+
+
+def test_and_or_precedence(spark):
+    rows = list(itertools.product((0, 1), repeat=3))
+    df = spark.createDataFrame(rows, "a int, b int, c int")
+    a, b, c = (w.Equal(x, 1) for x in "abc")
+    want = [r for r in rows if (r[0] and r[1]) or r[2]]
+    assert run(spark, df, a.And(b).Or(c)) == want == run(spark, df, a.Or(c).And(b))
+    assert run(spark, df, a.Or(b).Or(c)) == [r for r in rows if any(r)]
+
+
+def test_unknown_field(spark):
+    df = spark.createDataFrame([(1,)], "a int")
+    for q in (w.Query.over(df).filter(w.Equal("z", 1)), w.Query.over(df).select("z"), w.Query.over(df).group_by("z").aggregate(w.Count())):
+        with pytest.raises(ValueError):
+            q.to_df(spark)
+    with pytest.raises(ValueError):
+        TYPES.get("z")
+
+
+def test_mappers(spark):
+    df = spark.createDataFrame([(-7, 2, 1.5, "x")], "a long, b long, d double, s string")
+    q = w.Query.over(df)
+    f = Field("b", DataType.Long)
+    get = lambda m: q.map(m).to_df(spark).first()
+    assert get(w.Add("a", f)).a == -5 and get(w.Subtract("a", 1)).a == -8
+    assert get(w.Divide("a", f)).a == -3 and get(w.Divide("d", f)).d == 0.75
+    assert get(w.Concat("s", "y", "t")).asDict()["t"] == "xy" and get(w.Add("a", 1, "n")).asDict()["n"] == -6
+    assert get(w.Divide("a", 0, safe=True)).a is None
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        get(w.Divide("a", 0))
+
+
+def test_aggregates(spark):
+    df = spark.createDataFrame([("k", -5), ("k", -3), ("j", 4), ("j", None)], "k string, v long")
+    out = w.Query.over(df).group_by("k").aggregate(w.Avg("v"), w.Min("v"), w.Max("v"), w.Count()).to_df(spark)
+    assert out.columns == ["k", "v_avg", "v_sum", "count", "v_min", "v_max"]
+    assert values(out) == [("j", 4.0, 4, 2, 4, 4), ("k", -4.0, -8, 2, -5, -3)]
+    big = spark.createDataFrame([(2**63 - 1,), (1,)], "v long")
+    assert w.Query.over(big).aggregate(w.Sum("v", safe=True)).to_df(spark).first()[0] is None
+    with pytest.raises(Exception, match="(?i)overflow"):
+        w.Query.over(big).aggregate(w.Sum("v")).to_df(spark).collect()
+
+
+def test_window_checks():
+    s = w.Time.seconds
+    for bad in (
+        lambda: w.SlidingProcessingTimeWindow(s(10), s(3)), lambda: w.SlidingEventTimeWindow(s(10), s(3), "t"),
+        lambda: w.TumblingEventTimeWindow(s(10), "t", s(5)), lambda: w.SessionEventTimeWindow(s(10), "t", s(15)),
+    ):
+        with pytest.raises(ValueError):
+            bad()
+    assert w.Time.minutes(2) == s(120) == w.Time.of(timedelta(minutes=2))
+    assert isinstance(w.TumblingProcessingTimeWindow(s(5)).with_trigger(w.PurgingTrigger(w.CountTrigger(3))), w.CountWindow)
+    assert w.TumblingProcessingTimeWindow(s(5)).with_trigger(w.ProcessingTimeTrigger(s(2))).stream_trigger() == "2 seconds"
+
+
+def test_time_windows(spark):
+    t0 = datetime(2024, 1, 1)
+    at = lambda *s: [("k", t0 + timedelta(seconds=x)) for x in s]
+    df = spark.createDataFrame(at(0, 9.999999, 10), "k string, t timestamp_ntz")
+    q = w.Query.over(df).group_by("k")
+    s = w.Time.seconds
+    out = q.window(w.TumblingEventTimeWindow(s(10), "t")).aggregate(w.Count()).to_df(spark)
+    assert values(out.select("count")) == [(1,), (2,)] and out.columns[:3] == ["k", "window_start", "window_end"]
+    out = q.window(w.SlidingEventTimeWindow(s(20), s(10), "t")).aggregate(w.Count(), include_bounds=False).to_df(spark)
+    assert sum(r[1] for r in values(out)) == 6  # each row in size / slide windows
+    df = spark.createDataFrame(at(0, 9, 19, 30), "k string, t timestamp_ntz")  # gaps 9, 10 (merges), 11
+    out = w.Query.over(df).group_by("k").window(w.SessionEventTimeWindow(s(10), "t")).aggregate(w.Count()).to_df(spark)
+    assert values(out.select("count")) == [(1,), (3,)]
+    out = w.Query.over(df).window(w.TumblingProcessingTimeWindow(s(3600))).aggregate(w.Count()).to_df(spark)
+    assert sum(r["count"] for r in out.collect()) == 4
+    df = spark.createDataFrame([(0,), (999,), (1000,)], "ms long")
+    out = w.Query.over(df).window(w.TumblingEventTimeWindow(s(1), "ms")).aggregate(w.Count()).to_df(spark)
+    assert values(out.select("count")) == [(1,), (2,)]
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.sampled_from("ab"), st.integers(-50, 50)), max_size=40), st.integers(1, 5))
+def test_count_windows(spark, rows, n):
+    rows = [(i, k, v) for i, (k, v) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "seq long, k string, v long")
+    win = w.TumblingProcessingTimeWindow(w.Counter(n), on="seq")
+    got = values(w.Query.over(df).key_by("k").window(win).aggregate(w.Sum("v")).to_df(spark))
+    want = []
+    for k in "ab":
+        own = [v for _, x, v in rows if x == k]
+        want += [(k, i, sum(own[i * n : i * n + n])) for i in range(len(own) // n)]
+    assert got == sorted(want)
+    got = values(w.Query.over(df).window(win).aggregate(w.Sum("v")).to_df(spark))
+    assert got == [(i, sum(v for _, _, v in rows[i * n : i * n + n])) for i in range(len(rows) // n)]
+
+
+def test_filter_orders_agree(spark):
+    df = spark.range(1000).selectExpr("id", "id % 7 as a", "id % 11 as b", "id % 3 as c")
+    ps = [w.Greater("a", 1), w.Less("b", 5), w.Equal("c", 0)]
+    want = run(spark, df, *ps, filter_opt=False)
+    assert all(run(spark, df, *ps, pipeline_permutation=k) == want for k in range(6))
+    assert run(spark, df, *ps, sample_fraction=0.5) == want
+    assert [p.field for p in adaptive.measured_order(df, ps, 1.0)] == ["c", "b", "a"]
+    risky = w.Equal("a", 1)
+    risky.reorderable = False
+    assert adaptive.measured_order(df, [risky, *ps], 1.0)[0] is risky
+    text = w.Query.over(df).filter(ps[0].And(ps[1])).filter(ps[2]).print_pipeline_permutations()
+    assert len(text.splitlines()) == 6
+
+
+def test_plan_text_and_profile(spark):
+    df = generator.bids(spark, 2000, 10, 50, zipf=1.5)
+    q = w.Query.over(df).filter(w.Less("price", 50)).group_by("auction").aggregate(w.Count()).print()
+    assert q.print_query_plan().splitlines()[0] == "print()"
+    p = adaptive.profile_keys(df, "auction")
+    assert p["min"] == 0 and p["rows"] == 2000 and "salted" in p["strategy"]
+    even = generator.bids(spark, 2000, 10, 50)
+    assert "salted" not in adaptive.profile_keys(even, "auction")["strategy"]
+
+
+def test_binary_round_trip(spark, tmp_path):
+    rows = [(True, "x", "full" * 2, 1, 2**40, 0.5), (False, "", "é", -1, -2, -1e9)]
+    schema = w.Schema.create().add_fix_size_field("b", DataType.Boolean).add_fix_size_field("c", DataType.Char).add_var_size_field("s", DataType.String, 8).add_fix_size_field("i", DataType.Int).add_fix_size_field("l", DataType.Long).add_fix_size_field("d", DataType.Double)
+    assert schema.record_size() == 1 + 1 + 8 + 4 + 8 + 8 and TYPES.record_size() == 1 + 1 + 255 + 4 + 8 + 8
+    path = str(tmp_path / "bin")
+    binary.write(spark.createDataFrame(rows, schema.struct()), path, schema)
+    q = w.Query.generate(w.Config(), schema, path)
+    assert values(q.to_df(spark)) == sorted(rows)
+    (tmp_path / "bin" / "stray.bin").write_bytes(b"12345")
+    with pytest.raises(Exception, match="5 bytes are left"):
+        q.to_df(spark).collect()
+    assert values(q.input(w.InputType.BinaryFile, strict="false").to_df(spark)) == sorted(rows)
+
+
+def test_stray_field_rules():
+    with pytest.raises(ValueError):
+        TYPES.add_var_size_field("v", DataType.Long, 4)
+    with pytest.raises(ValueError):
+        TYPES.add_fix_size_field("b", DataType.Int)
+    assert TYPES.dtype()["s"] == np.dtype("S255")
+
+
+def test_sources_and_sinks(spark, tmp_path, capsys):
+    schema = w.Schema.create().add_fix_size_field("k", DataType.String).add_fix_size_field("v", DataType.Long)
+    (tmp_path / "in.csv").write_text("a,1\nb,2\na,3\n")
+    q = w.Query.generate(w.Config().with_parallelism(8), schema, str(tmp_path / "in.csv"), w.InputType.CSVFile)
+    agg = q.group_by("k").aggregate(w.Sum("v"))
+    assert sorted(map(tuple, agg.execute(spark))) == [("a", 4), ("b", 2)]
+    agg.print().execute(spark)
+    assert sorted(capsys.readouterr().out.split()) == ["a:4|", "b:2|"]
+    agg.write(str(tmp_path / "out")).execute(spark)
+    agg.write(str(tmp_path / "out")).execute(spark)
+    assert sorted(spark.read.text(str(tmp_path / "out")).toPandas().value) == ["a;4", "a;4", "b;2", "b;2"]
+    agg.to_output_buffer("buf").execute(spark)
+    assert spark.table("buf").count() == 2
+    mem = q.input(w.InputType.Memory, rows=[("z", 9)])
+    assert values(mem.to_df(spark)) == [("z", 9)]
+    with pytest.raises(ValueError):
+        q.input(w.InputType.Socket).to_df(spark)
