@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weir.llm import decontam, langid, packing, pii, simhash
+from weir.llm import ann, decontam, extract, langid, packing, pii, shards, simhash, urlfilter, warc
+from weir.llm.common import new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +36,101 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def hex_number(text: str, at: int) -> str:
+    """Six hex digits of an md5, as a number: the made list's source of variety."""
+    return f"cast(conv(substr(md5({text}), {at}, 6), 16, 10) as bigint)"
+
+
+def block_list(pages: DataFrame) -> DataFrame:
+    """A dated list over the hosts of ``pages``, made by a rule as no table holds one."""
+    hosts = pages.select(urlfilter.host_of(F.col("url")).alias("host")).filter("host is not null").distinct()
+    hosts = hosts.selectExpr("host", f"{hex_number('host', 1)} as a", f"{hex_number('host', 7)} as b").filter("a % 4 <> 3")
+    kind = "element_at(array('adult', 'malware', 'spam'), cast(a % 3 + 1 as int))"
+    day = lambda n: f"timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(cast({n} as int))"
+    entry = lambda domain, category, at, listed: F.expr(f"struct({domain} as domain, {category} as category, {at} as at, {listed} as listed)")
+    log = F.array_compact(F.array(
+        entry("host", kind, day("a % 200"), "true"),
+        F.when(F.expr("b % 3 <> 0"), entry("host", kind, day("a % 200 + 20 + b % 100"), "false")),
+        F.when(F.expr("b % 3 = 2"), entry("host", kind, day("a % 200 + 60 + b % 100"), "true")),
+        F.when(F.expr("a % 5 = 0"), entry("regexp_replace(host, '^(www|m|blog)[.]', '')", "'standing'", "timestamp_ntz'2023-12-01 00:00:00'", "true")),
+    ))
+    return hosts.select(F.explode(log).alias("e")).select("e.*")
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page judged by the list as it stood at its fetch time."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    fetched = "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(cast(page_id * 7 % 365 as int), 0, 0, page_id % 86400)"
+    return urlfilter.judge(pages.withColumn("fetched_at", F.expr(fetched)), block_list(pages))
+
+
+OP4_SQL = """
+with captures as (
+    select page_id, url, nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '.'), '') as host,
+        timestamp '2024-01-01' + to_days(cast(page_id * 7 % 365 as integer)) + to_seconds(page_id % 86400) as fetched_at
+    from pages),
+hosts as (
+    select host, cast('0x' || substr(md5(host), 1, 6) as bigint) as a, cast('0x' || substr(md5(host), 7, 6) as bigint) as b
+    from (select distinct host from captures where host is not null)),
+own as (
+    select host as domain, ['adult', 'malware', 'spam'][a % 3 + 1] as category, b,
+        timestamp '2024-01-01' + to_days(cast(a % 200 as integer)) as t1,
+        timestamp '2024-01-01' + to_days(cast(a % 200 + 20 + b % 100 as integer)) as t2,
+        timestamp '2024-01-01' + to_days(cast(a % 200 + 60 + b % 100 as integer)) as t3
+    from hosts where a % 4 <> 3),
+spans as (
+    select domain, category, t1 as since, case when b % 3 <> 0 then t2 end as until from own
+    union all select domain, category, t3, null from own where b % 3 = 2
+    union all select distinct regexp_replace(host, '^(www|m|blog)[.]', ''), 'spam', timestamp '2023-12-01', cast(null as timestamp) from hosts where a % 4 <> 3 and a % 5 = 0),
+hits as (
+    select c.page_id, m.domain, m.category, m.since, row_number() over (partition by c.page_id order by length(m.domain) desc, m.since, m.category, m.domain) as best
+    from captures c join spans m on (c.host = m.domain or ends_with(c.host, '.' || m.domain)) and m.since <= c.fetched_at and (m.until is null or c.fetched_at < m.until)
+    where contains(m.domain, '.'))
+select c.page_id, c.url, c.host, c.fetched_at, h.domain is not null as blocked, h.category, h.domain as matched, h.since
+from captures c left join hits h on c.page_id = h.page_id and h.best = 1
+"""
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of all pages, written to the shared folder and read back into captures."""
+    path = new_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    whole = warc.assemble(warc.read(spark, path))
+    return whole.select(
+        warc.page_of(F.col("capture")).alias("page_id"), "payload_bytes", "payload_digest",
+        F.col("response.kind").alias("record_type"), warc.page_of(F.col("response.refers_to")).alias("refers_to"),
+    )
+
+
+OP5_SQL = """
+select page_id, n as payload_bytes, sha1(h) as payload_digest, case when n >= 1000 and page_id < top then 'revisit' else 'response' end as record_type,
+    case when n >= 1000 and page_id < top then top end as refers_to
+from (select page_id, h, strlen(h) as n, max(page_id) over (partition by h) as top from (select page_id, coalesce(html, '') as h from pages))
+"""
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.main_text(table(spark, sf_dir, "pages"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents arrive in 16 batches, are compacted, and are read back from the last version."""
+    docs = table(spark, sf_dir, "documents")
+    arrival = F.pmod(F.col("doc_id"), F.lit(16))
+    store = shards.Shards(spark, new_path(spark, "shards"), docs.schema)
+    store.append(docs, arrival)
+    store.compact()
+    return store.read().select("doc_id", arrival.alias("arrival"), "source", F.octet_length("text").alias("n_bytes"), F.md5("text").alias("text_md5"))
+
+
+OP8_SQL = "select doc_id, doc_id % 16 as arrival, source, strlen(text) as n_bytes, md5(text) as text_md5 from documents"
+
+
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every vector whose id is divisible by 20."""
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.hex(F.reverse("fp"))).alias("fingerprint"), "component_id")
@@ -51,9 +147,13 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_language_id, op2_decontamination, op3_pii, op7_simhash, op10_packing, pipeline)
+    found = (
+        op1_language_id, op2_decontamination, op3_pii, op4_url_filter, op5_warc, op6_html_extraction, op7_simhash,
+        op8_sharding, op9_neighbours, op10_packing, pipeline,
+    )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """For the queries that SQL can express; tests compare the others with brute force."""
+    return {"op4_url_filter": OP4_SQL, "op5_warc": OP5_SQL, "op8_sharding": OP8_SQL}
