@@ -81,7 +81,7 @@ own as (
 spans as (
     select domain, category, t1 as since, case when b % 3 <> 0 then t2 end as until from own
     union all select domain, category, t3, null from own where b % 3 = 2
-    union all select distinct regexp_replace(host, '^(www|m|blog)[.]', ''), 'spam', timestamp '2023-12-01', cast(null as timestamp) from hosts where a % 4 <> 3 and a % 5 = 0),
+    union all select distinct regexp_replace(host, '^(www|m|blog)[.]', ''), 'standing', timestamp '2023-12-01', cast(null as timestamp) from hosts where a % 4 <> 3 and a % 5 = 0),
 hits as (
     select c.page_id, m.domain, m.category, m.since, row_number() over (partition by c.page_id order by length(m.domain) desc, m.since, m.category, m.domain) as best
     from captures c join spans m on (c.host = m.domain or ends_with(c.host, '.' || m.domain)) and m.since <= c.fetched_at and (m.until is null or c.fetched_at < m.until)
