@@ -38,8 +38,8 @@ ANCHOR_ROWS = 20_000
 SEGMENT = 1 << 22
 SPACE = re.compile(rb"[ \t-\r]")
 LANES = np.uint64(0x0101010101010101)
-#: Odd multipliers that spread one 64-bit hash over further words.
-SPREAD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9]
+#: Steps and multipliers that spread one 64-bit hash over further words: fixed values, of the SplitMix64 generator.
+STEP, MIX = 0x9E3779B97F4A7C15, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
 # --- fingerprints -------------------------------------------------------------
@@ -74,6 +74,14 @@ def shingle_hashes(text: str, width: int) -> Iterator[np.ndarray]:
         yield np.array([digest(b" ".join(carry), 42)], np.uint64)
 
 
+def spread(h: np.ndarray, i: int) -> np.ndarray:
+    """Further hash number ``i`` of each of ``h``, as good as independent of the others."""
+    x = h + np.uint64(STEP * i & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX[0])
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX[1])
+    return x ^ (x >> np.uint64(31))
+
+
 def bit_counts(hashes: np.ndarray) -> np.ndarray:
     """How many of ``hashes`` have each of the 64 bits: eight byte lanes at a time."""
     out = np.zeros(64, np.int64)
@@ -91,8 +99,7 @@ def fingerprint(text: str | None, width: int = 4, n_words: int = 1) -> np.ndarra
         n += len(h)
         counts[0] += bit_counts(h)
         for i in range(1, n_words):
-            x = (h ^ (h >> np.uint64(29))) * np.uint64(SPREAD[i - 1])
-            counts[i] += bit_counts(x ^ (x >> np.uint64(32)))
+            counts[i] += bit_counts(spread(h, i))
     return np.packbits(2 * counts > n, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
@@ -291,8 +298,9 @@ def near_duplicates(docs: DataFrame, width: int = 4, n_words: int = 1, n_blocks:
     stay.  Other columns are not read.
     """
     table = written(fingerprints(docs, width, n_words), "fingerprints")
-    # a 64-bit hash names a fingerprint
-    nodes = written(table.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.xxhash64("fp")), "nodes")
+    # a fingerprint of one word names itself; of a wider one, a 64-bit hash does
+    name = F.conv(F.hex(F.reverse("fp")), 16, -10).cast("long") if n_words == 1 else F.xxhash64("fp")
+    nodes = written(table.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", name), "nodes")
     roots = components(links(nodes.select("node", "fp"), n_words, n_blocks, limit))
     linked = nodes.join(roots, nodes["node"] == roots["u"])
     least = linked.groupBy("root").agg(F.min("least").alias("component"))
