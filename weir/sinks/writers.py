@@ -33,7 +33,11 @@ def run(df: DataFrame, sinks):
 
 
 def start(df: DataFrame, sinks, every: str | None, checkpoint: str | None = None, available_now: bool = True, output_mode: str = "append", throughput_log: str | None = None):
-    """Start one streaming query that feeds the last sink."""
+    """Start one streaming query that feeds the last sink.
+
+    Delimited files in append mode with a ``checkpoint`` hold every row once,
+    restarts included; otherwise a batch that is run again is written again.
+    """
     sink = sinks[-1]
     writer = df.writeStream.outputMode(output_mode)
     if checkpoint:
@@ -46,6 +50,8 @@ def start(df: DataFrame, sinks, every: str | None, checkpoint: str | None = None
         df.sparkSession.streams.addListener(ThroughputListener(throughput_log))
     if sink.kind == "print":
         return writer.format("console").option("truncate", "false").start()
+    if sink.kind == "write" and checkpoint and output_mode == "append":
+        return writer.format("csv").option("sep", ";").start(sink.args[0])
     if sink.kind == "write":
         return writer.foreachBatch(lambda rows, _: rows.write.mode("append").option("sep", ";").csv(sink.args[0])).start()
     return writer.format("memory").queryName(sink.args[0] if sink.args else "output").start()

@@ -7,10 +7,12 @@ numpy record type.  Keep files moderate: a file is read by one task.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weir.plans.schema import Schema
@@ -61,18 +63,17 @@ def write(df: DataFrame, path: str, schema: Schema) -> None:
     """Pack rows into files under ``path``, one for each partition of ``df``.
 
     Executors write through pyarrow's file systems, so ``path`` must be a
-    folder that they share.
+    folder that they share.  A partition always has the same file: a task that
+    runs again replaces what the one before it left.
     """
-    names = [f.name for f in schema.fields]
+    names, call = [f.name for f in schema.fields], uuid.uuid4().hex
 
     def pack(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
-
         from pyarrow import fs
 
         store, folder = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
         store.create_dir(folder, recursive=True)
-        written, name, out = 0, f"{folder}/{uuid.uuid4().hex}.bin", None
+        written, name, out = 0, f"{folder}/{call}-{TaskContext.get().partitionId():05d}.bin", None
         for frame in frames:
             rows = np.zeros(frame.num_rows, schema.dtype())
             for i, f in enumerate(schema.fields):
