@@ -66,6 +66,17 @@ def test_copies_lengths_and_odd_rows(spark):
     assert answers(frame(spark, rows).limit(0)) == {}
 
 
+@pytest.mark.parametrize("n,size", [(1, 8), (2, 8), (13, 64), (300, 64)])
+def test_no_query_goes_short(spark, n, size):
+    """Few probes meet too few entries; the exact search then gives all there are to give."""
+    x = np.random.default_rng(n).normal(size=(n, size)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = answers(frame(spark, rows), tables=1, probes=1)
+    want = {q: [(v, round(s, 9)) for v, s in near] for q, near in brute(rows, lambda i: i % 20 == 0).items() if near}
+    assert got == want
+
+
 def test_rotation_keeps_lengths():
     x = np.random.default_rng(1).normal(size=(5, 10))
     y = ann.rotated(x, 3)

@@ -21,6 +21,8 @@ from weir.llm.common import map_texts, written
 TABLES, PROBES, SEED = 8, 16, 42
 #: Entries of a bucket that one task compares; larger buckets are split.
 BUCKET_ROWS = 20_000
+#: Replicated queries in one Arrow batch.
+BATCH_ROWS = 1 << 15
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -89,6 +91,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TABL
     take no part, nor do those of another length than the commonest (the
     smaller of two equally common).  A row repeated with the same id and
     vector counts once.  Other columns are not read but for ``is_query``.
+    Queries that meet fewer than ``k`` others (or all, if there are fewer) are
+    asked again under every axis of one table, where each entry is met.
     """
     rows = vectors.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     rows = rows.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), is_query.alias("is_query"))
@@ -105,56 +109,70 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TABL
     span = entries.agg(F.min(_length()), F.max(_length())).first()
     longest = 0.0 if not span[1] or span[1] - span[0] <= 1e-6 * span[1] else float(span[1])
 
-    def replicate(batch: pa.RecordBatch) -> Iterator[dict]:
-        x = matrix(batch.column(1))
-        if not len(x):
-            return
-        asks = np.flatnonzero(np.array(batch.column(2).to_pylist(), object) == True)  # noqa: E712
-        n_axes = 2 << max(1, (x.shape[1] + (longest > 0) - 1).bit_length())
-        for t in range(tables):
-            home = t * n_axes + nearest_axes(unit(x, longest, False), t, 1)[:, 0]
-            yield {"bucket": home, "asks": np.zeros(len(x), bool), "entry": batch.column(0), "embedding": batch.column(1)}
-            if len(asks):
-                near = t * n_axes + nearest_axes(unit(x[asks], longest, True), t, probes)
-                at = pa.array(np.repeat(asks, near.shape[1]))
-                yield {"bucket": near.ravel(), "asks": np.ones(near.size, bool), "entry": batch.column(0).take(at), "embedding": batch.column(1).take(at)}
-
-    dealt = map_texts(entries, ["entry", "embedding", "asked"], "bucket int, asks boolean, entry long, embedding array<double>", replicate, rows=2048)
-    counts = dealt.groupBy("bucket").agg(F.count_if(~F.col("asks")).alias("n"))  # two rows an axis and table: bounded
-    split = counts.select(F.col("bucket").alias("b"), F.greatest(F.lit(1), F.ceil(F.col("n") / bucket_rows)).cast("int").alias("parts"))
-    dealt = dealt.join(F.broadcast(split), F.col("bucket") == F.col("b"))
-    every = F.sequence(F.lit(0), F.col("parts") - 1)
-    own = F.array(F.pmod(F.xxhash64("entry"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("part", F.explode(F.when(F.col("asks"), every).otherwise(own))).select("bucket", "part", "asks", "entry", "embedding")
-
-    def compare(table: pa.Table) -> pa.Table:
-        asks = table.column("asks").to_numpy()
-        x, entry = matrix(table.column("embedding")), table.column("entry").to_numpy()
-        members, queries = np.flatnonzero(~asks), np.flatnonzero(asks)
-        out: list[tuple] = []
-        small = x[members].astype(np.float32)
-        for at in range(0, len(queries) if len(members) else 0, 512):
-            q = queries[at : at + 512]
-            near = x[q].astype(np.float32) @ small.T
-            n = min(k + 5, len(members))
-            top = np.argpartition(-near, n - 1, axis=1)[:, :n]
-            score = (x[q][:, None, :] * x[members[top]]).sum(2)  # the exact measure, each pair by itself
-            out.append((np.repeat(entry[q], n), entry[members[top]].ravel(), score.ravel()))
-        a, b, s = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-        return pa.table({"q": a, "v": b, "score": s})
-
-    met = dealt.groupBy("bucket", "part").applyInArrow(compare, "q long, v long, score double")
-    best = met.groupBy("q", "v").agg(F.max("score").alias("score"))
-    # entries first: of k + 1 entries each has an id, and those of equal score are settled by the ids below
-    by_score = W.partitionBy("q").orderBy(F.desc("score"))
-    best = best.withColumn("place", F.rank().over(by_score)).filter(F.col("place") <= k + 1).drop("place")
-    named = best.join(kept.select(F.col("entry").alias("v"), "vec_id"), "v")
-    order = W.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    named = named.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k + 1).select("q", "vec_id", "score")
-    asking = ids.filter("is_query").select(F.col("entry").alias("q"), F.col("vec_id").alias("query_id"))
-    pairs = named.join(asking, "q").filter("vec_id <> query_id")
-    final = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def nearest(entries: DataFrame, tables: int, probes: int) -> DataFrame:
+        def replicate(batch: pa.RecordBatch) -> Iterator[dict]:
+            x = matrix(batch.column(1))
+            if not len(x):
+                return
+            asks = np.flatnonzero(np.array(batch.column(2).to_pylist(), object) == True)  # noqa: E712
+            n_axes = 2 << max(1, (x.shape[1] + (longest > 0) - 1).bit_length())
+            for t in range(tables):
+                home = t * n_axes + nearest_axes(unit(x, longest, False), t, 1)[:, 0]
+                yield {"bucket": home, "asks": np.zeros(len(x), bool), "entry": batch.column(0), "embedding": batch.column(1)}
+                step = max(1, BATCH_ROWS // min(probes, n_axes))
+                for some in (asks[k : k + step] for k in range(0, len(asks), step)):
+                    near = t * n_axes + nearest_axes(unit(x[some], longest, True), t, probes)
+                    at = pa.array(np.repeat(some, near.shape[1]))
+                    yield {"bucket": near.ravel(), "asks": np.ones(near.size, bool), "entry": batch.column(0).take(at), "embedding": batch.column(1).take(at)}
+
+        dealt = map_texts(entries, ["entry", "embedding", "asked"], "bucket int, asks boolean, entry long, embedding array<double>", replicate, rows=2048)
+        counts = dealt.groupBy("bucket").agg(F.count_if(~F.col("asks")).alias("n"))  # two rows an axis and table: bounded
+        split = counts.select(F.col("bucket").alias("b"), F.greatest(F.lit(1), F.ceil(F.col("n") / bucket_rows)).cast("int").alias("parts"))
+        dealt = dealt.join(F.broadcast(split), F.col("bucket") == F.col("b"))
+        every = F.sequence(F.lit(0), F.col("parts") - 1)
+        own = F.array(F.pmod(F.xxhash64("entry"), F.col("parts")).cast("int"))
+        dealt = dealt.withColumn("part", F.explode(F.when(F.col("asks"), every).otherwise(own))).select("bucket", "part", "asks", "entry", "embedding")
+
+        def compare(table: pa.Table) -> pa.Table:
+            asks = table.column("asks").to_numpy()
+            x, entry = matrix(table.column("embedding")), table.column("entry").to_numpy()
+            members, queries = np.flatnonzero(~asks), np.flatnonzero(asks)
+            out: list[tuple] = []
+            small = x[members].astype(np.float32)
+            for at in range(0, len(queries) if len(members) else 0, 512):
+                q = queries[at : at + 512]
+                near = x[q].astype(np.float32) @ small.T
+                n = min(k + 5, len(members))
+                top = np.argpartition(-near, n - 1, axis=1)[:, :n]
+                score = (x[q][:, None, :] * x[members[top]]).sum(2)  # the exact measure, each pair by itself
+                out.append((np.repeat(entry[q], n), entry[members[top]].ravel(), score.ravel()))
+            a, b, s = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+            return pa.table({"q": a, "v": b, "score": s})
+
+        met = dealt.groupBy("bucket", "part").applyInArrow(compare, "q long, v long, score double")
+        best = met.groupBy("q", "v").agg(F.max("score").alias("score"))
+        # entries first: of k + 1 entries each has an id, and those of equal score are settled by the ids below
+        by_score = W.partitionBy("q").orderBy(F.desc("score"))
+        best = best.withColumn("place", F.rank().over(by_score)).filter(F.col("place") <= k + 1).drop("place")
+        named = best.join(kept.select(F.col("entry").alias("v"), "vec_id"), "v")
+        order = W.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+        named = named.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k + 1).select("q", "vec_id", "score")
+        asking = ids.filter("is_query").select(F.col("entry").alias("q"), F.col("vec_id").alias("query_id"))
+        pairs = named.join(asking, "q").filter("vec_id <> query_id")
+        final = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return pairs.withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    found = written(nearest(entries, tables, probes), "nearest")
+    others = (ids.agg(F.count_distinct("vec_id")).first()[0] or 1) - 1
+    asking = ids.filter("is_query").select("entry", F.col("vec_id").alias("query_id"))
+    met = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("met"))
+    short = asking.join(met, "query_id", "left").filter(F.coalesce("met", F.lit(0)) < min(k, others))
+    short = written(short.select("entry").distinct(), "short")
+    if short.isEmpty():
+        return found
+    again = entries.drop("asked").join(short.withColumn("asked", F.lit(True)), "entry", "left")
+    more = nearest(again, 1, 1 << 30)
+    return found.join(asking.join(short, "entry", "left_semi").select("query_id"), "query_id", "left_anti").unionByName(more)
 
 
 def _length() -> Column:
