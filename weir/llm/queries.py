@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weir.llm import ann, decontam, extract, langid, packing, pii, shards, simhash, urlfilter, warc
-from weir.llm.common import new_path
+from weir.llm.common import new_path, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,7 +95,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives of all pages, written to the shared folder and read back into captures."""
     path = new_path(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), path)
-    whole = warc.assemble(warc.read(spark, path))
+    whole = warc.assemble(written(warc.read(spark, path), "records"))  # read once, joined three times
     return whole.select(
         warc.page_of(F.col("capture")).alias("page_id"), "payload_bytes", "payload_digest",
         F.col("response.kind").alias("record_type"), warc.page_of(F.col("response.refers_to")).alias("refers_to"),
