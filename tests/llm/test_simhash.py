@@ -90,7 +90,7 @@ def test_links_with_split_anchors(spark):
             fps.add(b ^ sum(1 << int(k) for k in flips))
     fps = sorted(fps)
     want = brute_components(list(enumerate(fps)), 4)
-    for size in (20_000, 7):
+    for size in (20_000, 300, 7):  # no crowded anchor, crowded ones dealt again, and split after that
         got = {r.u: r.root for r in edges_of(spark, fps, 4, size).collect()}
         assert {i: got.get(i, i) for i in range(len(fps))} == want
 
@@ -104,6 +104,36 @@ def test_large_anchor_paths():
     assert len(fps) > 1024 and (simhash._roots(len(fps), *simhash._links(fps, 4)) == want).all()
 
 
+def wide_family(rng, n, flips):
+    """``n`` rows of 1024 bits, each with ``flips`` bits of one centre changed."""
+    centre = rng.integers(0, 2, 1024, dtype=np.uint8)
+    rows = np.tile(centre, (n, 1))
+    for row in rows:
+        row[rng.choice(1024, flips, replace=False)] ^= 1
+    return np.packbits(rows, axis=1, bitorder="little").view(np.uint64)
+
+
+def test_large_wide_anchor_compares_all():
+    rng = np.random.default_rng(9)
+    fps = np.concatenate([wide_family(rng, 2, 80) for _ in range(700)] + [wide_family(rng, 400, 70)])
+    fps = fps[rng.permutation(len(fps))]
+    a, b = np.nonzero(np.triu(simhash._distance(fps, fps) <= 178, 1))
+    want = simhash._roots(len(fps), a, b)
+    assert len(fps) > simhash.TILE and (simhash._roots(len(fps), *simhash._links(fps, 178)) == want).all()
+
+
+def test_crowded_wide_anchors_link_alike(spark):
+    rng = np.random.default_rng(11)
+    fps = np.concatenate([wide_family(rng, 2, 78) for _ in range(150)])  # pairs of similarity 0.8
+    nodes = spark.createDataFrame([(i, f.tobytes()) for i, f in enumerate(fps)], "node long, fp binary")
+    together = {}
+    for size in (20_000, 1):
+        got = {r.u: r.root for r in components(simhash.links(nodes, 16, 6, 178, size)).collect()}
+        together[size] = sum(got.get(i, i) == got.get(i + 1, -1) for i in range(0, len(fps), 2))
+    near = int((np.bitwise_count(fps[::2] ^ fps[1::2]).sum(1) <= 178).sum())
+    assert near > 100 and near >= together[20_000] >= 0.97 * near and together[1] >= 0.97 * near
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(5, 5)]
     got = {r.u: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}

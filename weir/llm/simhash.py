@@ -11,8 +11,10 @@ differing bits leave one block with at most 1: no pair is missed.
 Fingerprints meet once each (copies are one row before anything is dealt
 out), an anchor's fingerprints are compared inside its task, and only a
 spanning star of what links there leaves it.  Anchors with more than
-``ANCHOR_ROWS`` fingerprints are split into parts, and every pair of parts is
-a task of its own.
+``ANCHOR_ROWS`` fingerprints are dealt a second time: of 64 bits, by exact
+parts, of which a pair within the threshold shares one; of wider ones, by the
+anchors of other blocks.  What is still larger is split, and every pair of
+parts is a task of its own.
 """
 
 from __future__ import annotations
@@ -34,6 +36,12 @@ RADIUS, LENGTH = 3, 23
 GOLAY = 0b101011100011
 #: Fingerprints at one anchor that one task compares.
 ANCHOR_ROWS = 20_000
+#: Rows that are compared with each other at once; groups looked for row by row before the rest of a large anchor.
+TILE, SEEDS = 1024, 64
+#: Blocks of a wide fingerprint among which crowded anchors are dealt again.
+AGAIN = 12
+#: Words of a wide fingerprint that are compared first.
+FIRST = 4
 #: Bytes of a text that are cut into words at a time.
 SEGMENT = 1 << 22
 SPACE = re.compile(rb"[ \t-\r]")
@@ -188,53 +196,86 @@ def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def _spread_search(fps: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Star links by search from row to row: each row is met once, so dense groups cost no square of links."""
+def _near(x: np.ndarray, y: np.ndarray, limit: int) -> np.ndarray:
+    """Which rows of ``x`` and of ``y`` differ in at most ``limit`` bits.
+
+    Wide rows whose first words already differ in more than twice their share
+    of ``limit`` (over eight standard deviations) are not read on.
+    """
+    if x.shape[1] <= FIRST:
+        return _distance(x, y) <= limit
+    near = _distance(x[:, :FIRST], y[:, :FIRST]) <= 2 * limit * FIRST // x.shape[1]
+    i, j = np.nonzero(near)
+    if 8 * len(i) > near.size:
+        return near & (_distance(x, y) <= limit)
+    near[i, j] = np.bitwise_count(x[i] ^ y[j]).sum(1, dtype=np.uint16) <= limit
+    return near
+
+
+def parts(fps: np.ndarray, limit: int) -> list[np.ndarray]:
+    """One more part of the 64 bits than ``limit``: two values within it have one part in common."""
+    cuts = np.linspace(0, 64, max(limit, 1) + 2).astype(int).tolist()
+    return [(fps[:, 0] >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def _spread_search(fps: np.ndarray, limit: int, seeds: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Star links of the groups of the first ``seeds`` rows, and the rows in none of these groups.
+
+    Each row is met once, so dense groups cost no square of links.
+    """
     left, a, b = np.arange(len(fps)), [], []
-    while len(left):
+    for _ in range(seeds):
+        if not len(left):
+            break
         root, front, left = left[0], left[:1], left[1:]
         while len(front) and len(left):
             hit = np.zeros(len(left), bool)
             for at in range(0, len(left), 4096):
-                hit[at : at + 4096] = (_distance(fps[front[:256]], fps[left[at : at + 4096]]) <= limit).any(0)
+                hit[at : at + 4096] = _near(fps[front[:256]], fps[left[at : at + 4096]], limit).any(0)
             found, left = left[hit], left[~hit]
             a.append(found)
             b.append(np.full(len(found), root))
             front = np.concatenate([front[256:], found])
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, int), np.empty(0, int))
+    return a, b, left
+
+
+def _every_link(fps: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect all rows which the pairs within ``limit`` connect, by comparing all."""
+    if len(fps) <= TILE:
+        return np.nonzero(np.triu(_near(fps, fps, limit), 1))
+    a, b, left = _spread_search(fps, limit, SEEDS)
+    for at in range(0, len(left), TILE):
+        here, there = left[at : at + TILE], left[at:]
+        x, y = _links_across(fps[here], fps[there], limit)
+        both = np.concatenate([here, there])
+        a.append(both[x])
+        b.append(both[y])
+    return np.concatenate([np.empty(0, int), *a]), np.concatenate([np.empty(0, int), *b])
 
 
 def _links(fps: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect all rows which the pairs within ``limit`` connect."""
-    n, n_words = fps.shape
-    if n <= 1024:
-        a, b = np.nonzero(np.triu(_distance(fps, fps) <= limit, 1))
-        return a, b
-    if n_words == 1:  # five parts of 64 bits: of 4 differing bits, one part has none
-        if limit > 4:
-            return _spread_search(fps, limit)
-        keys = [(fps[:, 0] >> np.uint64(s)) & np.uint64(m) for s, m in ((0, 8191), (13, 8191), (26, 8191), (39, 8191), (52, 4095))]
-    else:  # the nearest anchors of all blocks: a second covering inside this one
-        keys = [nearest_anchor(v) for v in block_values(fps, n_words * 64 // LENGTH)]
+    """As :func:`_every_link`; many rows of one word are compared within equal parts only, which misses no pair."""
+    if len(fps) <= TILE or fps.shape[1] > 1:
+        return _every_link(fps, limit)
     a, b = [], []
-    for key in keys:
+    for key in parts(fps, limit):
         order = np.argsort(key, kind="stable")
         cuts = np.flatnonzero(np.diff(key[order])) + 1
         for run in np.split(order, cuts):
             if len(run) > 1:
-                x, y = _spread_search(fps[run], limit) if len(run) > 1024 else np.nonzero(np.triu(_distance(fps[run], fps[run]) <= limit, 1))
+                x, y = _every_link(fps[run], limit)
                 a.append(run[x])
                 b.append(run[y])
-    return np.concatenate(a), np.concatenate(b)
+    return np.concatenate([np.empty(0, int), *a]), np.concatenate([np.empty(0, int), *b])
 
 
 def _links_across(x: np.ndarray, y: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """For two parts of a split anchor: each row with the first row of the other part it links to, and back."""
-    a, b = [], []
+    """Links that connect what the pairs of a row of ``x`` and a row of ``y`` connect; rows of ``y`` count on from ``x``."""
+    a, b = [np.empty(0, int)], [np.empty(0, int)]
     for s in range(0, len(x), 512):
         near = np.zeros((min(512, len(x) - s), len(y)), bool)
         for t in range(0, len(y), 4096):
-            near[:, t : t + 4096] = _distance(x[s : s + 512], y[t : t + 4096]) <= limit
+            near[:, t : t + 4096] = _near(x[s : s + 512], y[t : t + 4096], limit)
         i, j = np.nonzero(near)
         root = _roots(len(near) + len(y), i, j + len(near))
         i = np.flatnonzero(root != np.arange(len(root)))
@@ -244,28 +285,60 @@ def _links_across(x: np.ndarray, y: np.ndarray, limit: int) -> tuple[np.ndarray,
     return np.concatenate(a), np.concatenate(b)
 
 
+def _second_keys(fps: np.ndarray, block: int, rows: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(i, key)``, keys from 1: where entry ``i``, the fingerprint ``rows[i]`` at a crowded anchor of ``block``, goes."""
+    if fps.shape[1] == 1:
+        keys = parts(fps[rows], limit)
+        for k, key in enumerate(keys):
+            yield np.arange(len(rows)), key.astype(np.int64) * len(keys) + k + 1
+        return
+    for k, values in enumerate(block_values(fps, AGAIN)):
+        if k != block:
+            i, anchor = anchors(values[rows])
+            yield i, ((k << LENGTH) | anchor) + 1
+
+
 def links(nodes: DataFrame, n_words: int, n_blocks: int, limit: int, anchor_rows: int = ANCHOR_ROWS) -> DataFrame:
     """Edges ``(u, v)`` that connect exactly the nodes which pairs within ``limit`` bits at some anchor connect.
 
     ``nodes``: ``(node long, fp binary)``, one row for each fingerprint.
     """
 
+    def crowd(batch: pa.RecordBatch) -> Iterator[dict]:
+        for k, values in enumerate(block_values(as_words(batch.column(0), n_words), n_blocks)):
+            anchor, n = np.unique(anchors(values)[1], return_counts=True)
+            yield {"anchor": (k << LENGTH) | anchor, "n": n}
+
+    crowds = map_texts(nodes, ["fp"], "anchor int, n long", crowd, rows=4096).groupBy("anchor").agg(F.sum("n").alias("n"))
+    # at most 4096 anchors a block, whatever the input
+    crowded = crowds.filter(F.col("n") > anchor_rows).select("anchor").toArrow().column(0).to_numpy()
+
     def replicate(batch: pa.RecordBatch) -> Iterator[dict]:
         fps = as_words(batch.column(1), n_words)
         for k, values in enumerate(block_values(fps, n_blocks)):
             rows, anchor = anchors(values)
+            anchor |= k << LENGTH
+            again = np.isin(anchor, crowded)
+            plain, rows, hot, hot_rows = anchor[~again], rows[~again], anchor[again], rows[again]
             at = pa.array(rows)
-            yield {"anchor": (k << LENGTH) | anchor, "node": batch.column(0).take(at), "fp": batch.column(1).take(at)}
-
-    dealt = map_texts(nodes, ["node", "fp"], "anchor int, node long, fp binary", replicate, rows=4096)
-    large = dealt.groupBy("anchor").count().filter(F.col("count") > anchor_rows)
-    parts = large.select(F.col("anchor").alias("hot"), F.ceil(F.col("count") / anchor_rows).cast("int").alias("parts"))
-    dealt = dealt.join(parts, F.col("anchor") == F.col("hot"), "left").drop("hot")
-    own = F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    others = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+            yield {"anchor": plain, "second": np.zeros(len(plain), np.int64), "node": batch.column(0).take(at), "fp": batch.column(1).take(at)}
+            if len(hot):
+                for i, key in _second_keys(fps, k, hot_rows, limit):
+                    at = pa.array(hot_rows[i])
+                    yield {"anchor": hot[i], "second": key, "node": batch.column(0).take(at), "fp": batch.column(1).take(at)}
+
+    dealt = map_texts(nodes, ["node", "fp"], "anchor int, second long, node long, fp binary", replicate, rows=4096 if n_words == 1 else 1024)
+    if len(crowded):
+        large = dealt.filter("second > 0").groupBy("anchor", "second").count().filter(F.col("count") > anchor_rows)
+        cuts = large.select(F.col("anchor").alias("hot"), F.col("second").alias("hot_second"), F.ceil(F.col("count") / anchor_rows).cast("int").alias("cuts"))
+        dealt = dealt.join(cuts, (F.col("anchor") == F.col("hot")) & (F.col("second") == F.col("hot_second")), "left")
+    else:
+        dealt = dealt.withColumn("cuts", F.lit(None).cast("int"))
+    own = F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
+    others = F.when(F.col("cuts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("cuts") - 1))
     dealt = (
         dealt.withColumn("own", own).withColumn("other", F.explode(others))
-        .select("anchor", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "fp")
+        .select("anchor", "second", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "fp")
     )
 
     def compare(table: pa.Table) -> pa.Table:
@@ -282,7 +355,7 @@ def links(nodes: DataFrame, n_words: int, n_blocks: int, limit: int, anchor_rows
         at = np.flatnonzero(root != np.arange(len(root)))
         return pa.table({"u": nodes_[order[at]], "v": nodes_[order[root[at]]]})
 
-    return dealt.groupBy("anchor", "i", "j").applyInArrow(compare, "u long, v long").distinct()
+    return dealt.groupBy("anchor", "second", "i", "j").applyInArrow(compare, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, n_words: int = 1, n_blocks: int = 3, limit: int = 4) -> DataFrame:
@@ -309,9 +382,9 @@ def near_duplicates(docs: DataFrame, width: int = 4, n_words: int = 1, n_blocks:
     return table.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
-#: The pipeline's setting: 5-word shingles, 256 bits, six blocks.  Shingle sets
-#: of similarity 0.8 differ in 39 of 256 bits on average; 46 leaves room for chance.
-WIDE = {"width": 5, "n_words": 4, "n_blocks": 6, "limit": 46}
+#: The pipeline's setting: 5-word shingles, 1024 bits, anchors of six blocks.  Shingle sets
+#: of similarity 0.8 differ in 155 of 1024 bits on average; 178 leaves room for chance.
+WIDE = {"width": 5, "n_words": 16, "n_blocks": 6, "limit": 178}
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
