@@ -44,6 +44,8 @@ AGAIN = 12
 FIRST = 4
 #: Bytes of a text that are cut into words at a time.
 SEGMENT = 1 << 22
+#: Shingles whose bits are counted at a time.
+CHUNK = 255 * 64
 SPACE = re.compile(rb"[ \t-\r]")
 LANES = np.uint64(0x0101010101010101)
 #: Steps and multipliers that spread one 64-bit hash over further words: fixed values, of the SplitMix64 generator.
@@ -82,21 +84,24 @@ def shingle_hashes(text: str, width: int) -> Iterator[np.ndarray]:
         yield np.array([digest(b" ".join(carry), 42)], np.uint64)
 
 
-def spread(h: np.ndarray, i: int) -> np.ndarray:
-    """Further hash number ``i`` of each of ``h``, as good as independent of the others."""
-    x = h + np.uint64(STEP * i & (1 << 64) - 1)
+def spread(h: np.ndarray, n_words: int) -> np.ndarray:
+    """``n_words`` rows of hashes: ``h``, then further ones, as good as independent of it and of each other."""
+    steps = np.array([STEP * i & (1 << 64) - 1 for i in range(n_words)], np.uint64)
+    x = h[None, :] + steps[:, None]
     x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX[0])
     x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX[1])
-    return x ^ (x >> np.uint64(31))
+    x ^= x >> np.uint64(31)
+    x[0] = h
+    return x
 
 
 def bit_counts(hashes: np.ndarray) -> np.ndarray:
-    """How many of ``hashes`` have each of the 64 bits: eight byte lanes at a time."""
-    out = np.zeros(64, np.int64)
-    cuts = np.arange(0, len(hashes), 255)
+    """How many hashes of each row have each of the 64 bits: eight byte lanes at a time."""
+    out = np.zeros((len(hashes), 64), np.int64)
+    cuts = np.arange(0, hashes.shape[1], 255)
     for k in range(8):
-        lanes = np.add.reduceat((hashes >> np.uint64(k)) & LANES, cuts)
-        out[k::8] = lanes.view(np.uint8).reshape(-1, 8).sum(0, dtype=np.int64)
+        lanes = np.ascontiguousarray(np.add.reduceat((hashes >> np.uint64(k)) & LANES, cuts, axis=1))
+        out[:, k::8] = lanes.view(np.uint8).reshape(len(hashes), -1, 8).sum(1, dtype=np.int64)
     return out
 
 
@@ -105,9 +110,8 @@ def fingerprint(text: str | None, width: int = 4, n_words: int = 1) -> np.ndarra
     counts, n = np.zeros((n_words, 64), np.int64), 0
     for h in shingle_hashes(text or "", width):
         n += len(h)
-        counts[0] += bit_counts(h)
-        for i in range(1, n_words):
-            counts[i] += bit_counts(spread(h, i))
+        for at in range(0, len(h), CHUNK):
+            counts += bit_counts(spread(h[at : at + CHUNK], n_words))
     return np.packbits(2 * counts > n, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
