@@ -54,6 +54,19 @@ def presence(text: str) -> np.ndarray:
     return flags
 
 
+@dataclass
+class Scorer:
+    """What tasks need of a model: no landmarks, one column for each language."""
+
+    languages: list[str]
+    used: np.ndarray  # features that a landmark has
+    folded: np.ndarray  # those features by languages
+
+    def scores(self, bitmaps: np.ndarray) -> np.ndarray:
+        shared = bitmaps[:, self.used].astype(np.float32) @ self.folded
+        return shared / np.sqrt(np.maximum(1, bitmaps.sum(1)))[:, None]
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -67,14 +80,14 @@ class Model:
         sizes = np.maximum(1, bitmaps.sum(1)).astype(np.float32)
         return shared / np.sqrt(sizes[:, None] * self.sizes[None, :])
 
-    def scores(self, bitmaps: np.ndarray) -> np.ndarray:
-        """``kernel(bitmaps) @ weights``; the kernel is linear in a text's n-grams, so the landmarks fold into one matrix."""
-        shared = bitmaps[:, self.used].astype(np.float32) @ self.folded
-        return shared / np.sqrt(np.maximum(1, bitmaps.sum(1)))[:, None]
-
     def set_weights(self, weights: np.ndarray) -> None:
+        """The kernel is linear in a text's n-grams, so landmarks and weights fold into one matrix."""
         self.weights = weights
-        self.folded = (self.rows @ (weights / np.sqrt(self.sizes)[:, None])).astype(np.float32)
+        self.scorer = Scorer(self.languages, self.used, (self.rows @ (weights / np.sqrt(self.sizes)[:, None])).astype(np.float32))
+
+    def scores(self, bitmaps: np.ndarray) -> np.ndarray:
+        """``kernel(bitmaps) @ weights``."""
+        return self.scorer.scores(bitmaps)
 
 
 def fit(bitmaps: np.ndarray, labels: list[str]) -> Model:
@@ -132,15 +145,17 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     rows stay; other columns are not read.
     """
 
+    scorer = model.scorer if model else None
+
     def per_batch(batch: pa.RecordBatch) -> Iterator[dict]:
         texts = batch.column(1).to_pylist()
-        named = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if model else []
+        named = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if scorer else []
         pred, score = ["und"] * len(texts), [0.0] * len(texts)
         if named:
-            values = model.scores(np.array([presence(texts[i]) for i in named]))
+            values = scorer.scores(np.array([presence(texts[i]) for i in named]))
             for i, row in zip(named, values, strict=True):
                 best = int(row.argmax())
-                pred[i], score[i] = model.languages[best], float(min(1.0, max(0.0, (row[best] + 1) / 2)))
+                pred[i], score[i] = scorer.languages[best], float(min(1.0, max(0.0, (row[best] + 1) / 2)))
         yield {"doc_id": batch.column(0), "lang_pred": pred, "score": score}
 
     return map_texts(docs, ["doc_id", "text"], "doc_id long, lang_pred string, score double", per_batch, rows=64)
@@ -157,6 +172,7 @@ def identified(docs: DataFrame, least: float = 0.25) -> DataFrame:
     Works on each row by itself: the model rejects or keeps it with all its columns.
     """
     model = learn(docs)
+    scorer = model.scorer if model else None
     columns = docs.columns
     kinds = docs.schema
 
@@ -166,9 +182,9 @@ def identified(docs: DataFrame, least: float = 0.25) -> DataFrame:
             for k in range(0, batch.num_rows, 64):
                 part = batch.slice(k, 64)
                 texts = part.column(at).to_pylist()
-                named = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if model else []
+                named = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if scorer else []
                 if named:
-                    best = model.scores(np.array([presence(texts[i]) for i in named])).max(1)
+                    best = scorer.scores(np.array([presence(texts[i]) for i in named])).max(1)
                     kept = [i for i, v in zip(named, best, strict=True) if (v + 1) / 2 >= least]
                     yield part.take(pa.array(kept, pa.int64()))
 
