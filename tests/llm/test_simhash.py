@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from weir.llm import simhash
+from weir.llm import queries, simhash
 from weir.llm.components import components
 
 
@@ -50,6 +50,22 @@ def test_every_document(spark, documents):
     assert {r.doc_id: r.component_id for r in got} == want and len(got) == len(rows)
 
 
+def test_query_rows(spark, documents):
+    rows = documents.select("doc_id", "text").collect()
+    want_fp = {r.doc_id: brute_fingerprint(r.text) for r in rows}
+    want = brute_components(list(want_fp.items()), 4)
+    got = queries.op7_simhash(spark, "/root/testdata/sf0.001").collect()
+    assert sorted((r.doc_id, r.fingerprint, r.component_id) for r in got) == sorted((d, f"{f:016x}", want[d]) for d, f in want_fp.items())
+
+
+def test_a_fingerprint_of_one_word_names_itself(spark):
+    values = [0, 1, 1 << 63, (1 << 64) - 1, *np.random.default_rng(13).integers(0, 1 << 64, 2000, np.uint64).tolist()]
+    df = spark.createDataFrame([(v.to_bytes(8, "little"),) for v in values], "fp binary").coalesce(1)
+    got = df.select(simhash.digits("fp").alias("digits"), simhash.number("fp").alias("number")).collect()
+    assert [r.digits for r in got] == [f"{v:016x}" for v in values]
+    assert [r.number % (1 << 64) for r in got] == values
+
+
 def test_spark_hash_agrees(spark):
     df = spark.createDataFrame([("one two three four",)], "text string")
     got = df.select(F.xxhash64("text")).first()[0]

@@ -133,7 +133,7 @@ def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lower(F.hex(F.reverse("fp"))).alias("fingerprint"), "component_id")
+    return found.select("doc_id", simhash.digits("fp").alias("fingerprint"), "component_id")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

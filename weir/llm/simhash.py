@@ -26,7 +26,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from weir.llm.common import map_texts, written
 from weir.llm.components import components
@@ -125,6 +125,17 @@ def fingerprints(docs: DataFrame, width: int = 4, n_words: int = 1) -> DataFrame
     return map_texts(docs, ["doc_id", "text"], "doc_id long, fp binary", per_batch)
 
 
+def digits(fp: Column | str) -> Column:
+    """The 16 hex digits of a fingerprint of one word, its highest byte first (``F.reverse`` would turn characters, not bytes)."""
+    low_first = F.lower(F.hex(fp))
+    return F.concat(*[F.substring(low_first, 2 * k + 1, 2) for k in reversed(range(8))])
+
+
+def number(fp: Column | str) -> Column:
+    """A fingerprint of one word as a long: different ones give different numbers."""
+    return F.conv(digits(fp), 16, -10).cast("long")
+
+
 # --- anchors ------------------------------------------------------------------
 
 
@@ -376,7 +387,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, n_words: int = 1, n_blocks:
     """
     table = written(fingerprints(docs, width, n_words), "fingerprints")
     # a fingerprint of one word names itself; of a wider one, a 64-bit hash does
-    name = F.conv(F.hex(F.reverse("fp")), 16, -10).cast("long") if n_words == 1 else F.xxhash64("fp")
+    name = number("fp") if n_words == 1 else F.xxhash64("fp")
     nodes = written(table.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", name), "nodes")
     roots = components(links(nodes.select("node", "fp"), n_words, n_blocks, limit))
     linked = nodes.join(roots, nodes["node"] == roots["u"])
