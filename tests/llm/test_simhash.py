@@ -183,3 +183,53 @@ def test_near_copies_at_four_fifths(spark, documents):
             pairs.append(r.doc_id)
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **simhash.WIDE).collect()}
     assert len(pairs) > 20 and sum(got[d] == got[10_000 + d] for d in pairs) >= 0.97 * len(pairs)
+
+
+def sets_of(text, k=5):
+    words = text.lower().split()
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
+
+
+def alike(a, b):
+    return len(sets_of(a) & sets_of(b)) / len(sets_of(a) | sets_of(b)) >= 0.8
+
+
+def test_repeats_and_short_texts_are_compared_as_sets(spark):
+    word = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    line = word("line", 12)
+    rows = [(1, word("a", 300) + f" {line}" * 40), (2, word("b", 300) + f" {line}" * 40)]  # one repeated line, else unlike
+    rows += [(3, word("c", 30) + f" {line}" * 2), (4, word("c", 30) + f" {line}" * 60)]  # equal sets
+    rows += [(10 + k, word(f"s{k}x", 8)) for k in range(40)] + [(100 + k, word(f"s{k}x", 9)) for k in range(40)]  # 4 shingles of 5
+    rows += [(200, word("q", 7)), (201, word("q", 8)), (300, ""), (301, None)]  # 3 of 4 are too few
+    kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {1, 2, 3, 200, 201, 300} | {10 + k for k in range(40)}
+
+
+def test_verified_links_are_those_of_all_pairs(spark):
+    rng = np.random.default_rng(17)
+    sets = []
+    for size in (4, 9, 40, 200):
+        for _ in range(6):
+            base = rng.integers(0, 1 << 63, size).astype(np.uint64)
+            for _ in range(12):
+                gone = rng.random(size) < rng.choice([0.0, 0.05, 0.12])
+                sets.append(np.unique(np.concatenate([base[~gone], rng.integers(0, 1 << 63, int(gone.sum())).astype(np.uint64)])))
+    side = rng.integers(0, 2, len(sets))
+    for across in (None, side):
+        pairs = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if across is None or side[i] != side[j]]
+        near = [(i, j) for i, j in pairs if 5 * (n := len(np.intersect1d(sets[i], sets[j]))) >= 4 * (len(sets[i]) + len(sets[j]) - n)]
+        want = simhash._roots(len(sets), *np.array(near).T)
+        a, b = simhash.verified_links(sets, across)
+        assert (simhash._roots(len(sets), a, b) == want).all() and len(a) < len(sets)
+
+
+def test_a_large_group_is_verified_in_parts(spark):
+    texts = [" ".join(f"w{i}" if i != 7 * k + 3 else f"new{k}" for i in range(300)) for k in range(30)]
+    texts += [" ".join(f"w{i}" if i % 25 else f"far{i}" for i in range(300))]  # a candidate, not similar
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = [(i, bytearray(simhash.set_name(s)), len(s), i, 0) for i, s in enumerate(simhash.shingle_set(t, 5) for t in texts)]
+    members = spark.createDataFrame(rows, "doc_id long, name binary, n long, node long, root long")
+    assert not any(alike(t, texts[-1]) for t in texts[:-1])
+    for size in (4096, 4):
+        got = {r.u: r.root for r in components(simhash.verify(docs, members, 5, size)).collect()}
+        assert got == dict.fromkeys(range(30), 0)

@@ -398,18 +398,148 @@ def near_duplicates(docs: DataFrame, width: int = 4, n_words: int = 1, n_blocks:
 
 
 #: The pipeline's setting: 5-word shingles, 1024 bits, anchors of six blocks.  Shingle sets
-#: of similarity 0.8 differ in 155 of 1024 bits on average; 178 leaves room for chance.
-WIDE = {"width": 5, "n_words": 16, "n_blocks": 6, "limit": 178}
+#: of similarity 0.8 differ in 155 of 1024 bits on average; as candidates are verified,
+#: the limit leaves room for five standard deviations.
+WIDE = {"width": 5, "n_words": 16, "n_blocks": 6, "limit": 215}
+#: Largest sets whose neighbours, one element more, less or other, are found without fingerprints.
+SHORT = 10
+#: Shingle sets, and shingles in them, that one task verifies against each other.
+PART_SETS, PART_SHINGLES = 4096, 1 << 21
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted."""
+    found = np.empty(0, np.uint64)
+    for h in shingle_hashes(text or "", width):
+        found = np.union1d(found, h) if len(found) else np.unique(h)
+    return found
+
+
+def set_fingerprint(hashes: np.ndarray, n_words: int) -> np.ndarray:
+    """As :func:`fingerprint`, over distinct shingles: a repeated line counts once."""
+    counts = np.zeros((n_words, 64), np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        counts += bit_counts(spread(hashes[at : at + CHUNK], n_words))
+    return np.packbits(2 * counts > len(hashes), axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def set_name(hashes: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(hashes.tobytes())
+
+
+def short_keys(hashes: np.ndarray) -> list[int]:
+    """Names of a short set and of it without each element: sets that differ in one element, or in one each, share a name."""
+    if not 4 <= len(hashes) <= SHORT:  # smaller ones are never similar without being equal
+        return []
+    sets = [hashes, *(np.delete(hashes, k) for k in range(len(hashes)))]
+    return [int.from_bytes(set_name(x)[:8], "little", signed=True) for x in sets]
+
+
+def _ranges(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The positions of all runs of ``n`` from ``starts``."""
+    return np.arange(n.sum()) + np.repeat(starts - (np.cumsum(n) - n), n)
+
+
+def verified_links(sets: list[np.ndarray], side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what pairs of sets of Jaccard similarity 0.8 or more connect; of unlike ``side`` only, if given.
+
+    A set is met once: it is compared with those not yet reached, so a dense
+    group costs no square.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    names, flat = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_inverse=True)
+    order = np.argsort(flat, kind="stable")
+    holders = np.repeat(np.arange(len(sets)), sizes)[order]
+    n_holders = np.bincount(flat, minlength=len(names))
+    at_holders = np.cumsum(n_holders) - n_holders
+    open_, a, b = sizes > 0, [], []
+    mark = np.zeros(len(names), bool)
+    for first in range(len(sets)):
+        front = [first] if open_[first] else []
+        open_[first] = False
+        while front:
+            row = front.pop()
+            ok = open_ & (5 * sizes >= 4 * sizes[row]) & (4 * sizes <= 5 * sizes[row])
+            left = np.flatnonzero(ok if side is None else ok & (side != side[row]))
+            if not len(left):
+                continue
+            own = flat[starts[row] : starts[row] + sizes[row]]
+            if sizes[left].sum() <= n_holders[own].sum():
+                mark[own] = True
+                shared = np.add.reduceat(mark[flat[_ranges(starts[left], sizes[left])]].astype(np.int64), np.cumsum(sizes[left]) - sizes[left])
+                mark[own] = False
+            else:
+                shared = np.bincount(holders[_ranges(at_holders[own], n_holders[own])], minlength=len(sets))[left]
+            found = left[9 * shared >= 4 * (sizes[left] + sizes[row])]  # shared / (a + b - shared) >= 4 / 5
+            open_[found] = False
+            a.append(found)
+            b.append(np.full(len(found), row))
+            front += found.tolist()
+    return np.concatenate([np.empty(0, int), *a]), np.concatenate([np.empty(0, int), *b])
+
+
+def verify(docs: DataFrame, members: DataFrame, width: int, part_sets: int = PART_SETS, part_shingles: int = PART_SHINGLES) -> DataFrame:
+    """Edges ``(u, v)`` that connect the ``members(doc_id, name, n, node, root)`` which similar pairs of one root connect.
+
+    Every pair of a root is compared, by the shingle sets of the texts in
+    ``docs``; the sets of a large root are split, each pair of parts a task.
+    """
+    cuts = members.groupBy("root").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"))
+    cuts = cuts.withColumn("cuts", F.ceil(F.greatest(F.col("sets") / part_sets, F.col("shingles") / part_shingles)).cast("int")).filter("cuts > 1")
+    members = members.join(cuts.select("root", "cuts"), "root", "left").select(F.col("doc_id").alias("member"), "name", "node", "root", F.coalesce("cuts", F.lit(1)).alias("cuts"))
+    texts = docs.select("doc_id", "text").join(members, F.col("doc_id") == F.col("member"))
+
+    def sets(batch: pa.RecordBatch) -> Iterator[dict]:
+        found = [shingle_set(t.as_py(), width) for t in batch.column(0)]
+        at = [k for k, s in enumerate(found) if set_name(s) == batch.column(1)[k].as_py()]  # a doc_id may have several texts
+        yield {"hashes": [found[k].tobytes() for k in at], **{c: batch.column(k).take(pa.array(at, pa.int64())) for k, c in ((2, "node"), (3, "root"), (4, "cuts"))}}
+
+    dealt = map_texts(texts, ["text", "name", "node", "root", "cuts"], "hashes binary, node long, root long, cuts int", sets)
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), F.col("cuts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    dealt = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "hashes")
+
+    def compare(table: pa.Table) -> pa.Table:
+        nodes, at = np.unique(table.column("node").to_numpy(), return_index=True)
+        hashes = table.column("hashes")
+        found = [np.frombuffer(hashes[int(k)].as_py(), np.uint64) for k in at]
+        across = table.column("i")[0] != table.column("j")[0]
+        a, b = verified_links(found, table.column("own").to_numpy()[at] if across else None)
+        return pa.table({"u": nodes[a], "v": nodes[b]})
+
+    return dealt.groupBy("root", "i", "j").applyInArrow(compare, "u long, v long").distinct()
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of copies and near copies: the smallest doc_id.
 
-    Similarity is estimated over 5-word shingles, 0.8 or more linking (pairs
-    a little below it may).  Rows of one doc_id repeated are reduced to one.
-    Rows without a doc_id cannot be told apart and stay.
+    Texts of equal 5-word shingle sets are copies.  Wide fingerprints of the
+    sets give candidates, groups that may link; within a group all pairs are
+    compared exactly, and a Jaccard similarity of 0.8 or more links.  Rows of
+    one doc_id repeated are reduced to one.  Rows without a doc_id cannot be
+    told apart: they stay and link nothing.
     """
-    groups = near_duplicates(docs.select("doc_id", "text"), **WIDE)
-    keep = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
+    width, n_words = WIDE["width"], WIDE["n_words"]
+    named = docs.filter(F.col("doc_id").isNotNull())
+
+    def per_batch(batch: pa.RecordBatch) -> Iterator[dict]:
+        found = [shingle_set(t.as_py(), width) for t in batch.column(1)]
+        yield {
+            "doc_id": batch.column(0), "name": [set_name(s) for s in found], "n": [len(s) for s in found],
+            "fp": [set_fingerprint(s, n_words).tobytes() for s in found], "keys": [short_keys(s) for s in found],
+        }
+
+    table = map_texts(named, ["doc_id", "text"], "doc_id long, name binary, n long, fp binary, keys array<long>", per_batch)
+    firsts = [F.first(c).alias(c) for c in ("n", "fp", "keys")]
+    nodes = written(table.groupBy("name").agg(F.min("doc_id").alias("doc_id"), *firsts).withColumn("node", F.xxhash64("name")), "nodes")
+    short = nodes.select("node", F.explode("keys").alias("key"))
+    least = short.groupBy("key").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("sharing")).filter("sharing > 1").select("key", "v")
+    stars = short.join(least, "key").filter("node <> v").select(F.col("node").alias("u"), "v")
+    near = links(nodes.select("node", "fp"), n_words, WIDE["n_blocks"], WIDE["limit"])
+    candidates = components(near.unionByName(stars))
+    members = written(nodes.join(candidates, nodes["node"] == candidates["u"]).select("doc_id", "name", "n", "node", "root"), "members")
+    linked = components(verify(named, members, width)).select("u", F.col("root").alias("group"))
+    groups = nodes.join(linked, nodes["node"] == linked["u"], "left").groupBy(F.coalesce("group", "node").alias("group"))
+    keep = groups.agg(F.min("doc_id").alias("_kept")).select("_kept").distinct()
     kept = docs.join(keep, docs["doc_id"] == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
