@@ -90,6 +90,22 @@ def test_items_in_documents(spark):
     assert len(few) > 1 and sum(len(x.ids) for x in few) == len(pairs)
 
 
+def test_a_long_item_does_not_widen_the_windows_of_short_ones(spark):
+    words = lambda tag, n: [f"{tag}{i}" for i in range(n)]
+    short, middle, long = words("short", 20), words("middle", 100), words("long", 5000)
+    scattered = [w for k, s in enumerate(short) for w in [s, *words(f"fill{k}x", 120)]]  # all words, far apart
+    docs = {1: scattered, 2: words("a", 900) + short + words("b", 900), 3: words("c", 70) + middle, 4: words("d", 3333) + long + words("e", 50)}
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string")
+    items = [(1, " ".join(short)), (2, " ".join(middle)), (3, " ".join(long))]
+    got = decontam.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(2, 1), (3, 2), (4, 3)}
+    one, several = decontam.Index(items), decontam.by_length(items)
+    assert len(several) == 3  # the classes change windows, not scores
+    scores = lambda index, text: {index.ids[k]: s for k, s in index.search(decontam.words(text), 0.0)}
+    for _, text in items:
+        assert {k: s for x in several for k, s in scores(x, text).items()} == pytest.approx(scores(one, text))
+
+
 def test_decontamination_odd_rows(spark, odd, empty):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "alpha beta gamma delta"), (4, "solo"), (None, "one two three"), (3, "alpha beta gamma delta")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontam.contaminated(odd, items).collect()}

@@ -1,7 +1,8 @@
 """Benchmark decontamination: a BM25 index of test items, searched with block-max WAND.
 
-Every passage of every text (overlapping windows, wide enough for the longest
-item) is a query against the items.  An item's scores are divided by its own
+Items are dealt out to indexes by their length.  Every passage of every text
+(overlapping windows, as wide as the lengths of the index need) is a query
+against the items.  An item's scores are divided by its own
 score against itself, so one threshold serves all.  Retrieved items are
 verified: a text is contaminated if both the question and the answer of the
 item overlap one passage.
@@ -43,7 +44,8 @@ def words(text: str | None) -> list[str]:
 class Index:
     """Postings by term, sorted by item, with bounds for each block and list."""
 
-    def __init__(self, items: list[tuple[int, str | None]]) -> None:
+    def __init__(self, items: list[tuple[int, str | None]], among: list[tuple[int, str | None]] | None = None, half: int | None = None) -> None:
+        """``among``: the items whose statistics count (these by default); ``half``: words of half a window, by the longest item if none is given."""
         found = [(i, words(t)) for i, t in sorted(items, key=lambda x: x[0])]
         found = [(i, w) for i, w in found if w]
         self.ids = [i for i, _ in found]
@@ -51,13 +53,15 @@ class Index:
         for _, w in found:
             cut = max(1, len(w) - max(1, round(len(w) * ANSWER)))
             self.parts.append((frozenset(w[:cut]), frozenset(w[cut:]) or frozenset(w)))
-        self.longest = max((len(w) for _, w in found), default=0)
-        mean = sum(len(w) for _, w in found) / max(1, len(found))
-        df = Counter(t for _, w in found for t in set(w))
+        self.half = half or max(64, max((len(w) for _, w in found), default=0))
+        all_words = [w for w in (words(t) for _, t in among) if w] if among is not None else [w for _, w in found]
+        n_items = len(all_words)
+        mean = sum(map(len, all_words)) / max(1, n_items)
+        df = Counter(t for w in all_words for t in set(w))
         self.postings: dict[str, tuple[list[int], list[float]]] = {}
         for k, (_, w) in enumerate(found):
             tf = Counter(w)
-            raw = {t: math.log(1 + (len(found) - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(w) / mean)) for t, n in tf.items()}
+            raw = {t: math.log(1 + (n_items - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(w) / mean)) for t, n in tf.items()}
             own = sum(raw.values())
             for t, v in raw.items():
                 at, impact = self.postings.setdefault(t, ([], []))
@@ -121,11 +125,11 @@ class Index:
         return out
 
     def passages(self, text: str, least: float = 0.0) -> Iterator[list[str]]:
-        """Windows of twice the longest item (128 words at least), each starting half a window after the last.
+        """Windows of ``2 * half`` words, each starting half a window after the last.
 
         They are left out four halves at a time where the bounds are below ``least``.
         """
-        half = max(64, self.longest)
+        half = self.half
         carry: list[str] = []
         at, any_yet = 0, False
         while at < len(text):
@@ -157,17 +161,32 @@ class Index:
         return found
 
 
+def by_length(items: list[tuple[int, str | None]]) -> list[Index]:
+    """An index for each length class (up to 64 words, 128, 256, ...), scored as one index of all ``items`` would.
+
+    Windows have twice the words of the class, so a long item does not widen
+    those in which the words of a short one are sought.
+    """
+    longest: dict[int, int] = {}
+    for i, t in items:
+        longest[i] = max(longest.get(i, 0), len(words(t)))
+    classes: dict[int, list[tuple[int, str | None]]] = {}
+    for i, t in items:
+        classes.setdefault(max(64, 1 << (longest[i] - 1).bit_length()) if longest[i] else 64, []).append((i, t))
+    return [Index(rows, items, half) for half, rows in sorted(classes.items())] or [Index([])]
+
+
 def indexes(items: DataFrame, index_bytes: int = INDEX_BYTES) -> list[Index]:
-    """Indexes that hold all items, each of a bounded size; one in the common case.
+    """Indexes that hold all items, each of a bounded size; one for each length class in the common case.
 
-    Items are dealt out by a hash.  The driver builds one at a time, and
-    statistics (document frequency, mean length) are those of the index.
+    More items are dealt out by a hash first, and statistics (document
+    frequency, mean length) are then those of such a part.
     """
     rows = items.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(size / index_bytes))
     parts = [rows] if n == 1 else [rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) for k in range(n)]
-    return [Index([(r.item_id, r.text) for r in part.distinct().collect()]) for part in parts]
+    return [index for part in parts for index in by_length([(r.item_id, r.text) for r in part.distinct().collect()])]
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
