@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weir.llm import decontam, langid, pii, queries
 
@@ -48,6 +49,33 @@ def test_language_odd_rows(spark, odd, empty, documents):
     assert langid.identified(empty).count() == 0
 
 
+def test_foreign_texts_and_noise_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    learned, held = docs.filter(~langid.held_out()), docs.filter(langid.held_out()).withColumn("lang", F.lit(None).cast("string"))
+    rng = np.random.default_rng(19)
+    draw = lambda letters, n: "".join(rng.choice(list(letters), n))
+    foreign = [
+        "Η γρήγορη καφέ αλεπού πηδά πάνω από το τεμπέλικο σκυλί και τρέχει στο δάσος", "Быстрая коричневая лиса прыгает через ленивую собаку и бежит в лес",
+        "敏捷的棕色狐狸跳过懒狗然后跑进森林里去了", "Nopea ruskea kettu hyppää laiskan koiran yli ja juoksee metsään, jossa on paljon puita",
+        draw("0123456789abcdef", 2000), draw("abcdefghijklmnopqrstuvwxyz ", 3000), "".join(map(chr, rng.integers(0x4E00, 0x9FFF, 20_000))),
+    ]
+    rows = spark.createDataFrame([(-1 - k, t, None, "s", len(t)) for k, t in enumerate(foreign)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = langid.identified(learned.unionByName(held).unionByName(rows.select(docs.columns)))  # those without a label are not learned from
+    ids = {r.doc_id for r in kept.select("doc_id").collect()}
+    assert not [d for d in ids if d < 0]
+    n_held, n_learned = held.count(), learned.count()
+    kept_held = len(ids & {r.doc_id for r in held.collect()})
+    assert kept_held >= 0.99 * n_held and len(ids) - kept_held >= 0.99 * n_learned
+
+
+def test_the_commonest_languages_are_learned_from_rows_with_text(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    rows = [(k, None, "zz") for k in range(300)] + [(1000 + k, f"one two three {k}", "aa") for k in range(2)]
+    rows += [(2000 + k, f"uno dos tres {k}", "yy") for k in range(9)] + [(3000 + k, None if k < 400 else f"eins zwei drei {k}", "xx") for k in range(405)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["xx", "yy"]
+
+
 def brute_items(text, items):
     """Item ids that stand verbatim, as words, in a text."""
     flat = f" {' '.join(decontam.words(text))} "

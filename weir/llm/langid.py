@@ -5,6 +5,10 @@ blended spectrum, presence only), kept as a bitmap of ``FEATURES`` hashed
 positions.  Kernel: shared n-grams over the geometric mean of both counts.
 Landmark texts give Nystroem features, and kernel ridge regression, one
 language versus the rest, gives the scores; both are batched matrix products.
+The scores say which language is nearest, not how near: a text that shares
+nothing with any has a score of 0.5.  So a text is taken to be in that
+language only if enough of its n-grams are known from it; the limit comes from
+the labelled texts, each held against the others.
 
 Fitting uses a sample of labelled rows bounded by ``PER_LANGUAGE`` for each
 language, drawn by a hash of doc_id over the whole table.  Only their bitmaps
@@ -32,6 +36,8 @@ RIDGE = 1e-2
 #: Characters of a text that are hashed at a time.
 SEGMENT = 1 << 20
 LETTER = re.compile(r"[^\W\d_]")
+#: Texts of a language that must have an n-gram for it to be known, and the share of labelled texts that may be unlike the others.
+HOLDERS, UNLIKE = 2, 0.02
 MIX = np.uint32(0x9E3779B1)
 
 
@@ -61,11 +67,35 @@ class Scorer:
     languages: list[str]
     used: np.ndarray  # features that a landmark has
     folded: np.ndarray  # those features by languages
+    known: np.ndarray  # languages by features, as packed bits: the n-grams known from each
+    limits: np.ndarray  # for each language, the share of known n-grams from which a text is in it
 
     def scores(self, bitmaps: np.ndarray) -> np.ndarray:
         shared = bitmaps[:, self.used].astype(np.float32) @ self.folded
         return shared / np.sqrt(np.maximum(1, bitmaps.sum(1)))[:, None]
 
+    def within(self, bitmaps: np.ndarray, best: np.ndarray) -> np.ndarray:
+        """Whether each text is in the language ``best``, and not just nearer to it than to the others."""
+        shared = np.bitwise_count(np.packbits(bitmaps, axis=1) & self.known[best]).sum(1, dtype=np.int64)
+        return shared >= self.limits[best] * bitmaps.sum(1)
+
+
+def limits_of(bitmaps: np.ndarray, labels: list[str], languages: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``known`` and ``limits`` of a :class:`Scorer`.
+
+    A limit is halfway between the share of n-grams that are known by chance
+    (of a text in another script, as positions are shared) and the share that
+    nearly all labelled texts reach by the other texts of their language.
+    """
+    known, limits = [], []
+    for k in languages:
+        own = bitmaps[np.array(labels) == k]
+        holders = own.sum(0)
+        others = (own & (holders > HOLDERS)).sum(1) / np.maximum(1, own.sum(1))  # held by that many besides the text itself
+        known.append(np.packbits(holders >= HOLDERS))
+        limits.append((np.mean(holders >= HOLDERS) + np.quantile(others, UNLIKE, method="lower")) / 2 if others.any() else 0.0)
+    return np.array(known), np.array(limits)
+
 
 @dataclass
 class Model:
@@ -73,6 +103,8 @@ class Model:
     used: np.ndarray  # features that a landmark has
     rows: np.ndarray  # those features by landmarks, 0 or 1
     sizes: np.ndarray  # n-grams of each landmark
+    known: np.ndarray
+    limits: np.ndarray
 
     def kernel(self, bitmaps: np.ndarray) -> np.ndarray:
         """Texts by landmarks: one product of a 0/1 matrix with the landmarks' 0/1 matrix."""
@@ -83,7 +115,7 @@ class Model:
     def set_weights(self, weights: np.ndarray) -> None:
         """The kernel is linear in a text's n-grams, so landmarks and weights fold into one matrix."""
         self.weights = weights
-        self.scorer = Scorer(self.languages, self.used, (self.rows @ (weights / np.sqrt(self.sizes)[:, None])).astype(np.float32))
+        self.scorer = Scorer(self.languages, self.used, (self.rows @ (weights / np.sqrt(self.sizes)[:, None])).astype(np.float32), self.known, self.limits)
 
     def scores(self, bitmaps: np.ndarray) -> np.ndarray:
         """``kernel(bitmaps) @ weights``."""
@@ -97,7 +129,7 @@ def fit(bitmaps: np.ndarray, labels: list[str]) -> Model:
     marks = np.concatenate([np.flatnonzero(np.array(labels) == k)[:LANDMARKS] for k in languages])
     used = np.flatnonzero(bitmaps[marks].any(0))
     rows = np.ascontiguousarray(bitmaps[marks][:, used].T, np.float32)
-    model = Model(languages, used, rows, np.maximum(1, bitmaps[marks].sum(1)).astype(np.float32))
+    model = Model(languages, used, rows, np.maximum(1, bitmaps[marks].sum(1)).astype(np.float32), *limits_of(bitmaps, labels, languages))
     full = model.kernel(bitmaps).astype(float)
     values, vectors = np.linalg.eigh(full[marks])
     keep = values > 1e-6 * max(values.max(), 1e-12)
@@ -111,19 +143,22 @@ def fit(bitmaps: np.ndarray, labels: list[str]) -> Model:
 def learn(docs: DataFrame, learnable: Column | None = None, per_language: int = PER_LANGUAGE) -> Model | None:
     """Fit on the rows of ``docs`` with text, doc_id and lang under ``learnable``; None if there are none.
 
-    The sample is chosen without the texts: the lowest hashes of doc_id in
-    each language (a bound inside every task, then one among tasks).
+    The sample is chosen without moving the texts: the lowest hashes of doc_id
+    in each of the commonest languages (a bound inside every task, then one
+    among tasks), of rows whose text has a letter.
     """
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    rows = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rows = rows.filter(learnable) if learnable is not None else rows
     keys = rows.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(17)).alias("draw"))
     order = W.partitionBy("lang").orderBy("draw", "doc_id")
     chosen = keys.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_language)
-    chosen = chosen.select("doc_id", "lang").distinct().orderBy("lang", "doc_id").limit(LANGUAGES * per_language).collect()
+    # the counts take a task one row a language
+    common = [r.lang for r in keys.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    chosen = chosen.filter(F.col("lang").isin(common)).select("doc_id", "lang").distinct().collect()
     if not chosen:
         return None
     ids = sorted({r.doc_id for r in chosen})
-    texts = rows.filter(F.col("text").isNotNull() & F.col("doc_id").isin(ids)).select("doc_id", "lang", "text")
+    texts = rows.filter(F.col("doc_id").isin(ids) & F.col("lang").isin(common)).select("doc_id", "lang", "text")
 
     def per_batch(batch: pa.RecordBatch) -> Iterator[dict]:
         flags = [np.packbits(presence(t)).tobytes() for t in batch.column(2).to_pylist()]
@@ -167,7 +202,7 @@ def held_out() -> Column:
 
 
 def identified(docs: DataFrame, least: float = 0.25) -> DataFrame:
-    """The rows of ``docs`` with a language: not ``und``, score of ``least`` or more.
+    """The rows of ``docs`` with a language: not ``und``, score of ``least`` or more, n-grams known from it.
 
     Works on each row by itself: the model rejects or keeps it with all its columns.
     """
@@ -184,8 +219,10 @@ def identified(docs: DataFrame, least: float = 0.25) -> DataFrame:
                 texts = part.column(at).to_pylist()
                 named = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if scorer else []
                 if named:
-                    best = scorer.scores(np.array([presence(texts[i]) for i in named])).max(1)
-                    kept = [i for i, v in zip(named, best, strict=True) if (v + 1) / 2 >= least]
+                    bitmaps = np.array([presence(texts[i]) for i in named])
+                    scores = scorer.scores(bitmaps)
+                    good = ((scores.max(1) + 1) / 2 >= least) & scorer.within(bitmaps, scores.argmax(1))
+                    kept = [i for i, ok in zip(named, good.tolist(), strict=True) if ok]
                     yield part.take(pa.array(kept, pa.int64()))
 
     return docs.mapInArrow(keep, kinds)
