@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import html
 import re
+import time
 from datetime import datetime
 
 import pytest
@@ -90,26 +91,134 @@ PAGE = (
 
 
 def test_furniture_goes():
-    assert extract.slots(PAGE, "h", lambda t: False) == "A & B one bold two <3 a < b tést x three"
-    assert extract.slots("", "h", lambda t: False) == "" == extract.slots("<scri", "h", lambda t: False)
-    assert extract.slots("<article>a<p>b</arti", "h", lambda t: False) == "a b"
-    assert extract.slots("<div>" * 5000 + "deep", "h", lambda t: False) == "deep"
+    assert extract.slots(PAGE) == "A & B one bold two <3 a < b tést x three"
+    assert extract.slots("") == "" == extract.slots("<scri")
+    assert extract.slots("<article>a<p>b</arti") == "a b"
 
 
-def test_template_of_pages_without_an_article(spark, monkeypatch):
-    rows = [(i, "http://h.example/p", f"<html><body><div><p>Our shop since 1990</p><span>top</span></div><div><p>Story {i} of many.</p><p>More {i}.</p></div><div>All rights reserved</div></body></html>") for i in range(8)]
+def test_deep_and_unclosed_elements():
+    assert extract.slots("<div>" * 5000 + "deep") == "deep"
+    deep = "<article><p>kept</p>" + "<section>" * 500 + "<div class='comments'>" + "<div>" * 20 + "no" + "</div>" * 20 + "reader comment</div>" + "</section>" * 500 + "<p>end</p></article>"
+    assert extract.slots(deep) == "kept end"
+    started = time.perf_counter()
+    assert extract.slots("<div>" * 100_000 + "</p>" * 100_000 + "deep") == "deep"
+    assert time.perf_counter() - started < 20
+
+
+def story(k):
+    return f"Story {k} of many, told at some length so that it outweighs the rest of its page. "
+
+
+def shop_page(k):
+    return f"<html><body><div><p>Our shop since 1990</p><span>top</span></div><div><p>{story(k)}</p><p>More {k}.</p></div><div>All rights reserved</div></body></html>"
+
+
+def test_template_of_pages_without_an_article(spark):
+    rows = [(i, "http://h.example/p", shop_page(i)) for i in range(8)]
     rows += [(50, "http://other.example/", "<body><p>Our shop since 1990</p></body>"), (51, None, None)]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as host", "2 as token", "3 as vector")
-    want = {i: f"Story {i} of many. More {i}." for i in range(8)} | {50: "Our shop since 1990", 51: ""}
-    assert {r.page_id: r.text for r in extract.main_text(df).collect()} == want
-    monkeypatch.setattr(extract, "BROADCAST_TOKENS", 0)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as host", "2 as token", "3 as vector", "4 as template", "5 as small")
+    want = {i: f"{story(i).strip()} More {i}." for i in range(8)} | {50: "Our shop since 1990", 51: ""}
     assert {r.page_id: r.text for r in extract.main_text(df).collect()} == want
     assert extract.main_text(df.limit(0)).count() == 0
 
 
+def site_page(k, copy=False):
+    """A page without hints: the advert, the byline and the notice in the story go by their place in the template."""
+    text = "One story that is on many pages, word for word, and long enough to be most of them. " * 3 if copy else story(k) * 3
+    ask = "<p>Like this?</p><ul><li>Tell a friend.</li><li>Tell two.</li></ul>" if k % 5 else ""
+    return (
+        f"<html><body><div class='x1'>Buy {k}</div><div class='x2'><h1>Head {k}</h1><div class='x3'>By {k}</div><div class='x4'><p>{text}</p>"
+        f"<p>The {k % 3}.</p>{ask}<p>{story(k + 1000)}<p>{story(k + 2000)}</p></div></div><div class='x5'><p>Site</p><p>Terms</p></div></body></html>"
+    )
+
+
+def test_sites_without_hints(spark):
+    rows = [(i, "http://site.example/", site_page(i)) for i in range(40)]
+    rows += [(i, "http://copies.example/", site_page(i, i < 30)) for i in range(40)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "page_id long, i long, url string, html string")
+    for r in extract.main_text(df).join(df.select("page_id", "i"), "page_id").collect():
+        head = "One story that is on many pages, word for word, and long enough to be most of them. " * 3 if "copies" in r.url and r.i < 30 else story(r.i) * 3
+        assert r.text == f"Head {r.i} {head.strip()} The {r.i % 3}. {story(r.i + 1000).strip()} {story(r.i + 2000).strip()}"
+
+
+def test_story_outside_of_teasers(spark):
+    """Article elements of teasers do not win over the region with the text."""
+    page = lambda k: f"<body><div class='main-text'><p>{story(k) * 4}</p></div><div class='row'><article><p>Teaser {k}</p></article></div></body>"
+    df = spark.createDataFrame([(k, "http://a.example/", page(k)) for k in range(9)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in extract.main_text(df).collect()} == {k: (story(k) * 4).strip() for k in range(9)}
+
+
+def test_pages_without_tags_for_the_article(spark):
+    """Where hosts have enough pages, neither article elements nor class names are needed."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").withColumn("host", urlfilter.host_of(F.col("url")))
+    want = {r.page_id: reference_text(r.html) for r in pages.collect()}
+    bare = F.regexp_replace(F.regexp_replace("html", "</?(article|main)[^>]*>", ""), ' class="[^"]*"', "")
+    enough = {r.host for r in pages.groupBy("host").count().filter(F.col("count") >= extract.CLASS_PAGES).collect()}
+    got = {r.page_id: r.text for r in extract.main_text(pages.withColumn("html", bare)).collect()}
+    chosen = [r.page_id for r in pages.collect() if r.host in enough]
+    assert len(chosen) > 150 and {k: got[k] for k in chosen} == {k: want[k] for k in chosen}
+
+
+def brute_template(pages):
+    """Template tokens of the pages of one host, from explicit vectors."""
+    seen = [[extract.token(b[0], b[4]) for b in extract.blocks(p) if not (b[4] and b[2])] for p in pages]
+    size = {extract.token(b[0], b[4]): len(b[4]) for p in pages for b in extract.blocks(p)}
+    chars = [sum(len(b[4]) for b in extract.blocks(p) if not b[2]) for p in pages]
+    vectors = {t: tuple(s.count(t) for s in seen) for s in seen for t in s}
+    groups = {}
+    for t, v in vectors.items():
+        on = sum(map(bool, v))
+        if on >= extract.CLASS_PAGES and on >= extract.CLASS_SHARE * len(pages):
+            groups.setdefault(v, set()).add(t)
+    groups = {v: g for v, g in groups.items() if len(g) >= extract.CLASS_TOKENS}
+    top = max(groups, key=lambda v: (sum(map(bool, v)), -sum(v), len(groups[v])))
+    root = [[t for t in s if t in groups[top]] for s in seen]
+    root_on = [r for r, n in zip(root, top, strict=True) if n]
+    fixed = {t for t in groups[top] if len({i for r in root_on for i, x in enumerate(r) if x == t}) == 1}
+    if 2 * sum(size[t] * r.count(t) for r in root_on for t in fixed) > sum(c for c, n in zip(chars, top, strict=True) if n):
+        fixed = {t for t in fixed if not size[t]}
+    out = set(fixed)
+    for v, g in groups.items():
+        if v == top:
+            continue
+        runs = {}
+        for s, n in zip(seen, v, strict=True):
+            gap, own = 0, {}
+            for t in s:
+                if t in groups[top]:
+                    gap = t
+                elif t in g:
+                    own.setdefault(gap, []).append(t)
+            for gap, run in own.items():
+                runs.setdefault(gap, []).append(run)
+        for found in runs.values():
+            cycles = {tuple(dict.fromkeys(r)) for r in found}
+            cycle = min(cycles)
+            whole = all(r == list(cycle) * (len(r) // len(cycle)) for r in found)
+            text = sum(size[t] for r in found for t in r)
+            if len(cycles) == 1 and whole and len(found) == sum(map(bool, v)) and len(cycle) >= extract.CLASS_TOKENS and 2 * text <= sum(c for c, n in zip(chars, v, strict=True) if n):
+                out |= set(cycle)
+    return out
+
+
+def test_template_equals_explicit_vectors(spark):
+    hosts = {
+        "a": [site_page(k) for k in range(12)], "b": [site_page(k, k < 8) for k in range(12)],
+        "c": [f"<body><div>one</div><p>x{k}</p><ul>" + "<li><b>By</b><em>n</em><p>Reply</p><i>c</i></li>" * (k % 3 + 1) + "</ul><div>two</div></body>" for k in range(8)],
+        "d": [f"<body><div class='a'>l{k}</div>" + ("<p>s</p><p>t</p><p>u</p>" if k % 2 else "<p>t</p><p>s</p><p>u</p>") + "</body>" for k in range(8)],
+    }
+    rows = [(f"http://{h}.example/", p) for h, ps in hosts.items() for p in ps]
+    df = spark.createDataFrame(rows, "url string, html string")
+    names = {r.host: r.name for r in df.select(F.xxhash64(urlfilter.host_of(F.col("url"))).alias("host"), F.substring(F.col("url"), 8, 1).alias("name")).distinct().collect()}
+    got = {names[r.host]: set(r.template) for r in extract.templates(df).collect()}
+    assert got == {h: brute_template(ps) for h, ps in hosts.items()}
+    assert extract.token(extract.below(0, "div"), "one") in got["c"]
+
+
 def test_vectors_do_not_depend_on_the_split(spark, pages):
-    a = {tuple(r) for r in extract.tokens(pages.coalesce(1)).collect()}
-    assert a and a == {tuple(r) for r in extract.tokens(pages.repartition(7)).collect()}
+    rows = pages.select(F.xxhash64("url").alias("host"), "html")
+    a = {tuple(r) for r in extract.tokens(rows.coalesce(1)).collect()}
+    assert a and a == {tuple(r) for r in extract.tokens(rows.repartition(7)).collect()}
 
 
 def test_lists_as_of_fetch_time(spark):

@@ -1,38 +1,51 @@
 """Main text of web pages, by deducing the template that the pages of a host share.
 
-A page is read as tokens: its elements, told apart by their path, and its
-blocks of text, told apart by path and content.  A token's occurrence vector
-(how often it stands on each page of the host) is kept as a digest that adds
-up over pages in any order, so tokens with equal vectors, an equivalence
-class, meet by grouping, and no page set is ever gathered.  Classes that are
-large enough and stand on most pages of the host are valid; nested by path
-they are its template.  What is not template is in the slots, and the slots of
-the main part of the page are its text.
+A page is read as tokens: its elements, told apart by their path (with class
+names), and its blocks of text, told apart by path and content.  A token's
+occurrence vector (how often it stands on each page of the host) is kept as a
+digest that adds up over pages in any order, so tokens with equal vectors, an
+equivalence class, meet by grouping, and no page set is ever gathered.
+
+The class on most pages of a host is the root of its template; its tokens must
+stand in one order on all of its pages.  Any other class is nested in a gap
+between two root tokens: it is valid if it has enough tokens, all in that gap
+on each page of the class, in one order (repeated as often as the class
+occurs).  A class that makes up most of its pages' text is a group of copies,
+not a template, and its text stays.
+
+What is left between template tokens is in the slots.  The slots of a host are
+weighed by region (``div``, ``section``, ``article``, ...), by the text that
+all its pages hold there.  The deepest region with two thirds of the text is
+the main part; an ``article`` or ``main`` element around it is a hint that
+widens it.  Regions of the template in it that hold under a tenth of the text
+(an advert, a byline) are left out, unless the hint says otherwise.  The text
+of a page is what its main part has in slots.
 
 Elements that are furniture by their name, role or class (menus, forms, side
-bars, notices, adverts, comments) hold no slots.  If a page has an article (or
-main part), its slots are in there; text of an article is never taken for
-template.
+bars, notices, adverts, comments) hold no slots.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from weir.llm.common import map_texts
+from weir.llm.common import map_texts, written
 from weir.llm.urlfilter import host_of
 
 #: A class is valid with this many tokens, on this share of the host's pages, of at least so many pages.
 CLASS_TOKENS, CLASS_SHARE, CLASS_PAGES = 3, 0.5, 4
-#: Template tokens that are handed to every task; more are joined by host.
-BROADCAST_TOKENS = 2_000_000
+#: Share of a host's text in its main part, and below which a region of the template in it is left out.
+MAIN_SHARE, SMALL_SHARE = 2 / 3, 0.1
+#: Characters of html that are read before what they add up to is handed on.
+BATCH_CHARS = 4 << 20
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z|(?=<))|</?\Z", re.DOTALL)
 ATTRIBUTE = re.compile(r"([A-Za-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))")
@@ -42,6 +55,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript iframe template svg math noembed xmp".split())
 #: Elements inside a line of text; all others begin and end a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements that hold a part of a page; all others belong to the part around them.
+REGIONS = frozenset("div section article main".split())
+#: Elements that end an open paragraph.
+BREAKS = frozenset("p li h1 h2 h3 h4 h5 h6 div ul ol table section article footer nav aside".split())
 FURNITURE = frozenset("head nav footer aside form button select option menu dialog canvas object audio video map datalist".split())
 #: Words of class, id and role that mark furniture.
 FURNITURE_WORDS = frozenset(
@@ -52,6 +69,32 @@ FURNITURE_WORDS = frozenset(
 MAIN_WORDS = frozenset(["main"])
 
 
+# --- one page -------------------------------------------------------------------
+
+
+class Region:
+    """A part of a page: ``main`` if an article or main element is around it, or it is one (``own_main``)."""
+
+    __slots__ = ("above", "chars", "depth", "inside", "main", "own_main", "parent", "path")
+
+    def __init__(self, path: int, parent: Region | None, own_main: bool) -> None:
+        self.path, self.parent, self.own_main = path, parent, own_main
+        self.main = own_main or parent is not None and parent.main
+        self.depth = parent.depth + 1 if parent else 0
+        self.chars, self.inside, self.above = 0, False, False
+
+
+@lru_cache(1 << 16)
+def below(path: int, label: str) -> int:
+    """Signed 64-bit name of an element, or of a block of text, in the element ``path``."""
+    return xxhash.xxh64_intdigest(f"{path}/{label}".encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def token(path: int, text: str) -> int:
+    """The name of a block of text; that of an element is its path."""
+    return xxhash.xxh64_intdigest(f"{path}\0{text}".encode("utf-8", "surrogatepass")) - (1 << 63) if text else path
+
+
 def _words(attributes: str) -> set[str]:
     found: set[str] = set()
     for name, a, b, c in ATTRIBUTE.findall(attributes):
@@ -60,22 +103,51 @@ def _words(attributes: str) -> set[str]:
     return found
 
 
-def blocks(page: str) -> Iterator[tuple[str, bool, bool, str]]:
-    """``(path, furniture, main, text)`` of each element (text empty) and each block of text, in page order.
+def _label(name: str, attributes: str) -> str:
+    """The element's name with its class names; long numbers in these (ids of posts) count alike."""
+    if "class" in attributes:
+        for key, a, b, c in ATTRIBUTE.findall(attributes):
+            if key.lower() == "class":
+                return f"{name}.{re.sub('[0-9]{3,}', '0', ' '.join((a or b or c).split()))}"
+    return name
+
+
+def _furniture(name: str, attributes: str, main: bool) -> bool:
+    """Whether an element is furniture; the header of an article is not."""
+    if name in FURNITURE or name == "header" and not main:
+        return True
+    if name in ("html", "body", "article", "main") and not attributes.strip():
+        return False
+    if "=" not in attributes or not re.search("class|id|role", attributes, re.IGNORECASE):
+        return "hidden" in attributes.split()
+    words = _words(attributes)
+    if name in ("html", "body"):
+        return False
+    return bool(words & FURNITURE_WORDS) or "header" in words and not main or "hidden" in attributes.split()
+
+
+def blocks(page: str, regions: list[Region] | None = None) -> Iterator[tuple[int, str, bool, Region, str]]:
+    """``(path, name, furniture, region, text)`` of each element (text empty) and each block of text, in page order.
 
     Open elements are closed by the end of one around them, ``p`` and ``li``
-    also by the next; the page may break off anywhere.
+    also by the next; the page may break off anywhere.  ``html`` and ``body``
+    are left out of paths, as pages may leave them out.  ``regions`` gets the
+    regions of the page, each after the one around it.
     """
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # name, path, furniture, main
+    regions = [] if regions is None else regions
+    regions.append(Region(0, None, False))
+    stack: list[tuple[str, int, bool, Region]] = [("", 0, False, regions[0])]  # name, path, furniture, region
+    open_names: Counter[str] = Counter()
     line: list[str] = []
     at = 0
 
-    def flush() -> Iterator[tuple[str, bool, bool, str]]:
+    def flush() -> Iterator[tuple[int, str, bool, Region, str]]:
         if line:
             text = SPACE.sub(" ", entities.unescape("".join(line))).strip()
             line.clear()
             if text:
-                yield stack[-1][1], stack[-1][2], stack[-1][3], text
+                name, path, furniture, region = stack[-1]
+                yield path, name, furniture, region, text
 
     while at < len(page):
         m = TAG.search(page, at)
@@ -90,129 +162,256 @@ def blocks(page: str) -> Iterator[tuple[str, bool, bool, str]]:
             if m[0].startswith("<![CDATA["):
                 line.append(m[0][9:].removesuffix("]]>"))
             continue
-        if name in INLINE and not _furniture(name, m[3], stack[-1]):
+        if name in INLINE and not _furniture(name, m[3], stack[-1][3].main):
             if closing and len(stack) > 1 and stack[-1][0] == name:
                 yield from flush()
-                stack.pop()
+                open_names[stack.pop()[0]] -= 1
             continue
         yield from flush()
         if closing:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
-            if depth:
-                del stack[depth:]
+            if open_names[name]:
+                while stack[-1][0] != name:
+                    open_names[stack.pop()[0]] -= 1
+                open_names[stack.pop()[0]] -= 1
             continue
         if name in RAW:
             stop = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
             if not m[3].rstrip().endswith("/"):
                 at = stop.end() if stop else len(page)
             continue
-        if name in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "div", "ul", "ol", "table", "section", "article", "footer", "nav", "aside"):
-            if stack[-1][0] == "p" or name == "li" and stack[-1][0] == "li":
-                stack.pop()
-        top = stack[-1]
-        path = f"{top[1]}/{name}"
-        if name == "br" or name in VOID or m[3].rstrip().endswith("/"):
+        if name in BREAKS and (stack[-1][0] == "p" or name == "li" and stack[-1][0] == "li"):
+            open_names[stack.pop()[0]] -= 1
+        if name in VOID or m[3].rstrip().endswith("/"):
             continue
-        furniture = top[2] or _furniture(name, m[3], top)
-        main = top[3] or name in ("article", "main") or "role" in m[3] and bool(_words(m[3]) & MAIN_WORDS)
-        if len(stack) < 400:  # deeper elements count as the one around them
-            stack.append((name, path, furniture, main))
-        yield path, furniture, main, ""
+        _, around, furniture, region = stack[-1]
+        path = below(around, _label(name, m[3]))
+        furniture = furniture or _furniture(name, m[3], region.main)
+        own_main = name in ("article", "main") or "role" in m[3] and bool(_words(m[3]) & MAIN_WORDS)
+        if own_main or name in REGIONS:
+            region = Region(path, region, own_main)
+            regions.append(region)
+        stack.append((name, around if name in ("html", "body") else path, furniture, region))
+        open_names[name] += 1
+        yield path, name, furniture, region, ""
     yield from flush()
 
 
-def _furniture(name: str, attributes: str, around: tuple) -> bool:
-    """Whether an element is furniture; the header of an article is not."""
-    if name in FURNITURE or name == "header" and not around[3]:
-        return True
-    if name in ("html", "body", "article", "main") and not attributes.strip():
-        return False
-    if "=" not in attributes or not re.search("class|id|role", attributes, re.IGNORECASE):
-        return "hidden" in attributes.split()
-    words = _words(attributes)
-    if name in ("html", "body"):
-        return False
-    return bool(words & FURNITURE_WORDS) or "header" in words and not around[3] or "hidden" in attributes.split()
+def slots(page: str, template: frozenset[int] = frozenset(), main_part: int | None = None, hinted: bool = False, small: frozenset[int] = frozenset()) -> str:
+    """The text of the main slots of a page, blocks joined by one space.
+
+    ``main_part`` is the path of the host's main region (0: the whole page);
+    without one, or on a page that lacks it, an article or main element of the
+    page itself is taken, and all of the page if it has none.  A main heading
+    above the main part belongs to it.
+    """
+    regions: list[Region] = []
+    found = [b for b in blocks(page, regions) if b[4] and not b[2]]
+    if main_part:
+        for r in regions:
+            r.inside = r.path == main_part or r.parent is not None and r.parent.inside and (hinted or r.path not in small)
+            around = r.parent if r.path == main_part else None
+            while around is not None and not around.above:
+                around.above = True
+                around = around.parent
+        own = [b for b in found if b[3].inside or b[1] == "h1" and b[3].above]
+        own = [b[4] for b in own if token(b[0], b[4]) not in template]
+        if own or hinted and any(r.inside for r in regions):
+            return " ".join(own)
+    found = [b for b in found if b[3].main] or [b for b in found if _beside(b[3], small)]
+    return " ".join(b[4] for b in found if token(b[0], b[4]) not in template)
+
+
+def _beside(region: Region | None, small: frozenset[int]) -> bool:
+    """Whether no region around is one of the template's small ones."""
+    while small and region is not None:
+        if region.path in small:
+            return False
+        region = region.parent
+    return True
+
+
+# --- the template of a host ---------------------------------------------------------
 
 
-def token(host: str, path: str, text: str) -> int:
-    """Signed 64-bit name of a token of a host."""
-    return xxhash.xxh64_intdigest(f"{host}\0{path}\0{text}".encode("utf-8", "surrogatepass")) - (1 << 63)
+def _hosts(pages: DataFrame, *columns: str) -> DataFrame:
+    return pages.select(*columns, F.xxhash64(F.coalesce(host_of(F.col("url")), F.lit(""))).alias("host"))
 
 
-def tokens(pages: DataFrame) -> DataFrame:
-    """``host, token, text, vector, pages``: each token of each host with the digest of its occurrence vector.
+def tokens(rows: DataFrame) -> DataFrame:
+    """``host, token, low, high, pages, times`` from ``host, html``: each token with the digest of its occurrence vector.
 
-    The digest is the exclusive-or over pages of a hash of page and count:
-    added up in each task first, then among tasks, in any order.
+    The digest is two sums over pages of the halves of a hash of page and
+    count: added up in each task first, then among tasks, in any order.  Text
+    in furniture is no token.
     """
-    rows = pages.select("page_id", "html", F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"))
 
     def per_batch(batch: pa.RecordBatch) -> Iterator[dict]:
-        seen: dict[tuple[str, int], list[int]] = {}
-        for page_id, page, host in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            own: dict[int, list[int]] = {}
-            for path, _, main, text in blocks(page or ""):
-                if not (main and text):  # the text of an article is no template
-                    own.setdefault(token(host, path, text), [0, bool(text)])[0] += 1
-            for t, (n, is_text) in own.items():
-                at = seen.setdefault((host, t), [is_text, 0, 0])
-                at[1] ^= xxhash.xxh64_intdigest(f"{page_id}:{n}")
+        seen: dict[tuple[int, int], list[int]] = {}
+        read = 0
+        for k in range(batch.num_rows):
+            host, page = batch.column(0)[k].as_py(), batch.column(1)[k].as_py() or ""
+            name = xxhash.xxh64_intdigest(page.encode("utf-8", "surrogatepass"))
+            for t, n in Counter(token(b[0], b[4]) for b in blocks(page) if not (b[4] and b[2])).items():
+                digest = xxhash.xxh64_intdigest(f"{name}:{n}")
+                at = seen.setdefault((host, t), [0, 0, 0, 0])
+                at[0] += digest & 0xFFFFFFFF
+                at[1] += digest >> 32
                 at[2] += 1
-        yield {
-            "host": [h for h, _ in seen], "token": [t for _, t in seen], "text": [bool(v[0]) for v in seen.values()],
-            "vector": [v[1] - ((v[1] >> 63) << 64) for v in seen.values()], "pages": [v[2] for v in seen.values()],
-        }
+                at[3] += n
+            read += len(page)
+            if read > BATCH_CHARS or k == batch.num_rows - 1:
+                yield {"host": [h for h, _ in seen], "token": [t for _, t in seen]} | {
+                    c: [v[i] for v in seen.values()] for i, c in enumerate(("low", "high", "pages", "times"))
+                }
+                seen, read = {}, 0
 
-    parts = map_texts(rows, ["page_id", "html", "host"], "host string, token long, text boolean, vector long, pages long", per_batch, rows=512)
-    return parts.groupBy("host", "token").agg(F.any_value("text").alias("text"), F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"))
+    parts = map_texts(rows, ["host", "html"], "host long, token long, low long, high long, pages long, times long", per_batch, rows=512)
+    return parts.groupBy("host", "token").agg(*(F.sum(c).alias(c) for c in ("low", "high", "pages", "times")))
 
 
-def template(pages: DataFrame) -> DataFrame:
-    """``host, token``: the text tokens of valid classes of each host."""
-    found = tokens(pages)
-    hosts = pages.groupBy(F.coalesce(host_of(F.col("url")), F.lit("")).alias("host")).agg(F.count(F.lit(1)).alias("host_pages"))
-    # an equivalence class: tokens of one host with one vector; its elements carry the nesting, its texts the template
-    common = found.join(hosts, "host").filter((F.col("pages") >= CLASS_PAGES) & (F.col("pages") >= CLASS_SHARE * F.col("host_pages")))
-    classes = common.groupBy("host", "vector", "pages").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= CLASS_TOKENS)
-    return common.filter("text").join(classes.drop("size"), ["host", "vector", "pages"], "left_semi").select("host", "token")
+def classes(rows: DataFrame) -> DataFrame:
+    """``host, token, class, pages``: the equivalence classes of frequent tokens.
 
+    Classes of a host are numbered from 1, the root, which is the one on most
+    pages (of these, the one that occurs least often, then the largest).
+    """
+    hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
+    common = tokens(rows).join(hosts, "host").filter((F.col("pages") >= CLASS_PAGES) & (F.col("pages") >= CLASS_SHARE * F.col("host_pages")))
+    common = written(common, "common")
+    vector = ["host", "low", "high", "pages", "times"]
+    order = W.partitionBy("host").orderBy(F.desc("pages"), "times", F.desc("size"), "low", "high")
+    found = common.groupBy(*vector).agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= CLASS_TOKENS).withColumn("class", F.row_number().over(order))
+    return common.join(found, vector).select("host", "token", "class", "pages", "host_pages")
+
+
+def outlines(rows: DataFrame) -> DataFrame:
+    """``host, kind, a, b, pages, low, high, x, y, tokens``: what the pages of a host say of its classes and regions.
+
+    ``rows``: ``host, html, known, numbers`` (the tokens and their classes).
+
+    * ``root``: ``a`` a root token, ``low`` and ``high`` its places among root tokens, ``x`` its text, ``y`` all text of its pages.
+    * ``class``: ``a`` a class, ``b`` the root token before it, ``low`` and ``high`` digests of its tokens in order (0: in none), ``x`` their text.
+    * ``region``: ``a`` a region, ``low`` its depth, ``high`` 1 if it is an article or main element, ``x`` its text that is in no class.
+    """
 
-def slots(page: str, host: str, is_template) -> str:
-    """The text of the main slots of a page, blocks joined by one space."""
-    found = [(main, path, text) for path, furniture, main, text in blocks(page) if text and not furniture]
-    if any(main for main, _, _ in found):
-        return " ".join(text for main, _, text in found if main)
-    return " ".join(text for _, path, text in found if not is_template(token(host, path, text)))
+    def per_batch(batch: pa.RecordBatch) -> Iterator[dict]:
+        of_host: dict[int, dict[int, int]] = {}
+        facts: dict[tuple, list] = {}
+        read = 0
+
+        def add(key: tuple, low: int, high: int, x: int, y: int, toks: tuple[int, ...] = ()) -> None:
+            at = facts.setdefault(key, [0, low, high, 0, 0, toks])
+            at[0] += 1
+            at[1], at[2] = min(at[1], low), max(at[2], high)
+            at[3] += x
+            at[4] += y
+
+        for k in range(batch.num_rows):
+            host, page = batch.column(0)[k].as_py(), batch.column(1)[k].as_py() or ""
+            if host not in of_host:
+                of_host[host] = dict(zip(batch.column(2)[k].as_py() or (), batch.column(3)[k].as_py() or (), strict=True))
+            known = of_host[host]
+            regions: list[Region] = []
+            root: list[tuple[int, int]] = []
+            runs: dict[tuple[int, int], list[tuple[int, int]]] = {}
+            gap = total = 0
+            for path, _, furniture, region, text in blocks(page, regions):
+                if text and furniture:
+                    continue
+                total += len(text)
+                t = token(path, text)
+                number = known.get(t)
+                if number is None:
+                    region.chars += len(text)
+                elif number == 1:
+                    root.append((t, len(text)))
+                    gap = t
+                else:
+                    runs.setdefault((number, gap), []).append((t, len(text)))
+            for place, (t, n) in enumerate(root):
+                add((host, "root", t, 0), place, place, n, total)
+            for (number, before), run in runs.items():
+                cycle = tuple(dict.fromkeys(t for t, _ in run))
+                times = len(run) // len(cycle)
+                in_order = [t for t, _ in run] == list(cycle) * times
+                digest = xxhash.xxh64_intdigest(repr(cycle).encode()) - (1 << 63) if in_order else 0
+                add((host, "class", number, before), digest, digest, sum(n for _, n in run), total, cycle)
+            for r in reversed(regions):
+                if r.parent is not None:
+                    r.parent.chars += r.chars
+            sums: dict[int, list[int]] = {}
+            for r in regions:
+                sums.setdefault(r.path, [r.depth, r.own_main, 0])[2] += r.chars
+            for path, (depth, own_main, chars) in sums.items():
+                if chars:
+                    add((host, "region", path, 0), depth, int(own_main), chars, 0)
+            read += len(page)
+            if read > BATCH_CHARS or k == batch.num_rows - 1:
+                out = {c: [key[i] for key in facts] for i, c in enumerate(("host", "kind", "a", "b"))}
+                yield out | {c: [v[i] for v in facts.values()] for i, c in enumerate(("pages", "low", "high", "x", "y", "tokens"))}
+                facts, read = {}, 0
+
+    schema = "host long, kind string, a long, b long, pages long, low long, high long, x long, y long, tokens array<long>"
+    parts = map_texts(rows, ["host", "html", "known", "numbers"], schema, per_batch, rows=512)
+    sums = [F.sum(c).alias(c) for c in ("pages", "x", "y")]
+    return parts.groupBy("host", "kind", "a", "b").agg(F.min("low").alias("low"), F.max("high").alias("high"), *sums, F.any_value("tokens").alias("tokens"))
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """``host, template, main_part, hinted, small``: one row for each host that has a template.
+
+    ``template`` has the tokens of valid classes, elements and texts.  A host
+    has at most some times the tokens of its pages' average, as each stands on
+    a share of the pages.
+    """
+    rows = _hosts(pages, "html")
+    found = written(classes(rows), "classes")
+    of_host = written(found.groupBy("host").agg(F.collect_list("token").alias("known"), F.collect_list("class").alias("numbers")), "known")
+    facts = written(outlines(rows.join(of_host, "host")), "outlines")
+    apart = F.col("low") == F.col("high")
+    # a root token has one place on all pages; text that is most of its pages' text is a group of copies
+    root = facts.filter((F.col("kind") == "root") & apart)
+    weight = root.groupBy("host").agg((2 * F.sum("x") <= F.max("y")).alias("furnishes"))
+    root = root.join(weight, "host").filter(F.col("furnishes") | (F.col("x") == 0)).select("host", F.col("a").alias("token"))
+    on = found.select("host", F.col("class").cast("long").alias("a"), F.col("pages").alias("class_pages")).distinct()
+    nested = facts.filter((F.col("kind") == "class") & apart & (F.col("low") != 0) & (F.size("tokens") >= CLASS_TOKENS) & (2 * F.col("x") <= F.col("y")))
+    nested = nested.join(on, ["host", "a"]).filter(F.col("pages") == F.col("class_pages")).select("host", F.explode("tokens").alias("token"))
+    valid = root.union(nested).distinct().groupBy("host").agg(F.collect_list("token").alias("template"))
+    # regions by weight: those with most of the text stand in each other
+    regions = facts.filter("kind = 'region'").join(found.groupBy("host").agg(F.max("host_pages").alias("host_pages")), "host")
+    regions = regions.filter((F.col("pages") >= CLASS_PAGES) & (F.col("pages") >= CLASS_SHARE * F.col("host_pages")))
+    whole = regions.filter("low = 0").select("host", F.col("x").alias("whole"))
+    regions = regions.join(whole, "host")
+    heavy, at = F.col("x") >= MAIN_SHARE * F.col("whole"), F.struct(F.col("low"), F.col("a"))
+    parts = regions.groupBy("host").agg(
+        F.min(F.when(heavy & (F.col("high") == 1), at)).alias("hint"), F.max(F.when(heavy, at)).alias("deepest"),
+        F.collect_list(F.when(F.col("x") < SMALL_SHARE * F.col("whole"), F.col("a"))).alias("small"),
+    )
+    parts = parts.select("host", F.coalesce("hint", "deepest")["a"].alias("main_part"), F.col("hint").isNotNull().alias("hinted"), "small")
+    return valid.join(parts, "host", "left")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of each row of ``pages``.
 
     A null or empty html has an empty text.  Pages without a host share one
-    template.  Repeated rows stay (and count as pages).  Other columns are
-    not read.
+    template.  A host with fewer than CLASS_PAGES pages has none: its pages
+    are read by their own article or main elements.  Repeated rows stay (and
+    count as pages).  Other columns are not read.
     """
-    rows = pages.select("page_id", "url", "html", F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"))
-    learned = template(pages.select("page_id", "url", "html"))
-    some = learned.select("token").limit(BROADCAST_TOKENS + 1).toArrow().column(0).to_numpy()
+    learned = written(templates(pages.select("url", "html")), "templates")  # small ones are broadcast by their size on disk
     schema = "page_id long, url string, text string, n_chars long"
-    if len(some) <= BROADCAST_TOKENS:
-        known = np.sort(some)
-
-        def by_all(batch: pa.RecordBatch) -> Iterator[dict]:
-            def is_template(t: int) -> bool:
-                at = int(np.searchsorted(known, t))
-                return at < len(known) and int(known[at]) == t
 
-            texts = [slots(page or "", host, is_template) for page, host in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield {"page_id": batch.column(0), "url": batch.column(1), "text": texts, "n_chars": [len(t) for t in texts]}
-
-        return map_texts(rows, ["page_id", "url", "html", "host"], schema, by_all)
-    per_host = learned.groupBy("host").agg(F.collect_list("token").alias("known"))
-
-    def by_host(batch: pa.RecordBatch) -> Iterator[dict]:
-        texts = [slots(p or "", h, set(k or ()).__contains__) for p, h, k in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+    def per_batch(batch: pa.RecordBatch) -> Iterator[dict]:
+        of_host: dict[int, tuple] = {}
+        texts = []
+        for k in range(batch.num_rows):
+            host = batch.column(3)[k].as_py()
+            if host not in of_host:
+                template, main_part, hinted, small = (batch.column(c)[k].as_py() for c in (4, 5, 6, 7))
+                of_host[host] = frozenset(template or ()), main_part, bool(hinted), frozenset(small or ())
+            texts.append(slots(batch.column(2)[k].as_py() or "", *of_host[host]))
         yield {"page_id": batch.column(0), "url": batch.column(1), "text": texts, "n_chars": [len(t) for t in texts]}
 
-    return map_texts(rows.join(per_host, "host", "left"), ["page_id", "url", "html", "host", "known"], schema, by_host)
+    rows = _hosts(pages, "page_id", "url", "html").join(learned, "host", "left")
+    return map_texts(rows, ["page_id", "url", "html", "host", "template", "main_part", "hinted", "small"], schema, per_batch)
