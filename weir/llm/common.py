@@ -13,9 +13,11 @@ from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where it is unset, as in tests."""
+    """The folder in ``spark.checkpoint.dir``; a temporary one only where it is unset and Spark runs on this machine alone, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         folder = tempfile.mkdtemp(prefix="weir-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -56,5 +58,17 @@ def map_texts(df: DataFrame, columns: list[str], schema: str, per_batch: Callabl
     return df.select(*columns).mapInArrow(run, kind)
 
 
+def hot_join(rows: DataFrame, single: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``single``, which has one row for each ``key`` and how many ``rows`` have it (``n``).
+
+    Keys with over a thousandth of ``total`` rows, at most a thousand of them,
+    are joined where their rows are; only the others are shuffled by key.
+    """
+    hot = single.filter(F.col("n") * 1000 > total)
+    near = rows.join(F.broadcast(hot), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(single, key, how)
+    return near.unionByName(rest)
+
+
 def rows_of(df: DataFrame) -> int:
     return df.agg(F.count(F.lit(1))).first()[0]

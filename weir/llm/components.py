@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from weir.llm.common import remove, new_path
+from weir.llm.common import hot_join, new_path, remove
 
 
 def _store(edges: DataFrame) -> tuple[DataFrame, str, tuple]:
@@ -16,20 +16,21 @@ def _store(edges: DataFrame) -> tuple[DataFrame, str, tuple]:
     return table, path, tuple(seal)
 
 
-def _least(sym: DataFrame) -> DataFrame:
-    """The smallest label beside each vertex: aggregated before the shuffle, so hubs cost one row a task."""
-    return sym.groupBy("u").agg(F.min("v").alias("least")).select(F.col("u").alias("k"), F.least("u", "least").alias("m"))
+def _with_least(sym: DataFrame, total: int) -> DataFrame:
+    """``sym`` with the smallest label ``m`` beside each ``u``: aggregated before any shuffle, and hubs are not moved."""
+    least = sym.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
+    return hot_join(sym, least, "u", total)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     sym = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    near = sym.join(_least(sym), F.col("u") == F.col("k"))
+    near = _with_least(sym, 2 * total)
     return near.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    near = down.join(_least(down), F.col("u") == F.col("k"))
+    near = _with_least(down, total)
     both = near.select(F.col("v").alias("u"), F.col("m").alias("v")).union(near.select("u", F.col("m").alias("v")))
     return both.filter("u <> v").distinct()
 
@@ -43,7 +44,9 @@ def components(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     table, path, seal = _store(edges.filter("u <> v").select("u", "v").distinct())
     while seal[0]:
-        after, next_path, next_seal = _store(_small_star(_large_star(table)))
+        large, large_path, large_seal = _store(_large_star(table, seal[0]))
+        after, next_path, next_seal = _store(_small_star(large, large_seal[0]))
+        remove(spark, large_path)
         remove(spark, path)
         done = next_seal == seal
         table, path, seal = after, next_path, next_seal

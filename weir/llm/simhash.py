@@ -11,14 +11,15 @@ differing bits leave one block with at most 1: no pair is missed.
 Fingerprints meet once each (copies are one row before anything is dealt
 out), an anchor's fingerprints are compared inside its task, and only a
 spanning star of what links there leaves it.  Anchors with more than
-``ANCHOR_ROWS`` fingerprints are dealt a second time: of 64 bits, by exact
-parts, of which a pair within the threshold shares one; of wider ones, by the
-anchors of other blocks.  What is still larger is split, and every pair of
-parts is a task of its own.
+``ANCHOR_ROWS`` fingerprints of 64 bits are dealt a second time, by exact
+parts, of which a pair within the threshold shares one.  What is still larger,
+and large anchors of wider fingerprints, are split, and every pair of parts is
+a task of its own: all pairs at an anchor are compared, however many.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from weir.llm.common import map_texts, written
+from weir.llm.common import hot_join, map_texts, rows_of, written
 from weir.llm.components import components
 
 RADIUS, LENGTH = 3, 23
@@ -38,10 +39,8 @@ GOLAY = 0b101011100011
 ANCHOR_ROWS = 20_000
 #: Rows that are compared with each other at once; groups looked for row by row before the rest of a large anchor.
 TILE, SEEDS = 1024, 64
-#: Blocks of a wide fingerprint among which crowded anchors are dealt again.
-AGAIN = 12
-#: Words of a wide fingerprint that are compared first.
-FIRST = 4
+#: Share of the words of a wide fingerprint that are compared first: pairs over the limit there are not read on.
+FIRST = 5 / 8
 #: Bytes of a text that are cut into words at a time.
 SEGMENT = 1 << 22
 #: Shingles whose bits are counted at a time.
@@ -212,14 +211,11 @@ def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _near(x: np.ndarray, y: np.ndarray, limit: int) -> np.ndarray:
-    """Which rows of ``x`` and of ``y`` differ in at most ``limit`` bits.
-
-    Wide rows whose first words already differ in more than twice their share
-    of ``limit`` (over eight standard deviations) are not read on.
-    """
-    if x.shape[1] <= FIRST:
+    """Which rows of ``x`` and of ``y`` differ in at most ``limit`` bits."""
+    if x.shape[1] == 1:
         return _distance(x, y) <= limit
-    near = _distance(x[:, :FIRST], y[:, :FIRST]) <= 2 * limit * FIRST // x.shape[1]
+    first = math.ceil(FIRST * x.shape[1])
+    near = _distance(x[:, :first], y[:, :first]) <= limit
     i, j = np.nonzero(near)
     if 8 * len(i) > near.size:
         return near & (_distance(x, y) <= limit)
@@ -300,19 +296,6 @@ def _links_across(x: np.ndarray, y: np.ndarray, limit: int) -> tuple[np.ndarray,
     return np.concatenate(a), np.concatenate(b)
 
 
-def _second_keys(fps: np.ndarray, block: int, rows: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """``(i, key)``, keys from 1: where entry ``i``, the fingerprint ``rows[i]`` at a crowded anchor of ``block``, goes."""
-    if fps.shape[1] == 1:
-        keys = parts(fps[rows], limit)
-        for k, key in enumerate(keys):
-            yield np.arange(len(rows)), key.astype(np.int64) * len(keys) + k + 1
-        return
-    for k, values in enumerate(block_values(fps, AGAIN)):
-        if k != block:
-            i, anchor = anchors(values[rows])
-            yield i, ((k << LENGTH) | anchor) + 1
-
-
 def links(nodes: DataFrame, n_words: int, n_blocks: int, limit: int, anchor_rows: int = ANCHOR_ROWS) -> DataFrame:
     """Edges ``(u, v)`` that connect exactly the nodes which pairs within ``limit`` bits at some anchor connect.
 
@@ -327,24 +310,26 @@ def links(nodes: DataFrame, n_words: int, n_blocks: int, limit: int, anchor_rows
     crowds = map_texts(nodes, ["fp"], "anchor int, n long", crowd, rows=4096).groupBy("anchor").agg(F.sum("n").alias("n"))
     # at most 4096 anchors a block, whatever the input
     crowded = crowds.filter(F.col("n") > anchor_rows).select("anchor").toArrow().column(0).to_numpy()
+    by_parts = crowded if n_words == 1 else crowded[:0]
 
     def replicate(batch: pa.RecordBatch) -> Iterator[dict]:
         fps = as_words(batch.column(1), n_words)
         for k, values in enumerate(block_values(fps, n_blocks)):
             rows, anchor = anchors(values)
             anchor |= k << LENGTH
-            again = np.isin(anchor, crowded)
+            again = np.isin(anchor, by_parts)
             plain, rows, hot, hot_rows = anchor[~again], rows[~again], anchor[again], rows[again]
             at = pa.array(rows)
             yield {"anchor": plain, "second": np.zeros(len(plain), np.int64), "node": batch.column(0).take(at), "fp": batch.column(1).take(at)}
             if len(hot):
-                for i, key in _second_keys(fps, k, hot_rows, limit):
-                    at = pa.array(hot_rows[i])
-                    yield {"anchor": hot[i], "second": key, "node": batch.column(0).take(at), "fp": batch.column(1).take(at)}
+                keys = parts(fps[hot_rows], limit)
+                at = pa.array(hot_rows)
+                for n, key in enumerate(keys):
+                    yield {"anchor": hot, "second": key.astype(np.int64) * len(keys) + n + 1, "node": batch.column(0).take(at), "fp": batch.column(1).take(at)}
 
     dealt = map_texts(nodes, ["node", "fp"], "anchor int, second long, node long, fp binary", replicate, rows=4096 if n_words == 1 else 1024)
     if len(crowded):
-        large = dealt.filter("second > 0").groupBy("anchor", "second").count().filter(F.col("count") > anchor_rows)
+        large = dealt.filter(F.col("anchor").isin(crowded.tolist())).groupBy("anchor", "second").count().filter(F.col("count") > anchor_rows)
         cuts = large.select(F.col("anchor").alias("hot"), F.col("second").alias("hot_second"), F.ceil(F.col("count") / anchor_rows).cast("int").alias("cuts"))
         dealt = dealt.join(cuts, (F.col("anchor") == F.col("hot")) & (F.col("second") == F.col("hot_second")), "left")
     else:
@@ -388,13 +373,14 @@ def near_duplicates(docs: DataFrame, width: int = 4, n_words: int = 1, n_blocks:
     table = written(fingerprints(docs, width, n_words), "fingerprints")
     # a fingerprint of one word names itself; of a wider one, a 64-bit hash does
     name = number("fp") if n_words == 1 else F.xxhash64("fp")
-    nodes = written(table.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", name), "nodes")
-    roots = components(links(nodes.select("node", "fp"), n_words, n_blocks, limit))
+    nodes = table.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    nodes = written(nodes.withColumn("node", name), "nodes")
+    roots = written(components(links(nodes.select("node", "fp"), n_words, n_blocks, limit)), "roots")
     linked = nodes.join(roots, nodes["node"] == roots["u"])
-    least = linked.groupBy("root").agg(F.min("least").alias("component"))
-    moved = linked.select("fp", "root").join(least, "root").select("fp", "component")
-    ids = nodes.select("fp", "least").join(moved, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return table.join(ids, "fp").select("doc_id", "fp", "component_id")
+    sizes = linked.groupBy("root").agg(F.min("least").alias("component"), F.count(F.lit(1)).alias("n"))
+    moved = hot_join(linked.select("fp", "root"), sizes, "root", rows_of(roots)).select("fp", "component")
+    ids = nodes.select("fp", "least", "n").join(moved, "fp", "left").select("fp", "n", F.coalesce("component", "least").alias("component_id"))
+    return hot_join(table, written(ids, "ids"), "fp", rows_of(table)).select("doc_id", "fp", "component_id")
 
 
 #: The pipeline's setting: 5-word shingles, 1024 bits, anchors of six blocks.  Shingle sets
@@ -510,36 +496,51 @@ def verify(docs: DataFrame, members: DataFrame, width: int, part_sets: int = PAR
     return dealt.groupBy("root", "i", "j").applyInArrow(compare, "u long, v long").distinct()
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of copies and near copies: the smallest doc_id.
+def groups(docs: DataFrame) -> DataFrame:
+    """``doc_id, copy, group``: one row for each row of ``docs`` with a doc_id; ``copy`` tells texts of one doc_id apart.
 
     Texts of equal 5-word shingle sets are copies.  Wide fingerprints of the
     sets give candidates, groups that may link; within a group all pairs are
-    compared exactly, and a Jaccard similarity of 0.8 or more links.  Rows of
-    one doc_id repeated are reduced to one.  Rows without a doc_id cannot be
-    told apart: they stay and link nothing.
+    compared exactly, and a Jaccard similarity of 0.8 or more links.  A null
+    or empty text is a copy of any other.  Columns other than ``doc_id`` and
+    ``text`` are not read.
     """
     width, n_words = WIDE["width"], WIDE["n_words"]
-    named = docs.filter(F.col("doc_id").isNotNull())
+    named = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("copy"))
 
     def per_batch(batch: pa.RecordBatch) -> Iterator[dict]:
-        found = [shingle_set(t.as_py(), width) for t in batch.column(1)]
+        found = [shingle_set(t.as_py(), width) for t in batch.column(2)]
         yield {
-            "doc_id": batch.column(0), "name": [set_name(s) for s in found], "n": [len(s) for s in found],
+            "doc_id": batch.column(0), "copy": batch.column(1), "name": [set_name(s) for s in found], "n": [len(s) for s in found],
             "fp": [set_fingerprint(s, n_words).tobytes() for s in found], "keys": [short_keys(s) for s in found],
         }
 
-    table = map_texts(named, ["doc_id", "text"], "doc_id long, name binary, n long, fp binary, keys array<long>", per_batch)
-    firsts = [F.first(c).alias(c) for c in ("n", "fp", "keys")]
-    nodes = written(table.groupBy("name").agg(F.min("doc_id").alias("doc_id"), *firsts).withColumn("node", F.xxhash64("name")), "nodes")
+    table = map_texts(named, ["doc_id", "copy", "text"], "doc_id long, copy long, name binary, n long, fp binary, keys array<long>", per_batch)
+    table = written(table, "sets")
+    firsts = [F.any_value(c).alias(c) for c in ("n", "fp", "keys")]
+    nodes = table.groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), *firsts)
+    nodes = written(nodes.withColumn("node", F.xxhash64("name")), "nodes")
     short = nodes.select("node", F.explode("keys").alias("key"))
-    least = short.groupBy("key").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("sharing")).filter("sharing > 1").select("key", "v")
-    stars = short.join(least, "key").filter("node <> v").select(F.col("node").alias("u"), "v")
+    least = short.groupBy("key").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    stars = hot_join(short, least, "key", rows_of(short)).filter("node <> v").select(F.col("node").alias("u"), "v")
     near = links(nodes.select("node", "fp"), n_words, WIDE["n_blocks"], WIDE["limit"])
     candidates = components(near.unionByName(stars))
     members = written(nodes.join(candidates, nodes["node"] == candidates["u"]).select("doc_id", "name", "n", "node", "root"), "members")
     linked = components(verify(named, members, width)).select("u", F.col("root").alias("group"))
-    groups = nodes.join(linked, nodes["node"] == linked["u"], "left").groupBy(F.coalesce("group", "node").alias("group"))
-    keep = groups.agg(F.min("doc_id").alias("_kept")).select("_kept").distinct()
-    kept = docs.join(keep, docs["doc_id"] == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    of_set = nodes.join(linked, nodes["node"] == linked["u"], "left").select("name", F.col("copies").alias("n"), F.coalesce("group", "node").alias("group"))
+    return hot_join(table.select("doc_id", "copy", "name"), written(of_set, "groups"), "name", rows_of(table)).select("doc_id", "copy", "group")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group of copies and near copies: that of the smallest doc_id.
+
+    See :func:`groups`.  Of rows with one doc_id, those of one text are reduced
+    to one; those of unlike texts are different documents.  Rows without a
+    doc_id cannot be told apart: they stay and link nothing.
+    """
+    keep = groups(docs).groupBy("group").agg(F.min(F.struct("doc_id", "copy")).alias("kept"))
+    keep = keep.select(F.col("kept.doc_id").alias("_kept"), F.col("kept.copy").alias("_copy"))
+    marked = docs.withColumn("_text", F.xxhash64("text"))
+    kept = marked.join(keep, (F.col("doc_id") == F.col("_kept")) & (F.col("_text") == F.col("_copy")), "left_semi")
+    kept = kept.dropDuplicates(["doc_id", "_text"]).drop("_text")
     return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
