@@ -30,11 +30,54 @@ def test_folded_scores_are_the_kernel_machine():
     assert model.kernel(bits)[1, int(np.flatnonzero(marks == 0)[0])] == pytest.approx(shared, rel=1e-5)
 
 
-def test_presence_in_segments(monkeypatch):
+def grams(text):
+    """Positions of the n-grams of a text, one by one."""
+    codes = [32 if ord(c) <= 32 else ord(c) for c in text.lower()]
+    out = set()
+    for n in range(4):
+        for i in range(len(codes) - n):
+            g = 0
+            for k in range(n + 1):
+                g = (g * 0x01000193 + codes[i + k] + k + 1) * 0x9E3779B1 & 0xFFFFFFFF
+                g ^= g >> 15
+            out.add(g & langid.FEATURES - 1)
+    return out
+
+
+def test_query_is_the_kernel_machine_of_whole_texts(spark):
+    """Each row of the query, from sets of n-grams, landmark by landmark."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.learn(docs, ~langid.held_out())
+    marks = [set(model.used[model.rows[:, k] > 0].tolist()) for k in range(model.rows.shape[1])]
+    got = {r.doc_id: r for r in queries.op1_language_id(spark, "/root/testdata/sf0.001").collect()}
+    for r in docs.filter("doc_id % 7 = 0").collect():
+        scores, sizes = np.zeros(len(model.languages)), []
+        for piece in langid.pieces(r.text):
+            own = grams(piece)
+            kernel = np.array([len(own & m) / np.sqrt(len(own) * n) for m, n in zip(marks, model.sizes, strict=True)])
+            scores += kernel @ model.weights * len(piece)
+            sizes.append(len(piece))
+        scores /= sum(sizes)
+        assert got[r.doc_id].lang_pred == model.languages[int(scores.argmax())] and got[r.doc_id].score == pytest.approx(min(1, max(0, (scores.max() + 1) / 2)), abs=1e-4)
+
+
+def test_pieces_hold_every_gram(monkeypatch):
     text = "Grüße aus der Stadt, and more of it " * 50
     whole = langid.presence(text)
-    monkeypatch.setattr(langid, "SEGMENT", 7)
-    assert (langid.presence(text) == whole).all()
+    monkeypatch.setattr(langid, "PIECE", 7)
+    assert (np.any([langid.presence(p) for p in langid.pieces(text)], axis=0) == whole).all()
+
+
+def test_a_very_long_mixed_text(spark, documents):
+    """A text of a million letters fills no bitmap: its parts decide by their lengths."""
+    model = langid.learn(documents)
+    of = {}
+    for r in documents.collect():
+        of.setdefault(r.lang, []).append(r.text)
+    one, two = (" ".join(of[k]) * (1 + 700_000 // sum(map(len, of[k]))) for k in ("en", "fr"))
+    texts = [(1, one[:700_000] + two[:300_000]), (2, one[:300_000] + two[:700_000])]
+    got = {r.doc_id: r.lang_pred for r in langid.predict(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    assert got == {1: "en", 2: "fr"}
 
 
 def test_language_odd_rows(spark, odd, empty, documents):
@@ -68,12 +111,27 @@ def test_foreign_texts_and_noise_are_rejected(spark):
     assert kept_held >= 0.99 * n_held and len(ids) - kept_held >= 0.99 * n_learned
 
 
-def test_the_commonest_languages_are_learned_from_rows_with_text(spark, monkeypatch):
-    monkeypatch.setattr(langid, "LANGUAGES", 2)
-    rows = [(k, None, "zz") for k in range(300)] + [(1000 + k, f"one two three {k}", "aa") for k in range(2)]
-    rows += [(2000 + k, f"uno dos tres {k}", "yy") for k in range(9)] + [(3000 + k, None if k < 400 else f"eins zwei drei {k}", "xx") for k in range(405)]
+def test_all_languages_are_learned_from_rows_with_text(spark):
+    rows = [(k, None, "zz") for k in range(300)] + [(1000 + k, f"one two three {k}", "aa") for k in range(2)] + [(5, "one two three 5", "aa")] * 400
+    rows += [(3000 + k, None if k < 400 else f"eins zwei drei {k}", "xx") for k in range(405)]
     model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    assert model.languages == ["xx", "yy"]
+    assert model.languages == ["aa", "xx"]
+
+
+def test_three_hundred_languages(spark):
+    rng = np.random.default_rng(23)
+    words = {f"l{k:03d}": ["".join(rng.choice(list("abcdefghijklmnop"), 5)) for _ in range(12)] for k in range(300)}
+    texts = [(k, " ".join(rng.choice(words[lang], 40)), lang) for k, lang in enumerate(sorted(words) * 4)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    model = langid.learn(df)
+    assert model.languages == sorted(words)
+    got = langid.predict(df, model).join(df.select("doc_id", "lang"), "doc_id").collect()
+    assert sum(r.lang == r.lang_pred for r in got) >= 0.95 * len(got)
+
+
+def test_without_labels_only_texts_without_letters_go(spark, odd):
+    kept = langid.identified(odd.withColumn("lang", F.lit(None).cast("string")))
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 5, 6, 6, 7]
 
 
 def brute_items(text, items):
