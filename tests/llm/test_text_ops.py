@@ -155,6 +155,22 @@ def test_wand_equals_exhaustive_scoring(spark):
             assert index.reaches(passage, 0.6) or max(full.values(), default=0) < 0.6
 
 
+def test_parts_of_the_items_find_and_score_alike(spark):
+    """Scores rest on the statistics of all items, in however many parts they are indexed."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(80)
+    items = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    texts = [r.text for r in items.collect()]
+    half = [(1000 + k, None, " ".join(t.split()[: -max(1, len(t.split()) // 6)])) for k, t in enumerate(texts)]  # parts of items, some over the limits
+    more = spark.createDataFrame([(d, t) for d, _, t in half] + [(None, texts[0]), (None, "clean")], "doc_id long, text string")
+    docs = docs.select("doc_id", "text").unionByName(more)
+    whole = {(r.doc_id, r.item_id): (r.score, r.question, r.answer) for r in decontam.contaminated(docs, items).collect()}
+    for size in (3000, 500):
+        got = {(r.doc_id, r.item_id): (r.score, r.question, r.answer) for r in decontam.contaminated(docs, items, size).collect()}
+        assert got.keys() == whole.keys() and all(got[k] == pytest.approx(whole[k]) for k in whole)
+    kept = [sorted(map(str, decontam.clean(docs, items, size).collect())) for size in (None, 3000)]
+    assert kept[0] == kept[1] and len(kept[0]) < docs.count() and "Row(doc_id=None, text='clean')" in kept[0]
+
+
 def test_passages_hold_every_run():
     index = decontam.Index([(1, "a b")])
     for n in (0, 1, 63, 64, 65, 127, 128, 129, 200, 256, 257, 300, 1000):
@@ -172,8 +188,8 @@ def test_items_in_documents(spark):
     got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, items).collect()}
     assert want and got == want
     assert decontam.clean(docs, items).count() == docs.count() - len({d for d, _ in want})
-    few = decontam.indexes(items, 2000)
-    assert len(few) > 1 and sum(len(x.ids) for x in few) == len(pairs)
+    few = list(decontam.parts(items, 2000))
+    assert len(few) > 1 and sum(len(x.ids) for part in few for x in part) == len(pairs)
 
 
 def test_a_long_item_does_not_widen_the_windows_of_short_ones(spark):

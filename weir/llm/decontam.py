@@ -6,6 +6,12 @@ against the items.  An item's scores are divided by its own
 score against itself, so one threshold serves all.  Retrieved items are
 verified: a text is contaminated if both the question and the answer of the
 item overlap one passage.
+
+Scores rest on the statistics of all items (how many have a word, their mean
+length).  Items of more than ``INDEX_BYTES`` are indexed a part at a time: each
+part is searched in a pass of its own and what it finds is written, so
+the driver never holds more than two parts, a task one, and what is found
+does not depend on the number of parts.
 """
 
 from __future__ import annotations
@@ -15,12 +21,13 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from weir.llm.common import map_texts
+from weir.llm.common import map_texts, written
 
 WORD = re.compile(r"\w+")
 K1, B = 1.2, 0.75
@@ -31,7 +38,7 @@ BLOCK = 2
 THRESHOLD, OVERLAP = 0.6, 0.8
 #: The last part of an item's words is its answer, the rest its question.
 ANSWER = 1 / 3
-#: Bytes of item text in one broadcast index; more items make more indexes.
+#: Bytes of item text that are indexed at a time.
 INDEX_BYTES = 8 << 20
 #: Characters of a text that are cut into words at a time.
 SEGMENT = 1 << 20
@@ -41,11 +48,26 @@ def words(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
+@dataclass
+class Statistics:
+    """Of all items that have a word: their number, their mean length, and how many have each word."""
+
+    n: int
+    mean: float
+    df: dict[str, int]
+
+    @staticmethod
+    def of(items: list[tuple[int, str | None]]) -> Statistics:
+        found = [w for w in (words(t) for _, t in items) if w]
+        return Statistics(len(found), sum(map(len, found)) / max(1, len(found)), Counter(t for w in found for t in set(w)))
+
+
 class Index:
     """Postings by term, sorted by item, with bounds for each block and list."""
 
-    def __init__(self, items: list[tuple[int, str | None]], among: list[tuple[int, str | None]] | None = None, half: int | None = None) -> None:
-        """``among``: the items whose statistics count (these by default); ``half``: words of half a window, by the longest item if none is given."""
+    def __init__(self, items: list[tuple[int, str | None]], among: Statistics | None = None, half: int | None = None) -> None:
+        """``among``: the statistics of all items (of these by default); ``half``: words of half a window, by the longest item if none is given."""
+        among = among or Statistics.of(items)
         found = [(i, words(t)) for i, t in sorted(items, key=lambda x: x[0])]
         found = [(i, w) for i, w in found if w]
         self.ids = [i for i, _ in found]
@@ -54,10 +76,7 @@ class Index:
             cut = max(1, len(w) - max(1, round(len(w) * ANSWER)))
             self.parts.append((frozenset(w[:cut]), frozenset(w[cut:]) or frozenset(w)))
         self.half = half or max(64, max((len(w) for _, w in found), default=0))
-        all_words = [w for w in (words(t) for _, t in among) if w] if among is not None else [w for _, w in found]
-        n_items = len(all_words)
-        mean = sum(map(len, all_words)) / max(1, n_items)
-        df = Counter(t for w in all_words for t in set(w))
+        n_items, mean, df = among.n, among.mean, among.df
         self.postings: dict[str, tuple[list[int], list[float]]] = {}
         for k, (_, w) in enumerate(found):
             tf = Counter(w)
@@ -161,62 +180,103 @@ class Index:
         return found
 
 
-def by_length(items: list[tuple[int, str | None]]) -> list[Index]:
-    """An index for each length class (up to 64 words, 128, 256, ...), scored as one index of all ``items`` would.
+def by_length(items: list[tuple[int, str | None]], among: Statistics | None = None) -> list[Index]:
+    """An index for each length class (up to 64 words, 128, 256, ...), scored as one index of all items would.
 
     Windows have twice the words of the class, so a long item does not widen
     those in which the words of a short one are sought.
     """
+    among = among or Statistics.of(items)
     longest: dict[int, int] = {}
     for i, t in items:
         longest[i] = max(longest.get(i, 0), len(words(t)))
     classes: dict[int, list[tuple[int, str | None]]] = {}
     for i, t in items:
         classes.setdefault(max(64, 1 << (longest[i] - 1).bit_length()) if longest[i] else 64, []).append((i, t))
-    return [Index(rows, items, half) for half, rows in sorted(classes.items())] or [Index([])]
+    return [Index(rows, among, half) for half, rows in sorted(classes.items())] or [Index([])]
 
 
-def indexes(items: DataFrame, index_bytes: int = INDEX_BYTES) -> list[Index]:
-    """Indexes that hold all items, each of a bounded size; one for each length class in the common case.
+def parts(items: DataFrame, index_bytes: int | None = None) -> Iterator[list[Index]]:
+    """The indexes of all items, a part of about ``index_bytes`` at a time; statistics are those of all parts.
 
-    More items are dealt out by a hash first, and statistics (document
-    frequency, mean length) are then those of such a part.
+    Items are dealt out by a hash of their id.  Rows without an id or a text
+    are left out, repeated rows count once.
     """
-    rows = items.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
+    rows = items.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text").distinct()
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, math.ceil(size / index_bytes))
-    parts = [rows] if n == 1 else [rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) for k in range(n)]
-    return [index for part in parts for index in by_length([(r.item_id, r.text) for r in part.distinct().collect()])]
+    n = max(1, math.ceil(size / (index_bytes or INDEX_BYTES)))
+    if n == 1:
+        yield by_length([(r.item_id, r.text) for r in rows.collect()])
+        return
+
+    def cut(batch: pa.RecordBatch) -> Iterator[dict]:
+        found = [words(t) for t in batch.column(1).to_pylist()]
+        yield {"item_id": batch.column(0), "text": batch.column(1), "length": [len(w) for w in found], "terms": [sorted(set(w)) for w in found]}
+
+    table = map_texts(rows, ["item_id", "text"], "item_id long, text string, length long, terms array<string>", cut)
+    table = written(table.filter("length > 0").withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(n))), "items")
+    count, mean = table.agg(F.count(F.lit(1)), F.avg("length")).first()
+    df = written(table.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")), "df")
+    for k in range(n):
+        part = table.filter(F.col("part") == k)
+        own = df.join(part.select(F.explode("terms").alias("term")).distinct(), "term").collect()
+        yield by_length([(r.item_id, r.text) for r in part.collect()], Statistics(count, mean, {r.term: r.df for r in own}))
 
 
-def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+def _leaks(indexes: list[Index], text: str | None) -> dict[int, tuple[float, float, float]]:
+    """As :meth:`Index.leaks`, over all length classes; an item is in one."""
+    return {i: v for index in indexes for i, v in index.leaks(text).items()}
+
+
+def _found(docs: DataFrame, indexes: list[Index]) -> DataFrame:
+    def per_batch(batch: pa.RecordBatch) -> Iterator[dict]:
+        rows = zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)
+        got = [(d, c, i, *v) for d, c, t in rows for i, v in sorted(_leaks(indexes, t).items())]
+        yield {name: [r[k] for r in got] for k, name in enumerate(("doc_id", "copy", "item_id", "score", "question", "answer"))}
+
+    rows = docs.select("doc_id", F.xxhash64("text").alias("copy"), "text")
+    return map_texts(rows, ["doc_id", "copy", "text"], "doc_id long, copy long, item_id long, score double, question double, answer double", per_batch)
+
+
+def contaminated(docs: DataFrame, items: DataFrame, index_bytes: int | None = None) -> DataFrame:
     """``doc_id, item_id, score, question, answer``: one row for each item found in each text.
 
     A null or empty text or item matches nothing.  An item too short to have
     two words has the same question and answer.  Repeated rows of a document
     repeat its matches.  Other columns are not read.
     """
-    out = None
-    for index in indexes(items):
+    return _contaminated(docs, items, index_bytes)[0].drop("copy")
+
 
-        def per_batch(batch: pa.RecordBatch, index: Index = index) -> Iterator[dict]:
-            got = [(d, i, *v) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for i, v in sorted(index.leaks(t).items())]
-            yield {name: [r[k] for r in got] for k, name in enumerate(("doc_id", "item_id", "score", "question", "answer"))}
+def _contaminated(docs: DataFrame, items: DataFrame, index_bytes: int | None) -> tuple[DataFrame, list[Index] | None]:
+    """The rows found, with the hash of the text; and the indexes, if they are one part."""
+    out, every = None, parts(items, index_bytes)
+    indexes = next(every)
+    following = next(every, None)
+    if following is None:
+        return _found(docs, indexes), indexes
+    while indexes is not None:  # written before the next part but one is built
+        found = written(_found(docs, indexes), "found")
+        out = found if out is None else out.union(found)
+        indexes, following = following, next(every, None)
+    return out, None
 
-        part = map_texts(docs, ["doc_id", "text"], "doc_id long, item_id long, score double, question double, answer double", per_batch)
-        out = part if out is None else out.union(part)
-    return out
 
+def clean(docs: DataFrame, items: DataFrame, index_bytes: int | None = None) -> DataFrame:
+    """The rows of ``docs`` whose texts hold no item; repeated rows are judged alike, null and empty texts stay.
 
-def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose texts hold no item, in one pass for each index."""
+    Without items all rows stay.  Items of one part are sought in the pass
+    that filters; else the texts found in any part are joined by id and hash.
+    """
+    found, indexes = _contaminated(docs, items, index_bytes)
+    if indexes is None:
+        bad = found.select(F.col("doc_id").alias("_doc"), F.col("copy").alias("_copy")).distinct()
+        return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_copy")), "left_anti")
     kinds, at = docs.schema, docs.columns.index("text")
-    for index in indexes(items):
 
-        def keep(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                mask = [not index.leaks(t.as_py()) for t in batch.column(at)]
-                yield batch.filter(pa.array(mask, pa.bool_()))
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mask = [not any(index.leaks(t.as_py()) for index in indexes) for t in batch.column(at)]
+            yield batch.filter(pa.array(mask, pa.bool_()))
 
-        docs = docs.mapInArrow(keep, kinds)
-    return docs
+    return docs.mapInArrow(keep, kinds)
