@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import numpy as np
 import pytest
@@ -270,12 +271,21 @@ DISGUISED = [
     ("an bоb@mail.example.com", "email", "bоb@mail.example.com"),
     ("to 10[.]1[.]2[.]4!", "ip", "10[.]1[.]2[.]4"),
     ("a​nna@x​.com", "email", "a​nna@x​.com"),
+    ("host one nine two dot one six eight dot one dot one zero up", "ip", "one nine two dot one six eight dot one dot one zero"),
+    ("host 192 dot one sixty", "", ""),
+    ("host 10 dot\tone dot 22\tdot seven end", "ip", "10 dot\tone dot 22\tdot seven"),
+    ("host 192.168.one.7 up", "ip", "192.168.one.7"),
+    ("zehn 10\npunkt\n1 punkt 2 punkt drei", "ip", "10\npunkt\n1 punkt 2 punkt drei"),
+    ("card 4111 1111 one 111 1111 ok", "card", "4111 1111 one 111 1111"),
 ]
 
 
 @pytest.mark.parametrize("text,kind,want", DISGUISED)
 def test_disguises_map_back(text, kind, want):
     _, found = pii.spans(text)
+    if not kind:
+        assert found == []
+        return
     assert (pii.KINDS.index(kind), text.index(want), text.index(want) + len(want)) in found
     assert pii.redact(text) == text.replace(want, f"[{kind.upper()}]")
 
@@ -285,6 +295,46 @@ def test_prose_stays(text):
     assert pii.spans(text) == ([], []) and pii.redact(text) == text
 
 
+def test_long_texts_take_linear_time():
+    """A million digits, 100,000 disguised addresses, and long runs of each sign."""
+    began = time.perf_counter()
+    assert pii.spans("1" * 1_000_000) == ([], [])
+    base, found = pii.spans("bob at mail dot example dot com ok " * 100_000)
+    assert base == [] and len(found) == 100_000 and found[-1][2] == 35 * 100_000 - 4
+    for part in ("1.", "+1 ", "a@", "one ", "a b at ", "(at", "a@b dot ", "1 dot ", "plus ", "+1(", "a@b.co ", "192.168.1.1 one "):
+        pii.spans(part * 100_000)
+    assert time.perf_counter() - began < 90
+
+
+def spans_by_all_pairs(text):
+    """As ``pii.spans``, each find held against every other span."""
+    base, now, chain = pii.detect(text), text, []
+    for step in pii.transducers(text):
+        if edits := step(now):
+            chain.append(pii.Rewritten(now, edits))
+            now = chain[-1].text
+    added = []
+    for kind, a, b in pii.detect(now) if chain else []:
+        touched = False
+        for r in reversed(chain):
+            touched = touched or r.touched(a, b)
+            a, b = r.back(a, b)
+        apart = not any(a < y and x < b for _, x, y in base + added)
+        wider = any(k == kind and a <= x and y <= b and (a, b) != (x, y) for k, x, y in base)
+        if touched and (apart or wider):
+            added.append((kind, a, b))
+    return base, sorted(base + added, key=lambda s: (s[1], s[0]))
+
+
+def test_added_spans_equal_all_pairs():
+    rng = np.random.default_rng(29)
+    bits = ["a@b.co", " at ", " dot ", "bob", "10.1.2.3", "10", ".", " one ", "4111 1111 1111 1111", "+1 988 555 2485", " ", "mail", "[at]", "(dot)", "2", "\u0430", "-"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(bits, rng.integers(1, 14)))
+        assert pii.spans(text) == spans_by_all_pairs(text), text
+        assert pii.joined(pii.detect(text)) == brute_base(text)
+
+
 def test_pii_odd_rows(spark, odd, empty):
     rows = pii.find(odd).collect()
     assert len(rows) == odd.count() and {r.spans for r in rows} == {""}

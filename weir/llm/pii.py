@@ -14,8 +14,9 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -27,7 +28,8 @@ Span = tuple[int, int, int]  # kind, start, end
 
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: Tried at the first digit of a run alone: where that fails, no later digit of the run can succeed.
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -45,14 +47,17 @@ DIGIT_WORDS = {
     "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
-#: Digit words in a row from which they are digits.
+#: Digit words in a row from which they are digits; fewer are beside a digit, a plus or a dot.
 DIGITS_IN_A_ROW = 3
 
 #: ASCII and the letters of western European prose: a text of these alone has no look-alike.
 ORDINARY = re.compile("[^\x00-\x9f¡-©«-±´-¸»ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖ×ØÙÚÛÜÝÞßà-ÿ‘’“”…€]")
 _DIGIT = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _OPEN, _CLOSE = r"\s{0,3}[\[({<]\s{0,3}", r"\s{0,3}[\])}>]\s{0,3}"
-SPELLED = re.compile(rf"(?<!\w)(?:plus[\s-]{{1,3}})?(?:(?:{_DIGIT})(?:[\s,-]{{1,3}}|(?!\w))){{{DIGITS_IN_A_ROW},}}", re.IGNORECASE)
+_DOT = "dot|punkt|punto|point"
+SPELLED = re.compile(rf"(?<!\w)(?:plus[\s-]{{1,3}})?(?:(?:{_DIGIT})(?:[\s,-]{{1,3}}|(?!\w)))+", re.IGNORECASE)
+BEFORE_FEW = re.compile(rf"(?:[0-9+][\s,-]{{0,3}}|(?<!\w)(?:{_DOT})\s{{0,3}}[\])}}>]?\s{{0,3}}|\.)\Z", re.IGNORECASE)
+AFTER_FEW = re.compile(rf"[\s,-]{{0,3}}[0-9]|\s{{0,3}}[\[({{<]?\s{{0,3}}(?:{_DOT})(?!\w)|\.\w", re.IGNORECASE)
 WORDS = re.compile(r"\w+")
 BRACKETED_AT = re.compile(rf"{_OPEN}(?:at|ät|arroba|arobase|@){_CLOSE}", re.IGNORECASE)
 BRACKETED_DOT = re.compile(rf"{_OPEN}(?:dot|punkt|punto|point|\.){_CLOSE}", re.IGNORECASE)
@@ -165,8 +170,10 @@ def lookalike_edits(text: str) -> list[tuple[int, int, str]]:
 def spelled_edits(text: str) -> list[tuple[int, int, str]]:
     out = []
     for m in SPELLED.finditer(text):
-        words = [w.group().lower() for w in WORDS.finditer(m[0])]
-        end = m.start() + len(m[0].rstrip(" \t\r\n,-"))
+        words = WORDS.findall(m[0].lower())
+        end = m.start() + len(m[0].rstrip().rstrip(",-").rstrip())
+        if len(words) < DIGITS_IN_A_ROW and not BEFORE_FEW.search(text, max(0, m.start() - 16), m.start()) and not AFTER_FEW.match(text, end):
+            continue
         out.append((m.start(), end, "".join("+" if w == "plus" else DIGIT_WORDS[w] for w in words)))
     return out
 
@@ -209,7 +216,7 @@ def transducers(text: str) -> Iterator:
         yield spelled_edits
     if low is None or any(c in low for c in "[({<"):
         yield sign_edits
-    if low is None or any(w in low for w in (" dot", " punkt", " punto", " point", "\ndot")):
+    if low is None or any(w in low for w in ("dot", "punkt", "punto", "point")):
         yield spaced_edits
 
 
@@ -224,16 +231,26 @@ def spans(text: str) -> tuple[list[Span], list[Span]]:
             now = chain[-1].text
     if not chain:
         return base, base
-    added = []
+    starts = [x for _, x, _ in base]
+    reach = list(accumulate((y for _, _, y in base), max))  # the furthest end up to each base span
+    of_kind = [[(x, y) for k, x, y in base if k == kind] for kind in range(len(KINDS))]
+    added: list[Span] = []
+    last = 0  # the furthest end of those added, which start no later than the next one
     for kind, a, b in detect(now):
         touched = False
         for r in reversed(chain):
             touched = touched or r.touched(a, b)
             a, b = r.back(a, b)
-        apart = not any(a < y and x < b for _, x, y in base + added)
-        wider = any(k == kind and a <= x and y <= b and (a, b) != (x, y) for k, x, y in base)
-        if touched and (apart or wider):
+        if not touched:
+            continue
+        k = bisect_left(starts, b)  # base spans that start before b
+        apart = last <= a and (k == 0 or reach[k - 1] <= a)
+        own = of_kind[kind]
+        k = bisect_left(own, (a, a))
+        wider = k < len(own) and own[k][1] <= b and own[k] != (a, b)
+        if apart or wider:
             added.append((kind, a, b))
+            last = max(last, b)
     return base, sorted(base + added, key=lambda s: (s[1], s[0]))
 
 
