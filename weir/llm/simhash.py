@@ -383,10 +383,11 @@ def near_duplicates(docs: DataFrame, width: int = 4, n_words: int = 1, n_blocks:
     return hot_join(table, written(ids, "ids"), "fp", rows_of(table)).select("doc_id", "fp", "component_id")
 
 
-#: The pipeline's setting: 5-word shingles, 1024 bits, anchors of six blocks.  Shingle sets
-#: of similarity 0.8 differ in 155 of 1024 bits on average; as candidates are verified,
-#: the limit leaves room for five standard deviations.
-WIDE = {"width": 5, "n_words": 16, "n_blocks": 6, "limit": 215}
+#: The pipeline's setting: 5-word shingles, 512 bits, anchors of six blocks.  Shingle sets
+#: of similarity 0.8 differ in 77 of 512 bits on average; as candidates are verified,
+#: the limit leaves room for five standard deviations.  Such a pair meets at an anchor of
+#: one block with a probability of 0.6, of one of six with 0.996.
+WIDE = {"width": 5, "n_words": 8, "n_blocks": 6, "limit": 118}
 #: Largest sets whose neighbours, one element more, less or other, are found without fingerprints.
 SHORT = 10
 #: Shingle sets, and shingles in them, that one task verifies against each other.
