@@ -59,20 +59,70 @@ def test_copies_lengths_and_odd_rows(spark):
     rows = [(i, base[i].tolist()) for i in range(60)] + [(100 + i, base[0].tolist()) for i in range(50)]
     odd = [(201, None), (202, []), (203, [0.0] * 6), (204, [float("nan")] + [1.0] * 5), (205, [None] + [1.0] * 5), (206, [float("inf")] * 6), (207, [1.0] * 5), (None, [1.0] * 6), rows[1]]
     want = {q: [(v, round(s, 9)) for v, s in near] for q, near in brute(rows, lambda i: i % 20 == 0).items()}
-    got = answers(frame(spark, rows + odd), probes=16)  # all axes: exact
+    got = answers(frame(spark, rows + odd), plan=ann.Plan(8, 1, 16))  # all axes: exact
     assert got == want
-    assert answers(frame(spark, rows + odd), probes=16, bucket_rows=5) == want
-    assert answers(frame(spark, rows[:3]), probes=16) == {0: [(v, round(s, 9)) for v, s in brute(rows[:3], lambda i: i == 0)[0]]}
+    assert answers(frame(spark, rows + odd), plan=ann.Plan(8, 1, 16), bucket_rows=5) == want
+    assert answers(frame(spark, rows[:3]), plan=ann.Plan(8, 1, 16)) == {0: [(v, round(s, 9)) for v, s in brute(rows[:3], lambda i: i == 0)[0]]}
     assert answers(frame(spark, rows).limit(0)) == {}
 
 
+def test_cells_of_several_levels_meet_what_one_level_meets(spark):
+    """All cells of two levels are exact; some of them give true scores in their order."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 12)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    want = {q: [(v, round(s, 9)) for v, s in near] for q, near in brute(rows, lambda i: i % 20 == 0).items()}
+    assert answers(frame(spark, rows), plan=ann.Plan(1, 2, 48 * 48)) == want
+    got = answers(frame(spark, rows), plan=ann.Plan(8, 2, 256), bucket_rows=7)
+    for q, near in got.items():
+        all_scores = {v: round(s, 9) for v, s in brute_scores(rows, q)}
+        assert len(near) == 20 and all(all_scores[v] == pytest.approx(s, abs=1e-8) for v, s in near) and near == sorted(near, key=lambda p: (-p[1], p[0]))
+    assert np.mean([len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in want]) >= 18
+
+
+def test_near_ties_and_large_components(spark):
+    """Scores that single precision cannot tell apart, and components that overflow it, are ranked exactly."""
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=16)
+    rows = [(i, (centre + 1e-9 * rng.normal(size=16)).tolist()) for i in range(200)]
+    rows += [(1000 + i, (1e25 * rng.normal(size=16)).tolist()) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 20 == 0, plan=ann.Plan(2, 1, 64)).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    want = brute(rows, lambda i: i % 20 == 0)
+    assert {q: [v for _, v in sorted(x)] for q, x in got.items()} == {q: [v for v, _ in near] for q, near in want.items()}
+
+
+def test_fitted_plans_meet_less_of_a_larger_table(spark):
+    """Recall holds on ten times the vectors, of which a query meets a smaller share."""
+    shares = {}
+    for n in (2000, 20_000):
+        x = np.random.default_rng(n).normal(size=(n, 64)).astype(np.float32)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        rows = [(i, v.tolist()) for i, v in enumerate(x)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+        asked = F.col("vec_id") % 200 == 0
+        entries = df.select(F.col("vec_id").alias("entry"), F.col("embedding").cast("array<double>").alias("embedding"), F.when(asked, True).alias("asked"))
+        plan, recall = ann.fit(entries, 20, 0.0)
+        assert recall >= ann.FIT_RECALL
+        want = brute(rows, lambda i: i % 200 == 0)
+        got = {}
+        for r in ann.search(df, asked, plan=plan).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        assert np.mean([len({v for v, _ in want[q]} & got[q]) for q in want]) >= 18
+        hits = [ann.cells(x.astype(float), t, plan.levels, 1)[:, 0][None] == ann.cells(x[::200].astype(float), t, plan.levels, plan.probes)[:, :, None] for t in range(plan.tables)]
+        shares[n] = float(np.mean(np.any([h.any(1) for h in hits], axis=0)))
+    assert shares[20_000] < 0.8 * shares[2000]
+
+
 @pytest.mark.parametrize("n,size", [(1, 8), (2, 8), (13, 64), (300, 64)])
 def test_no_query_goes_short(spark, n, size):
     """Few probes meet too few entries; the exact search then gives all there are to give."""
     x = np.random.default_rng(n).normal(size=(n, size)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    got = answers(frame(spark, rows), tables=1, probes=1)
+    got = answers(frame(spark, rows), plan=ann.Plan(1, 1, 1))
     want = {q: [(v, round(s, 9)) for v, s in near] for q, near in brute(rows, lambda i: i % 20 == 0).items() if near}
     assert got == want
 
