@@ -19,70 +19,93 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from weir.llm.common import rows_of
+from weir.llm.common import hot_join, rows_of, written
 
 #: Payloads below this many bytes are never revisits.
 LEAST_BYTES = 1000
-#: Records of a file. Revisit ids that a task may hold in memory; more are joined by a shuffle.
-FILE_RECORDS, BROADCAST_ROWS = 30_000, 1_000_000
+#: Bytes of records, before compression, that a file should have. Revisits that a task may hold in memory; more are joined by a shuffle.
+FILE_BYTES, BROADCAST_ROWS = 128 << 20, 1_000_000
+#: Pages are written in classes of size, each up to so many times as large as the one before; the first goes up to LEAST_CLASS.
+CLASS_FACTOR, LEAST_CLASS = 16, 64 << 10
+#: Bytes that a record has beside its page, about.
+RECORD_BYTES = 1500
 CRLF = "\r\n"
 CAPTURED = "2024-01-01T00:00:00Z"
 
 
-def _id(page: Column, kind: str) -> Column:
-    return F.concat(F.lit("<urn:page:"), page.cast("string"), F.lit(f":{kind}>"))
+def _id(page: Column, name: Column, kind: str) -> Column:
+    return F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(":"), name, F.lit(f":{kind}>"))
 
 
-def _record(kind: str, page: Column, url: Column, headers: list[Column], content_type: str, block: Column) -> Column:
+def _record(kind: str, record: Column, request: Column, url: Column, headers: list[Column], content_type: str, block: Column) -> Column:
     """Headers, a blank line and the block; the blank lines that end a record come with the row's end."""
-    concurrent = [] if kind == "request" else [F.lit("WARC-Concurrent-To: "), _id(page, "request"), F.lit(CRLF)]
-    name = "response" if kind == "revisit" else kind
+    concurrent = [] if kind == "request" else [F.lit("WARC-Concurrent-To: "), request, F.lit(CRLF)]
     return F.concat(
-        F.lit(f"WARC/1.1{CRLF}WARC-Type: {kind}{CRLF}WARC-Record-ID: "), _id(page, name),
+        F.lit(f"WARC/1.1{CRLF}WARC-Type: {kind}{CRLF}WARC-Record-ID: "), record,
         F.lit(f"{CRLF}WARC-Date: {CAPTURED}{CRLF}WARC-Target-URI: "), url, F.lit(CRLF), *concurrent, *headers,
         F.lit(f"Content-Type: {content_type}{CRLF}Content-Length: "), F.octet_length(block).cast("string"), F.lit(CRLF + CRLF), block,
     )
 
 
+def _size_class() -> Column:
+    above = F.greatest(F.lit(1.0), F.octet_length("html") / LEAST_CLASS)
+    return F.ceil(F.log(above) / F.log(F.lit(float(CLASS_FACTOR)))).cast("int")
+
+
 def write(pages: DataFrame, path: str) -> None:
-    """Write the records of ``pages`` (``page_id``, ``url``, ``html``) under ``path``.
+    """Write three records for each row of ``pages`` (``page_id``, ``url``, ``html``) under ``path``.
 
     A null html is empty, a null url too.  Of pages with one payload of
     LEAST_BYTES or more, the one with the largest id keeps it and the others
-    refer to it.  Rows without a page_id are not written.  The payloads are
-    not shuffled unless over BROADCAST_ROWS pages are revisits.
+    refer to it; rows that repeat this id all keep it.  Rows without a page_id
+    keep their payloads.  A request is named by its row alone, a response by
+    its page and payload, so revisits can refer to it.
+
+    Files are cut by bytes: pages of a class of size are written by
+    themselves, a file having as many as make FILE_BYTES on average.  The
+    payloads are not shuffled unless over BROADCAST_ROWS pages are revisits.
     """
-    html = F.coalesce("html", F.lit(""))
-    rows = pages.filter(F.col("page_id").isNotNull()).select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"))
-    heads = rows.select("page_id", F.sha1(F.encode("html", "UTF-8")).alias("sha1"), F.octet_length("html").alias("size")).filter(F.col("size") >= LEAST_BYTES)
-    shared = heads.groupBy("sha1", "size").agg(F.max("page_id").alias("top"), F.min("page_id").alias("low")).filter("low < top")
-    revisits = heads.join(shared, ["sha1", "size"]).filter("page_id < top").select(F.col("page_id").alias("again"), "top", F.col("sha1").alias("same")).distinct()
+    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    digest = F.sha1(F.encode("html", "UTF-8"))
+    heads = rows.filter(F.col("page_id").isNotNull() & (F.octet_length("html") >= LEAST_BYTES)).select("page_id", digest.alias("same"))
+    heads = written(heads, "heads")
+    shared = heads.groupBy("same").agg(F.max("page_id").alias("top"), F.min("page_id").alias("low"), F.count(F.lit(1)).alias("n"))
+    revisits = hot_join(heads, shared.filter("low < top").drop("low"), "same", rows_of(heads))
+    revisits = written(revisits.filter("page_id < top").select(F.col("page_id").alias("again"), "top", "same").distinct(), "revisits")
     if rows_of(revisits) <= BROADCAST_ROWS:
         revisits = F.broadcast(revisits)
-    rows = rows.join(revisits, F.col("page_id") == F.col("again"), "left")
+    sizes = rows.groupBy(_size_class().alias("size")).agg(F.avg(F.octet_length("html")).alias("mean")).collect()
+    # a row that is written has one uuid, whatever is read of it; that of a task run again is another, in another file
+    rows = rows.withColumn("digest", digest).withColumn("row", F.expr("uuid()"))
+    rows = rows.join(revisits, (F.col("page_id") == F.col("again")) & (F.col("digest") == F.col("same")), "left")
     page, top = F.col("page_id"), F.col("top")
     url = F.regexp_replace("url", r"[\r\n]", " ")
+    request = _id(page, F.col("row"), "request")
+    own = _id(page, F.when(page.isNull(), F.col("row")).otherwise(F.col("digest")), "response")
     http = lambda n: F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), n.cast("string"), F.lit(CRLF + CRLF))
     ask = F.concat(F.lit("GET "), url, F.lit(f" HTTP/1.1{CRLF}{CRLF}"))
-    response = _record("response", page, url, [], "application/http;msgtype=response", F.concat(http(F.octet_length("html")), F.col("html")))
-    refers = [F.lit("WARC-Refers-To: "), _id(top, "response"), F.lit(f"{CRLF}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{CRLF}WARC-Payload-Digest: sha1:"), F.col("same"), F.lit(CRLF)]
-    revisit = _record("revisit", page, url, refers, "application/http;msgtype=response", http(F.lit(0)))
+    response = _record("response", own, request, url, [], "application/http;msgtype=response", F.concat(http(F.octet_length("html")), F.col("html")))
+    refers = [F.lit("WARC-Refers-To: "), _id(top, F.col("digest"), "response"), F.lit(f"{CRLF}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{CRLF}WARC-Payload-Digest: sha1:"), F.col("digest"), F.lit(CRLF)]
+    revisit = _record("revisit", _id(page, F.col("row"), "revisit"), request, url, refers, "application/http;msgtype=response", http(F.lit(0)))
     records = F.array(
-        _record("request", page, url, [], "application/http;msgtype=request", ask),
+        _record("request", request, request, url, [], "application/http;msgtype=request", ask),
         F.when(top.isNull(), response).otherwise(revisit),
-        _record("metadata", page, url, [], "application/warc-fields", F.concat(F.lit("page-id: "), page.cast("string"), F.lit(CRLF))),
+        _record("metadata", _id(page, F.col("row"), "metadata"), request, url, [], "application/warc-fields", F.concat(F.lit("page-id: "), F.coalesce(page.cast("string"), F.lit("")), F.lit(CRLF))),
     )
-    out = rows.select(F.explode(records).alias("value"))
-    out.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    for r in sizes or [None]:
+        some = rows.filter(_size_class() == r.size) if len(sizes) > 1 else rows
+        each = max(1, int(FILE_BYTES // (r.mean + RECORD_BYTES))) if r else 1
+        out = some.select(F.explode(records).alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip")
+        out.option("maxRecordsPerFile", 3 * each).text(f"{path}/size={r.size if r else 0}")
 
 
 class _Bytes:
-    """Bytes of a file, decompressed as they are asked for."""
+    """Bytes of a file, decompressed as they are asked for; what was read is dropped now and then, not at each step."""
 
     def __init__(self, content: bytes) -> None:
-        self.packed, self.zip = content, content[:2] == b"\x1f\x8b"
-        self.left, self.inflate = (b"", zlib.decompressobj(31)) if self.zip else (content, None)
-        self.at = 0
+        self.packed, self.at, self.place = content, 0, 0
+        zipped = content[:2] == b"\x1f\x8b"
+        self.left, self.inflate = (bytearray(), zlib.decompressobj(31)) if zipped else (content, None)
 
     def _more(self) -> bool:
         if self.inflate is None or self.at >= len(self.packed) and not self.inflate.unconsumed_tail:
@@ -91,6 +114,9 @@ class _Bytes:
         if not tail:
             tail = self.packed[self.at : self.at + 262_144]
             self.at += len(tail)
+        if self.place > 1 << 20:
+            del self.left[: self.place]
+            self.place = 0
         self.left += self.inflate.decompress(tail, 1 << 20)
         if self.inflate.eof:  # the next member of the file
             self.at -= len(self.inflate.unused_data)
@@ -98,17 +124,20 @@ class _Bytes:
         return True
 
     def until(self, mark: bytes) -> bytes | None:
-        while mark not in self.left:
+        looked = 0  # bytes from the place on in which the mark does not begin
+        while (end := self.left.find(mark, self.place + looked)) < 0:
+            looked = max(0, len(self.left) - self.place - len(mark) + 1)
             if not self._more():
                 return None
-        head, _, self.left = self.left.partition(mark)
+        head, self.place = bytes(self.left[self.place : end]), end + len(mark)
         return head
 
     def take(self, n: int) -> Iterator[bytes]:
         while n > 0:
-            if not self.left and not self._more():
+            if self.place >= len(self.left) and not self._more():
                 raise ValueError(f"a record ends {n} bytes early")
-            part, self.left = self.left[:n], self.left[n:]
+            part = bytes(self.left[self.place : min(len(self.left), self.place + min(n, 1 << 20))])
+            self.place += len(part)
             n -= len(part)
             if part:
                 yield part
@@ -169,28 +198,36 @@ def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFram
     return files.mapInArrow(run, RECORD)
 
 
-def assemble(records: DataFrame) -> DataFrame:
+def assemble(records: DataFrame, with_payload: bool = False) -> DataFrame:
     """One nested row for each capture: its request, response or revisit, and metadata.
 
-    Records are joined through concurrent-to; a record met twice (a page
-    written twice) counts once.  A capture without a response has a null one,
-    and the same for metadata.  A revisit takes length, digest and payload
-    from the response that it refers to.
+    Records are joined through concurrent-to to their request.  A capture
+    without a response has a null one, and the same for metadata.  A revisit
+    takes length, digest and, if asked for, payload from the response that it
+    refers to; of several responses of one name, which are of one page and
+    payload, any serves.
     """
-    body = ("record", "uri", "date", "concurrent_to", "refers_to", "stated_digest", "size", "digest", "payload")
-    once = records.groupBy("kind", "record").agg(F.min(F.struct(*body[1:])).alias("r"))
-    part = lambda kinds, name: once.filter(F.col("kind").isin(kinds)).select(F.col("r.concurrent_to").alias(f"{name}_of"), F.struct("kind", "record", "r.*").alias(name))
-    requests = once.filter("kind = 'request'").select("record", F.struct("kind", "record", "r.*").alias("request"))
-    responses, metadata = part(["response", "revisit"], "response"), part(["metadata"], "metadata")
-    whole = requests.join(responses, F.col("record") == F.col("response_of"), "left").join(metadata, F.col("record") == F.col("metadata_of"), "left")
-    full = once.filter("kind = 'response'").select(F.col("record").alias("target"), F.col("r.size").alias("full_size"), F.col("r.digest").alias("full_digest"), F.col("r.payload").alias("full_payload"))
-    whole = whole.join(full, F.col("response.refers_to") == F.col("target"), "left")
-    return whole.select(
-        F.col("record").alias("capture"), "request", "response", "metadata",
-        F.coalesce("full_size", "response.size").alias("payload_bytes"), F.coalesce("full_digest", "response.digest").alias("payload_digest"),
-        F.coalesce("full_payload", "response.payload").alias("payload"),
-    )
+    body = F.struct("kind", "record", "uri", "date", "concurrent_to", "refers_to", "stated_digest", "size", "digest")
+    part = lambda kinds, name, *more: records.filter(F.col("kind").isin(kinds)).select(F.col("concurrent_to").alias(f"{name}_of"), body.alias(name), *more)
+    requests = records.filter("kind = 'request'").select(F.col("record").alias("capture"), body.alias("request"))
+    responses, metadata = part(["response", "revisit"], "response", *(["payload"] if with_payload else [])), part(["metadata"], "metadata")
+    whole = requests.join(responses, F.col("capture") == F.col("response_of"), "left").join(metadata, F.col("capture") == F.col("metadata_of"), "left")
+    whole = whole.withColumn("target", F.col("response.refers_to")).drop("response_of", "metadata_of")
+    asked = records.filter("refers_to is not null").groupBy(F.col("refers_to").alias("target")).agg(F.count(F.lit(1)).alias("n"))
+    full = records.filter("kind = 'response'").select(F.col("record").alias("target"), F.struct("size", "digest").alias("full"), *(["payload"] if with_payload else []))
+    digests = full.join(asked, "target").groupBy("target").agg(F.any_value("full").alias("full"), F.any_value("n").alias("n"))
+    found = hot_join(whole.filter("target is not null"), digests, "target", rows_of(records), "left").drop("n")
+    whole = whole.filter("target is null").withColumn("full", F.lit(None).cast("struct<size: bigint, digest: string>")).unionByName(found)
+    out = [
+        F.col("capture"), F.col("request"), F.col("response"), F.col("metadata"),
+        F.coalesce("full.size", "response.size").alias("payload_bytes"), F.coalesce("full.digest", "response.digest").alias("payload_digest"),
+    ]
+    if not with_payload:
+        return whole.select(*out)
+    payloads = full.groupBy("target").agg(F.any_value("payload").alias("full_payload"))
+    return whole.join(payloads, "target", "left").select(*out, F.coalesce("full_payload", "payload").alias("payload"))
 
 
 def page_of(record: Column) -> Column:
-    return F.regexp_extract(record, "^<urn:page:(-?[0-9]+):", 1).cast("long")
+    """The page_id in a record's name; null if its page had none."""
+    return F.regexp_extract(record, "^<urn:page:(-?[0-9]+):", 1).try_cast("long")
