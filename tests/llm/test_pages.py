@@ -5,7 +5,7 @@ import hashlib
 import html
 import re
 import time
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -261,3 +261,24 @@ def test_lists_as_of_fetch_time(spark):
             8: (True, "a.b.com", day(4)), 20: (False, None, None), 21: (False, None, None), 22: (False, None, None), 23: (False, None, None)}
     assert {g[0]: g[1:] for g in got} == want
     assert urlfilter.judge(df, log.limit(0)).filter("blocked").count() == 0 and urlfilter.judge(df.limit(0), log).count() == 0
+
+
+def test_hot_and_long_listed_domains(spark):
+    """Thousands of hosts below one domain that was listed and unlisted many times, against the plain rule."""
+    start = datetime(2024, 1, 1)
+    at = lambda h: start + timedelta(hours=h)
+    log = [("big.com", "x", at(7 * k), k % 2 == 0) for k in range(300)] + [("h5.big.com", "y", at(100), True), ("small.com", "z", at(1), True)]
+    seen = [(k, f"http://h{k % 900}.big.com/", at(k * 11 % 2400)) for k in range(4000)] + [(5000 + k, f"http://s{k}.small.com/", at(k)) for k in range(30)]
+    captures = spark.createDataFrame(seen, "page_id long, url string, fetched_at timestamp_ntz")
+    got = {r.page_id: (r.blocked, r.matched, r.since) for r in urlfilter.judge(captures, spark.createDataFrame(log, "domain string, category string, at timestamp_ntz, listed boolean")).collect()}
+
+    def plain(url, t):
+        host = url.split("/")[2]
+        if host == "h5.big.com" and t >= at(100):
+            return True, "h5.big.com", at(100)
+        if host.endswith("small.com"):
+            return (True, "small.com", at(1)) if t >= at(1) else (False, None, None)
+        k = int((t - start).total_seconds() // 3600) // 7
+        return (True, "big.com", at(7 * k)) if k % 2 == 0 and k < 300 else (False, None, None)
+
+    assert got == {i: plain(u, t) for i, u, t in seen}

@@ -11,6 +11,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from weir.llm.common import rows_of, written
+
+#: Parts into which the hosts of a hot domain are dealt, and stretches of time into which the intervals of a long-listed one are cut.
+SALTS, STRETCHES = 64, 256
+#: Intervals of a domain up to which each is compared with each fetch time.
+FEW = 16
+
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
@@ -49,13 +56,16 @@ def judge(captures: DataFrame, log: DataFrame, id_column: str = "page_id") -> Da
     row without a host or a fetch time is not blocked.  Repeated rows stay;
     only the id, ``url`` and ``fetched_at`` are kept.
 
-    Hosts are judged once for each fetch time, so a hot host costs its
-    distinct times; the list side has few intervals for a domain.
+    The as-of join meets each host and parent domain with the intervals of
+    that domain.  Hosts are judged once for each fetch time.  A domain above a
+    large share of them is dealt out by host and time, and one with a large
+    share of the intervals by stretches of time, so neither is one task's.
     """
     rows = captures.select(id_column, "url", "fetched_at").withColumn("host", host_of(F.col("url")))
     asked = rows.filter("host is not null and fetched_at is not null").select("host", "fetched_at").distinct()
-    asked = asked.withColumn("domain", F.explode(parents(F.col("host"))))
-    active = asked.join(intervals(log), "domain").filter("since <= fetched_at and (until is null or fetched_at < until)")
+    asked = written(asked.withColumn("domain", F.explode(parents(F.col("host")))), "asked")
+    spans = written(intervals(log), "intervals")
+    active = _as_of(asked, spans)
     best = F.min(F.struct((-F.length("domain")).alias("rank"), "since", "category", "domain")).alias("best")
     verdicts = active.groupBy("host", "fetched_at").agg(best)
     verdicts = verdicts.select(F.col("host").alias("h"), F.col("fetched_at").alias("t"), "best")
@@ -64,3 +74,27 @@ def judge(captures: DataFrame, log: DataFrame, id_column: str = "page_id") -> Da
         id_column, "url", "host", "fetched_at", F.col("best").isNotNull().alias("blocked"), F.col("best.category").alias("category"),
         F.col("best.domain").alias("matched"), F.col("best.since").alias("since"),
     )
+
+
+def _day(at: Column | str) -> Column:
+    return F.unix_date(F.col(at).cast("date") if isinstance(at, str) else at.cast("date"))
+
+
+def _as_of(asked: DataFrame, spans: DataFrame) -> DataFrame:
+    """``asked(host, fetched_at, domain)`` with each interval of the domain that is active then."""
+    n_asked, n_spans = rows_of(asked), rows_of(spans)
+    first, last = asked.agg(F.min(_day("fetched_at")), F.max(_day("fetched_at"))).first()
+    if first is None:
+        first = last = 0
+    # at most a thousand domains have over a thousandth of the rows, on either side
+    crowded = asked.groupBy("domain").count().filter(F.col("count") * 1000 > n_asked).select("domain", F.lit(SALTS).alias("salts"))
+    listed = spans.groupBy("domain").count().filter((F.col("count") * 1000 > n_spans) & (F.col("count") > FEW)).select("domain", F.lit(STRETCHES).alias("stretches"))
+    cut = lambda df: df.join(F.broadcast(crowded), "domain", "left").join(F.broadcast(listed), "domain", "left").fillna(1, ["salts", "stretches"])
+    stretch = lambda day: F.floor((day - first) * F.col("stretches") / (last - first + 1)).cast("int")
+    left = cut(asked).withColumn("salt", F.pmod(F.xxhash64("host", "fetched_at"), "salts").cast("int")).withColumn("stretch", stretch(_day("fetched_at")))
+    until = F.coalesce(_day("until"), F.lit(last))
+    right = cut(spans.filter((_day("since") <= last) & (until >= first)))
+    right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    right = right.withColumn("stretch", F.explode(F.sequence(stretch(F.greatest(_day("since"), F.lit(first))), stretch(F.least(until, F.lit(last))))))
+    met = left.drop("salts", "stretches").join(right.drop("salts", "stretches"), ["domain", "salt", "stretch"])
+    return met.filter("since <= fetched_at and (until is null or fetched_at < until)")
