@@ -141,16 +141,69 @@ def test_count_windows(spark, rows, n):
     assert got == [(i, sum(v for _, _, v in rows[i * n : i * n + n])) for i in range(len(rows) // n)]
 
 
+@pytest.mark.parametrize("kind", ["string", "date", "double", "decimal(12,2)", "boolean", "timestamp_ntz"])
+def test_count_windows_by_any_order(spark, kind):
+    """Slices of strings, dates and the like: rows are numbered as one sort would, whatever the order's type."""
+    made = {"string": "concat('row ', lpad(cast(id * 7 % 500 as string), 6, '0'))", "date": "date_add(date'2020-01-01', cast(id * 7 % 500 as int))", "boolean": "id % 2 = 0",
+            "timestamp_ntz": "timestamp_ntz'2024-01-01' + make_dt_interval(cast(id * 7 % 500 as int))"}
+    df = spark.range(500).selectExpr("id", f"cast({made.get(kind, 'id * 7 % 500 / 4')} as {kind}) as o").unionByName(spark.range(3).selectExpr("-1 - id as id", f"cast(null as {kind}) as o"))
+    from weir.operators.countwin import _cuts, numbered
+
+    order, cuts = _cuts(df, "o", 8)
+    assert len(cuts) >= (1 if kind == "boolean" else 6)
+    got = numbered(df, "o", [], slices=8, total="n").collect()
+    assert sorted(r._rn for r in got) == list(range(503)) and {r.n for r in got} == {503}
+    by_rank = [r.o for r in sorted(got, key=lambda r: r._rn)]
+    assert by_rank[:3] == [None] * 3 and by_rank[3:] == sorted(by_rank[3:])
+
+
+def test_measuring_reads_the_head_alone(spark, tmp_path):
+    """Filters after an aggregation are not measured; those on a scan look at its first partitions."""
+    mark = tmp_path / "seen"
+
+    def look(frames):
+        for f in frames:
+            with open(mark, "a") as out:
+                out.write(f"{len(f)}\n")
+            yield f
+
+    df = spark.range(0, 80_000, 1, 8).selectExpr("id", "id % 7 as a", "id % 11 as b").mapInPandas(look, "id long, a long, b long")
+    adaptive.measured_order(df, [w.Greater("a", 1), w.Less("b", 5)], 100)
+    seen = sum(map(int, mark.read_text().split()))
+    assert 0 < seen <= 10_000
+    q = w.Query.over(df).group_by("a").aggregate(w.Count()).filter(w.Greater("count", 1)).filter(w.Less("a", 5))
+    q.to_df(spark)
+    assert sum(map(int, mark.read_text().split())) == seen
+
+
+def test_buffer_is_run_once_and_kept(spark):
+    runs = spark.sparkContext.accumulator(0)
+
+    def look(frames):
+        for f in frames:
+            runs.add(len(f))
+            yield f
+
+    df = spark.range(50).mapInPandas(look, "id long")
+    w.Query.over(df).to_output_buffer("kept_once").execute(spark)
+    assert spark.table("kept_once").count() == 50 == spark.table("kept_once").count() and runs.value == 50
+
+
+def test_print_with_a_limit(spark, capsys):
+    w.Query.over(spark.range(100).selectExpr("id", "id as v")).print().execute(spark, print_limit=5)
+    assert len(capsys.readouterr().out.splitlines()) == 5
+
+
 def test_filter_orders_agree(spark):
     df = spark.range(1000).selectExpr("id", "id % 7 as a", "id % 11 as b", "id % 3 as c")
     ps = [w.Greater("a", 1), w.Less("b", 5), w.Equal("c", 0)]
     want = run(spark, df, *ps, filter_opt=False)
     assert all(run(spark, df, *ps, pipeline_permutation=k) == want for k in range(6))
-    assert run(spark, df, *ps, sample_fraction=0.5) == want
-    assert [p.field for p in adaptive.measured_order(df, ps, 1.0)] == ["c", "b", "a"]
+    assert run(spark, df, *ps, sample_rows=500) == want
+    assert [p.field for p in adaptive.measured_order(df, ps, 1000)] == ["c", "b", "a"]
     risky = w.Equal("a", 1)
     risky.reorderable = False
-    assert adaptive.measured_order(df, [risky, *ps], 1.0)[0] is risky
+    assert adaptive.measured_order(df, [risky, *ps], 1000)[0] is risky
     text = w.Query.over(df).filter(ps[0].And(ps[1])).filter(ps[2]).print_pipeline_permutations()
     assert len(text.splitlines()) == 6
 

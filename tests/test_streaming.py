@@ -49,12 +49,14 @@ def test_sliding_and_session_compile_on_streams(spark, tmp_path):
 
 
 def test_late_rows_are_dropped(spark, tmp_path):
+    """A row behind the watermark of an earlier batch does not count, one of an open window does."""
     base = source(spark, tmp_path, [(1, 0, 10**7)])
-    q = base.input(w.InputType.BinaryFile, streaming=True).group_by("k").window(w.TumblingEventTimeWindow(w.Time.seconds(10), "ms")).aggregate(w.Count()).to_output_buffer("late")
+    q = base.input(w.InputType.BinaryFile, streaming=True).group_by("k").window(w.TumblingEventTimeWindow(w.Time.seconds(10), "ms")).aggregate(w.Count()).write(str(tmp_path / "out"))
     finished(q.execute(spark, checkpoint=str(tmp_path / "cp")))
-    binary.write(spark.createDataFrame([(1, 0, 5)], SCHEMA.struct()), base.path, SCHEMA)
-    finished(q.execute(spark, checkpoint=str(tmp_path / "cp2"), output_mode="update"))
-    assert spark.table("late").count() >= 1
+    binary.write(spark.createDataFrame([(1, 0, 5), (2, 0, 10**7 + 1), (3, 0, 10**8)], SCHEMA.struct()).coalesce(1), base.path, SCHEMA)
+    finished(q.execute(spark, checkpoint=str(tmp_path / "cp")))
+    got = sorted(r.value.split(";")[0::3] for r in spark.read.text(str(tmp_path / "out")).collect())
+    assert got == [["1", "1"], ["2", "1"]]
 
 
 def test_keyed_count_windows(spark, tmp_path):
@@ -69,6 +71,35 @@ def test_keyed_count_windows(spark, tmp_path):
     assert sorted(out) == [(0, 0, 6), (0, 1, 24), (1, 0, 9)]
 
 
+def test_every_sink_of_a_stream_is_fed(spark, tmp_path):
+    rows = [(i % 3, i, i) for i in range(30)]
+    q = source(spark, tmp_path, rows).input(w.InputType.BinaryFile, streaming=True).filter(w.Greater("v", 9))
+    live = q.write(str(tmp_path / "one")).write(str(tmp_path / "two")).to_output_buffer("three").execute(spark, checkpoint=str(tmp_path / "cp"))
+    live.awaitTermination(60)
+    live.stop()
+    assert spark.read.text(str(tmp_path / "one")).count() == 20 == spark.read.text(str(tmp_path / "two")).count() == spark.table("three").count()
+
+
+def test_the_trigger_of_the_window_is_used(spark, tmp_path):
+    q = source(spark, tmp_path, [(1, 1, 1), (1, 2, 10**7)]).input(w.InputType.BinaryFile, streaming=True)
+    win = w.TumblingEventTimeWindow(w.Time.seconds(10), "ms").with_trigger(w.PurgingTrigger(w.ProcessingTimeTrigger(w.Time.seconds(1))))
+    live = q.window(win).aggregate(w.Count()).to_output_buffer("every_second").execute(spark, checkpoint=str(tmp_path / "cp"))
+    live.processAllAvailable()
+    assert live.isActive and spark.table("every_second").count() == 1  # runs on, and has let go of the first window
+    live.stop()
+    ended = q.window(win).aggregate(w.Count()).to_output_buffer("once").execute(spark, checkpoint=str(tmp_path / "cp2"), available_now=True)
+    assert ended.awaitTermination(60)
+
+
+def test_waiting_rows_are_stored_as_arrow():
+    import pandas as pd
+
+    from weir.streaming.countwin import _bytes, _frame
+
+    frame = pd.DataFrame({"k": [1, 2], "s": ["a", None], "t": pd.to_datetime(["2024-01-01", None]), "d": [0.5, float("nan")]})
+    pd.testing.assert_frame_equal(_frame(_bytes(frame)), frame)
+
+
 def test_processing_time_stream(spark, tmp_path):
     q = source(spark, tmp_path, [(1, 1, 1)]).input(w.InputType.BinaryFile, streaming=True)
     df = q.window(w.TumblingProcessingTimeWindow(w.Time.seconds(10))).aggregate(w.Count()).to_df(spark)

@@ -13,52 +13,54 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql import types as T
 
 
-def numbered(df: DataFrame, order_by: str, keys: list[str], name: str = "_rn", slices: int | None = None) -> DataFrame:
-    """``df`` with ``name``: the 0-based position of a row in its key's order."""
+#: Distinct values that are drawn for each cut between slices of an order that is not a number.
+DRAWN = 32
+
+
+def _cuts(df: DataFrame, order_by: str, slices: int) -> tuple[Column, list[Column]]:
+    """The order as a column to compare, and where it is cut."""
+    kind, order = df.schema[order_by].dataType, F.col(order_by)
+    if isinstance(kind, T.TimestampNTZType | T.TimestampType):
+        order = F.unix_micros(order.cast("timestamp"))
+    elif isinstance(kind, T.DateType):
+        order = F.unix_date(order)
+    elif not isinstance(kind, T.NumericType):  # of the distinct values of each bucket of hashes, one
+        drawn = df.filter(order.isNotNull()).groupBy(F.pmod(F.xxhash64(order), F.lit(DRAWN * slices)).alias("bucket")).agg(F.min(order).alias("v"))
+        ranked = drawn.select("v", F.row_number().over(W.orderBy("v")).alias("n"), F.count(F.lit(1)).over(W.partitionBy()).alias("all"))
+        picked = ranked.filter(F.floor(F.col("n") * slices / F.col("all")) > F.floor((F.col("n") - 1) * slices / F.col("all")))
+        return order, [F.lit(r.v) for r in picked.orderBy("v").collect()[:-1]]
+    shares = [i / slices for i in range(1, slices)]
+    return order, [F.lit(q) for q in sorted(set(df.agg(F.percentile_approx(order, shares, 1000).alias("q")).first().q or []))]
+
+
+def numbered(df: DataFrame, order_by: str, keys: list[str], name: str = "_rn", slices: int | None = None, total: str | None = None) -> DataFrame:
+    """``df`` with ``name``: the 0-based position of a row in its key's order, and ``total``, the rows of its key, if named.
+
+    Any type that can be ordered will do; rows without a value come first.
+    """
     if slices is None:
         slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kind = df.schema[order_by].dataType
-    number: Column = F.col(order_by)
-    if isinstance(kind, T.TimestampNTZType | T.TimestampType):
-        number = F.unix_micros(F.col(order_by).cast("timestamp"))
-    cuts: list = []
-    if isinstance(kind, T.NumericType | T.TimestampNTZType | T.TimestampType) and slices > 1:
-        shares = [i / slices for i in range(1, slices)]
-        row = df.agg(F.percentile_approx(number, shares, 1000).alias("q")).first()
-        cuts = sorted(set(row.q or []))
+    order, cuts = _cuts(df, order_by, slices) if slices > 1 else (F.col(order_by), [])
     part = F.lit(0)
     if cuts:
-        part = F.coalesce(F.expr(f"cast(size(filter(array({', '.join(map(repr, cuts))}), x -> x <= _order)) as int)"), F.lit(-1))
-    sliced = df.withColumn("_order", number).withColumn("_slice", part).drop("_order")
+        part = F.when(order.isNull(), F.lit(-1)).otherwise(F.size(F.filter(F.array(*cuts), lambda x: x <= F.col("_order"))))
+    sliced = df.withColumn("_order", order).withColumn("_slice", part).drop("_order")
     before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    starts = (
+    starts = (  # a row for each key and slice
         sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    )
+        .withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("_total", F.sum("_n").over(W.partitionBy(*keys))).drop("_n")
+    )
     within = F.row_number().over(W.partitionBy(*keys, "_slice").orderBy(order_by)) - 1
-    starts = _renamed(starts, [*keys, "_slice"])
+    starts = starts.withColumnsRenamed({k: f"_key_{k}" for k in (*keys, "_slice")})
     same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in (*keys, "_slice")]
-    return (
-        sliced.withColumn("_within", within)
-        .join(starts, same, "left")
-        .select(*df.columns, (F.col("_within") + F.col("_start")).cast("long").alias(name))
-    )
-
-
-def _renamed(df: DataFrame, keys: list[str]) -> DataFrame:
-    """``df`` with its keys renamed, to join it with the rows it comes from."""
-    return df.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    out = sliced.withColumn("_within", within).join(starts, same, "left")
+    return out.select(*df.columns, (F.col("_within") + F.col("_start")).cast("long").alias(name), *([F.col("_total").alias(total)] if total else []))
 
 
 def count_windows(df: DataFrame, size: int, order_by: str, keys: list[str]) -> DataFrame:
     """Rows of full windows only, with ``window_index`` from 0 for each key."""
     if size < 1:
         raise ValueError("a count window needs at least one row")
-    rows = numbered(df, order_by, keys)
-    rows = rows.withColumn("window_index", F.floor(F.col("_rn") / size).cast("long")).drop("_rn")
-    if not keys:
-        return rows.filter(F.col("window_index") < df.count() // size)
-    full = rows.groupBy(*keys, "window_index").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == size)
-    full = _renamed(full, [*keys, "window_index"])
-    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in (*keys, "window_index")]
-    return rows.join(full, same, "left_semi")
+    rows = numbered(df, order_by, keys, total="_all")
+    rows = rows.withColumn("window_index", F.floor(F.col("_rn") / size).cast("long"))
+    return rows.filter(F.col("window_index") < F.floor(F.col("_all") / size)).drop("_rn", "_all")

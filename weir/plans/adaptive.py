@@ -1,8 +1,9 @@
 """Measured filter order and key statistics, above Catalyst.
 
-Spark keeps the written order of conjuncts.  With ``filter_opt`` a sample is
-counted once and the conjuncts that pass fewest rows go first.  Conjuncts that
-may raise stay where they were written, and so does everything after them.
+Spark keeps the written order of conjuncts.  With ``filter_opt`` some rows at
+the head of the input are looked at and the conjuncts that pass fewest of them
+go first.  Conjuncts that may raise stay where they were written, and so does
+everything after them.
 """
 
 from __future__ import annotations
@@ -15,29 +16,33 @@ from weir.functions.predicates import Predicate
 from weir.plans.config import Config
 
 
-def selectivities(df: DataFrame, conjuncts: list[Predicate], fraction: float) -> list[float]:
-    """Share of sampled rows that pass each conjunct, in one job."""
-    counts = [F.sum(F.when(p.column(df), 1).otherwise(0)).alias(f"p{i}") for i, p in enumerate(conjuncts)]
-    row = df.sample(fraction=fraction, seed=7).agg(F.count(F.lit(1)).alias("n"), *counts).first()
-    return [(row[f"p{i}"] or 0) / row.n if row.n else 1.0 for i in range(len(conjuncts))]
+def selectivities(df: DataFrame, conjuncts: list[Predicate], rows: int) -> list[float]:
+    """Share of the first ``rows`` rows that pass each conjunct.
 
+    Spark reads no more partitions than these rows need, and only the columns
+    of the conjuncts.  The first rows may be unlike the others: the order may
+    then be a poor one, the result is the same.
+    """
+    seen = df.select(*(p.column(df).alias(f"p{i}") for i, p in enumerate(conjuncts))).head(rows)
+    return [sum(bool(r[i]) for r in seen) / len(seen) if seen else 1.0 for i in range(len(conjuncts))]
 
-def measured_order(df: DataFrame, conjuncts: list[Predicate], fraction: float = 0.01) -> list[Predicate]:
+
+def measured_order(df: DataFrame, conjuncts: list[Predicate], rows: int = 1000) -> list[Predicate]:
     head = next((i for i, p in enumerate(conjuncts) if not p.movable()), len(conjuncts))
     if head < 2 or df.isStreaming:
         return conjuncts
-    share = selectivities(df, conjuncts[:head], fraction)
+    share = selectivities(df, conjuncts[:head], rows)
     ranked = sorted(range(head), key=lambda i: (share[i], i))
     return [conjuncts[i] for i in ranked] + conjuncts[head:]
 
 
-def filtered(df: DataFrame, run: list[Predicate], config: Config) -> DataFrame:
-    """``df`` under consecutive filters, in the order that ``config`` asks for."""
+def filtered(df: DataFrame, run: list[Predicate], config: Config, measure: bool = True) -> DataFrame:
+    """``df`` under consecutive filters, in the order that ``config`` asks for; measured only if ``measure``."""
     conjuncts = [c for p in run for c in p.conjuncts()]
     if config.pipeline_permutation:
         conjuncts = list(next(islice(permutations(conjuncts), config.pipeline_permutation, None), conjuncts))
-    elif config.filter_opt:
-        conjuncts = measured_order(df, conjuncts, config.sample_fraction)
+    elif config.filter_opt and measure:
+        conjuncts = measured_order(df, conjuncts, config.sample_rows)
     for p in conjuncts:
         df = df.filter(p.column(df))
     return df

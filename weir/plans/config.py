@@ -26,7 +26,7 @@ class Config:
     compilation_delay: int = 4_000
     output_buffer: int = 0
     source_file: str | None = None
-    sample_fraction: float = 0.01
+    sample_rows: int = 1_000
 
     @staticmethod
     def create() -> Config:
@@ -62,8 +62,8 @@ class Config:
     def with_output_buffer(self, n: int) -> Config:
         return replace(self, output_buffer=n)
 
-    def with_sample_fraction(self, fraction: float) -> Config:
-        return replace(self, sample_fraction=fraction)
+    def with_sample_rows(self, n: int) -> Config:
+        return replace(self, sample_rows=n)
 
     def with_source_file(self, path: str) -> Config:
         return replace(self, source_file=path)

@@ -101,12 +101,13 @@ class Query:
     def to_df(self, spark: SparkSession) -> DataFrame:
         """The plan without its sinks."""
         df, keys, per_key, window, run = self.source(spark), [], False, None, []
+        scanned = True  # what an aggregation gives is not run just to measure filters on it
         for step in [*self.steps, Step("end")]:
             if step.kind == "filter":
                 run.append(step.args[0])
                 continue
             if run:
-                df, run = adaptive.filtered(df, run, self.config), []
+                df, run = adaptive.filtered(df, run, self.config, scanned), []
             if step.kind == "select":
                 df = df.select(*(resolve(df, n) for n in step.args))
             elif step.kind == "map":
@@ -119,13 +120,14 @@ class Query:
                 window = step.args[0]
             elif step.kind == "aggregate":
                 df = _aggregated(df, keys, per_key, window, *step.args)
-                keys, per_key, window = [], False, None
+                keys, per_key, window, scanned = [], False, None, False
         return df
 
     def execute(self, spark: SparkSession, **options):
         """Run into the sinks; without one, the batch rows are collected.
 
-        A stream returns its started ``StreamingQuery``.
+        A stream returns its started ``StreamingQuery``, or ``Streams`` for
+        several sinks; see ``writers.run`` and ``writers.start`` for options.
         """
         from weir.sinks import writers
 
@@ -135,7 +137,7 @@ class Query:
             window = next((s.args[0] for s in reversed(self.steps) if s.kind == "window"), None)
             every = window.stream_trigger() if isinstance(window, Window) else None
             return writers.start(df, sinks, every, **options)
-        return writers.run(df, sinks)
+        return writers.run(df, sinks, **options)
 
     def print_query_plan(self) -> str:
         from weir.plans.explain import query_plan

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from weir.plans.shared import new_path
 from weir.streaming.listener import ThroughputListener
 
 
@@ -16,38 +17,70 @@ def line(df: DataFrame, sep: str, head: str) -> Column:
     return F.concat(text(first), F.lit(head), F.concat_ws(sep, *map(text, rest)), F.lit(sep)).alias("value")
 
 
-def run(df: DataFrame, sinks):
+def run(df: DataFrame, sinks, print_limit: int | None = None):
+    """Feed every sink; without one, the rows are returned.
+
+    ``print`` writes lines on the driver, a partition at a time, at most
+    ``print_limit`` of them if that is given.  A buffer is a table in the
+    shared folder, run once and kept, under a temporary view.
+    """
     result = None
     for sink in sinks:
         if sink.kind == "print":
-            for row in df.select(line(df, "|", ":")).toLocalIterator():
+            lines = df.select(line(df, "|", ":"))
+            for row in (lines if print_limit is None else lines.limit(print_limit)).toLocalIterator():
                 print(row.value)
         elif sink.kind == "write":
             df.write.mode("append").option("sep", ";").csv(sink.args[0])
         elif sink.kind == "buffer":
-            df.createOrReplaceTempView(sink.args[0])
-            df.write.format("noop").mode("overwrite").save()
+            path = new_path(df.sparkSession, "buffer")
+            df.write.parquet(path)
+            df.sparkSession.read.schema(df.schema).parquet(path).createOrReplaceTempView(sink.args[0])
         else:
             result = df.collect()
     return result
 
 
-def start(df: DataFrame, sinks, every: str | None, checkpoint: str | None = None, available_now: bool = True, output_mode: str = "append", throughput_log: str | None = None):
-    """Start one streaming query that feeds the last sink.
+class Streams(list):
+    """The streaming queries of several sinks, waited for and stopped together."""
+
+    def awaitTermination(self, timeout: int | None = None) -> bool | None:  # noqa: N802
+        done = [q.awaitTermination(timeout) if timeout is not None else q.awaitTermination() for q in self]
+        return all(done) if timeout is not None else None
+
+    def processAllAvailable(self) -> None:  # noqa: N802
+        for q in self:
+            q.processAllAvailable()
+
+    def stop(self) -> None:
+        for q in self:
+            q.stop()
+
+
+def start(df: DataFrame, sinks, every: str | None, checkpoint: str | None = None, available_now: bool | None = None, output_mode: str = "append", throughput_log: str | None = None):
+    """Start a streaming query for each sink; one is returned as it is, several as :class:`Streams`.
 
-    Delimited files in append mode with a ``checkpoint`` hold every row once,
-    restarts included; otherwise a batch that is run again is written again.
+    ``every`` is the window's trigger.  Without it, or if ``available_now`` is
+    asked for, what there is is read and the query ends.  Delimited files in
+    append mode with a ``checkpoint`` hold every row once, restarts included;
+    otherwise a batch that is run again is written again.  Each of several
+    sinks has its own folder in ``checkpoint``, and reads the source itself.
     """
-    sink = sinks[-1]
+    if throughput_log:
+        df.sparkSession.streams.addListener(ThroughputListener(throughput_log))
+    apart = len(sinks) > 1
+    queries = [_start(df, s, every, f"{checkpoint}/sink-{k}" if checkpoint and apart else checkpoint, available_now, output_mode) for k, s in enumerate(sinks)]
+    return Streams(queries) if apart else queries[0]
+
+
+def _start(df: DataFrame, sink, every: str | None, checkpoint: str | None, available_now: bool | None, output_mode: str):
     writer = df.writeStream.outputMode(output_mode)
     if checkpoint:
         writer = writer.option("checkpointLocation", checkpoint)
-    if available_now:
+    if available_now or available_now is None and every is None:
         writer = writer.trigger(availableNow=True)
     elif every:
         writer = writer.trigger(processingTime=every)
-    if throughput_log:
-        df.sparkSession.streams.addListener(ThroughputListener(throughput_log))
     if sink.kind == "print":
         return writer.format("console").option("truncate", "false").start()
     if sink.kind == "write" and checkpoint and output_mode == "append":

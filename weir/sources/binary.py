@@ -63,15 +63,18 @@ def write(df: DataFrame, path: str, schema: Schema) -> None:
     """Pack rows into files under ``path``, one for each partition of ``df``.
 
     Executors write through pyarrow's file systems, so ``path`` must be a
-    folder that they share.  A partition always has the same file: a task that
+    folder that they share; without a scheme it is in Spark's default store.  A partition always has the same file: a task that
     runs again replaces what the one before it left.
     """
     names, call = [f.name for f in schema.fields], uuid.uuid4().hex
+    at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at = at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    uri = at.replace("file:/", "file:///", 1) if at.startswith("file:/") and not at.startswith("file://") else at
 
     def pack(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        store, folder = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        store, folder = fs.FileSystem.from_uri(uri)
         store.create_dir(folder, recursive=True)
         written, name, out = 0, f"{folder}/{call}-{TaskContext.get().partitionId():05d}.bin", None
         for frame in frames:

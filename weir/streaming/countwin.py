@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql import types as T
@@ -12,6 +13,19 @@ from pyspark.sql import types as T
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def _bytes(frame: pd.DataFrame) -> bytes:
+    """A frame as an Arrow stream, a format that later versions read too."""
+    batch = pa.RecordBatch.from_pandas(frame, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _frame(stored: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(stored).read_all().to_pandas()
+
+
 class RowCounter(StatefulProcessor):
     """Numbers the rows of a key as they arrive; state is one count."""
 
@@ -23,10 +37,8 @@ class RowCounter(StatefulProcessor):
         self.rows = handle.getListState("rows", T.StructType([T.StructField("row", T.BinaryType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        import pickle
-
         index = self.count.get()[0] if self.count.exists() else 0
-        waiting = [pickle.loads(r[0]) for r in self.rows.get()] if self.rows.exists() else []
+        waiting = [_frame(r[0]) for r in self.rows.get()] if self.rows.exists() else []
         for frame in rows:
             frame = frame[self.keep]
             if waiting:
@@ -41,7 +53,7 @@ class RowCounter(StatefulProcessor):
             waiting = [rest] if len(rest) else []
         self.count.update((index,))
         if waiting:
-            self.rows.put([(pickle.dumps(f),) for f in waiting])
+            self.rows.put([(_bytes(f),) for f in waiting])
         else:
             self.rows.clear()
 
