@@ -56,7 +56,9 @@ def _filters() -> dict[str, Entry]:
     A, B, C = "l_quantity > 25", "l_discount < 0.05", "l_returnflag = 'R'"
     return out | {
         "filter_field_to_field": (over(bids, lambda q: q.filter(w.Greater("price", f("auction"))).select("event_id")), f"select event_id from {BIDS_SQL} where price > auction"),
-        "filter_like_substring": (over(table("part"), lambda q: q.filter(w.Like("p_name", "1")).select("p_partkey", "p_name")), "select p_partkey, p_name from part where contains(p_name, '1')"),
+        "filter_like_substring": (over(table("part"), lambda q: q.filter(w.Like("p_brand", "#1")).select("p_partkey", "p_brand")), "select p_partkey, p_brand from part where contains(p_brand, '#1')"),
+        "filter_like_default_order": (lambda s, d: w.Query.over(bids(s, d)).filter(w.Like("event_type", "ic")).filter(w.Greater("price", 500)).select("event_id", "event_type").to_df(s), f"select event_id, event_type from {BIDS_SQL} where contains(event_type, 'ic') and price > 500"),
+        "own_predicate": (over(bids, lambda q: q.filter(Even("auction", 3).And(w.Greater("price", 500))).select("event_id")), f"select event_id from {BIDS_SQL} where auction % 3 = 0 and price > 500"),
         "filter_and": (lines(lambda q: q.filter(a.And(b))), f"{pick}{A} and {B}"),
         "filter_or": (lines(lambda q: q.filter(a.Or(c))), f"{pick}{A} or {C}"),
         "filter_and_or_precedence": (lines(lambda q: q.filter(a.Or(c).And(b))), f"{pick}({A} and {B}) or {C}"),
@@ -67,6 +69,31 @@ def _filters() -> dict[str, Entry]:
     }
 
 
+class Capped(w.Mapper):
+    """A user's own mapper: the lesser of a field and a value."""
+
+    symbol = "capped at"
+
+    def apply(self, left, right, integral):
+        return F.least(left, right)
+
+
+class Range(w.Aggregation):
+    """A user's own aggregation: the largest less the smallest."""
+
+    def columns(self, df):
+        return [(F.max(self.field) - F.min(self.field)).alias(f"{self.field}_range")]
+
+
+class Even(w.Predicate):
+    """A user's own predicate: divisible by ``value``."""
+
+    symbol = "divisible by"
+
+    def compare(self, left, right):
+        return left % right == 0
+
+
 def _maps() -> dict[str, Entry]:
     ids = lambda q, *more: q.select("event_id", *more)
     sql = lambda e: f"select event_id, {e} as price from {BIDS_SQL}"
@@ -81,6 +108,8 @@ def _maps() -> dict[str, Entry]:
         "map_divide_double": (over(table("lineitem"), lambda q: q.map(w.Divide("l_quantity", 4)).select("l_orderkey", "l_linenumber", "l_quantity")), "select l_orderkey, l_linenumber, l_quantity / 4 as l_quantity from lineitem"),
         "map_concat_lit": (over(bids, lambda q: ids(q.map(w.Concat("event_type", "-x")), "event_type")), f"select event_id, event_type || '-x' as event_type from {BIDS_SQL}"),
         "map_concat_field": (over(table("part"), lambda q: q.map(w.Concat("p_brand", Field("p_type", DataType.String), "both")).select("p_partkey", "both")), "select p_partkey, p_brand || p_type as both from part"),
+        "own_mapper": (over(bids, lambda q: ids(q.map(Capped("price", 900)), "price")), sql("least(price, 900)")),
+        "own_aggregation": (over(bids, lambda q: q.group_by("auction").aggregate(Range("price"))), f"select auction, max(price) - min(price) as price_range from {BIDS_SQL} group by auction"),
         "map_output_field": (over(bids, lambda q: ids(q.map(w.Add("price", 7, "more")), "price", "more")), f"select event_id, price, price + 7 as more from {BIDS_SQL}"),
     }
 
@@ -135,6 +164,18 @@ def _windows() -> dict[str, Entry]:
         "win_slide_sum": (over(bids, lambda q: q.group_by("auction").window(sliding).aggregate(w.Sum("price"))), slide(AGGREGATES["sum"][1])),
         "win_slide_avg": (over(bids, lambda q: q.group_by("auction").window(sliding).aggregate(w.Avg("price"))), slide(AGGREGATES["avg"][1])),
         "win_session_count": (over(bids, lambda q: q.group_by("auction").window(sessions).aggregate(w.Count())), session),
+        "win_session_processing_time": (over(bids, lambda q: q.group_by("auction").window(w.SessionProcessingTimeWindow(w.Time.minutes(30), on="ts")).aggregate(w.Count())), session),
+        # the wall clock is one instant of a batch: one window, or session, of each key
+        "win_tumble_wall_clock": (over(bids, lambda q: q.group_by("auction").window(w.TumblingProcessingTimeWindow(w.Time.minutes(60))).aggregate(w.Count(), include_bounds=False)), f"select auction, count(*) as count from {BIDS_SQL} group by auction"),
+        "win_session_wall_clock": (over(bids, lambda q: q.group_by("auction").window(w.SessionProcessingTimeWindow(w.Time.minutes(30))).aggregate(w.Sum("price"), include_bounds=False)), f"select auction, {AGGREGATES['sum'][1]} from {BIDS_SQL} group by auction"),
+        "countwin_by_trigger": (
+            over(bids, lambda q: q.key_by("auction").window(w.TumblingProcessingTimeWindow(w.Time.minutes(1), on="event_id").with_trigger(w.PurgingTrigger(w.CountTrigger(10)))).aggregate(w.Max("price"), w.Count())),
+            f"select auction, rn // 10 as window_index, max(price) as price_max, count(*) as count from {numbered('partition by auction ')} group by all having count(*) = 10",
+        ),
+        "countwin_by_string": (
+            over(table("customer"), lambda q: q.window(w.TumblingProcessingTimeWindow(w.Counter(25), on="c_name")).aggregate(w.Count(), w.Min("c_custkey"))),
+            "select rn // 25 as window_index, count(*) as count, min(c_custkey) as c_custkey_min from (select *, row_number() over (order by c_name) - 1 as rn from customer) group by all having count(*) = 25",
+        ),
         "countwin_global": (over(bids, lambda q: q.window(counted(100)).aggregate(w.Sum("price"), w.Count())), f"select rn // 100 as window_index, {AGGREGATES['sum'][1]}, count(*) as count from {numbered('')} group by all having count(*) = 100"),
         "countwin_keyed": (over(bids, lambda q: q.key_by("auction").window(counted(10)).aggregate(w.Avg("price"))), f"select auction, rn // 10 as window_index, {AGGREGATES['avg'][1]} from {numbered('partition by auction ')} group by all having count(*) = 10"),
         "countwin_grouped": (over(bids, lambda q: q.group_by("event_type").window(counted(100)).aggregate(w.Count())), f"select event_type, rn // 100 as window_index, count(*) as count from {numbered('')} where rn // 100 < (select count(*) // 100 from events) group by all"),

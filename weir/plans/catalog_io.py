@@ -6,14 +6,17 @@ it back the way a user would.
 
 from __future__ import annotations
 
-import tempfile
+import io
+import socket
+import threading
 import uuid
+from contextlib import redirect_stdout
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import weir as w
 from weir.plans.catalog import BIDS_SQL, Entry, bids, over
-from weir.sinks.writers import line
+from weir.plans.shared import new_path
 from weir.sources import binary, generator
 from weir.streaming.countwin import ROCKSDB, aggregate_full
 
@@ -25,12 +28,6 @@ MILLIS = "unix_date(cast(ts as date)) * 86400000L + hour(ts) * 3600000L + minute
 ALL_FILES = 1_000_000
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the folder that the cluster shares; a temporary one only where none is set, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weir-")
-    return f"{folder.rstrip('/')}/weir/{name}-{uuid.uuid4().hex}"
-
-
 def records(spark: SparkSession, d: str) -> DataFrame:
     """The bid stream's own record: four integers, time in milliseconds."""
     return bids(spark, d).select("auction", "bidder", "price", F.expr(MILLIS).alias("dateTime"))
@@ -65,7 +62,13 @@ def generated(zipf: float | None):
     def run(spark: SparkSession, d: str) -> DataFrame:
         made = generator.bids(spark, 100_000, 100, 1000, zipf=zipf)
         fits = F.expr("auction between 0 and 999 and bidder between 0 and 99 and price between 0 and 99")
-        return made.agg(F.count(F.lit(1)).alias("n"), F.sum("dateTime").alias("times"), F.min(fits).alias("in_range"))
+        found = made.agg(F.count(F.lit(1)).alias("n"), F.sum("dateTime").alias("times"), F.min(fits).alias("in_range"))
+        # even keys have about a thousandth each; by the power law the first has 0.173 of the rows, the second 0.091
+        top = made.groupBy("auction").count().agg(
+            F.max("count").alias("most"), F.max(F.when(F.col("auction") == 0, F.col("count"))).alias("first"), F.max(F.when(F.col("auction") == 1, F.col("count"))).alias("second")
+        )
+        skewed = F.expr("first = most and first between 16500 and 18100 and second between 8500 and 9600")
+        return found.join(F.broadcast(top.select(F.expr("most < 200").alias("even"), skewed.alias("skewed"))))
 
     return run
 
@@ -76,9 +79,43 @@ def delimited(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema("value string").text(path)
 
 
-def console_lines(spark: SparkSession, d: str) -> DataFrame:
-    df = w.Query.over(bids(spark, d)).group_by("auction").aggregate(w.Sum("price"), w.Count()).to_df(spark)
-    return df.select(line(df, "|", ":"))
+def printed(spark: SparkSession, d: str) -> DataFrame:
+    """What the print sink writes on the driver, a line for each of a few groups."""
+    lines = io.StringIO()
+    with redirect_stdout(lines):
+        w.Query.over(bids(spark, d)).group_by("event_type").aggregate(w.Sum("price"), w.Count()).print().execute(spark)
+    return spark.createDataFrame([(x,) for x in lines.getvalue().splitlines()], "value string")
+
+
+def plan_text(spark: SparkSession, d: str) -> DataFrame:
+    q = w.Query.over(bids(spark, d)).filter(w.Greater("price", 5)).filter(w.Less("bidder", 9)).group_by("auction").aggregate(w.Count()).print()
+    with redirect_stdout(io.StringIO()):
+        lines = q.print_query_plan().splitlines() + q.print_pipeline_permutations().splitlines()
+    return spark.createDataFrame(list(enumerate(lines)), "line int, value string")
+
+
+def from_socket(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that a server on the driver sends, as a stream."""
+    name, server = f"lines_{uuid.uuid4().hex}", socket.create_server(("127.0.0.1", 0))
+
+    def serve() -> None:
+        link, _ = server.accept()
+        link.sendall(b"one\ntwo\none\n")
+        done.wait(60)
+        link.close()
+
+    done = threading.Event()
+    threading.Thread(target=serve, daemon=True).start()
+    q = w.Query(path=None).input(w.InputType.Socket, streaming=True, host="127.0.0.1", port=server.getsockname()[1])
+    live = q.filter(w.NotEqual("value", "none")).to_output_buffer(name).execute(spark, checkpoint=new_path(spark, "progress"), available_now=False)
+    try:
+        while spark.table(name).count() < 3:
+            live.processAllAvailable()
+    finally:
+        live.stop()
+        done.set()
+        server.close()
+    return spark.table(name)
 
 
 def buffered(spark: SparkSession, d: str) -> DataFrame:
@@ -102,24 +139,71 @@ def streamed(build):
     return run
 
 
+def by_trigger(spark: SparkSession, d: str) -> DataFrame:
+    """A stream that runs on, a batch each second by its window's trigger, stopped once all is read."""
+    source = w.Query.generate(w.Config().with_run_length(ALL_FILES), generator.BID_SCHEMA, stored(spark, d, w.InputType.BinaryFile))
+    window = w.TumblingEventTimeWindow(w.Time.seconds(10), "dateTime").with_trigger(w.PurgingTrigger(w.ProcessingTimeTrigger(w.Time.seconds(1))))
+    q = source.input(w.InputType.BinaryFile, streaming=True).group_by("auction").window(window).aggregate(w.Avg("price"))
+    outs = [new_path(spark, "triggered"), new_path(spark, "triggered")]
+    live = q.write(outs[0]).write(outs[1]).execute(spark, checkpoint=new_path(spark, "progress"))
+    live.processAllAvailable()
+    live.stop()
+    read = [spark.read.schema(q.to_df(spark).schema).option("sep", ";").csv(out) for out in outs]
+    both = [df.select(F.lit(k).alias("sink"), *(F.unix_millis(c).alias(c) if c.startswith("window_") else c for c in df.columns)) for k, df in enumerate(read)]
+    return both[0].unionByName(both[1])
+
+
+def late_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The later half of the records first, then the others: these are behind the watermark and count nowhere."""
+    rows, path, out = records(spark, d), new_path(spark, "bids-late"), new_path(spark, "late")
+    middle = rows.agg(F.expr("(min(dateTime) + max(dateTime)) div 2")).first()[0]
+    progress = new_path(spark, "progress")
+    q = w.Query.generate(w.Config().with_run_length(ALL_FILES), generator.BID_SCHEMA, path).input(w.InputType.BinaryFile, streaming=True)
+    q = q.group_by("auction").window(w.TumblingEventTimeWindow(w.Time.seconds(10), "dateTime")).aggregate(w.Count()).write(out)
+    for half in (F.col("dateTime") >= middle, F.col("dateTime") < middle):
+        binary.write(rows.filter(half), path, generator.BID_SCHEMA)
+        q.execute(spark, checkpoint=progress).awaitTermination()
+    read = spark.read.schema(q.to_df(spark).schema).option("sep", ";").csv(out)
+    return read.select("auction", F.unix_millis("window_start").alias("window_start"), F.unix_millis("window_end").alias("window_end"), "count")
+
+
+def throughput(spark: SparkSession, d: str) -> DataFrame:
+    """The log of a stream's input rates, on the driver."""
+    from weir.streaming.listener import ThroughputListener
+
+    seen: list[float] = []
+    listener = ThroughputListener(keep=seen.append)
+    spark.streams.addListener(listener)
+    streamed(lambda q: q.filter(w.Greater("price", 5000)).select(COLUMNS))(spark, d)
+    for _ in range(100):  # reports come after the query's end
+        if seen:
+            break
+        threading.Event().wait(0.1)
+    spark.streams.removeListener(listener)
+    return spark.createDataFrame([(len(seen) > 0 and max(seen) > 0,)], "logged boolean")
+
+
 def streamed_count_windows(spark: SparkSession, d: str) -> DataFrame:
-    """Arrival order is not fixed, so only the sizes of the full windows can be compared."""
-    path, out = stored(spark, d, w.InputType.BinaryFile), new_path(spark, "counted")
+    """Full windows of ten rows of each auction as they arrive: from one file, so in its order."""
+    path, out = new_path(spark, "bids-ordered"), new_path(spark, "counted")
+    binary.write(bids(spark, d).coalesce(1).sortWithinPartitions("event_id").select("auction", "bidder", "price", F.col("event_id").alias("dateTime")), path, generator.BID_SCHEMA)
     own = spark.newSession()  # the state store is a setting of this query alone
     own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     source = w.Query.generate(w.Config().with_run_length(ALL_FILES), generator.BID_SCHEMA, path).input(w.InputType.BinaryFile, streaming=True)
-    rows = source.key_by("auction").window(w.CountWindow(10)).aggregate(w.Count()).to_df(own)
-    save = lambda batch, n: aggregate_full(batch, ["auction"], [w.Count()]).write.mode("overwrite").parquet(f"{out}/batch={n}")
+    wanted = [w.Sum("price"), w.Max("dateTime"), w.Count()]
+    rows = source.key_by("auction").window(w.CountWindow(10)).aggregate(*wanted).to_df(own)
+    save = lambda batch, n: aggregate_full(batch, ["auction"], wanted).write.mode("overwrite").parquet(f"{out}/batch={n}")
     rows.writeStream.option("checkpointLocation", new_path(spark, "progress")).trigger(availableNow=True).foreachBatch(save).start().awaitTermination()
-    return spark.read.schema("auction long, window_index long, count long").parquet(out).select("auction", "window_index", "count")
+    kept = "auction long, window_index long, price_sum long, dateTime_max long, count long"
+    return spark.read.schema(kept).parquet(out).select("auction", "window_index", "price_sum", "dateTime_max", "count")
 
 
 def entries() -> dict[str, Entry]:
     kinds = (w.InputType.BinaryFile, w.InputType.CSVFile, w.InputType.JSON, w.InputType.ORC, w.InputType.Parquet)
     picked = f"select * from {RECORDS_SQL} where price > 5000"
     out: dict[str, Entry] = {f"source_{k.name.lower().removesuffix('file')}": (from_files(k), picked) for k in kinds}
-    made = "select 100000 as n, 4999950000 as times, true as in_range"
+    made = lambda skewed: f"select 100000 as n, 4999950000 as times, true as in_range, {not skewed} as even, {skewed} as skewed"
     grouped = f"(select auction, cast(sum(price) as bigint) as price_sum, count(*) as count from {BIDS_SQL} group by auction)"
     s = w.Time.seconds
     on = "dateTime"
@@ -136,10 +220,17 @@ def entries() -> dict[str, Entry]:
     closed = lambda sql, least="": f"select * from ({sql}) where window_end <= {least or seen}"
     return out | {
         "source_memory": (from_memory, "select 'a' as k, 4 as v_sum union all select 'b', 2"),
-        "source_generator": (generated(None), made),
-        "source_generator_skewed": (generated(1.2), made),
+        "source_generator": (generated(None), made(False)),
+        "source_generator_skewed": (generated(1.2), made(True)),
+        "source_socket": (from_socket, "select unnest(['one', 'two', 'one']) as value"),
         "sink_delimited": (delimited, f"select auction || ';' || price_sum || ';' || count as value from {grouped}"),
-        "sink_console_lines": (console_lines, f"select auction || ':' || price_sum || '|' || count || '|' as value from {grouped}"),
+        "sink_print": (printed, f"select event_type || ':' || cast(sum(price) as bigint) || '|' || count(*) || '|' as value from {BIDS_SQL} group by event_type"),
+        "explain_plan_text": (
+            plan_text,
+            """select * from (values (0, 'print()'), (1, '  aggregate(Count(), True)'), (2, '    group_by(auction)'), (3, '      filter(bidder < 9)'),
+            (4, '        filter(price > 5)'), (5, '          source(DataFrame)'), (6, '0: price > 5 -> bidder < 9'), (7, '1: bidder < 9 -> price > 5')) as t(line, value)""",
+        ),
+        "stream_throughput_log": (throughput, "select true as logged"),
         "sink_buffer": (buffered, f"select auction, count from {grouped}"),
         "stream_filter_map": (
             streamed(lambda q: q.filter(w.Greater("price", 5000)).filter(w.Less("bidder", 50)).map(w.Add("price", 7)).select(COLUMNS)),
@@ -151,8 +242,15 @@ def entries() -> dict[str, Entry]:
         ),
         "stream_slide_sum": (streamed(lambda q: q.group_by("auction").window(w.SlidingEventTimeWindow(s(600), s(300), on)).aggregate(w.Sum("price"))), closed(slid)),
         "stream_session_count": (streamed(lambda q: q.group_by("auction").window(w.SessionEventTimeWindow(s(1800), on)).aggregate(w.Count())), closed(sessions)),
+        "stream_trigger_and_sinks": (by_trigger, f"select unnest([0, 1]) as sink, * from ({closed(tumbled.replace('where auction >= 50', ''))})"),
+        "stream_late_rows": (
+            late_rows,
+            closed(f"""select auction, {start(10000)} as window_start, {start(10000)} + 10000 as window_end, count(*) as count from {RECORDS_SQL}
+            where dateTime >= (select (min(dateTime) + max(dateTime)) // 2 from {RECORDS_SQL}) group by all"""),
+        ),
         "stream_countwin_keyed": (
             streamed_count_windows,
-            f"select auction, unnest(range(0, count // 10)) as window_index, 10 as count from {grouped} where count >= 10",
+            f"""select auction, rn // 10 as window_index, cast(sum(price) as bigint) as price_sum, max(event_id) as "dateTime_max", count(*) as count
+            from (select *, row_number() over (partition by auction order by event_id) - 1 as rn from {BIDS_SQL}) group by all having count(*) = 10""",
         ),
     }

@@ -23,7 +23,8 @@ class Step:
     args: tuple = ()
 
     def __str__(self) -> str:
-        return f"{self.kind}({', '.join(map(str, self.args))})"
+        parts = [x for a in self.args for x in (a if isinstance(a, tuple) else (a,))]
+        return f"{self.kind}({', '.join(map(str, parts))})"
 
 
 @dataclass(frozen=True)

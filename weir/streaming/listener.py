@@ -6,10 +6,10 @@ from pyspark.sql.streaming import StreamingQueryListener
 
 
 class ThroughputListener(StreamingQueryListener):
-    """Appends ``second;rows_per_second`` to a file on the driver."""
+    """Appends ``second;rows_per_second`` to a file on the driver, and hands the rate to ``keep``, if given."""
 
-    def __init__(self, path: str, limit: int = 500) -> None:
-        self.path, self.left = path, limit
+    def __init__(self, path: str | None = None, limit: int = 500, keep=None) -> None:
+        self.path, self.left, self.keep = path, limit, keep
 
     def onQueryStarted(self, event) -> None:
         pass
@@ -18,8 +18,11 @@ class ThroughputListener(StreamingQueryListener):
         if self.left <= 0:
             return
         self.left -= 1
-        with open(self.path, "a") as out:
-            out.write(f"{event.progress.timestamp};{event.progress.processedRowsPerSecond}\n")
+        if self.keep:
+            self.keep(event.progress.processedRowsPerSecond)
+        if self.path:
+            with open(self.path, "a") as out:
+                out.write(f"{event.progress.timestamp};{event.progress.processedRowsPerSecond}\n")
 
     def onQueryIdle(self, event) -> None:
         pass
