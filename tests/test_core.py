@@ -189,6 +189,22 @@ def test_buffer_is_run_once_and_kept(spark):
     assert spark.table("kept_once").count() == 50 == spark.table("kept_once").count() and runs.value == 50
 
 
+def test_shared_paths_are_of_one_application(spark):
+    import os
+
+    from weir.plans import shared
+
+    a, b = shared.new_path(spark, "x"), shared.new_path(spark, "x")
+    assert a != b and spark.sparkContext.applicationId in a and a.startswith(spark.conf.get("spark.checkpoint.dir"))
+    other = spark.newSession()
+    other.conf.unset("spark.checkpoint.dir")
+    other.conf.set("spark.checkpoint.dir", os.path.join(spark.conf.get("spark.checkpoint.dir"), "other"))
+    path = shared.new_path(other, "y")
+    other.range(3).write.parquet(path)
+    shared.clear(other)
+    assert not os.path.exists(path)
+
+
 def test_print_with_a_limit(spark, capsys):
     w.Query.over(spark.range(100).selectExpr("id", "id as v")).print().execute(spark, print_limit=5)
     assert len(capsys.readouterr().out.splitlines()) == 5
