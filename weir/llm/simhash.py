@@ -539,9 +539,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     to one; those of unlike texts are different documents.  Rows without a
     doc_id cannot be told apart: they stay and link nothing.
     """
-    keep = groups(docs).groupBy("group").agg(F.min(F.struct("doc_id", "copy")).alias("kept"))
-    keep = keep.select(F.col("kept.doc_id").alias("_kept"), F.col("kept.copy").alias("_copy"))
+    found = written(groups(docs), "of_each")
+    keep = found.groupBy("group").agg(F.min(F.struct("doc_id", "copy")).alias("kept")).select("kept.*")
+    repeated = found.groupBy("doc_id", "copy").count().filter("count > 1").select("doc_id", "copy", F.lit(True).alias("again"))
+    keep = written(keep.join(repeated, ["doc_id", "copy"], "left").select(F.col("doc_id").alias("_kept"), F.col("copy").alias("_copy"), F.col("again").isNotNull().alias("_again")), "kept")
     marked = docs.withColumn("_text", F.xxhash64("text"))
-    kept = marked.join(keep, (F.col("doc_id") == F.col("_kept")) & (F.col("_text") == F.col("_copy")), "left_semi")
-    kept = kept.dropDuplicates(["doc_id", "_text"]).drop("_text")
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+    of = lambda rows: marked.join(rows, (F.col("doc_id") == F.col("_kept")) & (F.col("_text") == F.col("_copy")), "left_semi")
+    once = of(keep.filter("not _again"))
+    again = of(keep.filter("_again")).dropDuplicates(["doc_id", "_text"])  # of all texts only these are moved to be told apart
+    return once.unionByName(again).drop("_text").unionByName(docs.filter(F.col("doc_id").isNull()))
