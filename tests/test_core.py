@@ -189,20 +189,23 @@ def test_buffer_is_run_once_and_kept(spark):
     assert spark.table("kept_once").count() == 50 == spark.table("kept_once").count() and runs.value == 50
 
 
-def test_shared_paths_are_of_one_application(spark):
+def test_shared_paths_are_of_one_application(spark, monkeypatch):
     import os
+    from types import SimpleNamespace
 
     from weir.plans import shared
 
     a, b = shared.new_path(spark, "x"), shared.new_path(spark, "x")
     assert a != b and spark.sparkContext.applicationId in a and a.startswith(spark.conf.get("spark.checkpoint.dir"))
-    other = spark.newSession()
-    other.conf.unset("spark.checkpoint.dir")
-    other.conf.set("spark.checkpoint.dir", os.path.join(spark.conf.get("spark.checkpoint.dir"), "other"))
-    path = shared.new_path(other, "y")
-    other.range(3).write.parquet(path)
-    shared.clear(other)
-    assert not os.path.exists(path)
+    unset = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master, applicationId="app-0"))
+    with pytest.raises(ValueError, match="shared"):
+        shared.shared_folder(unset("spark://host:7077"))
+    local = shared.shared_folder(unset("local[4]"))
+    assert local == shared.shared_folder(unset("local[4]")) and os.path.isdir(local)
+    monkeypatch.setattr(shared, "_own_folder", lambda s: a)
+    spark.range(3).write.parquet(a)
+    shared.clear(spark)
+    assert not os.path.exists(a)
 
 
 def test_print_with_a_limit(spark, capsys):

@@ -8,14 +8,18 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+#: The temporary folder of each application that runs on one machine without a shared folder.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a temporary one only where it is unset and Spark runs on this machine alone, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
-        folder = tempfile.mkdtemp(prefix="weir-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _LOCAL.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="weir-")
+        _LOCAL[spark.sparkContext.applicationId] = folder
     return folder.rstrip("/")
 
 
