@@ -198,7 +198,7 @@ def test_shared_paths_are_of_one_application(spark, monkeypatch):
     a, b = shared.new_path(spark, "x"), shared.new_path(spark, "x")
     assert a != b and spark.sparkContext.applicationId in a and a.startswith(spark.conf.get("spark.checkpoint.dir"))
     unset = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master, applicationId="app-0"))
-    with pytest.raises(ValueError, match="shared"):
+    with pytest.raises(ValueError, match="shares"):
         shared.shared_folder(unset("spark://host:7077"))
     local = shared.shared_folder(unset("local[4]"))
     assert local == shared.shared_folder(unset("local[4]")) and os.path.isdir(local)
