@@ -34,9 +34,8 @@ def cents(spark: SparkSession, d: str) -> DataFrame:
     return table("customer")(spark, d).select("c_custkey", "c_nationkey", F.round(F.col("c_acctbal") * 100).cast("long").alias("bal"))
 
 
-def over(source, build: Callable[[w.Query], w.Query]) -> Callable[[SparkSession, str], DataFrame]:
-    plain = w.Config().with_filter_opt(False)
-    return lambda spark, d: build(w.Query.over(source(spark, d), plain)).to_df(spark)
+def over(source, build: Callable[[w.Query], w.Query], config: w.Config | None = None) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: build(w.Query.over(source(spark, d), config)).to_df(spark)
 
 
 def f(name: str) -> Field:
@@ -51,7 +50,7 @@ def _filters() -> dict[str, Entry]:
         out[f"filter_{name}_str"] = (over(table("events"), lambda q, kind=kind: q.filter(kind("event_type", "error")).select("event_id", "event_type")), f"select event_id, event_type from events where event_type {op} 'error'")
         out[f"filter_{name}_num"] = (over(line_items, lambda q, kind=kind: q.filter(kind("l_quantity", 25)).select("l_orderkey", "l_linenumber", "l_quantity")), f"select {LINES} from lineitem where l_quantity {op} 25")
     a, b, c = w.Greater("l_quantity", 25), w.Less("l_discount", 0.05), w.Equal("l_returnflag", "R")
-    lines = lambda build: over(line_items, lambda q: build(q).select("l_orderkey", "l_linenumber", "l_quantity"))
+    lines = lambda build, config=None: over(line_items, lambda q: build(q).select("l_orderkey", "l_linenumber", "l_quantity"), config)
     pick = f"select {LINES} from lineitem where "
     A, B, C = "l_quantity > 25", "l_discount < 0.05", "l_returnflag = 'R'"
     return out | {
@@ -62,7 +61,7 @@ def _filters() -> dict[str, Entry]:
         "filter_and": (lines(lambda q: q.filter(a.And(b))), f"{pick}{A} and {B}"),
         "filter_or": (lines(lambda q: q.filter(a.Or(c))), f"{pick}{A} or {C}"),
         "filter_and_or_precedence": (lines(lambda q: q.filter(a.Or(c).And(b))), f"{pick}({A} and {B}) or {C}"),
-        "filter_chain": (lines(lambda q: q.filter(a).filter(b).filter(c)), f"{pick}{A} and {B} and {C}"),
+        "filter_chain": (lines(lambda q: q.filter(a).filter(b).filter(c), w.Config().with_filter_opt(False)), f"{pick}{A} and {B} and {C}"),  # in the order written
         "filter_permutation": (lambda s, d: w.Query.over(line_items(s, d), w.Config().with_pipeline_permutation(4)).filter(a).filter(b).filter(c).select("l_orderkey", "l_linenumber", "l_quantity").to_df(s), f"{pick}{A} and {B} and {C}"),
         "adaptive_filter_same_result": (lambda s, d: w.Query.over(line_items(s, d)).filter(a).filter(b).filter(c).select("l_orderkey", "l_linenumber", "l_quantity").to_df(s), f"{pick}{A} and {B} and {C}"),
         "filter_after_aggregate": (over(bids, lambda q: q.group_by("auction").aggregate(w.Count()).filter(w.Greater("count", 60))), f"select * from (select auction, count(*) as count from {BIDS_SQL} group by auction) where count > 60"),

@@ -44,7 +44,7 @@ def stored(spark: SparkSession, d: str, kind: w.InputType) -> str:
 
 def from_files(kind: w.InputType):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        q = w.Query.generate(w.Config().with_filter_opt(False), generator.BID_SCHEMA, stored(spark, d, kind), kind)
+        q = w.Query.generate(w.Config(), generator.BID_SCHEMA, stored(spark, d, kind), kind)
         return q.filter(w.Greater("price", 5000)).select(COLUMNS).to_df(spark)
 
     return run
