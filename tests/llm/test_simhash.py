@@ -7,6 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from weir.llm import queries, simhash
+from weir.llm.common import maybe_in
 from weir.llm.components import components
 
 
@@ -231,6 +232,26 @@ def test_groups_of_real_documents(spark):
     assert simhash.one_of_each(docs).count() == len(members)
 
 
+def test_rows_that_a_join_may_need(spark):
+    """A map of any size says yes to all keys; a full one to all else, too."""
+    rows = spark.range(2000).selectExpr("id", "-id * 7919 as k")
+    keys = rows.filter("id % 50 = 0").select("k")
+    for bits in (64, 1 << 10, 1 << 24):
+        got = {r.id: r._maybe for r in maybe_in(rows, F.col("k"), keys, bits).collect()}
+        assert len(got) == 2000 and all(got[i] for i in range(0, 2000, 50))
+        assert (sum(got.values()) == 40) == (bits == 1 << 24)
+    assert not any(r._maybe for r in maybe_in(rows, F.col("k"), keys.limit(0)).collect())
+
+
+def test_the_map_does_not_change_what_is_kept(spark, documents, monkeypatch):
+    docs = documents.unionByName(documents.limit(30)).unionByName(documents.limit(5).withColumn("doc_id", F.lit(None).cast("long")))
+    kept = []
+    for bits in (1 << 24, 64):
+        monkeypatch.setattr(simhash, "maybe_in", lambda rows, key, keys, bits=bits: maybe_in(rows, key, keys, bits))
+        kept.append(sorted(map(str, simhash.one_of_each(docs).collect())))
+    assert kept[0] == kept[1] and 5 < len(kept[0]) < docs.count() - 30
+
+
 def test_unlike_texts_of_one_id_both_stay(spark):
     one, two = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
     df = spark.createDataFrame([(1, one), (1, two), (1, one), (2, two)], "doc_id long, text string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -55,5 +55,24 @@ def hot_join(rows: DataFrame, single: DataFrame, key: str, total: int, how: str
     return near.unionByName(rest)
 
 
+#: Bits of the map by which rows that a join may need are told from those that it does not.
+MAP_BITS = 1 << 24
+
+
+def maybe_in(rows: DataFrame, key: Column, keys: DataFrame, bits: int = MAP_BITS) -> DataFrame:
+    """``rows`` with ``_maybe``: false only where the long ``key`` is not among the one column of ``keys``.
+
+    A map of ``bits`` bits is broadcast, at most ``bits / 64`` rows whatever
+    the input, so rows that a join does not need are not shuffled for it.  As
+    keys grow past the map, more rows are taken for needed; results are the same.
+    """
+    place = F.pmod(F.col(keys.columns[0]), F.lit(bits))
+    words = keys.select(place.alias("p")).groupBy(F.floor(F.col("p") / 64).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("_bits"))
+    at = rows.withColumn("_at", F.pmod(key, F.lit(bits)))
+    at = at.join(F.broadcast(words), F.floor(F.col("_at") / 64) == F.col("_word"), "left")
+    found = F.expr("shiftrightunsigned(_bits, cast(_at % 64 as int)) & 1L") == 1
+    return at.withColumn("_maybe", F.coalesce(found, F.lit(False))).drop("_at", "_word", "_bits")
+
+
 def rows_of(df: DataFrame) -> int:
     return df.agg(F.count(F.lit(1))).first()[0]

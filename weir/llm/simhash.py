@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from weir.llm.common import hot_join, map_texts, rows_of, written
+from weir.llm.common import hot_join, map_texts, maybe_in, rows_of, written
 from weir.llm.components import components
 
 RADIUS, LENGTH = 3, 23
@@ -475,7 +475,8 @@ def verify(docs: DataFrame, members: DataFrame, width: int, part_sets: int = PAR
     cuts = members.groupBy("root").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"))
     cuts = cuts.withColumn("cuts", F.ceil(F.greatest(F.col("sets") / part_sets, F.col("shingles") / part_shingles)).cast("int")).filter("cuts > 1")
     members = members.join(cuts.select("root", "cuts"), "root", "left").select(F.col("doc_id").alias("member"), "name", "node", "root", F.coalesce("cuts", F.lit(1)).alias("cuts"))
-    texts = docs.select("doc_id", "text").join(members, F.col("doc_id") == F.col("member"))
+    asked = maybe_in(docs.select("doc_id", "text"), F.xxhash64("doc_id"), members.select(F.xxhash64("member"))).filter("_maybe")
+    texts = asked.join(members, F.col("doc_id") == F.col("member"))
 
     def sets(batch: pa.RecordBatch) -> Iterator[dict]:
         found = [shingle_set(t.as_py(), width) for t in batch.column(0)]
@@ -541,10 +542,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     found = written(groups(docs), "of_each")
     keep = found.groupBy("group").agg(F.min(F.struct("doc_id", "copy")).alias("kept")).select("kept.*")
-    repeated = found.groupBy("doc_id", "copy").count().filter("count > 1").select("doc_id", "copy", F.lit(True).alias("again"))
-    keep = written(keep.join(repeated, ["doc_id", "copy"], "left").select(F.col("doc_id").alias("_kept"), F.col("copy").alias("_copy"), F.col("again").isNotNull().alias("_again")), "kept")
-    marked = docs.withColumn("_text", F.xxhash64("text"))
-    of = lambda rows: marked.join(rows, (F.col("doc_id") == F.col("_kept")) & (F.col("_text") == F.col("_copy")), "left_semi")
-    once = of(keep.filter("not _again"))
-    again = of(keep.filter("_again")).dropDuplicates(["doc_id", "_text"])  # of all texts only these are moved to be told apart
-    return once.unionByName(again).drop("_text").unionByName(docs.filter(F.col("doc_id").isNull()))
+    keep = written(keep.select(F.col("doc_id").alias("_kept"), F.col("copy").alias("_copy")), "kept")
+    kept = (F.col("doc_id") == F.col("_kept")) & (F.col("copy") == F.col("_copy"))
+    # rows that go, and rows that are there several times: only these are moved
+    several = found.groupBy("doc_id", "copy").count().filter("count > 1").select("doc_id", "copy")
+    moved = written(found.join(keep, kept, "left_anti").select("doc_id", "copy").union(several).select(F.xxhash64("doc_id", "copy")), "moved")
+    marked = docs.filter(F.col("doc_id").isNotNull()).withColumn("_text", F.xxhash64("text"))
+    marked = maybe_in(marked, F.xxhash64("doc_id", "_text"), moved)
+    held = (F.col("doc_id") == F.col("_kept")) & (F.col("_text") == F.col("_copy"))
+    rest = marked.filter("_maybe").join(keep, held, "left_semi").dropDuplicates(["doc_id", "_text"])
+    return marked.filter("not _maybe").unionByName(rest).select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
