@@ -103,7 +103,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def pair_counts(docs: DataFrame, maps: list[Broadcast]) -> DataFrame:
-    """``name, left, right, n`` of the pairs of adjacent frequent phrases of ``len(maps)`` words, ``maps`` telling the frequent ones of each level."""
+    """``left, right, n`` of the pairs of adjacent frequent phrases of ``len(maps)`` words, ``maps`` telling the frequent ones of each level."""
 
     def per_batch(batch: pa.RecordBatch) -> Iterator[dict]:
         for lang, words, known in _words(batch, CHUNK):
@@ -117,13 +117,22 @@ def pair_counts(docs: DataFrame, maps: list[Broadcast]) -> DataFrame:
                 if level == len(maps):
                     both[: max(0, known - level)] = False  # these end in words that have been counted
                     left, right = left[both], right[both]
-                    made, first, n = np.unique(pair(left, right), return_index=True, return_counts=True)
-                    yield {"name": made.view(np.int64), "left": left[first].view(np.int64), "right": right[first].view(np.int64), "n": n}
+                    _, first, n = np.unique(pair(left, right), return_index=True, return_counts=True)
+                    yield {"left": left[first].view(np.int64), "right": right[first].view(np.int64), "n": n}
                 else:
                     names = np.where(both, pair(left, right), np.uint64(0))
 
-    found = map_texts(docs, ["lang", "text"], "name long, left long, right long, n long", per_batch)
-    return found.groupBy("name", "left", "right").agg(F.sum("n").alias("n"))
+    return map_texts(docs, ["lang", "text"], "left long, right long, n long", per_batch).groupBy("left", "right").agg(F.sum("n").alias("n"))
+
+
+def named(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with their ``name``; the frequent ones alone get one, so that no name is shuffled while pairs are counted."""
+
+    def per_batch(batch: pa.RecordBatch) -> Iterator[dict]:
+        left, right, n = (batch.column(c).to_numpy() for c in range(3))
+        yield {"name": pair(left.view(np.uint64), right.view(np.uint64)).view(np.int64), "left": left, "right": right, "n": n}
+
+    return map_texts(pairs, ["left", "right", "n"], "name long, left long, right long, n long", per_batch, rows=1 << 16)
 
 
 def name_map(names: DataFrame, bits: int = MAP_BITS) -> Broadcast:
@@ -142,7 +151,7 @@ def score(a: str, left: str, right: str) -> Column:
 
 def _level(counts: DataFrame, below: DataFrame) -> DataFrame:
     """The frequent pairs, with what their parents in the level ``below`` know: ``firsts`` (counts of the first 1, 2, ... words), ``lasts`` likewise."""
-    pairs = counts.filter(F.col("n") >= LEAST)
+    pairs = named(counts.filter(F.col("n") >= LEAST))
     a = below.select(F.col("name").alias("left"), "lang", F.col("phrase").alias("head"), F.array_append("firsts", F.col("a")).alias("firsts"))
     b = below.select(F.col("name").alias("right"), F.col("last"), F.array_append("lasts", F.col("a")).alias("lasts"))
     return pairs.join(a, "left").join(b, "right").select("lang", "name", "left", "right", F.col("n").alias("a"), F.concat_ws(" ", "head", "last").alias("phrase"), "last", "firsts", "lasts")
