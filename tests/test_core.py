@@ -276,3 +276,17 @@ def test_sources_and_sinks(spark, tmp_path, capsys):
     assert values(mem.to_df(spark)) == [("z", 9)]
     with pytest.raises(ValueError):
         q.input(w.InputType.Socket).to_df(spark)
+
+
+def test_columns_may_have_the_names_used_inside(spark):
+    """Every name that windows use inside, as a user's column of texts and of numbers: its values count."""
+    inner = ["_order", "_slice", "_within", "_n", "_start", "_total", "_rn", "_all", "_key_0", "_key_1", "_window_time", "window", "window_index", "_ORDER"]
+    for c in inner:
+        for kind in ("string", "bigint"):
+            df = spark.range(25).selectExpr("id % 2 as k", "id as at", f"cast(id * 3 as {kind}) as `{c}`", "timestamp_seconds(id) as t")
+            q = w.Query.over(df).key_by("k").window(w.TumblingProcessingTimeWindow(w.Counter(4), on="at")).aggregate(w.Max(c), w.Count())
+            got = {(r["k"], r["window_index"]): r[f"{c}_max"] for r in q.to_df(spark).collect()}
+            values = lambda k, i, kind=kind: [v if kind == "bigint" else str(v) for v in range(3 * (k + 8 * i), 3 * (k + 8 * i + 8), 6)]
+            assert got == {(k, i): max(values(k, i)) for k in (0, 1) for i in range(3)}, c
+            q = w.Query.over(df).group_by(c).window(w.TumblingEventTimeWindow(w.Time.seconds(5), "t")).aggregate(w.Count())
+            assert q.to_df(spark).count() == 25

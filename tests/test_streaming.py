@@ -1,5 +1,9 @@
 """The same steps over a stream give what batch gives."""
 
+from datetime import datetime
+from decimal import Decimal
+
+import pytest
 
 import weir as w
 from weir.plans.schema import DataType
@@ -60,8 +64,9 @@ def test_late_rows_are_dropped(spark, tmp_path):
 
 
 def test_keyed_count_windows(spark, tmp_path):
+    """Rows themselves, when no aggregation is asked for; the windows of a batch are complete."""
     rows = [(i % 2, i, i) for i in range(11)]
-    q = source(spark, tmp_path, rows).input(w.InputType.BinaryFile, streaming=True).key_by("k").window(w.CountWindow(3)).aggregate(w.Sum("v"))
+    q = source(spark, tmp_path, rows).input(w.InputType.BinaryFile, streaming=True).key_by("k").window(w.CountWindow(3)).aggregate()
     out = []
     stream = (
         q.to_df(spark).writeStream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True)
@@ -71,6 +76,49 @@ def test_keyed_count_windows(spark, tmp_path):
     assert sorted(out) == [(0, 0, 6), (0, 1, 24), (1, 0, 9)]
 
 
+@pytest.mark.parametrize("grouped", [False, True])
+def test_count_window_aggregates_are_kept_in_state(spark, tmp_path, grouped):
+    """Every type and nulls, over batches that end inside windows; as batch gives."""
+    values = [float("nan") if i % 7 == 0 else None if i % 5 == 0 else i / 8 for i in range(50)]
+    rows = [(None if i % 9 == 0 else i % 3, i, (1 << 60) + i if i % 4 else None, v, Decimal(i) / 4 if i % 6 else None, None if i % 8 == 0 else f"s{i % 13}", datetime(2024, 1, 1, 0, i)) for i, v in enumerate(values)]
+    kinds = "k long, at long, v long, d double, m decimal(10,2), s string, t timestamp"
+    wanted = [w.Min("v"), w.Max("v"), w.Avg("d"), w.Min("d"), w.Max("d"), w.Sum("m"), w.Min("s"), w.Max("t"), w.Count()]
+    by = (lambda q: q.group_by("k")) if grouped else (lambda q: q.key_by("k"))
+    df = spark.createDataFrame(rows, kinds)
+    want = by(w.Query.over(df)).window(w.TumblingProcessingTimeWindow(w.Counter(4), on="at")).aggregate(*wanted).to_df(spark)
+    folder = str(tmp_path / "in")
+    (tmp_path / "in").mkdir()
+    live = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    q = by(w.Query.over(live)).window(w.CountWindow(4)).aggregate(*wanted)
+    assert q.to_df(spark).columns == want.columns
+    for k in range(0, 50, 7):
+        df.filter(f"at >= {k} and at < {k + 7}").coalesce(1).sortWithinPartitions("at").write.mode("append").parquet(folder)
+        stream = q.to_df(spark).writeStream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True)
+        stream.format("parquet").start(str(tmp_path / "out")).awaitTermination(60)
+    tidy = lambda d: sorted(repr(tuple(r)) for r in d.collect())
+    assert tidy(spark.read.schema(want.schema).parquet(str(tmp_path / "out"))) == tidy(want)
+
+
+def test_the_state_of_a_count_window_does_not_grow_with_it(spark, tmp_path):
+    rows = [(i % 2, i, i) for i in range(20_000)]
+    q = source(spark, tmp_path, rows).input(w.InputType.BinaryFile, streaming=True).key_by("k").window(w.CountWindow(9_990)).aggregate(w.Sum("v"), w.Count())
+    live = q.to_output_buffer("large").execute(spark, checkpoint=str(tmp_path / "cp"))
+    live.awaitTermination(60)
+    state = [s for p in live.recentProgress for s in p.stateOperators]
+    assert {(r["k"], r["v_sum"], r["count"]) for r in spark.table("large").collect()} == {(k, sum(range(k, 19_980, 2)), 9_990) for k in (0, 1)}
+    assert max(s.numRowsTotal for s in state) <= 8  # for each of two keys: a counter and the one row of its open window
+
+
+def test_count_windows_need_aggregations_that_merge(spark, tmp_path):
+    class Odd(w.Aggregation):
+        def columns(self, df):
+            return [df[self.field].alias("x")]
+
+    q = source(spark, tmp_path, [(1, 1, 1)]).input(w.InputType.BinaryFile, streaming=True).key_by("k").window(w.CountWindow(3)).aggregate(Odd("v"))
+    with pytest.raises(ValueError, match="merged"):
+        q.to_df(spark)
+
+
 def test_every_sink_of_a_stream_is_fed(spark, tmp_path):
     rows = [(i % 3, i, i) for i in range(30)]
     q = source(spark, tmp_path, rows).input(w.InputType.BinaryFile, streaming=True).filter(w.Greater("v", 9))

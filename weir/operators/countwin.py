@@ -13,6 +13,18 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql import types as T
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores as it takes to be no column of ``df`` (whatever the case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 #: Distinct values that are drawn for each cut between slices of an order that is not a number.
 DRAWN = 32
 
@@ -37,30 +49,33 @@ def numbered(df: DataFrame, order_by: str, keys: list[str], name: str = "_rn", s
     """``df`` with ``name``: the 0-based position of a row in its key's order, and ``total``, the rows of its key, if named.
 
     Any type that can be ordered will do; rows without a value come first.
+    ``name`` and ``total`` must be free; what is used inside takes free names.
     """
     if slices is None:
         slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    value, cut, within, n, start, whole = free(df, "_order", "_slice", "_within", "_n", "_start", "_total")
     order, cuts = _cuts(df, order_by, slices) if slices > 1 else (F.col(order_by), [])
     part = F.lit(0)
     if cuts:
-        part = F.when(order.isNull(), F.lit(-1)).otherwise(F.size(F.filter(F.array(*cuts), lambda x: x <= F.col("_order"))))
-    sliced = df.withColumn("_order", order).withColumn("_slice", part).drop("_order")
-    before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+        part = F.when(order.isNull(), F.lit(-1)).otherwise(F.size(F.filter(F.array(*cuts), lambda x: x <= F.col(value))))
+    sliced = df.withColumn(value, order).withColumn(cut, part).drop(value)
+    before = W.partitionBy(*keys).orderBy(cut).rowsBetween(W.unboundedPreceding, -1)
     starts = (  # a row for each key and slice
-        sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("_total", F.sum("_n").over(W.partitionBy(*keys))).drop("_n")
+        sliced.groupBy(*keys, cut).agg(F.count(F.lit(1)).alias(n))
+        .withColumn(start, F.coalesce(F.sum(n).over(before), F.lit(0))).withColumn(whole, F.sum(n).over(W.partitionBy(*keys))).drop(n)
     )
-    within = F.row_number().over(W.partitionBy(*keys, "_slice").orderBy(order_by)) - 1
-    starts = starts.withColumnsRenamed({k: f"_key_{k}" for k in (*keys, "_slice")})
-    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in (*keys, "_slice")]
-    out = sliced.withColumn("_within", within).join(starts, same, "left")
-    return out.select(*df.columns, (F.col("_within") + F.col("_start")).cast("long").alias(name), *([F.col("_total").alias(total)] if total else []))
+    places = sliced.withColumn(within, F.row_number().over(W.partitionBy(*keys, cut).orderBy(order_by)) - 1)
+    renamed = dict(zip((*keys, cut), free(places, *(f"_key_{i}" for i in range(len(keys) + 1))), strict=True))
+    starts = starts.withColumnsRenamed(renamed)
+    out = places.join(starts, [F.col(k).eqNullSafe(F.col(other)) for k, other in renamed.items()], "left")
+    return out.select(*df.columns, (F.col(within) + F.col(start)).cast("long").alias(name), *([F.col(whole).alias(total)] if total else []))
 
 
-def count_windows(df: DataFrame, size: int, order_by: str, keys: list[str]) -> DataFrame:
-    """Rows of full windows only, with ``window_index`` from 0 for each key."""
+def count_windows(df: DataFrame, size: int, order_by: str, keys: list[str], name: str = "window_index") -> DataFrame:
+    """Rows of full windows only, with ``name``, the window's number from 0 for each key; ``name`` must be free."""
     if size < 1:
         raise ValueError("a count window needs at least one row")
-    rows = numbered(df, order_by, keys, total="_all")
-    rows = rows.withColumn("window_index", F.floor(F.col("_rn") / size).cast("long"))
-    return rows.filter(F.col("window_index") < F.floor(F.col("_all") / size)).drop("_rn", "_all")
+    at, whole = free(df, "_rn", "_all")
+    rows = numbered(df, order_by, keys, at, total=whole)
+    rows = rows.withColumn(name, F.floor(F.col(at) / size).cast("long"))
+    return rows.filter(F.col(name) < F.floor(F.col(whole) / size)).drop(at, whole)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from weir.functions.predicates import resolve
+from weir.operators.countwin import free
 
 
 @dataclass(frozen=True)
@@ -29,7 +30,10 @@ class Time:
     def of(value: Time | timedelta | int) -> Time:
         if isinstance(value, Time):
             return value
-        return Time(int(value.total_seconds() if isinstance(value, timedelta) else value))
+        seconds = value.total_seconds() if isinstance(value, timedelta) else value
+        if seconds != int(seconds):
+            raise ValueError(f"{value!r} is no whole number of seconds")
+        return Time(int(seconds))
 
     def interval(self) -> str:
         return f"{self.seconds_} seconds"
@@ -91,9 +95,15 @@ class Window:
         t = self.trigger.trigger if isinstance(self.trigger, PurgingTrigger) else self.trigger
         return t.every.interval() if isinstance(t, ProcessingTimeTrigger) else None
 
-    def prepare(self, df: DataFrame) -> tuple[DataFrame, Column]:
-        """``df`` with its time column ready, and the grouping column."""
-        name = "_window_time"
+    def ratio(self) -> int:
+        """Windows that a row is in, if the slide divides the size; else 0."""
+        if self.slide is None or self.session or self.size.seconds_ % self.slide.seconds_:
+            return 0
+        return self.size.seconds_ // self.slide.seconds_
+
+    def prepare(self, df: DataFrame) -> tuple[DataFrame, str, Column]:
+        """``df`` with its time column ready, that column's name, and the grouping column."""
+        (name,) = free(df, "_window_time")
         if self.on is None:
             df = df.withColumn(name, F.current_timestamp())
         else:
@@ -106,9 +116,9 @@ class Window:
         if df.isStreaming:
             df = df.withWatermark(name, self.lateness.interval())
         if self.session:
-            return df, F.session_window(name, self.size.interval()).alias("window")
+            return df, name, F.session_window(name, self.size.interval())
         slide = (self.slide or self.size).interval()
-        return df, F.window(name, self.size.interval(), slide, self.offset.interval()).alias("window")
+        return df, name, F.window(name, self.size.interval(), slide, self.offset.interval())
 
     def __str__(self) -> str:
         kind = "session" if self.session else "sliding" if self.slide else "tumbling"

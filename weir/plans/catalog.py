@@ -162,6 +162,11 @@ def _windows() -> dict[str, Entry]:
         "win_tumble_no_bounds": (over(bids, lambda q: q.group_by("auction").window(day).aggregate(w.Sum("price"), include_bounds=False)), f"select auction, price_sum from ({tumble('1 day', AGGREGATES['sum'][1])})"),
         "win_slide_sum": (over(bids, lambda q: q.group_by("auction").window(sliding).aggregate(w.Sum("price"))), slide(AGGREGATES["sum"][1])),
         "win_slide_avg": (over(bids, lambda q: q.group_by("auction").window(sliding).aggregate(w.Avg("price"))), slide(AGGREGATES["avg"][1])),
+        "win_slide_panes": (
+            over(bids, lambda q: q.group_by("event_type").window(w.SlidingEventTimeWindow(w.Time.minutes(720), w.Time.minutes(1), "ts")).aggregate(w.Avg("price"), w.Min("price"), w.Max("auction"))),
+            f"""select event_type, window_start, window_start + interval '12 hours' as window_end, {AGGREGATES['avg'][1]}, min(price) as price_min, max(auction) as auction_max
+            from (select *, {bucket('1 minute')} - to_minutes(cast(i as integer)) as window_start from {BIDS_SQL}, range(720) t(i)) group by event_type, window_start""",
+        ),
         "win_session_count": (over(bids, lambda q: q.group_by("auction").window(sessions).aggregate(w.Count())), session),
         "win_session_processing_time": (over(bids, lambda q: q.group_by("auction").window(w.SessionProcessingTimeWindow(w.Time.minutes(30), on="ts")).aggregate(w.Count())), session),
         # the wall clock is one instant of a batch: one window, or session, of each key

@@ -18,7 +18,7 @@ import weir as w
 from weir.plans.catalog import BIDS_SQL, Entry, bids, over
 from weir.plans.shared import new_path
 from weir.sources import binary, generator
-from weir.streaming.countwin import ROCKSDB, aggregate_full
+from weir.streaming.countwin import ROCKSDB
 
 COLUMNS = ["auction", "bidder", "price", "dateTime"]
 RECORDS_SQL = f"(select auction, bidder, price, epoch_us(ts) // 1000 as dateTime from {BIDS_SQL})"
@@ -183,20 +183,21 @@ def throughput(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(len(seen) > 0 and max(seen) > 0,)], "logged boolean")
 
 
-def streamed_count_windows(spark: SparkSession, d: str) -> DataFrame:
-    """Full windows of ten rows of each auction as they arrive: from one file, so in its order."""
-    path, out = new_path(spark, "bids-ordered"), new_path(spark, "counted")
-    binary.write(bids(spark, d).coalesce(1).sortWithinPartitions("event_id").select("auction", "bidder", "price", F.col("event_id").alias("dateTime")), path, generator.BID_SCHEMA)
-    own = spark.newSession()  # the state store is a setting of this query alone
-    own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
-    source = w.Query.generate(w.Config().with_run_length(ALL_FILES), generator.BID_SCHEMA, path).input(w.InputType.BinaryFile, streaming=True)
-    wanted = [w.Sum("price"), w.Max("dateTime"), w.Count()]
-    rows = source.key_by("auction").window(w.CountWindow(10)).aggregate(*wanted).to_df(own)
-    save = lambda batch, n: aggregate_full(batch, ["auction"], wanted).write.mode("overwrite").parquet(f"{out}/batch={n}")
-    rows.writeStream.option("checkpointLocation", new_path(spark, "progress")).trigger(availableNow=True).foreachBatch(save).start().awaitTermination()
-    kept = "auction long, window_index long, price_sum long, dateTime_max long, count long"
-    return spark.read.schema(kept).parquet(out).select("auction", "window_index", "price_sum", "dateTime_max", "count")
+def streamed_count_windows(build):
+    """Count windows of the records as they arrive: from one file in the order of the events, ``dateTime`` being their number."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        path, out = new_path(spark, "bids-ordered"), new_path(spark, "counted")
+        binary.write(bids(spark, d).coalesce(1).sortWithinPartitions("event_id").select("auction", "bidder", "price", F.col("event_id").alias("dateTime")), path, generator.BID_SCHEMA)
+        own = spark.newSession()  # the state store is a setting of this query alone
+        own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+        own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+        source = w.Query.generate(w.Config().with_run_length(ALL_FILES), generator.BID_SCHEMA, path).input(w.InputType.BinaryFile, streaming=True)
+        q = build(source).write(out)
+        q.execute(own, checkpoint=new_path(spark, "progress")).awaitTermination()
+        return spark.read.schema(q.to_df(own).schema).option("sep", ";").csv(out)
+
+    return run
 
 
 def entries() -> dict[str, Entry]:
@@ -241,6 +242,11 @@ def entries() -> dict[str, Entry]:
             closed(tumbled, f"(select max(dateTime) from {RECORDS_SQL} where auction >= 50)"),
         ),
         "stream_slide_sum": (streamed(lambda q: q.group_by("auction").window(w.SlidingEventTimeWindow(s(600), s(300), on)).aggregate(w.Sum("price"))), closed(slid)),
+        "stream_slide_panes": (
+            streamed(lambda q: q.group_by("bidder").window(w.SlidingEventTimeWindow(s(7200), s(600), on)).aggregate(w.Avg("price"), w.Max("auction"))),
+            closed(f"""select bidder, window_start, window_start + 7200000 as window_end, {avg}, max(auction) as auction_max from (
+                select *, {start(600000)} - i * 600000 as window_start from {RECORDS_SQL}, range(12) t(i)) group by bidder, window_start"""),
+        ),
         "stream_session_count": (streamed(lambda q: q.group_by("auction").window(w.SessionEventTimeWindow(s(1800), on)).aggregate(w.Count())), closed(sessions)),
         "stream_trigger_and_sinks": (by_trigger, f"select unnest([0, 1]) as sink, * from ({closed(tumbled.replace('where auction >= 50', ''))})"),
         "stream_late_rows": (
@@ -249,8 +255,13 @@ def entries() -> dict[str, Entry]:
             where dateTime >= (select (min(dateTime) + max(dateTime)) // 2 from {RECORDS_SQL}) group by all"""),
         ),
         "stream_countwin_keyed": (
-            streamed_count_windows,
+            streamed_count_windows(lambda q: q.key_by("auction").window(w.CountWindow(10)).aggregate(w.Sum("price"), w.Max("dateTime"), w.Count())),
             f"""select auction, rn // 10 as window_index, cast(sum(price) as bigint) as price_sum, max(event_id) as "dateTime_max", count(*) as count
             from (select *, row_number() over (partition by auction order by event_id) - 1 as rn from {BIDS_SQL}) group by all having count(*) = 10""",
         ),
+        "stream_countwin_grouped": (
+            streamed_count_windows(lambda q: q.group_by("bidder").window(w.CountWindow(250)).aggregate(w.Avg("price"), w.Min("dateTime"))),
+            f"""select bidder, rn // 250 as window_index, avg(price) as price_avg, cast(sum(price) as bigint) as price_sum, count(*) as count, min(event_id) as "dateTime_min"
+            from (select *, row_number() over (order by event_id) - 1 as rn from {BIDS_SQL}) where rn // 250 < (select count(*) // 250 from events) group by all""",
+        ),
     }

@@ -6,10 +6,11 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weir.functions.aggregates import Aggregation
+from weir.functions.aggregates import Aggregation, Merging, distinct
 from weir.functions.mappers import Mapper
 from weir.functions.predicates import Predicate, resolve
-from weir.operators.countwin import count_windows
+from weir.operators import panes
+from weir.operators.countwin import count_windows, free
 from weir.operators.windows import CountWindow, Window
 from weir.plans import adaptive
 from weir.plans.config import Config
@@ -99,8 +100,8 @@ class Query:
             return self.frame
         return read(spark, self.input_type, self.path, self.schema, self.streaming, self.config, dict(self.options))
 
-    def to_df(self, spark: SparkSession) -> DataFrame:
-        """The plan without its sinks."""
+    def to_df(self, spark: SparkSession, output_mode: str = "append") -> DataFrame:
+        """The plan without its sinks, for a stream's output mode."""
         df, keys, per_key, window, run = self.source(spark), [], False, None, []
         scanned = True  # what an aggregation gives is not run just to measure filters on it
         for step in [*self.steps, Step("end")]:
@@ -120,7 +121,7 @@ class Query:
             elif step.kind == "window":
                 window = step.args[0]
             elif step.kind == "aggregate":
-                df = _aggregated(df, keys, per_key, window, *step.args)
+                df = _aggregated(df, keys, per_key, window, *step.args, output_mode)
                 keys, per_key, window, scanned = [], False, None, False
         return df
 
@@ -132,7 +133,7 @@ class Query:
         """
         from weir.sinks import writers
 
-        df = self.to_df(spark)
+        df = self.to_df(spark, options.get("output_mode", "append"))
         sinks = [s for s in self.steps if s.kind in ("print", "write", "buffer")] or [Step("collect")]
         if df.isStreaming:
             window = next((s.args[0] for s in reversed(self.steps) if s.kind == "window"), None)
@@ -156,30 +157,33 @@ class Query:
         self.to_df(spark).explain(mode)
 
 
-def _aggregated(df: DataFrame, keys, per_key: bool, window, aggregations, include_bounds: bool) -> DataFrame:
-    outputs = lambda d: [c for a in aggregations for c in a.columns(d)]
+def _aggregated(df: DataFrame, keys, per_key: bool, window, aggregations, include_bounds: bool, output_mode: str) -> DataFrame:
+    outputs = lambda d: distinct([c for a in aggregations for c in a.columns(d)])
     if window is None:
-        return df.groupBy(*keys).agg(*_distinct(outputs(df)))
+        return df.groupBy(*keys).agg(*outputs(df))
     if isinstance(window, CountWindow):
         if df.isStreaming:
-            from weir.streaming.countwin import stream_count_windows
+            from weir.streaming.countwin import stream_count_aggregates
 
-            return stream_count_windows(df, window.size, keys if per_key else [], [] if per_key else keys, aggregations)
+            out = stream_count_aggregates(df, window.size, keys if per_key else [], [] if per_key else keys, aggregations)
+            return out if include_bounds else out.drop("window_index")
         if window.order_by is None:
             raise ValueError("a count window over finite data needs an order: on=<field>")
-        rows = count_windows(df, window.size, window.order_by, keys if per_key else [])
-        out = rows.groupBy(*keys, "window_index").agg(*_distinct(outputs(rows)))
+        if "window_index" in keys:
+            raise ValueError("a count window's rows get window_index: rename the key of that name")
+        (index,) = free(df, "window_index")
+        rows = count_windows(df, window.size, window.order_by, keys if per_key else [], index)
+        out = rows.groupBy(*keys, index).agg(*outputs(rows)).withColumnRenamed(index, "window_index")
         return out if include_bounds else out.drop("window_index")
-    df, bucket = window.prepare(df)
-    out = df.groupBy(*keys, bucket).agg(*_distinct(outputs(df)))
-    bounds = [F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end")]
-    rest = [c for c in out.columns if c not in (*keys, "window")]
+    df, time, bucket = window.prepare(df)
+    merging = Merging.of(df, aggregations) if window.ratio() >= panes.LEAST_RATIO else None
+    (span,) = free(df, "window")
+    if merging and not df.isStreaming:
+        out = panes.slid(df, time, keys, window.size.seconds_, window.slide.seconds_, window.offset.seconds_, merging, span)
+    elif merging and output_mode == "append":
+        out = panes.slid_stream(df, time, keys, window.size.interval(), window.slide.interval(), window.offset.interval(), merging, span)
+    else:
+        out = df.groupBy(*keys, bucket.alias(span)).agg(*outputs(df))
+    bounds = [F.col(span)["start"].alias("window_start"), F.col(span)["end"].alias("window_end")]
+    rest = [c for c in out.columns if c not in (*keys, span)]
     return out.select(*keys, *(bounds if include_bounds else []), *rest)
-
-
-def _distinct(columns):
-    """Without repeats: Avg and Count, for one, both give ``count``."""
-    seen: dict[str, object] = {}
-    for c in columns:
-        seen.setdefault(str(c), c)
-    return list(seen.values())

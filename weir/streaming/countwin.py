@@ -1,15 +1,22 @@
-"""Row-count windows of a stream, kept in Spark's state store."""
+"""Row-count windows of a stream, kept in Spark's state store.
+
+With aggregations the state of a key is the merged parts of its open window (a
+row for each group in it), whatever the size of the window.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql import types as T
 
+from weir.functions.aggregates import Merging
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -61,16 +68,141 @@ class RowCounter(StatefulProcessor):
         pass
 
 
+#: A value of each type that stands where there is none, so that a column keeps its type in pandas.
+_BLANK = {T.StringType: "''", T.BooleanType: "false", T.TimestampType: "timestamp'1970-01-01'", T.TimestampNTZType: "timestamp_ntz'1970-01-01'", T.DateType: "date'1970-01-01'"}
+
+
+def _blank(kind: T.DataType) -> str:
+    if isinstance(kind, T.NumericType):
+        return "0"
+    for of, text in _BLANK.items():
+        if isinstance(kind, of):
+            return text
+    raise ValueError(f"values of type {kind.simpleString()} are not kept in a stream's count window")
+
+
+def _whole(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of 64-bit integers; one that passes them is an error, as in batch."""
+    if np.abs(np.add.reduceat(values.astype(np.float64), starts)).max() > 9.2e18:
+        raise OverflowError("a sum in a count window passes 64 bits")
+    return np.add.reduceat(values, starts)
+
+
+def _merged(values: np.ndarray, starts: np.ndarray, how: str) -> np.ndarray:
+    """Merge of each run of ``values``; not-a-number is the largest, as in Spark."""
+    if how == "sum":
+        return _whole(values.astype(np.int64), starts) if values.dtype.kind in "iu" else np.add.reduceat(values, starts)
+    if values.dtype.kind == "f":
+        return (np.fmin if how == "min" else np.maximum).reduceat(values, starts)
+    return (np.minimum if how == "min" else np.maximum).reduceat(values, starts)
+
+
+class PartKeeper(StatefulProcessor):
+    """Merges the parts of a key's rows window by window; state is the open window's parts.
+
+    A row has ``g0..`` (its group), ``v0..`` (its parts) and ``hg0.., hv0..``
+    (whether it has them); ``keys`` key columns ``k0..`` are put before them.
+    """
+
+    def __init__(self, size: int, keys: int, groups: int, merges: list[str], state: T.StructType) -> None:
+        self.size, self.merges, self.state = size, merges, state
+        self.keys = [f"k{i}" for i in range(keys)]
+        self.groups = [f"{h}g{i}" for i in range(groups) for h in ("", "h")]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.at = handle.getValueState("at", T.StructType([T.StructField("index", T.LongType()), T.StructField("filled", T.LongType())]))
+        self.open = handle.getListState("open", self.state)
+
+    def _sums(self, frame: pd.DataFrame) -> pd.DataFrame:
+        """A row for each ``w`` and group of ``frame``."""
+        by = ["w", *self.groups]
+        codes, out = frame.groupby(by, dropna=False, sort=False).ngroup().to_numpy(), frame.drop_duplicates(by)[by].reset_index(drop=True)
+        for i, how in enumerate(self.merges):
+            has = frame[f"hv{i}"].to_numpy(dtype=bool)
+            values = frame[f"v{i}"]
+            values = (values if values.dtype.kind in "iuf" else values.astype(object)).to_numpy()
+            order = np.argsort(codes[has], kind="stable")
+            own, starts = np.unique(codes[has][order], return_index=True)
+            merged = pd.Series(values[:1].repeat(len(out)) if len(values) else [], dtype=values.dtype)
+            if len(own):
+                merged.iloc[own] = _merged(values[has][order], starts, how)
+            out[f"v{i}"], out[f"hv{i}"] = merged, np.isin(np.arange(len(out)), own)
+        return out
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        index, filled = self.at.get() if self.at.exists() else (0, 0)
+        kept = pd.DataFrame([tuple(r) for r in self.open.get()], columns=self.state.names) if self.open.exists() else None
+        for frame in rows:
+            n = len(frame)
+            if not n:
+                continue
+            frame = frame[self.state.names].assign(w=(filled + np.arange(n)) // self.size)
+            found = self._sums(frame)
+            if kept is not None and len(kept):
+                found = self._sums(pd.concat([kept.astype(frame[self.state.names].dtypes.to_dict()).assign(w=0), found], ignore_index=True))
+            full = (filled + n) // self.size
+            done = found[found["w"] < full]
+            if len(done):
+                own = {c: [key[i]] * len(done) for i, c in enumerate(self.keys)}
+                yield done.assign(window_index=index + done["w"], **own)[[*self.keys, *self.state.names, "window_index"]]
+            kept = found[found["w"] >= full].drop(columns="w")
+            index, filled = index + full, (filled + n) % self.size
+        self.at.update((index, filled))
+        if kept is not None and len(kept):
+            plain = kept[self.state.names].astype(object)
+            self.open.put([tuple(None if v is None or v is pd.NaT else v for v in r) for r in plain.itertuples(index=False, name=None)])
+        elif self.open.exists():
+            self.open.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def stream_count_aggregates(df: DataFrame, size: int, keys: list[str], groups: list[str], aggregations) -> DataFrame:
+    """``keys`` (or ``groups``), ``window_index`` and the aggregates of each window as it fills.
+
+    ``keys`` count the rows of each key; with ``groups`` the windows are over
+    all rows in their order of arrival, so one task counts them, and a window
+    has a row for each group.  Without aggregations the rows themselves are
+    returned.  Keys that are null are a key.
+    """
+    if not aggregations:
+        return stream_count_windows(df, size, keys, groups, aggregations)
+    if size < 1:
+        raise ValueError("a count window needs at least one row")
+    merging = Merging.of(df, aggregations)
+    if merging is None:
+        raise ValueError("a stream's count window needs aggregations that can be merged: give them parts() and result()")
+    _need_rocksdb(df)
+    flat = merging.flat
+    sums = df.groupBy().agg(*(p.over(p.value).alias(f"v{i}") for i, p in enumerate(flat))).schema.fields
+    kept = [(f"g{i}", F.col(c), df.schema[c].dataType) for i, c in enumerate(groups)]
+    kept += [(f"v{i}", p.value.cast(f.dataType), f.dataType) for i, (p, f) in enumerate(zip(flat, sums, strict=True))]
+    columns = [x for n, c, kind in kept for x in (F.coalesce(c, F.expr(_blank(kind)).cast(kind)).alias(n), c.isNotNull().alias(f"h{n}"))]
+    state = T.StructType([x for n, _, kind in kept for x in (T.StructField(n, kind), T.StructField(f"h{n}", T.BooleanType()))])
+    by = [F.col(c).alias(f"k{i}") for i, c in enumerate(keys)] or [F.lit(0).alias("k0")]
+    own = [T.StructField(f"k{i}", df.schema[c].dataType) for i, c in enumerate(keys)]
+    out = df.select(*by, *columns).groupBy(*(f"k{i}" for i in range(len(by)))).transformWithStateInPandas(
+        PartKeeper(size, len(keys), len(groups), [p.merge for p in flat], state), T.StructType([*own, *state.fields, T.StructField("window_index", T.LongType())]), "append", "none"
+    )
+    nan = {n: F.lit(float("nan")) for n, _, kind in kept if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType)}
+    value = lambda n: F.coalesce(n, nan[n]) if n in nan else F.col(n)  # noqa: E731  pandas hands not-a-number back as null
+    known = lambda n: F.when(F.col(f"h{n}"), value(n))
+    named = [F.col(f"k{i}").alias(c) for i, c in enumerate(keys)] + [known(f"g{i}").alias(c) for i, c in enumerate(groups)]
+    return out.select(*named, "window_index", *merging.results([known(f"v{i}") for i in range(len(flat))]))
+
+
+def _need_rocksdb(df: DataFrame) -> None:
+    if df.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass") != ROCKSDB:
+        raise ValueError(f"count windows of a stream need spark.sql.streaming.stateStore.providerClass={ROCKSDB}")
+
+
 def stream_count_windows(df: DataFrame, size: int, keys: list[str], groups: list[str], aggregations) -> DataFrame:
     """Rows of full windows as they fill, with ``window_index``.
 
-    Rows and not aggregates are returned: an aggregation after a stateful
-    operator would need a watermark to emit.  :func:`aggregate_full` gives the
-    aggregates of each micro-batch, in which all windows are complete.
+    For whole rows; their aggregates come from :func:`stream_count_aggregates`.
     """
-    spark = df.sparkSession
-    if spark.conf.get("spark.sql.streaming.stateStore.providerClass") != ROCKSDB:
-        raise ValueError(f"count windows of a stream need spark.sql.streaming.stateStore.providerClass={ROCKSDB}")
+    _need_rocksdb(df)
     keyed = df if keys else df.withColumn("_all", F.lit(0))
     schema = T.StructType([*df.schema.fields, T.StructField("window_index", T.LongType())])
     return keyed.groupBy(*(keys or ["_all"])).transformWithStateInPandas(RowCounter(size, df.columns), schema, "append", "none")
