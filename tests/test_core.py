@@ -251,6 +251,34 @@ def test_binary_round_trip(spark, tmp_path):
     assert values(q.input(w.InputType.BinaryFile, strict="false").to_df(spark)) == sorted(rows)
 
 
+def test_a_binary_file_is_read_by_many_tasks(spark, tmp_path):
+    """Ranges end on record borders, whatever their size; unwanted fields are not decoded; whole files where tasks cannot open the store."""
+    schema = w.Schema.create().add_fix_size_field("i", DataType.Int).add_var_size_field("s", DataType.String, 7).add_fix_size_field("l", DataType.Long)
+    path, rows = str(tmp_path / "one file"), [(i, f"r{i}", i * 5) for i in range(1000)]
+    binary.write(spark.createDataFrame(rows, schema.struct()).coalesce(1), path, schema)
+    (tmp_path / "one file" / "empty.bin").write_bytes(b"")
+    for size in (1, 19, 500, 10**9):
+        df = w.Query.generate(w.Config(), schema, path).input(w.InputType.BinaryFile, range_bytes=size).to_df(spark)
+        assert values(df) == sorted(rows)
+        assert df.rdd.getNumPartitions() == -(-1000 * 19 // max(19, size // 19 * 19))
+    q = w.Query.generate(w.Config(), schema, path)
+    few = q.filter(w.Greater("l", 100)).map(w.Add("i", Field("l", DataType.Long))).select("i")
+    assert few.used() == ["i", "l"] and "s" not in few.source(spark).columns and few.to_df(spark).count() == 979
+    assert q.aggregate(w.Count()).used() == [] and q.aggregate(w.Count()).to_df(spark).first()["count"] == 1000
+    assert q.used() is None and q.group_by("s").window(w.TumblingEventTimeWindow(w.Time.seconds(1), "l")).aggregate(w.Sum("i")).used() == ["i", "l", "s"]
+    part = binary.read(spark, path, schema, False, 1, {}, ["l"])
+    assert part.columns == ["l"] and part.count() == 1000
+
+
+def test_binary_files_of_other_stores_are_read_whole(spark, tmp_path, monkeypatch):
+    schema = w.Schema.create().add_fix_size_field("i", DataType.Int).add_fix_size_field("l", DataType.Long)
+    path, rows = str(tmp_path / "bin"), [(i, i * 5) for i in range(100)]
+    binary.write(spark.createDataFrame(rows, schema.struct()), path, schema)
+    monkeypatch.setattr(binary, "_splittable", lambda *_: False)
+    assert values(w.Query.generate(w.Config(), schema, path).to_df(spark)) == rows
+    assert values(w.Query.generate(w.Config(), schema, path).select("l").to_df(spark)) == [(x,) for _, x in rows]
+
+
 def test_stray_field_rules():
     with pytest.raises(ValueError):
         TYPES.add_var_size_field("v", DataType.Long, 4)

@@ -26,6 +26,9 @@ class Mapper:
     def apply(self, left: Column, right: Column, integral: bool) -> Column:
         raise NotImplementedError
 
+    def fields(self) -> set[str]:
+        return {self.field} | ({self.value.name} if isinstance(self.value, Field) else set())
+
     def transform(self, df: DataFrame) -> DataFrame:
         left = resolve(df, self.field)
         kind = lambda name: isinstance(df.schema[name].dataType, T.IntegralType)

@@ -62,6 +62,10 @@ class Predicate:
         both = reduce(operator.and_, [p.column(df) for p in self.ands], self.own(df))
         return reduce(operator.or_, [p.column(df) for p in self.ors], both)
 
+    def fields(self) -> set[str]:
+        own = {self.field} | ({self.value.name} if isinstance(self.value, Field) else set())
+        return own.union(*(p.fields() for p in (*self.ands, *self.ors)))
+
     def conjuncts(self) -> list[Predicate]:
         """Parts joined by And at the top; one part if an Or is present."""
         if self.ors:

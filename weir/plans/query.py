@@ -98,7 +98,28 @@ class Query:
     def source(self, spark: SparkSession) -> DataFrame:
         if self.frame is not None:
             return self.frame
-        return read(spark, self.input_type, self.path, self.schema, self.streaming, self.config, dict(self.options))
+        return read(spark, self.input_type, self.path, self.schema, self.streaming, self.config, dict(self.options), self.used())
+
+    def used(self) -> list[str] | None:
+        """The source's fields that the steps use; None if that is all of them, or not known."""
+        found: set[str] = set()
+        for step in self.steps:
+            if step.kind in ("select", "group_by", "key_by"):
+                found.update(step.args)
+            elif step.kind == "filter":
+                found.update(step.args[0].fields())
+            elif step.kind == "map":
+                found.update(step.args[0].fields())
+            elif step.kind == "window":
+                found.update(n for n in (getattr(step.args[0], "on", None), getattr(step.args[0], "order_by", None)) if n)
+            elif step.kind == "aggregate":
+                own = [a.field for a in step.args[0] if type(a).__module__ == Aggregation.__module__]
+                if not own or len(own) < len(step.args[0]):
+                    return None  # an aggregation of the user's may read any field
+                return sorted(found | {f for f in own if f})
+            if step.kind == "select":
+                return sorted(found)
+        return None
 
     def to_df(self, spark: SparkSession, output_mode: str = "append") -> DataFrame:
         """The plan without its sinks, for a stream's output mode."""

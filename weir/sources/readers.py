@@ -23,11 +23,11 @@ class InputType(Enum):
     Rate = "rate"
 
 
-def read(spark: SparkSession, kind: InputType, path: str | None, schema: Schema | None, streaming: bool, config: Config, options: dict) -> DataFrame:
-    """``schema`` is required but for Parquet, ORC, Socket and Rate batches."""
+def read(spark: SparkSession, kind: InputType, path: str | None, schema: Schema | None, streaming: bool, config: Config, options: dict, columns: list[str] | None = None) -> DataFrame:
+    """``schema`` is required but for Parquet, ORC, Socket and Rate batches; ``columns``: all that will be used of it, if known."""
     struct = schema.struct() if isinstance(schema, Schema) else schema
     if kind is InputType.BinaryFile:
-        return binary.read(spark, path, schema, streaming, config.run_length, options)
+        return binary.read(spark, path, schema, streaming, config.run_length, options, columns)
     if kind is InputType.Memory:
         return spark.createDataFrame(options.pop("rows"), struct)
     if kind in (InputType.Socket, InputType.Rate):
