@@ -282,3 +282,56 @@ def test_hot_and_long_listed_domains(spark):
         return (True, "big.com", at(7 * k)) if k % 2 == 0 and k < 300 else (False, None, None)
 
     assert got == {i: plain(u, t) for i, u, t in seen}
+
+
+SHOP = "<header><p>Our shop since 1990</p></header>{}<footer>All rights reserved</footer>"
+
+
+@pytest.mark.parametrize("element", [
+    "div class='content has-sidebar'", "div class='main with-nav'", "div class='article-widget'", "div class='widget'", "div id='banner'",
+    "article class='post comments-open'", "article class='post banner-post'", "article class='comments'", "main class='sidebar'", "form id='aspnetForm'", "div role='main' class='menu'",
+])
+def test_names_alone_do_not_drop_the_article(spark, element):
+    body = f"<{element}><p>{{}}</p><p>More {{}}.</p></{element.split()[0]}>"
+    page = lambda k: f"<html><body>{SHOP.format(body.format(story(k), k))}</body></html>"
+    if element.startswith("form"):  # around the whole page, as some servers put it
+        page = lambda k: f"<form id='aspnetForm'>{SHOP.format(f'<article><p>{story(k)}</p><p>More {k}.</p></article>')}</form>"
+    df = spark.createDataFrame([(k, "http://h.example/", page(k)) for k in range(8)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in extract.main_text(df).collect()} == {k: f"{story(k).strip()} More {k}." for k in range(8)}
+
+
+def test_any_name_on_the_article_of_given_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    want = {r.page_id: reference_text(r.html) for r in pages.collect()}
+    words = sorted(extract.FURNITURE_WORDS)
+    for names in ("has-sidebar comments-open", " ".join(words), "sidebar", "comments"):
+        got = extract.main_text(pages.withColumn("html", F.regexp_replace("html", "<article>", f"<article class='{names}'>")))
+        assert {r.page_id: r.text for r in got.collect()} == want
+
+
+def test_furniture_by_its_whole_name():
+    keep = "<article><h1>T</h1><p>" + "word " * 40 + "</p>{}</article>"
+    said = "T " + ("word " * 40).strip()
+    for gone in ("<div class='cookie-notice'>x</div>", "<div class='site-footer'>x</div>", "<ol class='comment-list'><li><article class='comment'>x</article></li></ol>", "<p hidden>x</p>",
+                 "<p style='color:red; display: none'>x</p>", "<span aria-hidden='true'>x</span>", "<script>'</scripty>'</script x>", "<style>a</style >", "<div id=navBar>x</div>"):
+        assert extract.slots(keep.format(gone)) == said, gone
+    for stays in ("<div class='has-sidebar'>x</div>", "<div class='advice'>x</div>", "<p class='note'>x</p>", "<div class='comments-open'>x</div>"):
+        assert extract.slots(keep.format(stays)) == f"{said} x", stays
+    assert extract.slots(keep.format("<div class='comments'>" + "no " * 500 + "</div>")) == said  # more comments than article
+    assert extract.slots("<article>soft<img src='x'>ware, f<svg><path/></svg>a<script>1</script>st<input> a<br>b</article>") == "software, fast a b"
+    assert extract.slots("<script>if (1) x</script x><p>after</p>") == "after"
+
+
+def test_the_template_decides_beside_an_article_element(spark, tmp_path, monkeypatch):
+    """Lines that all articles of a host repeat go by the template; with an empty one they stay."""
+    from weir.llm import queries
+
+    page = lambda k: f"<body><article><h1>Head {k}</h1><p>{story(k) * 2}</p><p>{story(k + 500)}</p><ul><li>Read on.</li><li>Tell a friend.</li><li>Write to us.</li></ul></article></body>"
+    df = spark.createDataFrame([(k, f"http://{'ab'[k % 2]}.example/", page(k)) for k in range(16)], "page_id long, url string, html string")
+    df.write.parquet(str(tmp_path / "pages.parquet"))
+    text = lambda: {r.page_id: r.text for r in queries.op6_html_extraction(spark, str(tmp_path)).collect()}
+    article = {k: f"Head {k} {(story(k) * 2).strip()} {story(k + 500).strip()}" for k in range(16)}
+    assert text() == article
+    learned = extract.templates
+    monkeypatch.setattr(extract, "templates", lambda pages: learned(pages).withColumn("template", F.array().cast("array<long>")))
+    assert text() == {k: v + " Read on. Tell a friend. Write to us." for k, v in article.items()}

@@ -21,8 +21,11 @@ widens it.  Regions of the template in it that hold under a tenth of the text
 (an advert, a byline) are left out, unless the hint says otherwise.  The text
 of a page is what its main part has in slots.
 
-Elements that are furniture by their name, role or class (menus, forms, side
-bars, notices, adverts, comments) hold no slots.
+Elements that are furniture by their name, or whose class, id or role is made
+of furniture words alone (menus, forms, side bars, notices, adverts, comments),
+hold no slots.  The words are but a vote: an element that is or holds the
+heaviest article or main element of a page stays whatever it is called, and so
+does one with most of the text.
 """
 
 from __future__ import annotations
@@ -52,6 +55,8 @@ ATTRIBUTE = re.compile(r"([A-Za-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']
 SPACE = re.compile(r"\s+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements without text that stand inside a line.
+IN_LINE = frozenset("area embed img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg math noembed xmp".split())
 #: Elements inside a line of text; all others begin and end a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -60,18 +65,30 @@ REGIONS = frozenset("div section article main".split())
 #: Elements that end an open paragraph.
 BREAKS = frozenset("p li h1 h2 h3 h4 h5 h6 div ul ol table section article footer nav aside".split())
 FURNITURE = frozenset("head nav footer aside form button select option menu dialog canvas object audio video map datalist".split())
-#: Words of class, id and role that mark furniture.
+#: Words of class names, ids and roles that mark furniture.
 FURNITURE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar sidenav nav navbar navigation menu breadcrumb breadcrumbs "
     "cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
     "comment comments respond disqus reply replies footer copyright toolbar widget pagination pager search skip masthead complementary contentinfo".split()
 )
-MAIN_WORDS = frozenset(["main"])
+COMMENT_WORDS = frozenset("comment comments respond disqus reply replies".split())
+#: Words that may stand beside these in a name without telling what is in the element.
+NEUTRAL_WORDS = frozenset("site page left right top bottom box list area bar link links item items wrap wrapper container inner outer block section primary secondary global small large".split())
 
 
 # --- one page -------------------------------------------------------------------
 
 
+class Element:
+    """An open element: its ``vote`` for being furniture, the text in it, and whether it is dropped in the end."""
+
+    __slots__ = ("chars", "dropped", "last", "own_main", "parent", "safe", "vote")
+
+    def __init__(self, parent: Element | None, vote: str, own_main: bool) -> None:
+        self.parent, self.vote, self.own_main = parent, vote, own_main
+        self.chars, self.last, self.safe, self.dropped = 0, 0, False, False
+
+
 class Region:
     """A part of a page: ``main`` if an article or main element is around it, or it is one (``own_main``)."""
 
@@ -95,12 +112,14 @@ def token(path: int, text: str) -> int:
     return xxhash.xxh64_intdigest(f"{path}\0{text}".encode("utf-8", "surrogatepass")) - (1 << 63) if text else path
 
 
-def _words(attributes: str) -> set[str]:
-    found: set[str] = set()
-    for name, a, b, c in ATTRIBUTE.findall(attributes):
-        if name.lower() in ("class", "id", "role"):
-            found.update(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", a or b or c).lower()))
-    return found
+def _attributes(attributes: str) -> dict[str, str]:
+    return {name.lower(): a or b or c for name, a, b, c in reversed(ATTRIBUTE.findall(attributes))}
+
+
+@lru_cache(1 << 12)
+def _pieces(name: str) -> frozenset[str]:
+    """The words of one class name, id or role."""
+    return frozenset(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower())) - {""}
 
 
 def _label(name: str, attributes: str) -> str:
@@ -112,21 +131,65 @@ def _label(name: str, attributes: str) -> str:
     return name
 
 
-def _furniture(name: str, attributes: str, main: bool) -> bool:
-    """Whether an element is furniture; the header of an article is not."""
-    if name in FURNITURE or name == "header" and not main:
-        return True
-    if name in ("html", "body", "article", "main") and not attributes.strip():
-        return False
-    if "=" not in attributes or not re.search("class|id|role", attributes, re.IGNORECASE):
-        return "hidden" in attributes.split()
-    words = _words(attributes)
-    if name in ("html", "body"):
-        return False
-    return bool(words & FURNITURE_WORDS) or "header" in words and not main or "hidden" in attributes.split()
+def _vote(name: str, attributes: str, main: bool) -> str:
+    """``hidden``, ``name``, ``comment`` or ``word``: what an element gives itself out for; empty if for nothing.
 
-
-def blocks(page: str, regions: list[Region] | None = None) -> Iterator[tuple[int, str, bool, Region, str]]:
+    A class name, id or role counts if it has furniture words and no others
+    but neutral ones: ``cookie-notice`` does, ``has-sidebar`` does not.  The
+    header of an article is none.
+    """
+    if "=" not in attributes:
+        if "hidden" in attributes.split():
+            return "hidden"
+    elif re.search("class|id|role|style|hidden", attributes, re.IGNORECASE):
+        given = _attributes(attributes)
+        if given.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", given.get("style", ""), re.IGNORECASE) or "hidden" in ATTRIBUTE.sub(" ", attributes).split():
+            return "hidden"
+        if name not in ("html", "body"):
+            for c in (x for key in ("class", "id", "role") for x in given.get(key, "").split()):
+                words = _pieces(c)
+                telling = words - NEUTRAL_WORDS
+                if telling and telling <= FURNITURE_WORDS:
+                    return "comment" if telling & COMMENT_WORDS else "word"
+                if telling == {"header"} and not main:
+                    return "name"
+    return "name" if name in FURNITURE or name == "header" and not main else ""
+
+
+def _decide(elements: list[Element]) -> None:
+    """Which elements are dropped; ``elements`` has each after the one around it.
+
+    Safe are the heaviest article or main element, those in it with half of its
+    text or more, one in another, and all around these.  Of the others, those
+    that are furniture by name, hidden or comments go; one that only its words
+    speak against stays if it has most of the text of the main element it is in,
+    or of the page; so does a form.
+    """
+    for k, e in enumerate(elements):
+        e.last = k
+    for e in reversed(elements):
+        if e.parent is not None:
+            e.parent.chars += e.chars
+            e.parent.last = max(e.parent.last, e.last)
+    places = [k for k, e in enumerate(elements) if e.own_main]
+    heart = 0
+    inside = places
+    while inside:
+        heart = max(inside, key=lambda k: elements[k].chars)
+        around: Element | None = elements[heart]
+        while around is not None and not around.safe:
+            around.safe = True
+            around = around.parent
+        inside = [k for k in inside if heart < k <= elements[heart].last and 2 * elements[k].chars >= elements[heart].chars]
+    for k, e in enumerate(elements):
+        if e.parent is not None and e.parent.dropped:
+            e.dropped = True
+        elif e.vote and not e.safe:
+            scope = elements[heart] if heart <= k <= elements[heart].last else elements[0]
+            e.dropped = e.vote in ("hidden", "name", "comment") or 2 * e.chars <= scope.chars
+
+
+def blocks(page: str, regions: list[Region] | None = None) -> list[tuple[int, str, bool, Region, str]]:
     """``(path, name, furniture, region, text)`` of each element (text empty) and each block of text, in page order.
 
     Open elements are closed by the end of one around them, ``p`` and ``li``
@@ -136,18 +199,21 @@ def blocks(page: str, regions: list[Region] | None = None) -> Iterator[tuple[int
     """
     regions = [] if regions is None else regions
     regions.append(Region(0, None, False))
-    stack: list[tuple[str, int, bool, Region]] = [("", 0, False, regions[0])]  # name, path, furniture, region
+    elements = [Element(None, "", False)]
+    stack: list[tuple[str, int, Element, Region]] = [("", 0, elements[0], regions[0])]  # name, path, element, region
+    found: list[tuple[int, str, Element, Region, str]] = []
     open_names: Counter[str] = Counter()
     line: list[str] = []
     at = 0
 
-    def flush() -> Iterator[tuple[int, str, bool, Region, str]]:
+    def flush() -> None:
         if line:
             text = SPACE.sub(" ", entities.unescape("".join(line))).strip()
             line.clear()
             if text:
-                name, path, furniture, region = stack[-1]
-                yield path, name, furniture, region, text
+                name, path, element, region = stack[-1]
+                element.chars += len(text)
+                found.append((path, name, element, region, text))
 
     while at < len(page):
         m = TAG.search(page, at)
@@ -162,38 +228,43 @@ def blocks(page: str, regions: list[Region] | None = None) -> Iterator[tuple[int
             if m[0].startswith("<![CDATA["):
                 line.append(m[0][9:].removesuffix("]]>"))
             continue
-        if name in INLINE and not _furniture(name, m[3], stack[-1][3].main):
+        if name in RAW:
+            if not closing and not m[3].rstrip().endswith("/"):
+                stop = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
+                at = stop.end() if stop else len(page)
+            continue
+        if name in IN_LINE:
+            continue
+        vote = "" if closing else _vote(name, m[3], stack[-1][3].main)
+        if name in INLINE and not vote:
             if closing and len(stack) > 1 and stack[-1][0] == name:
-                yield from flush()
+                flush()
                 open_names[stack.pop()[0]] -= 1
             continue
-        yield from flush()
+        flush()
         if closing:
             if open_names[name]:
                 while stack[-1][0] != name:
                     open_names[stack.pop()[0]] -= 1
                 open_names[stack.pop()[0]] -= 1
             continue
-        if name in RAW:
-            stop = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
-            if not m[3].rstrip().endswith("/"):
-                at = stop.end() if stop else len(page)
-            continue
         if name in BREAKS and (stack[-1][0] == "p" or name == "li" and stack[-1][0] == "li"):
             open_names[stack.pop()[0]] -= 1
         if name in VOID or m[3].rstrip().endswith("/"):
             continue
-        _, around, furniture, region = stack[-1]
+        _, around, parent, region = stack[-1]
         path = below(around, _label(name, m[3]))
-        furniture = furniture or _furniture(name, m[3], region.main)
-        own_main = name in ("article", "main") or "role" in m[3] and bool(_words(m[3]) & MAIN_WORDS)
+        own_main = name in ("article", "main") or "role" in m[3] and "main" in _attributes(m[3]).get("role", "").lower().split()
+        elements.append(Element(parent, vote, own_main))
         if own_main or name in REGIONS:
             region = Region(path, region, own_main)
             regions.append(region)
-        stack.append((name, around if name in ("html", "body") else path, furniture, region))
+        stack.append((name, around if name in ("html", "body") else path, elements[-1], region))
         open_names[name] += 1
-        yield path, name, furniture, region, ""
-    yield from flush()
+        found.append((path, name, elements[-1], region, ""))
+    flush()
+    _decide(elements)
+    return [(path, name, e.dropped, region, text) for path, name, e, region, text in found]
 
 
 def slots(page: str, template: frozenset[int] = frozenset(), main_part: int | None = None, hinted: bool = False, small: frozenset[int] = frozenset()) -> str:
