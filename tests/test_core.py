@@ -237,6 +237,20 @@ def test_plan_text_and_profile(spark):
     assert "salted" not in adaptive.profile_keys(even, "auction")["strategy"]
 
 
+def test_zipf_draws_follow_the_law(spark):
+    """Chi-square of 100,000 draws against the exact chances; the same numbers give the same draws."""
+    n, s, draws = 200, 1.2, 100_000
+    df = generator.bids_for(spark.range(draws), "id", 10, n, exponent=s)
+    seen = np.bincount([r.auction for r in df.select("auction").collect()], minlength=n)
+    chance = np.arange(1, n + 1) ** -s
+    expected = draws * chance / chance.sum()
+    statistic = ((seen - expected) ** 2 / expected).sum()
+    assert abs(statistic - (n - 1)) < 5 * (2 * (n - 1)) ** 0.5
+    assert values(df.filter("id % 1000 = 7")) == values(generator.bids_for(spark.range(7, draws, 1000), "id", 10, n, exponent=s))
+    even = generator.bids_for(spark.range(20_000), "id", 7, 2**31 - 1, seed=9)
+    assert even.selectExpr("min(bidder) = 0 and max(bidder) = 6 and min(price) = 0 and max(price) = 99 and max(auction) < 2147483647 and min(auction) >= 0 and avg(auction) between 1.05e9 and 1.1e9 as ok").first().ok
+
+
 def test_binary_round_trip(spark, tmp_path):
     rows = [(True, "x", "full" * 2, 1, 2**40, 0.5), (False, "", "é", -1, -2, -1e9)]
     schema = w.Schema.create().add_fix_size_field("b", DataType.Boolean).add_fix_size_field("c", DataType.Char).add_var_size_field("s", DataType.String, 8).add_fix_size_field("i", DataType.Int).add_fix_size_field("l", DataType.Long).add_fix_size_field("d", DataType.Double)

@@ -1,7 +1,9 @@
 """The same steps over a stream give what batch gives."""
 
+import time
 from datetime import datetime
 from decimal import Decimal
+from pathlib import Path
 
 import pytest
 
@@ -9,7 +11,6 @@ import weir as w
 from weir.plans.schema import DataType
 from weir.sources import binary
 from weir.streaming.countwin import aggregate_full
-from weir.streaming.listener import ThroughputListener
 
 SCHEMA = w.Schema.create().add_fix_size_field("k", DataType.Long).add_fix_size_field("v", DataType.Long).add_fix_size_field("ms", DataType.Long)
 
@@ -32,13 +33,61 @@ def test_tumbling_stream_equals_batch(spark, tmp_path):
     steps = lambda q: q.filter(w.Greater("v", 9)).group_by("k").window(w.TumblingEventTimeWindow(w.Time.seconds(10), "ms")).aggregate(w.Avg("v"))
     batch = sorted(map(tuple, steps(base).execute(spark)))
     binary.write(spark.createDataFrame([(9, 99, 10**7)], SCHEMA.struct()).coalesce(1), base.path, SCHEMA)  # moves the watermark on
-    listener = ThroughputListener(str(tmp_path / "throughput.csv"))
-    spark.streams.addListener(listener)
     live = steps(base.input(w.InputType.BinaryFile, streaming=True)).to_output_buffer("tumbled")
     finished(live.execute(spark, checkpoint=str(tmp_path / "cp")))
     got = sorted(map(tuple, spark.table("tumbled").collect()))
     assert [r for r in got if r[0] != 9] == batch
-    spark.streams.removeListener(listener)
+
+
+def test_the_throughput_log_is_of_its_own_query(spark, tmp_path):
+    """Rows before the filter, of the logged query alone; the listener goes when it ends, so a second run does not log twice."""
+    base = source(spark, tmp_path, [(i % 3, i, i * 400) for i in range(100)]).input(w.InputType.BinaryFile, streaming=True).filter(w.Greater("v", 49))
+    for k in range(2):
+        seen, log = [], str(tmp_path / f"log-{k}.csv")
+        one = base.to_output_buffer(f"one_{k}").execute(spark, checkpoint=str(tmp_path / f"one-{k}"), throughput_log=lambda n, s, seen=seen: seen.append((n, s)))
+        two = base.to_output_buffer(f"two_{k}").execute(spark, checkpoint=str(tmp_path / f"two-{k}"), throughput_log=log)
+        for q in (one, two):
+            q.awaitTermination(60)
+        deadline = time.time() + 30
+        while not (seen and Path(log).exists()) and time.time() < deadline:
+            time.sleep(0.1)
+        time.sleep(0.5)
+        assert [n for n, _ in seen] == [100] and len(Path(log).read_text().splitlines()) == 1 and spark.table(f"one_{k}").count() == 50
+
+
+def test_settings_hold_while_a_query_runs(spark, tmp_path):
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    config = w.Config().with_parallelism(3).with_buffer_size(7)
+    with config.applied(spark):
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "3" and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "7"
+    path = str(tmp_path / "out")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        w.Query.over(spark.range(100).selectExpr("id % 50 as k"), config).group_by("k").aggregate(w.Count()).write(path).execute(spark)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(list(Path(path).glob("part-*"))) == 3
+    assert (spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == before
+
+
+def test_a_stream_ends_after_its_duration(spark, tmp_path):
+    q = w.Query(config=w.Config().with_benchmark_run_duration(2)).input(w.InputType.Rate, streaming=True, rowsPerSecond=5).to_output_buffer("rated")
+    live = q.execute(spark, checkpoint=str(tmp_path / "cp"), available_now=False)
+    began = time.time()
+    assert live.awaitTermination(60) and time.time() - began < 50 and not live.isActive
+
+
+def test_a_batch_that_runs_again_replaces_what_it_wrote(spark, tmp_path):
+    """In complete mode: a stream that is killed after its write and before its commit holds each row once."""
+    base = source(spark, tmp_path, [(i % 3, i, i) for i in range(30)])
+    q = base.input(w.InputType.BinaryFile, streaming=True).group_by("k").aggregate(w.Count()).write(str(tmp_path / "out"))
+    checkpoint = str(tmp_path / "cp")
+    for _ in range(2):
+        q.execute(spark, checkpoint=checkpoint, output_mode="complete").awaitTermination(60)
+        read = spark.read.schema("k long, count long").option("sep", ";").csv(str(tmp_path / "out"))
+        assert sorted((r["k"], r["count"]) for r in read.collect()) == [(0, 10), (1, 10), (2, 10)] and "batch" in read.columns
+        for f in Path(checkpoint).glob("commits/*0*"):  # as if it had died before the commit
+            f.unlink()
 
 
 def test_sliding_and_session_compile_on_streams(spark, tmp_path):

@@ -51,24 +51,26 @@ def from_files(kind: w.InputType):
 
 
 def from_memory(spark: SparkSession, d: str) -> DataFrame:
+    """The few rows of a table that a program has at hand."""
+    rows = [(r.r_name[:1], r.r_regionkey) for r in spark.read.parquet(f"{d}/region.parquet").collect()]
     schema = w.Schema.create().add_fix_size_field("k", w.DataType.String).add_fix_size_field("v", w.DataType.Long)
-    q = w.Query(schema=schema).input(w.InputType.Memory, rows=[("a", 1), ("b", 2), ("a", 3)])
-    return q.group_by("k").aggregate(w.Sum("v")).to_df(spark)
+    q = w.Query(schema=schema).input(w.InputType.Memory, rows=rows)
+    return q.group_by("k").aggregate(w.Sum("v"), w.Count()).to_df(spark)
 
 
-def generated(zipf: float | None):
-    """What must hold of made bids, skewed or not; the values themselves are random."""
+def generated(exponent: float | None, streaming: bool = False):
+    """A bid for every event, drawn by its number; as a batch, or of the table as a stream."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        made = generator.bids(spark, 100_000, 100, 1000, zipf=zipf)
-        fits = F.expr("auction between 0 and 999 and bidder between 0 and 99 and price between 0 and 99")
-        found = made.agg(F.count(F.lit(1)).alias("n"), F.sum("dateTime").alias("times"), F.min(fits).alias("in_range"))
-        # even keys have about a thousandth each; by the power law the first has 0.173 of the rows, the second 0.091
-        top = made.groupBy("auction").count().agg(
-            F.max("count").alias("most"), F.max(F.when(F.col("auction") == 0, F.col("count"))).alias("first"), F.max(F.when(F.col("auction") == 1, F.col("count"))).alias("second")
-        )
-        skewed = F.expr("first = most and first between 16500 and 18100 and second between 8500 and 9600")
-        return found.join(F.broadcast(top.select(F.expr("most < 200").alias("even"), skewed.alias("skewed"))))
+        make = lambda events: generator.bids_for(events.select("event_id"), "event_id", 100, 1000, exponent=exponent).select("auction", "bidder", "price", "dateTime")
+        events = spark.read.parquet(f"{d}/events.parquet").select("event_id")
+        if not streaming:
+            return make(events)
+        path, out = new_path(spark, "numbers"), new_path(spark, "drawn")
+        events.write.parquet(path)
+        q = w.Query.over(make(spark.readStream.schema(events.schema).parquet(path))).write(out)
+        q.execute(spark, checkpoint=new_path(spark, "progress")).awaitTermination()
+        return spark.read.schema(q.to_df(spark).schema).option("sep", ";").csv(out)
 
     return run
 
@@ -88,28 +90,34 @@ def printed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def plan_text(spark: SparkSession, d: str) -> DataFrame:
+    """The plan and the orders of its filters as text, and the rows that each order lets through, which are as many."""
     q = w.Query.over(bids(spark, d)).filter(w.Greater("price", 5)).filter(w.Less("bidder", 9)).group_by("auction").aggregate(w.Count()).print()
     with redirect_stdout(io.StringIO()):
-        lines = q.print_query_plan().splitlines() + q.print_pipeline_permutations().splitlines()
-    return spark.createDataFrame(list(enumerate(lines)), "line int, value string")
+        plan, orders = q.print_query_plan().splitlines(), q.print_pipeline_permutations().splitlines()
+    passed = [over(bids, lambda q: q.filter(w.Greater("price", 5)).filter(w.Less("bidder", 9)), w.Config().with_pipeline_permutation(k))(spark, d).count() for k in range(len(orders))]
+    return spark.createDataFrame(list(enumerate(zip(plan + orders, [None] * len(plan) + passed, strict=True))), "line int, at struct<value: string, passed: long>").select("line", "at.*")
 
 
 def from_socket(spark: SparkSession, d: str) -> DataFrame:
-    """Lines that a server on the driver sends, as a stream."""
+    """Lines that a server on the driver sends, a line for each event, as a stream."""
     name, server = f"lines_{uuid.uuid4().hex}", socket.create_server(("127.0.0.1", 0))
+    events = spark.read.parquet(f"{d}/events.parquet")
+    lines, n = events.select(F.concat_ws(",", F.col("event_id").cast("string"), "event_type").alias("value")), events.filter("event_type <> 'click'").count()
 
     def serve() -> None:
         link, _ = server.accept()
-        link.sendall(b"one\ntwo\none\n")
-        done.wait(60)
+        for row in lines.toLocalIterator():
+            link.sendall(f"{row.value}\n".encode())
+        done.wait(600)
         link.close()
 
     done = threading.Event()
     threading.Thread(target=serve, daemon=True).start()
     q = w.Query(path=None).input(w.InputType.Socket, streaming=True, host="127.0.0.1", port=server.getsockname()[1])
-    live = q.filter(w.NotEqual("value", "none")).to_output_buffer(name).execute(spark, checkpoint=new_path(spark, "progress"), available_now=False)
+    kept = w.Query.over(q.to_df(spark).select("value", F.substring_index("value", ",", -1).alias("kind"))).filter(w.NotEqual("kind", "click"))
+    live = kept.to_output_buffer(name).execute(spark, checkpoint=new_path(spark, "progress"), available_now=False)
     try:
-        while spark.table(name).count() < 3:
+        while spark.table(name).count() < n:
             live.processAllAvailable()
     finally:
         live.stop()
@@ -168,19 +176,16 @@ def late_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def throughput(spark: SparkSession, d: str) -> DataFrame:
-    """The log of a stream's input rates, on the driver."""
-    from weir.streaming.listener import ThroughputListener
-
-    seen: list[float] = []
-    listener = ThroughputListener(keep=seen.append)
-    spark.streams.addListener(listener)
-    streamed(lambda q: q.filter(w.Greater("price", 5000)).select(COLUMNS))(spark, d)
-    for _ in range(100):  # reports come after the query's end
+    """The log of a stream's input: all rows that it read, before its filter, and whether each batch had a rate."""
+    seen: list[tuple[int, float]] = []
+    source = w.Query.generate(w.Config().with_run_length(ALL_FILES), generator.BID_SCHEMA, stored(spark, d, w.InputType.BinaryFile)).input(w.InputType.BinaryFile, streaming=True)
+    q = source.filter(w.Greater("price", 5000)).select(COLUMNS).write(new_path(spark, "logged"))
+    q.execute(spark, checkpoint=new_path(spark, "progress"), throughput_log=lambda rows, seconds: seen.append((rows, seconds))).awaitTermination()
+    for _ in range(200):  # reports come after the query's end
         if seen:
             break
         threading.Event().wait(0.1)
-    spark.streams.removeListener(listener)
-    return spark.createDataFrame([(len(seen) > 0 and max(seen) > 0,)], "logged boolean")
+    return spark.createDataFrame([(sum(n for n, _ in seen), all(s > 0 for _, s in seen))], "rows long, rated boolean")
 
 
 def streamed_count_windows(build):
@@ -204,7 +209,12 @@ def entries() -> dict[str, Entry]:
     kinds = (w.InputType.BinaryFile, w.InputType.CSVFile, w.InputType.JSON, w.InputType.ORC, w.InputType.Parquet)
     picked = f"select * from {RECORDS_SQL} where price > 5000"
     out: dict[str, Entry] = {f"source_{k.name.lower().removesuffix('file')}": (from_files(k), picked) for k in kinds}
-    made = lambda skewed: f"select 100000 as n, 4999950000 as times, true as in_range, {not skewed} as even, {skewed} as skewed"
+    bits = lambda k: f"cast('0x' || substr(md5('42:{k}:' || event_id), 1, 12) as bigint)"
+    even = lambda k, n: f"(({bits(k)} >> 16) * {n}) >> 32"
+    made = f"select {even(0, 1000)} as auction, {even(1, 100)} as bidder, {even(2, 100)} as price, event_id as \"dateTime\" from events"
+    law = "(select k, coalesce(lag(c) over (order by k), 0) / max(c) over () as at from (select k, sum(pow(k + 1, -1.2)) over (order by k) as c from range(1000) t(k)))"
+    skewed = f"""select l.k as auction, bidder, price, "dateTime" from (select *, {bits(0)} / pow(2, 48) as u from ({made.replace(' from events', ', event_id from events')})) e
+        asof join {law} l on e.u >= l.at"""
     grouped = f"(select auction, cast(sum(price) as bigint) as price_sum, count(*) as count from {BIDS_SQL} group by auction)"
     s = w.Time.seconds
     on = "dateTime"
@@ -220,18 +230,20 @@ def entries() -> dict[str, Entry]:
         group by auction, s"""
     closed = lambda sql, least="": f"select * from ({sql}) where window_end <= {least or seen}"
     return out | {
-        "source_memory": (from_memory, "select 'a' as k, 4 as v_sum union all select 'b', 2"),
-        "source_generator": (generated(None), made(False)),
-        "source_generator_skewed": (generated(1.2), made(True)),
-        "source_socket": (from_socket, "select unnest(['one', 'two', 'one']) as value"),
+        "source_memory": (from_memory, "select r_name[1] as k, sum(r_regionkey)::bigint as v_sum, count(*) as count from region group by all"),
+        "source_generator": (generated(None), made),
+        "source_generator_skewed": (generated(1.2), skewed),
+        "stream_generator_skewed": (generated(1.2, streaming=True), skewed),
+        "source_socket": (from_socket, "select event_id || ',' || event_type as value, event_type as kind from events where event_type <> 'click'"),
         "sink_delimited": (delimited, f"select auction || ';' || price_sum || ';' || count as value from {grouped}"),
         "sink_print": (printed, f"select event_type || ':' || cast(sum(price) as bigint) || '|' || count(*) || '|' as value from {BIDS_SQL} group by event_type"),
         "explain_plan_text": (
             plan_text,
             """select * from (values (0, 'print()'), (1, '  aggregate(Count(), True)'), (2, '    group_by(auction)'), (3, '      filter(bidder < 9)'),
-            (4, '        filter(price > 5)'), (5, '          source(DataFrame)'), (6, '0: price > 5 -> bidder < 9'), (7, '1: bidder < 9 -> price > 5')) as t(line, value)""",
+            (4, '        filter(price > 5)'), (5, '          source(DataFrame)'), (6, '0: price > 5 -> bidder < 9'), (7, '1: bidder < 9 -> price > 5')) as t(line, value)
+            left join (select count(*) as passed from """ + BIDS_SQL + """ where price > 5 and bidder < 9) on line >= 6""",
         ),
-        "stream_throughput_log": (throughput, "select true as logged"),
+        "stream_throughput_log": (throughput, "select count(*) as rows, true as rated from events"),
         "sink_buffer": (buffered, f"select auction, count from {grouped}"),
         "stream_filter_map": (
             streamed(lambda q: q.filter(w.Greater("price", 5000)).filter(w.Less("bidder", 50)).map(w.Add("price", 7)).select(COLUMNS)),

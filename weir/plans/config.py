@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
 from pyspark.sql import SparkSession
@@ -11,15 +13,21 @@ from pyspark.sql import SparkSession
 class Config:
     """Immutable settings; each ``with_*`` returns a changed copy.
 
-    ``numa`` and ``output_buffer`` are accepted and have no effect: placement
-    and result buffering belong to Spark.
+    ``Query.execute`` runs under :meth:`applied`: ``parallelism`` is the number
+    of shuffle partitions, ``buffer_size`` the rows of a batch handed to
+    Python.  ``run_length`` is files of a micro-batch, ``benchmark_run_duration``
+    seconds after which a stream is stopped (None: it ends by itself or runs on).
+    ``filter_opt``, ``pipeline_permutation`` and ``sample_rows`` order filters.
+    ``numa``, ``output_buffer``, ``compilation_delay`` and ``distribution_opt``
+    are accepted and have no effect: placement, result buffering, compilation
+    and the splitting of hot partitions belong to Spark.
     """
 
     parallelism: int | None = None
-    buffer_size: int = 10_000
+    buffer_size: int | None = None
     run_length: int = 1
     pipeline_permutation: int = 0
-    benchmark_run_duration: int = 60
+    benchmark_run_duration: float | None = None
     numa: bool = False
     filter_opt: bool = True
     distribution_opt: bool = True
@@ -44,7 +52,7 @@ class Config:
     def with_pipeline_permutation(self, k: int) -> Config:
         return replace(self, pipeline_permutation=k)
 
-    def with_benchmark_run_duration(self, seconds: int) -> Config:
+    def with_benchmark_run_duration(self, seconds: float | None) -> Config:
         return replace(self, benchmark_run_duration=seconds)
 
     def with_numa(self, on: bool) -> Config:
@@ -81,11 +89,17 @@ class Config:
     setSourceFile = with_source_file
 
     def spark_conf(self) -> dict[str, str]:
-        conf = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(self.buffer_size)}
-        if self.parallelism:
-            conf["spark.sql.shuffle.partitions"] = str(self.parallelism)
-        return conf
+        conf = {"spark.sql.execution.arrow.maxRecordsPerBatch": self.buffer_size, "spark.sql.shuffle.partitions": self.parallelism}
+        return {k: str(v) for k, v in conf.items() if v}
 
-    def apply(self, spark: SparkSession) -> None:
+    @contextmanager
+    def applied(self, spark: SparkSession) -> Iterator[None]:
+        """These settings for what is run, or started, inside; a stream keeps those that it was started with."""
+        before = {k: spark.conf.get(k, None) for k in self.spark_conf()}
         for k, v in self.spark_conf().items():
             spark.conf.set(k, v)
+        try:
+            yield
+        finally:
+            for k, v in before.items():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)

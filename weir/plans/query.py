@@ -16,6 +16,7 @@ from weir.plans import adaptive
 from weir.plans.config import Config
 from weir.plans.schema import Schema
 from weir.sources.readers import InputType, read
+from weir.streaming.listener import INPUT
 
 
 @dataclass(frozen=True)
@@ -121,9 +122,11 @@ class Query:
                 return sorted(found)
         return None
 
-    def to_df(self, spark: SparkSession, output_mode: str = "append") -> DataFrame:
-        """The plan without its sinks, for a stream's output mode."""
+    def to_df(self, spark: SparkSession, output_mode: str = "append", counted: bool = False) -> DataFrame:
+        """The plan without its sinks, for a stream's output mode; ``counted``: input rows are reported with its progress."""
         df, keys, per_key, window, run = self.source(spark), [], False, None, []
+        if counted:
+            df = df.observe(INPUT, F.count(F.lit(1)).alias("rows"))
         scanned = True  # what an aggregation gives is not run just to measure filters on it
         for step in [*self.steps, Step("end")]:
             if step.kind == "filter":
@@ -154,13 +157,14 @@ class Query:
         """
         from weir.sinks import writers
 
-        df = self.to_df(spark, options.get("output_mode", "append"))
-        sinks = [s for s in self.steps if s.kind in ("print", "write", "buffer")] or [Step("collect")]
-        if df.isStreaming:
-            window = next((s.args[0] for s in reversed(self.steps) if s.kind == "window"), None)
-            every = window.stream_trigger() if isinstance(window, Window) else None
-            return writers.start(df, sinks, every, **options)
-        return writers.run(df, sinks, **options)
+        with self.config.applied(spark):
+            df = self.to_df(spark, options.get("output_mode", "append"), bool(options.get("throughput_log")))
+            sinks = [s for s in self.steps if s.kind in ("print", "write", "buffer")] or [Step("collect")]
+            if df.isStreaming:
+                window = next((s.args[0] for s in reversed(self.steps) if s.kind == "window"), None)
+                every = window.stream_trigger() if isinstance(window, Window) else None
+                return writers.start(df, sinks, every, duration=self.config.benchmark_run_duration, **options)
+            return writers.run(df, sinks, **options)
 
     def print_query_plan(self) -> str:
         from weir.plans.explain import query_plan

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from threading import Timer
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from weir.plans.shared import new_path
@@ -57,19 +60,31 @@ class Streams(list):
             q.stop()
 
 
-def start(df: DataFrame, sinks, every: str | None, checkpoint: str | None = None, available_now: bool | None = None, output_mode: str = "append", throughput_log: str | None = None):
+def start(df: DataFrame, sinks, every: str | None, checkpoint: str | None = None, available_now: bool | None = None, output_mode: str = "append", throughput_log=None, duration: float | None = None):
     """Start a streaming query for each sink; one is returned as it is, several as :class:`Streams`.
 
     ``every`` is the window's trigger.  Without it, or if ``available_now`` is
-    asked for, what there is is read and the query ends.  Delimited files in
-    append mode with a ``checkpoint`` hold every row once, restarts included;
-    otherwise a batch that is run again is written again.  Each of several
+    asked for, what there is is read and the query ends.  Delimited files with
+    a ``checkpoint`` hold every row of every batch once, restarts included: in
+    append mode by the log of Spark's file sink, in other modes as each batch
+    has a folder of its own (``run=.../batch=n``, so these are columns when
+    read) that a batch run again replaces.  Each of several
     sinks has its own folder in ``checkpoint``, and reads the source itself.
+    ``throughput_log`` is a file on the driver, or a function that is given the
+    rows and the seconds of each batch; ``duration``: seconds until all stop.
     """
+    listener = None
     if throughput_log:
-        df.sparkSession.streams.addListener(ThroughputListener(throughput_log))
+        listener = ThroughputListener(df.sparkSession, **({"keep": throughput_log} if callable(throughput_log) else {"path": throughput_log}))
+        df.sparkSession.streams.addListener(listener)
     apart = len(sinks) > 1
     queries = [_start(df, s, every, f"{checkpoint}/sink-{k}" if checkpoint and apart else checkpoint, available_now, output_mode) for k, s in enumerate(sinks)]
+    if listener:
+        listener.follow(queries)
+    if duration is not None:
+        timer = Timer(duration, Streams(queries).stop)
+        timer.daemon = True
+        timer.start()
     return Streams(queries) if apart else queries[0]
 
 
@@ -85,6 +100,9 @@ def _start(df: DataFrame, sink, every: str | None, checkpoint: str | None, avail
         return writer.format("console").option("truncate", "false").start()
     if sink.kind == "write" and checkpoint and output_mode == "append":
         return writer.format("csv").option("sep", ";").start(sink.args[0])
+    if sink.kind == "write" and checkpoint:
+        run = hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+        return writer.foreachBatch(lambda rows, n: rows.write.mode("overwrite").option("sep", ";").csv(f"{sink.args[0]}/run={run}/batch={n}")).start()
     if sink.kind == "write":
         return writer.foreachBatch(lambda rows, _: rows.write.mode("append").option("sep", ";").csv(sink.args[0])).start()
     return writer.format("memory").queryName(sink.args[0] if sink.args else "output").start()
