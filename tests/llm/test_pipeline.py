@@ -61,3 +61,22 @@ def test_stages_keep_other_columns(spark, odd):
     for name, stage in corpus_pipeline.STAGES[1:2] + corpus_pipeline.STAGES[3:4]:
         assert stage(spark, odd, "").columns == odd.columns, name
     assert corpus_pipeline.STAGES[2][1](spark, odd, "/root/testdata/sf0.001").columns == odd.columns == corpus_pipeline.STAGES[0][1](spark, odd, "").columns
+
+
+def test_columns_may_have_the_names_used_inside(spark):
+    """Near-duplicates and decontamination by parts keep a user's columns of any name, texts and numbers alike."""
+    from weir.llm import decontam, simhash
+
+    inner = ["_text", "_at", "_word", "_bits", "_maybe", "_kept", "_copy", "_doc", "copy", "row", "of", "said", "group", "name", "n", "p"]
+    story = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(k, story(k % 7)) for k in range(12)] + [(3, story(3)), (None, story(1))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, story(2)), (2, story(50) + " only here"), (3, story(5))], "item_id long, text string")
+    for kind in ("string", "bigint"):
+        wide = docs.selectExpr("*", *(f"cast(coalesce(doc_id, -1) * 100 + {i} as {kind}) as `{c}`" for i, c in enumerate(inner)))
+        value = lambda d, i, kind=kind: str(d * 100 + i) if kind == "string" else d * 100 + i
+        for got, left in ((simhash.one_of_each(wide), [None, 0, 1, 2, 3, 4, 5, 6]), (decontam.clean(wide, items, 3000), None), (decontam.clean(wide, items), None)):
+            found = got.collect()
+            assert got.columns == wide.columns and all(r[c] == value(-1 if r.doc_id is None else r.doc_id, i) for r in found for i, c in enumerate(inner))
+            want = [d for d, t in rows if t not in (story(2), story(5))] if left is None else left
+            assert sorted((r.doc_id is not None, r.doc_id or 0) for r in found) == sorted((d is not None, d or 0) for d in want)

@@ -21,6 +21,16 @@ def test_language_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_numerals_are_no_letters(spark):
+    """The query's rule: a text without a letter of any script is ``und``, whatever its signs."""
+    texts = ["½ ½ 1", "² ① Ⅷ 〇", "_ - 1", "ª", "中", "x", "1 é", "\U0001d54f"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    model = langid.learn(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs, model).collect()}
+    assert [got[k] == "und" for k in range(len(texts))] == [True, True, True, False, False, False, False, False]
+    assert [langid.has_letter(t) for t in texts] == [r.l for r in docs.orderBy("doc_id").selectExpr(r"text rlike '\\p{L}' as l").collect()]
+
+
 def test_folded_scores_are_the_kernel_machine():
     texts = ["the cat and the dog", "le chat et le chien", "the man of the house", "la maison de la dame"] * 3
     bits = np.array([langid.presence(t) for t in texts])

@@ -66,6 +66,24 @@ def test_copies_lengths_and_odd_rows(spark):
     assert answers(frame(spark, rows).limit(0)) == {}
 
 
+def test_unlike_vectors_of_one_id_are_rows_of_their_own(spark):
+    """Each is a query with its own ranks, and a candidate of the others of its id."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=5).astype(np.float32).tolist()) for i in range(40)] + [(20, rng.normal(size=5).astype(np.float32).tolist()) for _ in range(2)] + [(7, rng.normal(size=5).astype(np.float32).tolist())]
+    rows.append(rows[20])  # once more, as it is
+    different = [r for k, r in enumerate(rows) if r not in rows[:k]]
+    want = []
+    for k, (i, v) in enumerate(different):
+        if i % 20 == 0:
+            scores = sorted((-float((np.array(x, float) * np.array(v, float)).sum()), j) for n, (j, x) in enumerate(different) if n != k)
+            want += [(i, rank, j, round(-s, 9)) for rank, (s, j) in enumerate(scores[:4], 1)]
+    for plan in (ann.Plan(8, 1, 16), ann.Plan(1, 1, 1)):  # all axes, and one that must ask again
+        got = [(r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in ann.search(frame(spark, rows), F.col("vec_id") % 20 == 0, 4, plan=plan).collect()]
+        if plan.tables == 8:
+            assert sorted(got) == sorted(want)
+        assert sum(g[:2] == (20, 1) for g in got) == 3 and len(got) == len(want)
+
+
 def test_cells_of_several_levels_meet_what_one_level_meets(spark):
     """All cells of two levels are exact; some of them give true scores in their order."""
     rng = np.random.default_rng(6)

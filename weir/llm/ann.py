@@ -258,7 +258,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, plan: Plan | None
     vectors that are null, empty, zero, or hold a null or non-finite component
     take no part, nor do those of another length than the commonest (the
     smaller of two equally common).  A row repeated with the same id and
-    vector counts once.  Other columns are not read but for ``is_query``.
+    vector counts once; unlike vectors of one id are rows of their own: each is
+    a query with its own ranks, and each may be found, by the others too.
+    Other columns are not read but for ``is_query``.
     Queries that meet fewer than ``k`` others (or all, if there are fewer) are
     asked again under every axis of one table, where each entry is met.
     ``plan`` is fitted if none is given.
@@ -340,23 +342,23 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, plan: Plan | None
         best = best.withColumn("place", F.rank().over(by_score)).filter(F.col("place") <= k + 1).drop("place")
         named = best.join(kept.select(F.col("entry").alias("v"), "vec_id"), "v")
         order = W.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-        named = named.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k + 1).select("q", "vec_id", "score")
+        named = named.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k + 1).select("q", "v", "vec_id", "score")
         asking = ids.filter("is_query").select(F.col("entry").alias("q"), F.col("vec_id").alias("query_id"))
-        pairs = named.join(asking, "q").filter("vec_id <> query_id")
-        final = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        return pairs.withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        pairs = named.join(asking, "q").filter("not (vec_id = query_id and v = q)")
+        final = W.partitionBy("q", "query_id").orderBy(F.desc("score"), "vec_id", "v")
+        return pairs.withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= k).select("q", "query_id", "rank", "vec_id", "score")
 
     found = written(nearest(entries, plan), "nearest")
-    others = (ids.agg(F.count_distinct("vec_id")).first()[0] or 1) - 1
-    asking = ids.filter("is_query").select("entry", F.col("vec_id").alias("query_id"))
-    met = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("met"))
-    short = asking.join(met, "query_id", "left").filter(F.coalesce("met", F.lit(0)) < min(k, others))
-    short = written(short.select("entry").distinct(), "short")
+    others = rows_of(ids) - 1
+    asking = ids.filter("is_query").select(F.col("entry").alias("q"), F.col("vec_id").alias("query_id"))
+    met = found.groupBy("q", "query_id").agg(F.count(F.lit(1)).alias("met"))
+    short = asking.join(met, ["q", "query_id"], "left").filter(F.coalesce("met", F.lit(0)) < min(k, others))
+    short = written(short.select(F.col("q").alias("entry")).distinct(), "short")
     if short.isEmpty():
-        return found
+        return found.drop("q")
     again = entries.drop("asked").join(short.withColumn("asked", F.lit(True)), "entry", "left")
     more = nearest(again, Plan(1, 1, 1 << 30))
-    return found.join(asking.join(short, "entry", "left_semi").select("query_id"), "query_id", "left_anti").unionByName(more)
+    return found.join(short.select(F.col("entry").alias("q")), "q", "left_anti").unionByName(more).drop("q")
 
 
 def _length() -> Column:

@@ -270,8 +270,9 @@ def clean(docs: DataFrame, items: DataFrame, index_bytes: int | None = None) ->
     """
     found, indexes = _contaminated(docs, items, index_bytes)
     if indexes is None:
-        bad = found.select(F.col("doc_id").alias("_doc"), F.col("copy").alias("_copy")).distinct()
-        return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_copy")), "left_anti")
+        bad = found.select(F.col("doc_id").alias("of"), F.col("copy").alias("said")).distinct()
+        rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("copy"))  # a row goes as one value: its columns may have any names
+        return rows.join(bad, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("copy") == F.col("said")), "left_anti").select("row.*")
     kinds, at = docs.schema, docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,6 +22,7 @@ the most that it can learn.  Prediction reads every whole text.
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,12 +40,18 @@ PER_LANGUAGE, LANDMARKS, SAMPLE, ALL_LANDMARKS = 256, 24, 4096, 768
 BUCKETS, RIDGE = 16, 1e-2
 #: Characters of a text that make one bitmap; bitmaps that are multiplied at a time.
 PIECE, ROWS = 1 << 14, 128
-LETTER = re.compile(r"[^\W\d_]")
+#: Letters and numerals beyond the digits, which are told apart by their category.
+WORDLIKE = re.compile(r"[^\W\d_]")
 #: Texts of a language that must have an n-gram for it to be known, and the share of labelled texts that may be unlike the others.
 HOLDERS, UNLIKE = 2, 0.02
 MIX = np.uint32(0x9E3779B1)
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text has a letter of any script (``\\p{L}``); ½, ² and Ⅷ are none."""
+    return any(unicodedata.category(m[0])[0] == "L" for m in WORDLIKE.finditer(text))
+
+
 def presence(text: str) -> np.ndarray:
     """Bitmap of the n-grams of the lower-cased text, white space as one space."""
     flags = np.zeros(FEATURES, bool)
@@ -196,7 +203,7 @@ def learn(docs: DataFrame, learnable: Column | None = None, per_language: int =
 
 def _read(scorer: Scorer | None, texts: list[str | None]) -> tuple[list[int], np.ndarray, np.ndarray]:
     """The numbers of the texts with a letter, their scores, and whether they are in the language that scores best."""
-    named = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
+    named = [i for i, t in enumerate(texts) if t and has_letter(t)]
     if not scorer or not named:
         return named, np.empty((0, 0)), np.empty(0, bool)
     return named, *scorer.read([texts[i] for i in named])

@@ -547,8 +547,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     # rows that go, and rows that are there several times: only these are moved
     several = found.groupBy("doc_id", "copy").count().filter("count > 1").select("doc_id", "copy")
     moved = written(found.join(keep, kept, "left_anti").select("doc_id", "copy").union(several).select(F.xxhash64("doc_id", "copy")), "moved")
-    marked = docs.filter(F.col("doc_id").isNotNull()).withColumn("_text", F.xxhash64("text"))
-    marked = maybe_in(marked, F.xxhash64("doc_id", "_text"), moved)
-    held = (F.col("doc_id") == F.col("_kept")) & (F.col("_text") == F.col("_copy"))
-    rest = marked.filter("_maybe").join(keep, held, "left_semi").dropDuplicates(["doc_id", "_text"])
-    return marked.filter("not _maybe").unionByName(rest).select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    # a row goes as one value: its columns may have any names
+    marked = docs.filter(F.col("doc_id").isNotNull()).select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("copy"))
+    marked = maybe_in(marked, F.xxhash64("doc_id", "copy"), moved)
+    held = (marked["doc_id"] == keep["_kept"]) & (marked["copy"] == keep["_copy"])
+    rest = marked.filter("_maybe").join(keep, held, "left_semi").dropDuplicates(["doc_id", "copy"])
+    return marked.filter("not _maybe").unionByName(rest).select("row.*").unionByName(docs.filter(F.col("doc_id").isNull()))
