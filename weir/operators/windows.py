@@ -59,6 +59,12 @@ class CountTrigger:
 
     max: int
 
+    def every(self) -> int:
+        return self.max
+
+    def purges(self) -> bool:
+        return False
+
 
 @dataclass(frozen=True)
 class PurgingTrigger:
@@ -66,13 +72,20 @@ class PurgingTrigger:
 
     trigger: ProcessingTimeTrigger | CountTrigger
 
+    def every(self) -> int:
+        return self.trigger.max
+
+    def purges(self) -> bool:
+        return True
+
 
 @dataclass(frozen=True)
 class Window:
     """A window over the rows of a key.
 
     ``on`` names the time field; without it the wall clock of processing is
-    used.  ``lateness`` is the watermark delay of a stream.
+    used.  ``lateness`` is the watermark delay of a stream.  A stream's window
+    may fire before its end (``early``) and be corrected after it (``allowed``).
     """
 
     size: Time
@@ -82,6 +95,29 @@ class Window:
     lateness: Time = Time(0)
     offset: Time = Time(0)
     trigger: ProcessingTimeTrigger | CountTrigger | PurgingTrigger | None = None
+    early: CountTrigger | PurgingTrigger | None = None
+    allowed: Time = Time(0)
+
+    def with_early_firing(self, trigger: CountTrigger | PurgingTrigger) -> Window:
+        """Of a stream: fires at every n-th row of its key, and at its end with what has come since.
+
+        A ``PurgingTrigger`` around it starts anew after each firing; without
+        one, each firing has all rows so far.
+        """
+        if not isinstance(trigger.trigger if isinstance(trigger, PurgingTrigger) else trigger, CountTrigger):
+            raise ValueError("a window fires early by a count of rows")
+        if trigger.every() < 1:
+            raise ValueError("a firing needs at least one row")
+        return replace(self, early=trigger)
+
+    def with_allowed_lateness(self, lateness: Time) -> Window:
+        """Of a stream: kept so long after its end, and fired again for late rows; ``Query.late_rows`` has those that come later still."""
+        return replace(self, allowed=Time.of(lateness))
+
+    def refires(self) -> bool:
+        return self.early is not None or self.allowed.seconds_ > 0
+
+    withEarlyFiring, withAllowedLateness = with_early_firing, with_allowed_lateness
 
     def with_trigger(self, trigger) -> Window | CountWindow:
         inner = trigger.trigger if isinstance(trigger, PurgingTrigger) else trigger

@@ -205,6 +205,26 @@ def streamed_count_windows(build):
     return run
 
 
+def refired(build, late: bool = False):
+    """The records in the order of the events, by micro-batches: with ``late``, every tenth of them only after all others."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        path, out, progress = new_path(spark, "bids-ordered"), new_path(spark, "fired"), new_path(spark, "progress")
+        own = spark.newSession()  # the state store is a setting of this query alone
+        own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+        own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+        q = build(w.Query.generate(w.Config().with_run_length(ALL_FILES), generator.BID_SCHEMA, path).input(w.InputType.BinaryFile, streaming=True)).write(out)
+        rows = bids(spark, d).select("event_id", "auction", "bidder", "price", F.expr(MILLIS).alias("dateTime"))
+        behind = F.col("event_id") % 10 == 0
+        for part in (rows.filter(~behind), rows.filter(behind)) if late else (rows,):
+            binary.write(part.coalesce(1).sortWithinPartitions("event_id").drop("event_id"), path, generator.BID_SCHEMA)
+            q.execute(own, checkpoint=progress).awaitTermination()
+        read = spark.read.schema(q.to_df(own).schema).option("sep", ";").csv(out)
+        return read.select(*(F.unix_millis(c).alias(c) if c.startswith("window_") else c for c in read.columns))
+
+    return run
+
+
 def entries() -> dict[str, Entry]:
     kinds = (w.InputType.BinaryFile, w.InputType.CSVFile, w.InputType.JSON, w.InputType.ORC, w.InputType.Parquet)
     picked = f"select * from {RECORDS_SQL} where price > 5000"
@@ -228,6 +248,9 @@ def entries() -> dict[str, Entry]:
         select *, sum(new) over (partition by auction order by dateTime, price, bidder rows unbounded preceding) as s from (
             select *, case when dateTime - lag(dateTime) over (partition by auction order by dateTime, price, bidder) <= 1800000 then 0 else 1 end as new from {RECORDS_SQL}))
         group by auction, s"""
+    ordered = f"select *, (row_number() over (partition by auction, window_start order by event_id) - 1) as rn from (select *, epoch_us(ts) // 86400000000 * 86400000 as window_start from {BIDS_SQL})"
+    halves = f"""select auction, bidder, price, epoch_us(ts) // 1000 as dateTime, epoch_us(ts) // 86400000000 * 86400000 as window_start, event_id % 10 = 0 as behind,
+        max(case when event_id % 10 <> 0 then epoch_us(ts) // 1000 end) over () as mark from {BIDS_SQL}"""
     closed = lambda sql, least="": f"select * from ({sql}) where window_end <= {least or seen}"
     return out | {
         "source_memory": (from_memory, "select r_name[1] as k, sum(r_regionkey)::bigint as v_sum, count(*) as count from region group by all"),
@@ -271,6 +294,29 @@ def entries() -> dict[str, Entry]:
             f"""select auction, rn // 10 as window_index, cast(sum(price) as bigint) as price_sum, max(event_id) as "dateTime_max", count(*) as count
             from (select *, row_number() over (partition by auction order by event_id) - 1 as rn from {BIDS_SQL}) group by all having count(*) = 10""",
         ),
+        "stream_early_purging": (
+            refired(lambda q: q.group_by("auction").window(w.TumblingEventTimeWindow(s(86400), on).with_early_firing(w.PurgingTrigger(w.CountTrigger(3)))).aggregate(w.Sum("price"), w.Count())),
+            f"""select auction, window_start, window_start + 86400000 as window_end, rn // 3 as firing, cast(sum(price) as bigint) as price_sum, count(*) as count from ({ordered})
+            group by all having count(*) = 3 or window_end <= {seen}""",
+        ),
+        "stream_early_accumulating": (
+            refired(lambda q: q.group_by("auction").window(w.TumblingEventTimeWindow(s(86400), on).with_early_firing(w.CountTrigger(3))).aggregate(w.Sum("price"), w.Count())),
+            f"""select auction, window_start, window_start + 86400000 as window_end, firing, cast(sum(sum(price)) over so_far as bigint) as price_sum, cast(sum(count(*)) over so_far as bigint) as count
+            from (select *, rn // 3 as firing from ({ordered})) group by auction, window_start, firing
+            window so_far as (partition by auction, window_start order by firing) qualify count % 3 = 0 or window_end <= {seen}""",
+        ),
+        "stream_allowed_lateness": (
+            refired(lambda q: q.group_by("auction").window(w.TumblingEventTimeWindow(s(86400), on).with_allowed_lateness(s(864000))).aggregate(w.Sum("price"), w.Max("bidder"), w.Count()), late=True),
+            f"""with r as ({halves}), ended as (select *, window_start + 86400000 as window_end from r where window_start + 86400000 <= greatest(mark, (select max(dateTime) from {RECORDS_SQL})))
+            select auction, window_start, window_end, 0 as firing, cast(sum(price) as bigint) as price_sum, max(bidder) as bidder_max, count(*) as count
+            from ended where not behind or window_end > mark group by all
+            union all select auction, window_start, window_end, case when bool_or(not behind) then 1 else 0 end, cast(sum(price) as bigint), max(bidder), count(*)
+            from ended where window_end <= mark and window_end + 864000000 > mark group by auction, window_start, window_end having bool_or(behind)""",
+        ),
+        "stream_too_late_rows": (
+            refired(lambda q: q.group_by("auction").window(w.TumblingEventTimeWindow(s(86400), on).with_allowed_lateness(s(864000))).late_rows(), late=True),
+            f"""select auction, bidder, price, dateTime, window_start from ({halves}) where behind and window_start + 86400000 + 864000000 <= mark""",
+        ),
         "stream_countwin_grouped": (
             streamed_count_windows(lambda q: q.group_by("bidder").window(w.CountWindow(250)).aggregate(w.Avg("price"), w.Min("dateTime"))),
             f"""select bidder, rn // 250 as window_index, avg(price) as price_avg, cast(sum(price) as bigint) as price_sum, count(*) as count, min(event_id) as "dateTime_min"

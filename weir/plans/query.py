@@ -85,6 +85,10 @@ class Query:
     def aggregate(self, *aggregations: Aggregation, include_bounds: bool = True) -> Query:
         return self._then("aggregate", aggregations, include_bounds)
 
+    def late_rows(self) -> Query:
+        """Of a stream, after ``window``: the rows that come when their window has been let go, with its ``window_start``."""
+        return self._then("late")
+
     def print(self) -> Query:
         return self._then("print")
 
@@ -94,7 +98,7 @@ class Query:
     def to_output_buffer(self, name: str = "output") -> Query:
         return self._then("buffer", name)
 
-    groupBy, keyBy, toOutputBuffer = group_by, key_by, to_output_buffer
+    groupBy, keyBy, toOutputBuffer, lateRows = group_by, key_by, to_output_buffer, late_rows
 
     def source(self, spark: SparkSession) -> DataFrame:
         if self.frame is not None:
@@ -144,6 +148,13 @@ class Query:
                     resolve(df, k)
             elif step.kind == "window":
                 window = step.args[0]
+            elif step.kind == "late":
+                from weir.streaming import firing
+
+                if not df.isStreaming or not isinstance(window, Window) or window.session:
+                    raise ValueError("late rows are those of a stream's tumbling or sliding window")
+                timed, time, _ = window.prepare(df)
+                df, keys, window = firing.too_late(timed, df.columns, time, window, keys), [], None
             elif step.kind == "aggregate":
                 df = _aggregated(df, keys, per_key, window, *step.args, output_mode)
                 keys, per_key, window, scanned = [], False, None, False
@@ -201,6 +212,13 @@ def _aggregated(df: DataFrame, keys, per_key: bool, window, aggregations, includ
         out = rows.groupBy(*keys, index).agg(*outputs(rows)).withColumnRenamed(index, "window_index")
         return out if include_bounds else out.drop("window_index")
     df, time, bucket = window.prepare(df)
+    if window.refires():
+        from weir.streaming import firing
+
+        if not df.isStreaming or window.session or window.lateness.seconds_:
+            raise ValueError("a tumbling or sliding window of a stream fires again; it needs no lateness beside the allowed one")
+        out = firing.fired(df, time, window, keys, aggregations)
+        return out if include_bounds else out.drop("window_start", "window_end")
     merging = Merging.of(df, aggregations) if window.ratio() >= panes.LEAST_RATIO else None
     (span,) = free(df, "window")
     if merging and not df.isStreaming:
