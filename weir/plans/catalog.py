@@ -139,6 +139,15 @@ def bucket(size: str) -> str:
     return f"time_bucket(interval '{size}', ts, timestamp '1970-01-01')"
 
 
+def kept_apart(key: str, gap: str, sql: str) -> str:
+    """Sessions of each key, or of all rows."""
+    part, first = (f"partition by {key}", f"{key}, ") if key else ("", "")
+    return f"""select {first}min(ts) as window_start, max(ts) + interval '{gap}' as window_end, {sql} from (
+        select *, sum(new) over ({part} order by ts, event_id rows unbounded preceding) as s from (
+            select *, case when ts - lag(ts) over ({part} order by ts, event_id) <= interval '{gap}' then 0 else 1 end as new from {BIDS_SQL}))
+        group by {first}s"""
+
+
 def _windows() -> dict[str, Entry]:
     day = w.TumblingEventTimeWindow(w.Time.minutes(1440), "ts")
     tumble = lambda size, sql, keys="auction, ", where="": f"select {keys}{bucket(size)} as window_start, {bucket(size)} + interval '{size}' as window_end, {sql} from {BIDS_SQL} {where} group by all"
@@ -168,6 +177,11 @@ def _windows() -> dict[str, Entry]:
             from (select *, {bucket('1 minute')} - to_minutes(cast(i as integer)) as window_start from {BIDS_SQL}, range(720) t(i)) group by event_type, window_start""",
         ),
         "win_session_count": (over(bids, lambda q: q.group_by("auction").window(sessions).aggregate(w.Count())), session),
+        "win_session_hot_keys": (
+            over(bids, lambda q: q.group_by("event_type").window(w.SessionEventTimeWindow(w.Time.minutes(20), "ts")).aggregate(w.Avg("price"), w.Max("auction")), w.Config().with_distribution_opt(True)),
+            kept_apart("event_type", "20 minutes", f"{AGGREGATES['avg'][1]}, max(auction) as auction_max"),
+        ),
+        "win_session_global": (over(bids, lambda q: q.window(w.SessionEventTimeWindow(w.Time.minutes(10), "ts")).aggregate(w.Count())), kept_apart("", "10 minutes", "count(*) as count")),
         "win_session_processing_time": (over(bids, lambda q: q.group_by("auction").window(w.SessionProcessingTimeWindow(w.Time.minutes(30), on="ts")).aggregate(w.Count())), session),
         # the wall clock is one instant of a batch: one window, or session, of each key
         "win_tumble_wall_clock": (over(bids, lambda q: q.group_by("auction").window(w.TumblingProcessingTimeWindow(w.Time.minutes(60))).aggregate(w.Count(), include_bounds=False)), f"select auction, count(*) as count from {BIDS_SQL} group by auction"),

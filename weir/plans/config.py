@@ -18,9 +18,10 @@ class Config:
     Python.  ``run_length`` is files of a micro-batch, ``benchmark_run_duration``
     seconds after which a stream is stopped (None: it ends by itself or runs on).
     ``filter_opt``, ``pipeline_permutation`` and ``sample_rows`` order filters.
-    ``numa``, ``output_buffer``, ``compilation_delay`` and ``distribution_opt``
-    are accepted and have no effect: placement, result buffering, compilation
-    and the splitting of hot partitions belong to Spark.
+    ``distribution_opt`` looks for keys with very many rows, in a pass of its
+    own, and forms their sessions slice by slice; it is off unless asked for.
+    ``numa``, ``output_buffer`` and ``compilation_delay`` are accepted and have
+    no effect: placement, result buffering and compilation belong to Spark.
     """
 
     parallelism: int | None = None
@@ -30,7 +31,7 @@ class Config:
     benchmark_run_duration: float | None = None
     numa: bool = False
     filter_opt: bool = True
-    distribution_opt: bool = True
+    distribution_opt: bool = False
     compilation_delay: int = 4_000
     output_buffer: int = 0
     source_file: str | None = None

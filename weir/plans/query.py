@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from weir.functions.aggregates import Aggregation, Merging, distinct
 from weir.functions.mappers import Mapper
 from weir.functions.predicates import Predicate, resolve
-from weir.operators import panes
+from weir.operators import panes, sessions
 from weir.operators.countwin import count_windows, free
 from weir.operators.windows import CountWindow, Window
 from weir.plans import adaptive
@@ -156,7 +156,7 @@ class Query:
                 timed, time, _ = window.prepare(df)
                 df, keys, window = firing.too_late(timed, df.columns, time, window, keys), [], None
             elif step.kind == "aggregate":
-                df = _aggregated(df, keys, per_key, window, *step.args, output_mode)
+                df = _aggregated(df, keys, per_key, window, *step.args, output_mode, self.config.distribution_opt)
                 keys, per_key, window, scanned = [], False, None, False
         return df
 
@@ -193,7 +193,7 @@ class Query:
         self.to_df(spark).explain(mode)
 
 
-def _aggregated(df: DataFrame, keys, per_key: bool, window, aggregations, include_bounds: bool, output_mode: str) -> DataFrame:
+def _aggregated(df: DataFrame, keys, per_key: bool, window, aggregations, include_bounds: bool, output_mode: str, distribution_opt: bool) -> DataFrame:
     outputs = lambda d: distinct([c for a in aggregations for c in a.columns(d)])
     if window is None:
         return df.groupBy(*keys).agg(*outputs(df))
@@ -219,9 +219,17 @@ def _aggregated(df: DataFrame, keys, per_key: bool, window, aggregations, includ
             raise ValueError("a tumbling or sliding window of a stream fires again; it needs no lateness beside the allowed one")
         out = firing.fired(df, time, window, keys, aggregations)
         return out if include_bounds else out.drop("window_start", "window_end")
-    merging = Merging.of(df, aggregations) if window.ratio() >= panes.LEAST_RATIO else None
     (span,) = free(df, "window")
-    if merging and not df.isStreaming:
+    cut = window.session and not df.isStreaming and (distribution_opt or not keys)
+    merging = Merging.of(df, aggregations) if cut or window.ratio() >= panes.LEAST_RATIO else None
+    if cut and merging:
+        gap = window.size.interval()
+        hot = sessions.hot_hashes(df, keys, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) if keys else []
+        out = None if keys and not hot else sessions.sliced(df.filter(sessions.is_hot(keys, hot)) if keys else df, time, keys, gap, merging, span)
+        if keys:
+            cold = df.filter(~sessions.is_hot(keys, hot)).groupBy(*keys, bucket.alias(span)).agg(*outputs(df))
+            out = cold if out is None else out.unionByName(cold)
+    elif merging and not df.isStreaming:
         out = panes.slid(df, time, keys, window.size.seconds_, window.slide.seconds_, window.offset.seconds_, merging, span)
     elif merging and output_mode == "append":
         out = panes.slid_stream(df, time, keys, window.size.interval(), window.slide.interval(), window.offset.interval(), merging, span)
