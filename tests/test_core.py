@@ -227,6 +227,28 @@ def test_filter_orders_agree(spark):
     assert len(text.splitlines()) == 6
 
 
+def test_the_order_of_filters_that_go_together(spark):
+    """A conjunct that only repeats another goes last, though alone it drops more: fewer comparisons over the whole table, same rows."""
+    lines = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
+    ps = [w.Greater("l_quantity", 25), w.Greater("l_quantity", 24), w.Less("l_discount", 0.07)]
+    got = adaptive.measured_order(lines, ps, 1000)
+    assert got == [ps[0], ps[2], ps[1]]
+    seen = adaptive.passes(lines, ps, 1000)
+    assert (~seen[:, 1]).sum() > (~seen[:, 2]).sum()  # the order by each one's own share would be the written one
+
+    def comparisons(order):
+        df, n = lines, 0
+        for p in order:
+            n += df.count()
+            df = df.filter(p.column(df))
+        return n
+
+    assert comparisons(got) < comparisons(ps)
+    kept = lambda on: sorted(map(tuple, w.Query.over(lines, w.Config().with_filter_opt(on)).filter(ps[0]).filter(ps[1]).filter(ps[2]).select("l_orderkey", "l_linenumber").to_df(spark).collect()))
+    assert kept(True) == kept(False)
+    assert adaptive.greedy_order(np.zeros((0, 3), bool), [1.0, 1.0, 1.0]) == [0, 1, 2]
+
+
 def test_plan_text_and_profile(spark):
     df = generator.bids(spark, 2000, 10, 50, zipf=1.5)
     q = w.Query.over(df).filter(w.Less("price", 50)).group_by("auction").aggregate(w.Count()).print()

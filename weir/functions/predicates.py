@@ -28,6 +28,8 @@ class Predicate:
     symbol = "?"
     #: Whether conjuncts may change places: false where evaluation can raise.
     reorderable = True
+    #: Work for a row, a comparison of numbers being 1.
+    cost = 1.0
 
     def __init__(self, field: str | Field, value) -> None:
         self.field = field.name if isinstance(field, Field) else field
@@ -62,6 +64,9 @@ class Predicate:
         both = reduce(operator.and_, [p.column(df) for p in self.ands], self.own(df))
         return reduce(operator.or_, [p.column(df) for p in self.ors], both)
 
+    def whole_cost(self) -> float:
+        return self.cost + sum(p.whole_cost() for p in (*self.ands, *self.ors))
+
     def fields(self) -> set[str]:
         own = {self.field} | ({self.value.name} if isinstance(self.value, Field) else set())
         return own.union(*(p.fields() for p in (*self.ands, *self.ors)))
@@ -115,6 +120,7 @@ class Like(Predicate):
     """Case-sensitive substring test; ``%`` and ``_`` are ordinary characters."""
 
     symbol = "contains"
+    cost = 2.0
 
     def own(self, df: DataFrame) -> Column:
         kind = df.schema[self.field].dataType if self.field in df.columns else None

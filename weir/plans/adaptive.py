@@ -1,38 +1,51 @@
 """Measured filter order and key statistics, above Catalyst.
 
 Spark keeps the written order of conjuncts.  With ``filter_opt`` some rows at
-the head of the input are looked at and the conjuncts that pass fewest of them
-go first.  Conjuncts that may raise stay where they were written, and so does
-everything after them.
+the head of the input are looked at: which of them fail which conjuncts.  The
+conjunct that drops most rows for its cost goes first; the next is chosen by
+what it drops of the rows that are left, so one that only repeats an earlier
+one goes to the end.  Conjuncts that may raise stay where they were written,
+and so does everything after them.
 """
 
 from __future__ import annotations
 
 from itertools import islice, permutations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from weir.functions.predicates import Predicate
 from weir.plans.config import Config
 
 
-def selectivities(df: DataFrame, conjuncts: list[Predicate], rows: int) -> list[float]:
-    """Share of the first ``rows`` rows that pass each conjunct.
+def passes(df: DataFrame, conjuncts: list[Predicate], rows: int) -> np.ndarray:
+    """Which of the first ``rows`` rows pass which conjunct, a row for each.
 
     Spark reads no more partitions than these rows need, and only the columns
     of the conjuncts.  The first rows may be unlike the others: the order may
     then be a poor one, the result is the same.
     """
     seen = df.select(*(p.column(df).alias(f"p{i}") for i, p in enumerate(conjuncts))).head(rows)
-    return [sum(bool(r[i]) for r in seen) / len(seen) if seen else 1.0 for i in range(len(conjuncts))]
+    return np.array([[bool(v) for v in r] for r in seen], bool).reshape(len(seen), len(conjuncts))
+
+
+def greedy_order(seen: np.ndarray, costs: list[float]) -> list[int]:
+    """Columns of ``seen`` by the rows they drop, of those that are left, for their cost; ties in the written order."""
+    left, out, rest = np.ones(len(seen), bool), [], list(range(seen.shape[1]))
+    while rest:
+        best = max(rest, key=lambda i: ((left & ~seen[:, i]).sum() / costs[i], -costs[i], -i))
+        out.append(best)
+        rest.remove(best)
+        left &= seen[:, best]
+    return out
 
 
 def measured_order(df: DataFrame, conjuncts: list[Predicate], rows: int = 1000) -> list[Predicate]:
     head = next((i for i, p in enumerate(conjuncts) if not p.movable()), len(conjuncts))
     if head < 2 or df.isStreaming:
         return conjuncts
-    share = selectivities(df, conjuncts[:head], rows)
-    ranked = sorted(range(head), key=lambda i: (share[i], i))
+    ranked = greedy_order(passes(df, conjuncts[:head], rows), [p.whole_cost() for p in conjuncts[:head]])
     return [conjuncts[i] for i in ranked] + conjuncts[head:]
 
 
