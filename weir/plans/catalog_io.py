@@ -90,12 +90,12 @@ def printed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def plan_text(spark: SparkSession, d: str) -> DataFrame:
-    """The plan and the orders of its filters as text, and the rows that each order lets through, which are as many."""
+    """The plan and the orders of its filters as text, and the rows that each order lets through, which are as many (0 beside the plan)."""
     q = w.Query.over(bids(spark, d)).filter(w.Greater("price", 5)).filter(w.Less("bidder", 9)).group_by("auction").aggregate(w.Count()).print()
     with redirect_stdout(io.StringIO()):
         plan, orders = q.print_query_plan().splitlines(), q.print_pipeline_permutations().splitlines()
     passed = [over(bids, lambda q: q.filter(w.Greater("price", 5)).filter(w.Less("bidder", 9)), w.Config().with_pipeline_permutation(k))(spark, d).count() for k in range(len(orders))]
-    return spark.createDataFrame(list(enumerate(zip(plan + orders, [None] * len(plan) + passed, strict=True))), "line int, at struct<value: string, passed: long>").select("line", "at.*")
+    return spark.createDataFrame(list(enumerate(zip(plan + orders, [0] * len(plan) + passed, strict=True))), "line int, at struct<value: string, passed: long>").select("line", "at.*")
 
 
 def from_socket(spark: SparkSession, d: str) -> DataFrame:
@@ -262,7 +262,7 @@ def entries() -> dict[str, Entry]:
         "sink_print": (printed, f"select event_type || ':' || cast(sum(price) as bigint) || '|' || count(*) || '|' as value from {BIDS_SQL} group by event_type"),
         "explain_plan_text": (
             plan_text,
-            """select * from (values (0, 'print()'), (1, '  aggregate(Count(), True)'), (2, '    group_by(auction)'), (3, '      filter(bidder < 9)'),
+            """select line, value, coalesce(passed, 0) as passed from (values (0, 'print()'), (1, '  aggregate(Count(), True)'), (2, '    group_by(auction)'), (3, '      filter(bidder < 9)'),
             (4, '        filter(price > 5)'), (5, '          source(DataFrame)'), (6, '0: price > 5 -> bidder < 9'), (7, '1: bidder < 9 -> price > 5')) as t(line, value)
             left join (select count(*) as passed from """ + BIDS_SQL + """ where price > 5 and bidder < 9) on line >= 6""",
         ),
