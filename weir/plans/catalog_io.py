@@ -308,9 +308,9 @@ def entries() -> dict[str, Entry]:
         "stream_allowed_lateness": (
             refired(lambda q: q.group_by("auction").window(w.TumblingEventTimeWindow(s(86400), on).with_allowed_lateness(s(864000))).aggregate(w.Sum("price"), w.Max("bidder"), w.Count()), late=True),
             f"""with r as ({halves}), ended as (select *, window_start + 86400000 as window_end from r where window_start + 86400000 <= greatest(mark, (select max(dateTime) from {RECORDS_SQL})))
-            select auction, window_start, window_end, 0 as firing, cast(sum(price) as bigint) as price_sum, max(bidder) as bidder_max, count(*) as count
+            select auction, window_start, window_end, 0::bigint as firing, cast(sum(price) as bigint) as price_sum, max(bidder) as bidder_max, count(*) as count
             from ended where not behind or window_end > mark group by all
-            union all select auction, window_start, window_end, case when bool_or(not behind) then 1 else 0 end, cast(sum(price) as bigint), max(bidder), count(*)
+            union all select auction, window_start, window_end, case when bool_or(not behind) then 1 else 0 end::bigint, cast(sum(price) as bigint), max(bidder), count(*)
             from ended where window_end <= mark and window_end + 864000000 > mark group by auction, window_start, window_end having bool_or(behind)""",
         ),
         "stream_too_late_rows": (
