@@ -62,6 +62,22 @@ def test_a_window_fires_at_every_nth_row_and_its_end(spark, tmp_path, purge):
     assert got == [a, b, c]
 
 
+def test_parts_merge_as_in_batch():
+    """Nulls, not-a-number as the largest, large integers exactly, and an error where a sum passes 64 bits."""
+    from pyspark.sql import types as T
+
+    from weir.streaming.firing import FiringWindows
+
+    state = T.StructType([T.StructField(n, T.LongType()) for n in ("v0", "hv0", "v1", "hv1", "v2", "hv2")])
+    machine = FiringWindows(1, 0, False, 0, 0, ["sum", "min", "max"], state)
+    nan = float("nan")
+    assert machine._add(None, (1, True, 2.0, True, 3.0, True)) == (1, True, 2.0, True, 3.0, True)
+    assert machine._add((1 << 60, True, nan, True, None, False), (5, True, 1.0, True, 4.0, True)) == ((1 << 60) + 5, True, 1.0, True, 4.0, True)
+    assert repr(machine._add((0, False, 3.0, True, nan, True), (0, False, nan, True, 9.0, True))) == repr((0, False, 3.0, True, nan, True))
+    with pytest.raises(OverflowError):
+        machine._add(((1 << 63) - 1, True, 0, True, 0, True), (1, True, 0, True, 0, True))
+
+
 def test_what_cannot_fire_again(spark):
     df = spark.range(3).selectExpr("id as k", "id as ms")
     window = w.TumblingEventTimeWindow(S(10), "ms").with_allowed_lateness(S(5))

@@ -36,64 +36,91 @@ class FiringWindows(PartKeeper):
         counters = [T.StructField("waiting", T.LongType()), T.StructField("firing", T.LongType()), T.StructField("ended", T.BooleanType()), T.StructField("held", T.BooleanType())]
         self.windows = handle.getMapState("windows", T.StructType([T.StructField("w", T.LongType())]), T.StructType([*counters, *self.state.fields]))
 
-    def _add(self, held: pd.DataFrame | None, more: pd.DataFrame) -> pd.DataFrame:
+    def _add(self, held: tuple | None, more: tuple) -> tuple:
+        """The merge of two windows' parts, each a value and whether it is there."""
         if held is None:
             return more
-        return self._sums(pd.concat([held.astype(more.dtypes.to_dict()), more], ignore_index=True).assign(w=0))[self.state.names]
+        out: list = []
+        for i, how in enumerate(self.merges):
+            (a, has_a), (b, has_b) = held[2 * i : 2 * i + 2], more[2 * i : 2 * i + 2]
+            if not (has_a and has_b):
+                out += [b, has_b] if has_b else [a, has_a]
+                continue
+            if how == "sum":
+                both = a + b
+                if isinstance(both, int) and not -(1 << 63) <= both < 1 << 63:
+                    raise OverflowError("a sum in a window passes 64 bits")
+            elif a != a or b != b:  # not-a-number is the largest
+                both = (b if a != a else a) if how == "min" else float("nan")
+            else:
+                both = min(a, b) if how == "min" else max(a, b)
+            out += [both, True]
+        return tuple(out)
 
-    def _load(self, w: int) -> tuple[int, int, bool, pd.DataFrame | None]:
+    def _load(self, w: int) -> list:
         """Rows since the last firing, firings so far, whether it has ended, and the parts it holds."""
         if not self.windows.containsKey((w,)):
-            return 0, 0, False, None
+            return [0, 0, False, None]
         waiting, firing, ended, held, *parts = self.windows.getValue((w,))
-        return waiting, firing, ended, pd.DataFrame([tuple(parts)], columns=self.state.names) if held else None
+        return [waiting, firing, ended, tuple(parts) if held else None]
 
-    def _save(self, w: int, waiting: int, firing: int, ended: bool, held: pd.DataFrame | None) -> None:
-        plain = [None] * len(self.state) if held is None else [None if v is None or v is pd.NaT else v for v in held.astype(object).iloc[0]]
+    def _save(self, w: int, waiting: int, firing: int, ended: bool, held: tuple | None) -> None:
+        plain = [None] * len(self.state) if held is None else [None if v is pd.NaT else v for v in held]
         self.windows.updateValue((w,), (waiting, firing, ended, held is not None, *plain))
 
-    def _fired(self, key, w: int, firing: int, parts: pd.DataFrame) -> pd.DataFrame:
-        out = parts[self.state.names].assign(w=w, firing=firing, **{c: [key[i]] for i, c in enumerate(self.keys)})
-        return out[[*self.keys, "w", "firing", *self.state.names]]
+    def _fired(self, key, out: list[tuple]) -> Iterator[pd.DataFrame]:
+        """Rows of ``w``, firing and parts, with the key before them."""
+        if out:
+            own = tuple(key[i] for i in range(len(self.keys)))
+            yield pd.DataFrame([own + r for r in out], columns=[*self.keys, "w", "firing", *self.state.names], dtype=object)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         now, corrected = timers.getCurrentWatermarkInMs() * 1000, set()
         for frame in rows:
-            for w, own in frame.groupby("w", sort=True):
-                w = int(w)
-                if w + self.span + self.lateness <= now:
-                    continue  # too late
-                waiting, firing, ended, held = self._load(w)
-                if not ended and not firing and not waiting:
+            frame = frame[frame["w"] + self.span + self.lateness > now]  # the others are too late
+            if not len(frame):
+                continue
+            starts, which, counts = np.unique(frame["w"].to_numpy(), return_inverse=True, return_counts=True)
+            states = [self._load(int(w)) for w in starts]
+            open_ = np.array([not s[2] and w + self.span > now for w, s in zip(starts, states, strict=True)])
+            waiting = np.array([s[0] for s in states], np.int64)
+            chunk = np.zeros(len(frame), np.int64)
+            if self.every:
+                place = frame.groupby("w").cumcount().to_numpy() + waiting[which]
+                chunk = np.where(open_[which], place // self.every, 0)
+            sums = self._sums(frame[self.state.names].assign(w=which.astype(np.int64) << 40 | chunk)).sort_values("w")
+            out = []
+            for code, *parts in sums[["w", *self.state.names]].itertuples(index=False, name=None):
+                n, at = code >> 40, code & ((1 << 40) - 1)
+                state = states[n]
+                state[3] = self._add(state[3], tuple(parts))
+                if open_[n] and self.every and (at + 1) * self.every <= waiting[n] + counts[n]:
+                    out.append((int(starts[n]), state[1], *state[3]))
+                    state[1], state[3] = state[1] + 1, None if self.purge else state[3]
+            for w, state, is_open, before, more in zip(starts.tolist(), states, open_, waiting.tolist(), counts.tolist(), strict=True):
+                if is_open and not self.windows.containsKey((w,)):
                     self.handle.registerTimer((w + self.span) // 1000)
-                if ended or w + self.span <= now:
-                    waiting, held = waiting + len(own), self._add(held, self._sums(own.assign(w=0))[self.state.names])
+                if not is_open:
                     corrected.add(w)
-                    if not ended:  # its first rows come after its end
-                        ended = True
+                    if not state[2]:  # its first rows come after its end
                         self.handle.registerTimer((w + self.span + self.lateness) // 1000)
-                else:
-                    chunk = (waiting + np.arange(len(own))) // (self.every or 1 << 62)
-                    sums = self._sums(own.assign(w=chunk))
-                    for at in range(len(sums)):
-                        held = self._add(held, sums.iloc[[at]][self.state.names].reset_index(drop=True))
-                        if self.every and (sums["w"].iloc[at] + 1) * self.every <= waiting + len(own):
-                            yield self._fired(key, w, firing, held)
-                            firing, held = firing + 1, None if self.purge else held
-                    waiting = (waiting + len(own)) % self.every if self.every else waiting + len(own)
-                self._save(w, waiting, firing, ended, held)
+                state[0] = (before + more) % self.every if is_open and self.every else before + more
+                self._save(w, state[0], state[1], not is_open, state[3])
+            yield from self._fired(key, out)
+        out = []
         for w in sorted(corrected):
-            waiting, firing, ended, held = self._load(w)
-            yield self._fired(key, w, firing, held)
+            _, firing, ended, held = self._load(w)
+            out.append((w, firing, *held))
             self._save(w, 0, firing + 1, ended, None if self.purge else held)
+        yield from self._fired(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         at = expiredTimerInfo.getExpiryTimeInMs() * 1000
         w = at - self.span
-        if self.windows.containsKey((w,)) and not self._load(w)[2]:
-            waiting, firing, _, held = self._load(w)
+        waiting, firing, ended, held = self._load(w)
+        if self.windows.containsKey((w,)) and not ended:
             if waiting:
-                yield self._fired(key, w, firing, held)
+                yield from self._fired(key, [(w, firing, *held)])
                 firing, held = firing + 1, None if self.purge else held
             if self.lateness:
                 self._save(w, 0, firing, True, held)
@@ -101,7 +128,7 @@ class FiringWindows(PartKeeper):
             else:
                 self.windows.removeKey((w,))
         w = at - self.span - self.lateness
-        if self.lateness and self.windows.containsKey((w,)) and self._load(w)[2]:
+        if self.lateness and self._load(w)[2]:
             self.windows.removeKey((w,))
 
 
