@@ -6,6 +6,7 @@ import time
 
 import numpy as np
 import pytest
+from hypothesis import given, strategies as st
 from pyspark.sql import functions as F
 
 from weir.llm import decontam, langid, pii, queries
@@ -219,6 +220,42 @@ def test_a_long_item_does_not_widen_the_windows_of_short_ones(spark):
         assert {k: s for x in several for k, s in scores(x, text).items()} == pytest.approx(scores(one, text))
 
 
+UNSPACED_ITEMS = {
+    1: "光合作用主要发生在植物细胞的哪个部分?答案是叶绿体中的类囊体膜。",
+    2: "日本で一番高い山はどこにありますか。富士山は静岡県と山梨県にあります。",
+    3: "เมืองหลวงของประเทศไทยคือเมืองใด คำตอบคือกรุงเทพมหานคร",
+    4: "HTTP协议默认使用哪个端口号?默认端口是80号端口。",
+}
+
+
+def test_items_of_scripts_without_spaces(spark):
+    """Items are found inside long runs; other sentences of the same characters, in another order, are not items."""
+    fill = "今天天气很好我们一起去公园散步然后回家吃饭看书写字" * 40
+    docs = {k: fill + t.replace("?", "") + fill for k, t in UNSPACED_ITEMS.items()}
+    docs |= {10 + k: fill + "".join(sorted(t)) + fill for k, t in UNSPACED_ITEMS.items()} | {20: fill, 21: "的"}
+    docs = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    items = spark.createDataFrame(list(UNSPACED_ITEMS.items()), "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontam.contaminated(docs, items).collect()) == [(k, k) for k in UNSPACED_ITEMS]
+    assert sorted(r.doc_id for r in decontam.clean(docs, items, 60).collect()) == [11, 12, 13, 14, 20, 21]
+
+
+@given(st.text("ab_ 1漢字カなไทยั。", max_size=60), st.integers(2, 9))
+def test_pieces_give_the_words_of_the_text(text, size):
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(decontam, "SEGMENT", size)
+        at, got = 0, []
+        while at < len(text):
+            end, following = decontam.segment(text, at)
+            assert at < following <= end
+            got += decontam.words(text[at:end])
+            at = following
+    assert got == decontam.words(text)
+
+
+def test_words_of_scripts_without_spaces():
+    assert decontam.words("Ab漢字仮名x9 の、c") == ["ab", "漢字", "字仮", "仮名", "x9", "の", "c"]
+
+
 def test_decontamination_odd_rows(spark, odd, empty):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "alpha beta gamma delta"), (4, "solo"), (None, "one two three"), (3, "alpha beta gamma delta")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontam.contaminated(odd, items).collect()}

@@ -29,7 +29,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from weir.llm.common import map_texts, written
 
-WORD = re.compile(r"\w+")
+#: Characters of scripts that put no spaces between words: Thai, Lao, Myanmar, Khmer, kana, Han.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+WORD, RUN = re.compile(r"\w+"), re.compile(f"[{UNSPACED}]+")
+WORD_OR_RUN = re.compile(f"[{UNSPACED}]+|[^\\W{UNSPACED}]+")
 K1, B = 1.2, 0.75
 #: Postings in a block that shares one bound.
 BLOCK = 2
@@ -45,7 +48,30 @@ SEGMENT = 1 << 20
 
 
 def words(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+    """Words in lower case; a run of characters of an unspaced script gives each pair of neighbours, one alone itself."""
+    low = (text or "").lower()
+    if low.isascii() or not RUN.search(low):
+        return WORD.findall(low)
+    out: list[str] = []
+    for word in WORD_OR_RUN.findall(low):
+        out += map("".join, zip(word, word[1:], strict=False)) if len(word) > 1 and RUN.match(word) else (word,)
+    return out
+
+
+def segment(text: str, at: int) -> tuple[int, int]:
+    """Where the piece of ``text`` from ``at`` on ends, and where the next begins.
+
+    Words of the pieces are those of the text: no word is cut, and of a run
+    of an unspaced script the last character is read again.
+    """
+    unspaced = lambda i: at <= i < len(text) and RUN.match(text[i]) is not None
+    end = min(len(text), at + max(2, SEGMENT))
+    if unspaced(end) and unspaced(end - 1):
+        end += not unspaced(end - 2)
+        return end, end - unspaced(end)
+    while end < len(text) and (text[end].isalnum() or text[end] == "_") and not unspaced(end):
+        end += 1
+    return end, end
 
 
 @dataclass
@@ -152,11 +178,9 @@ class Index:
         carry: list[str] = []
         at, any_yet = 0, False
         while at < len(text):
-            end = min(len(text), at + SEGMENT)
-            while end < len(text) and (text[end].isalnum() or text[end] == "_"):
-                end += 1
+            end, following = segment(text, at)
             carry += words(text[at:end])
-            at = end
+            at = following
             k, last = 0, at >= len(text)
             while k + 4 * half <= len(carry) or last and (k + half < len(carry) or not any_yet and k == 0):
                 any_yet = True
