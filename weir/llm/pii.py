@@ -2,8 +2,10 @@
 
 Detectors find e-mail addresses, IP addresses, card numbers and phone numbers
 as they stand.  For the rest, transducers rewrite a text and keep where every
-rewritten piece came from: look-alike characters become ASCII, spelled digits
-become digits, and "at" and "dot" in their disguises become ``@`` and ``.``.
+rewritten piece came from: character references become characters, look-alike
+characters ASCII, spelled digits and letters among digits become digits, "at"
+and "dot" in their disguises ``@`` and ``.``, signs between the groups of a
+card number hyphens, and accented letters of an address plain ones.
 The same detectors then run over the rewritten text, and what they find goes
 back to source characters.  Finds that hold a rewritten piece are added if they
 touch no other span, or hold a base span of their kind and more.
@@ -12,6 +14,7 @@ touch no other span, or hold a base span of their kind and more.
 from __future__ import annotations
 
 import hashlib
+import html
 import re
 import unicodedata
 from bisect import bisect_left, bisect_right
@@ -33,12 +36,13 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-#: Letters that look like ASCII ones: fixed values, from the Cyrillic and Greek alphabets.
+#: Letters that look like ASCII ones: fixed values, from the Cyrillic, Greek and Armenian alphabets and the phonetic one.
 LOOKALIKES = {
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X",
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "һ": "h",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
-    "ο": "o", "ν": "v", "ι": "i", "α": "a", "ρ": "p", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", "․": ".", "。": ".",
+    "ο": "o", "ν": "v", "ι": "i", "α": "a", "ρ": "p", "օ": "o", "ո": "n", "ս": "u", "հ": "h", "ց": "g", "զ": "q", "ԛ": "q", "ԝ": "w", "ӏ": "l", "ɡ": "g", "ɑ": "a", "ı": "i",
+    "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", "․": ".", "。": ".",
 }
 #: Digit words: fixed values, in English, German, French and Spanish.
 DIGIT_WORDS = {
@@ -66,6 +70,18 @@ SPACED = re.compile(r"(?<![\w.@])[A-Za-z0-9._%+-]{1,64}(?P<at>\s{1,3}(?:at|arrob
 SPACED_DOT = re.compile(r"\s{1,3}(?:dot|punkt|punto|point)\s{1,3}", re.IGNORECASE)
 AFTER_AT = re.compile(r"@[A-Za-z0-9-]{1,63}(?:(?:\s{1,3}(?:dot|punkt|punto|point)\s{1,3}|\.)[A-Za-z0-9-]{1,63})+", re.IGNORECASE)
 NUMBER_DOTS = re.compile(r"[0-9]{1,3}(?:(?:\s{1,3}(?:dot|punkt|punto|point)\s{1,3}|\.)[0-9]{1,3}){3}", re.IGNORECASE)
+REFERENCE = re.compile(r"&(?:#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6})|commat|period|plus|lowbar|hyphen|nbsp);")
+#: Words joined by underscores, of which one is "at" and a later one "dot".
+UNDERSCORED = re.compile(r"(?<![\w.@])[A-Za-z0-9._%+-]{1,64}?(?P<at>_at_)[A-Za-z0-9-]{1,63}(?:_dot_[A-Za-z0-9-]{1,63})+(?!\w)", re.IGNORECASE)
+UNDERSCORED_DOT = re.compile("_dot_", re.IGNORECASE)
+#: Digits with letters among them that are typed for digits; at most one in four is a letter.
+MIXED = re.compile(r"(?<![\w.])[0-9OoIl](?:[\x20.-]?[0-9OoIl]){3,30}(?!\w)")
+LETTER_DIGITS = {"O": "0", "o": "0", "I": "1", "l": "1"}
+#: Groups of a card number with one sign between them that the detector does not take.
+GROUPS = re.compile(r"(?<![\w.])(?:[0-9]{4}([./_])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([./_])[0-9]{6}\2[0-9]{5})(?!\w)")
+GROUP_SIGN = re.compile("[./_]")
+#: Characters of an address that are looked at on each side of its sign.
+REACH = 64
 
 
 # --- detectors ------------------------------------------------------------------
@@ -149,6 +165,11 @@ class Rewritten:
         return k >= 0 and self.marks[k][1] > a
 
 
+def reference_edits(text: str) -> list[tuple[int, int, str]]:
+    found = [(m.start(), m.end(), html.unescape(m[0])) for m in REFERENCE.finditer(text)]
+    return [e for e in found if len(e[2]) == 1]
+
+
 def lookalike_edits(text: str) -> list[tuple[int, int, str]]:
     out = []
     for m in ORDINARY.finditer(text):
@@ -178,6 +199,35 @@ def spelled_edits(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def mixed_edits(text: str) -> list[tuple[int, int, str]]:
+    out = []
+    for m in MIXED.finditer(text):
+        letters = [i for i in range(m.start(), m.end()) if text[i] in LETTER_DIGITS]
+        if letters and 3 * len(letters) <= sum(c.isdigit() for c in m[0]):
+            out += [(i, i + 1, LETTER_DIGITS[text[i]]) for i in letters]
+    return out
+
+
+def group_edits(text: str) -> list[tuple[int, int, str]]:
+    return [(g.start(), g.end(), "-") for m in GROUPS.finditer(text) for g in GROUP_SIGN.finditer(text, m.start(), m.end())]
+
+
+def letter_edits(text: str) -> list[tuple[int, int, str]]:
+    """Letters beyond ASCII, of alphabets with spaces between words, in the runs on both sides of an ``@``."""
+    plain = lambda i: text[i] in LOCAL
+    other = lambda i: "\xaa" <= text[i] <= "\u058f" and text[i].isalpha()
+    found, at = set(), text.find("@")
+    while at >= 0:
+        for side in (range(at - 1, max(-1, at - 1 - REACH), -1), range(at + 1, min(len(text), at + 1 + REACH))):
+            for i in side:
+                if other(i):
+                    found.add(i)
+                elif not plain(i):
+                    break
+        at = text.find("@", at + 1)
+    return [(i, i + 1, "x") for i in sorted(found)]
+
+
 def sign_edits(text: str) -> list[tuple[int, int, str]]:
     found = [(m.start(), m.end(), "@") for m in BRACKETED_AT.finditer(text)]
     found += [(m.start(), m.end(), ".") for m in BRACKETED_DOT.finditer(text)]
@@ -191,6 +241,8 @@ def spaced_edits(text: str) -> list[tuple[int, int, str]]:
         if dots:  # a bare "at" before a plain domain is prose
             found.append((*m.span("at"), "@"))
             found += [(d.start(), d.end(), ".") for d in dots]
+    for m in UNDERSCORED.finditer(text):
+        found += [(*m.span("at"), "@"), *((d.start(), d.end(), ".") for d in UNDERSCORED_DOT.finditer(text, m.end("at"), m.end()))]
     for whole in (AFTER_AT, NUMBER_DOTS):
         for m in whole.finditer(text):
             found += [(d.start(), d.end(), ".") for d in SPACED_DOT.finditer(text, m.start(), m.end())]
@@ -209,7 +261,10 @@ def _apart(edits: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
 def transducers(text: str) -> Iterator:
     """The transducers that a text may need; cheap tests leave out the others."""
     low = text.lower()
-    if ORDINARY.search(text):
+    refers = "&" in low and REFERENCE.search(text) is not None
+    if refers:
+        yield reference_edits
+    if refers or ORDINARY.search(text):
         yield lookalike_edits
         low = None  # what they make may need any of the rest
     if low is None or sum(w in low for w in DIGIT_WORDS) >= 1:
@@ -218,6 +273,10 @@ def transducers(text: str) -> Iterator:
         yield sign_edits
     if low is None or any(w in low for w in ("dot", "punkt", "punto", "point")):
         yield spaced_edits
+    yield mixed_edits
+    yield group_edits
+    if refers or not text.isascii():
+        yield letter_edits
 
 
 def spans(text: str) -> tuple[list[Span], list[Span]]:
