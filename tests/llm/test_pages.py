@@ -335,3 +335,27 @@ def test_the_template_decides_beside_an_article_element(spark, tmp_path, monkeyp
     learned = extract.templates
     monkeypatch.setattr(extract, "templates", lambda pages: learned(pages).withColumn("template", F.array().cast("array<long>")))
     assert text() == {k: v + " Read on. Tell a friend. Write to us." for k, v in article.items()}
+
+
+def test_html_is_parsed_once(spark, monkeypatch):
+    """All steps read one table of parsed pages, the result too; columns named as that table's are no part of it."""
+    df = spark.createDataFrame([(k, shop_page(k)) for k in range(8)], "page_id long, html string").withColumn("url", F.lit("http://shop.example/"))
+    calls, parsed = [], extract.parsed
+    monkeypatch.setattr(extract, "parsed", lambda rows, *kept: calls.append(rows.columns) or parsed(rows, *kept))
+    named = df.selectExpr("*", "'x' as host", "1 as tokens", "2 as texts", "3 as name", "'y' as template")
+    got = extract.main_text(named)
+    assert calls == [["page_id", "url", "html", "host"]]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "html" not in plan and plan.count("Relation [") == 2  # the parsed pages and the templates
+    assert {r.page_id: r.text for r in got.collect()} == {r.page_id: r.text for r in extract.main_text(df).collect()}
+
+
+def test_parsed_pages_say_what_pages_say(spark, pages):
+    """A table of parsed pages gives the text that the pages themselves give."""
+    rows = extract.parsed(pages.selectExpr("page_id", "1L as host", "html"), "page_id").collect()
+    html_of = {r.page_id: r.html for r in pages.collect()}
+    assert len(rows) == len(html_of)
+    for r in rows:
+        page = extract.Page(*(getattr(r, c) for c in extract.Page._fields))
+        assert page == extract.read(html_of[r.page_id] or "") and r.lengths == [len(t) for t in r.texts]
+        assert extract.slots(page) == extract.slots(html_of[r.page_id] or "")

@@ -35,6 +35,8 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
@@ -47,8 +49,6 @@ from weir.llm.urlfilter import host_of
 CLASS_TOKENS, CLASS_SHARE, CLASS_PAGES = 3, 0.5, 4
 #: Share of a host's text in its main part, and below which a region of the template in it is left out.
 MAIN_SHARE, SMALL_SHARE = 2 / 3, 0.1
-#: Characters of html that are read before what they add up to is handed on.
-BATCH_CHARS = 4 << 20
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z|(?=<))|</?\Z", re.DOTALL)
 ATTRIBUTE = re.compile(r"([A-Za-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))")
@@ -92,13 +92,11 @@ class Element:
 class Region:
     """A part of a page: ``main`` if an article or main element is around it, or it is one (``own_main``)."""
 
-    __slots__ = ("above", "chars", "depth", "inside", "main", "own_main", "parent", "path")
+    __slots__ = ("main", "own_main", "parent", "path")
 
     def __init__(self, path: int, parent: Region | None, own_main: bool) -> None:
         self.path, self.parent, self.own_main = path, parent, own_main
         self.main = own_main or parent is not None and parent.main
-        self.depth = parent.depth + 1 if parent else 0
-        self.chars, self.inside, self.above = 0, False, False
 
 
 @lru_cache(1 << 16)
@@ -267,7 +265,35 @@ def blocks(page: str, regions: list[Region] | None = None) -> list[tuple[int, st
     return [(path, name, e.dropped, region, text) for path, name, e, region, text in found]
 
 
-def slots(page: str, template: frozenset[int] = frozenset(), main_part: int | None = None, hinted: bool = False, small: frozenset[int] = frozenset()) -> str:
+class Page(NamedTuple):
+    """What is kept of a page: its elements and its blocks of text that are no furniture, in page order, and its regions.
+
+    ``places`` has the region of each token, ``heads`` the tokens that are main
+    headings, ``around`` the region around each region (-1: none), and ``own_main``
+    whether it is an article or main element.  The text of an element is empty.
+    """
+
+    tokens: list[int]
+    places: list[int]
+    texts: list[str]
+    heads: list[int]
+    parts: list[int]
+    around: list[int]
+    own_main: list[bool]
+
+
+def read(page: str) -> Page:
+    regions: list[Region] = []
+    found = [b for b in blocks(page, regions) if not (b[4] and b[2])]
+    number: dict[Region | None, int] = {None: -1} | {r: k for k, r in enumerate(regions)}
+    return Page(
+        [token(b[0], b[4]) for b in found], [number[b[3]] for b in found], [b[4] for b in found],
+        [k for k, b in enumerate(found) if b[4] and b[1] == "h1"],
+        [r.path for r in regions], [number[r.parent] for r in regions], [r.own_main for r in regions],
+    )
+
+
+def slots(page: str | Page, template: frozenset[int] = frozenset(), main_part: int | None = None, hinted: bool = False, small: frozenset[int] = frozenset()) -> str:
     """The text of the main slots of a page, blocks joined by one space.
 
     ``main_part`` is the path of the host's main region (0: the whole page);
@@ -275,30 +301,25 @@ def slots(page: str, template: frozenset[int] = frozenset(), main_part: int | No
     page itself is taken, and all of the page if it has none.  A main heading
     above the main part belongs to it.
     """
-    regions: list[Region] = []
-    found = [b for b in blocks(page, regions) if b[4] and not b[2]]
+    if isinstance(page, str):
+        page = read(page)
+    n, found = len(page.parts), [(k, r, x) for k, (r, x) in enumerate(zip(page.places, page.texts, strict=True)) if x]
+    slot = lambda chosen: " ".join(x for k, _, x in chosen if page.tokens[k] not in template)
     if main_part:
-        for r in regions:
-            r.inside = r.path == main_part or r.parent is not None and r.parent.inside and (hinted or r.path not in small)
-            around = r.parent if r.path == main_part else None
-            while around is not None and not around.above:
-                around.above = True
-                around = around.parent
-        own = [b for b in found if b[3].inside or b[1] == "h1" and b[3].above]
-        own = [b[4] for b in own if token(b[0], b[4]) not in template]
-        if own or hinted and any(r.inside for r in regions):
-            return " ".join(own)
-    found = [b for b in found if b[3].main] or [b for b in found if _beside(b[3], small)]
-    return " ".join(b[4] for b in found if token(b[0], b[4]) not in template)
-
-
-def _beside(region: Region | None, small: frozenset[int]) -> bool:
-    """Whether no region around is one of the template's small ones."""
-    while small and region is not None:
-        if region.path in small:
-            return False
-        region = region.parent
-    return True
+        inside, above, heads = [False] * n, [False] * n, frozenset(page.heads)
+        for r, (path, around) in enumerate(zip(page.parts, page.around, strict=True)):
+            inside[r] = path == main_part or around >= 0 and inside[around] and (hinted or path not in small)
+            while path == main_part and around >= 0 and not above[around]:
+                above[around] = True
+                around = page.around[around]
+        own = slot(b for b in found if inside[b[1]] or b[0] in heads and above[b[1]])
+        if own or hinted and any(inside):
+            return own
+    main, beside = [False] * n, [True] * n  # in an article or main element; in none of the template's small regions
+    for r, (path, around) in enumerate(zip(page.parts, page.around, strict=True)):
+        main[r] = page.own_main[r] or around >= 0 and main[around]
+        beside[r] = path not in small and (around < 0 or beside[around])
+    return slot([b for b in found if main[b[1]]] or [b for b in found if beside[b[1]]])
 
 
 # --- the template of a host ---------------------------------------------------------
@@ -308,35 +329,65 @@ def _hosts(pages: DataFrame, *columns: str) -> DataFrame:
     return pages.select(*columns, F.xxhash64(F.coalesce(host_of(F.col("url")), F.lit(""))).alias("host"))
 
 
+PARSED = "name long, tokens array<long>, places array<int>, lengths array<int>, texts array<string>, heads array<int>, parts array<long>, around array<int>, own_main array<boolean>"
+
+
+def parsed(rows: DataFrame, *kept: str) -> DataFrame:
+    """``host`` and the columns ``kept`` of each row of ``rows`` (``host, html``), with what :func:`read` keeps of its html.
+
+    ``name`` is a hash of the html, ``lengths`` are those of ``texts``.  All
+    that follows reads this table, columns of it at a time: html is read and
+    parsed once, and never shuffled.
+    """
+    columns = ["host", *kept]
+
+    def per_batch(batch: pa.RecordBatch) -> Iterator[dict]:
+        htmls = [h or "" for h in batch.column(len(columns)).to_pylist()]
+        found = [read(h) for h in htmls]
+        yield {c: batch.column(k) for k, c in enumerate(columns)} | {c: [getattr(x, c) for x in found] for c in Page._fields} | {
+            "name": [xxhash.xxh64_intdigest(h.encode("utf-8", "surrogatepass")) - (1 << 63) for h in htmls],
+            "lengths": [[len(t) for t in x.texts] for x in found],
+        }
+
+    carried = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in columns)
+    return map_texts(rows, [*columns, "html"], carried + PARSED, per_batch, rows=64)
+
+
+def _lists(column: pa.ListArray) -> Iterator[list]:
+    """The lists of a column, made of its values at once."""
+    flat, at = column.flatten(), column.offsets.to_numpy()
+    flat = flat.to_pylist() if pa.types.is_string(flat.type) or pa.types.is_boolean(flat.type) else flat.to_numpy().tolist()
+    return (flat[a:b] for a, b in pairwise((at - at[0]).tolist()))
+
+
 def tokens(rows: DataFrame) -> DataFrame:
-    """``host, token, low, high, pages, times`` from ``host, html``: each token with the digest of its occurrence vector.
+    """``host, token, low, high, pages, times`` from pages (``host, html``) or what :func:`parsed` made of them.
 
-    The digest is two sums over pages of the halves of a hash of page and
-    count: added up in each task first, then among tasks, in any order.  Text
-    in furniture is no token.
+    A token has the digest of its occurrence vector: two sums over pages of
+    the halves of a hash of page and count, added up in each task first, then
+    among tasks, in any order.  Text in furniture is no token.
     """
 
     def per_batch(batch: pa.RecordBatch) -> Iterator[dict]:
         seen: dict[tuple[int, int], list[int]] = {}
-        read = 0
-        for k in range(batch.num_rows):
-            host, page = batch.column(0)[k].as_py(), batch.column(1)[k].as_py() or ""
-            name = xxhash.xxh64_intdigest(page.encode("utf-8", "surrogatepass"))
-            for t, n in Counter(token(b[0], b[4]) for b in blocks(page) if not (b[4] and b[2])).items():
-                digest = xxhash.xxh64_intdigest(f"{name}:{n}")
+        for host, name, toks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _lists(batch.column(2)), strict=True):
+            digests: dict[int, tuple[int, int]] = {}
+            for t, n in Counter(toks).items():
+                if n not in digests:
+                    digest = xxhash.xxh64_intdigest(f"{name}:{n}")
+                    digests[n] = digest & 0xFFFFFFFF, digest >> 32
+                low, high = digests[n]
                 at = seen.setdefault((host, t), [0, 0, 0, 0])
-                at[0] += digest & 0xFFFFFFFF
-                at[1] += digest >> 32
+                at[0] += low
+                at[1] += high
                 at[2] += 1
                 at[3] += n
-            read += len(page)
-            if read > BATCH_CHARS or k == batch.num_rows - 1:
-                yield {"host": [h for h, _ in seen], "token": [t for _, t in seen]} | {
-                    c: [v[i] for v in seen.values()] for i, c in enumerate(("low", "high", "pages", "times"))
-                }
-                seen, read = {}, 0
-
-    parts = map_texts(rows, ["host", "html"], "host long, token long, low long, high long, pages long, times long", per_batch, rows=512)
+        yield {"host": [h for h, _ in seen], "token": [t for _, t in seen]} | {
+            c: [v[i] for v in seen.values()] for i, c in enumerate(("low", "high", "pages", "times"))
+        }
+
+    rows = parsed(rows) if "html" in rows.columns else rows
+    parts = map_texts(rows, ["host", "name", "tokens"], "host long, token long, low long, high long, pages long, times long", per_batch)
     return parts.groupBy("host", "token").agg(*(F.sum(c).alias(c) for c in ("low", "high", "pages", "times")))
 
 
@@ -358,7 +409,7 @@ def classes(rows: DataFrame) -> DataFrame:
 def outlines(rows: DataFrame) -> DataFrame:
     """``host, kind, a, b, pages, low, high, x, y, tokens``: what the pages of a host say of its classes and regions.
 
-    ``rows``: ``host, html, known, numbers`` (the tokens and their classes).
+    ``rows``: what :func:`parsed` gives, with ``known, numbers`` (tokens of the host and their classes).
 
     * ``root``: ``a`` a root token, ``low`` and ``high`` its places among root tokens, ``x`` its text, ``y`` all text of its pages.
     * ``class``: ``a`` a class, ``b`` the root token before it, ``low`` and ``high`` digests of its tokens in order (0: in none), ``x`` their text.
@@ -368,7 +419,6 @@ def outlines(rows: DataFrame) -> DataFrame:
     def per_batch(batch: pa.RecordBatch) -> Iterator[dict]:
         of_host: dict[int, dict[int, int]] = {}
         facts: dict[tuple, list] = {}
-        read = 0
 
         def add(key: tuple, low: int, high: int, x: int, y: int, toks: tuple[int, ...] = ()) -> None:
             at = facts.setdefault(key, [0, low, high, 0, 0, toks])
@@ -377,28 +427,24 @@ def outlines(rows: DataFrame) -> DataFrame:
             at[3] += x
             at[4] += y
 
-        for k in range(batch.num_rows):
-            host, page = batch.column(0)[k].as_py(), batch.column(1)[k].as_py() or ""
+        pages = zip(*(_lists(batch.column(k)) for k in range(3, batch.num_columns)), strict=True)
+        for k, (toks, places, lengths, parts, around, own_main) in enumerate(pages):
+            host = batch.column(0)[k].as_py()
             if host not in of_host:
-                of_host[host] = dict(zip(batch.column(2)[k].as_py() or (), batch.column(3)[k].as_py() or (), strict=True))
+                of_host[host] = dict(zip(batch.column(1)[k].as_py(), batch.column(2)[k].as_py(), strict=True))
             known = of_host[host]
-            regions: list[Region] = []
             root: list[tuple[int, int]] = []
             runs: dict[tuple[int, int], list[tuple[int, int]]] = {}
-            gap = total = 0
-            for path, _, furniture, region, text in blocks(page, regions):
-                if text and furniture:
-                    continue
-                total += len(text)
-                t = token(path, text)
+            chars, gap, total = [0] * len(parts), 0, sum(lengths)
+            for t, r, n in zip(toks, places, lengths, strict=True):
                 number = known.get(t)
                 if number is None:
-                    region.chars += len(text)
+                    chars[r] += n
                 elif number == 1:
-                    root.append((t, len(text)))
+                    root.append((t, n))
                     gap = t
                 else:
-                    runs.setdefault((number, gap), []).append((t, len(text)))
+                    runs.setdefault((number, gap), []).append((t, n))
             for place, (t, n) in enumerate(root):
                 add((host, "root", t, 0), place, place, n, total)
             for (number, before), run in runs.items():
@@ -407,35 +453,34 @@ def outlines(rows: DataFrame) -> DataFrame:
                 in_order = [t for t, _ in run] == list(cycle) * times
                 digest = xxhash.xxh64_intdigest(repr(cycle).encode()) - (1 << 63) if in_order else 0
                 add((host, "class", number, before), digest, digest, sum(n for _, n in run), total, cycle)
-            for r in reversed(regions):
-                if r.parent is not None:
-                    r.parent.chars += r.chars
+            for r in range(len(parts) - 1, 0, -1):
+                chars[around[r]] += chars[r]
             sums: dict[int, list[int]] = {}
-            for r in regions:
-                sums.setdefault(r.path, [r.depth, r.own_main, 0])[2] += r.chars
-            for path, (depth, own_main, chars) in sums.items():
-                if chars:
-                    add((host, "region", path, 0), depth, int(own_main), chars, 0)
-            read += len(page)
-            if read > BATCH_CHARS or k == batch.num_rows - 1:
-                out = {c: [key[i] for key in facts] for i, c in enumerate(("host", "kind", "a", "b"))}
-                yield out | {c: [v[i] for v in facts.values()] for i, c in enumerate(("pages", "low", "high", "x", "y", "tokens"))}
-                facts, read = {}, 0
+            depth = [0] * len(parts)
+            for r, path in enumerate(parts):
+                depth[r] = depth[around[r]] + 1 if r else 0
+                sums.setdefault(path, [depth[r], own_main[r], 0])[2] += chars[r]
+            for path, (deep, main, n) in sums.items():
+                if n:
+                    add((host, "region", path, 0), deep, int(main), n, 0)
+        out = {c: [key[i] for key in facts] for i, c in enumerate(("host", "kind", "a", "b"))}
+        yield out | {c: [v[i] for v in facts.values()] for i, c in enumerate(("pages", "low", "high", "x", "y", "tokens"))}
 
     schema = "host long, kind string, a long, b long, pages long, low long, high long, x long, y long, tokens array<long>"
-    parts = map_texts(rows, ["host", "html", "known", "numbers"], schema, per_batch, rows=512)
+    columns = ["host", "known", "numbers", "tokens", "places", "lengths", "parts", "around", "own_main"]
+    parts = map_texts(rows, columns, schema, per_batch)
     sums = [F.sum(c).alias(c) for c in ("pages", "x", "y")]
     return parts.groupBy("host", "kind", "a", "b").agg(F.min("low").alias("low"), F.max("high").alias("high"), *sums, F.any_value("tokens").alias("tokens"))
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """``host, template, main_part, hinted, small``: one row for each host that has a template.
+    """``host, template, main_part, hinted, small``: one row for each host of pages (``url, html``), or what :func:`parsed` made of them, that has a template.
 
     ``template`` has the tokens of valid classes, elements and texts.  A host
     has at most some times the tokens of its pages' average, as each stands on
     a share of the pages.
     """
-    rows = _hosts(pages, "html")
+    rows = written(parsed(_hosts(pages, "html")), "blocks") if "html" in pages.columns else pages
     found = written(classes(rows), "classes")
     of_host = written(found.groupBy("host").agg(F.collect_list("token").alias("known"), F.collect_list("class").alias("numbers")), "known")
     facts = written(outlines(rows.join(of_host, "host")), "outlines")
@@ -470,19 +515,20 @@ def main_text(pages: DataFrame) -> DataFrame:
     are read by their own article or main elements.  Repeated rows stay (and
     count as pages).  Other columns are not read.
     """
-    learned = written(templates(pages.select("url", "html")), "templates")  # small ones are broadcast by their size on disk
+    rows = written(parsed(_hosts(pages, "page_id", "url", "html"), "page_id", "url"), "blocks")
+    learned = written(templates(rows), "templates")  # small ones are broadcast by their size on disk
     schema = "page_id long, url string, text string, n_chars long"
 
     def per_batch(batch: pa.RecordBatch) -> Iterator[dict]:
         of_host: dict[int, tuple] = {}
         texts = []
-        for k in range(batch.num_rows):
-            host = batch.column(3)[k].as_py()
+        for k, page in enumerate(zip(*(_lists(batch.column(c)) for c in range(7, batch.num_columns)), strict=True)):
+            host = batch.column(2)[k].as_py()
             if host not in of_host:
-                template, main_part, hinted, small = (batch.column(c)[k].as_py() for c in (4, 5, 6, 7))
+                template, main_part, hinted, small = (batch.column(c)[k].as_py() for c in (3, 4, 5, 6))
                 of_host[host] = frozenset(template or ()), main_part, bool(hinted), frozenset(small or ())
-            texts.append(slots(batch.column(2)[k].as_py() or "", *of_host[host]))
+            texts.append(slots(Page(*page), *of_host[host]))
         yield {"page_id": batch.column(0), "url": batch.column(1), "text": texts, "n_chars": [len(t) for t in texts]}
 
-    rows = _hosts(pages, "page_id", "url", "html").join(learned, "host", "left")
-    return map_texts(rows, ["page_id", "url", "html", "host", "template", "main_part", "hinted", "small"], schema, per_batch)
+    columns = ["page_id", "url", "host", "template", "main_part", "hinted", "small", *Page._fields]
+    return map_texts(rows.join(learned, "host", "left"), columns, schema, per_batch, rows=64)
