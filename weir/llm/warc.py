@@ -47,8 +47,8 @@ def _record(kind: str, record: Column, request: Column, url: Column, headers: li
     )
 
 
-def _size_class() -> Column:
-    above = F.greatest(F.lit(1.0), F.octet_length("html") / LEAST_CLASS)
+def _size_class(n_bytes: Column) -> Column:
+    above = F.greatest(F.lit(1.0), n_bytes / LEAST_CLASS)
     return F.ceil(F.log(above) / F.log(F.lit(float(CLASS_FACTOR)))).cast("int")
 
 
@@ -67,14 +67,17 @@ def write(pages: DataFrame, path: str) -> None:
     """
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     digest = F.sha1(F.encode("html", "UTF-8"))
-    heads = rows.filter(F.col("page_id").isNotNull() & (F.octet_length("html") >= LEAST_BYTES)).select("page_id", digest.alias("same"))
-    heads = written(heads, "heads")
+    n_bytes = F.octet_length("html")
+    # of each row what is asked of its payload before it is written, in one scan
+    every = rows.select("page_id", n_bytes.alias("bytes"), F.when(F.col("page_id").isNotNull() & (n_bytes >= LEAST_BYTES), digest).alias("same"))
+    every = written(every, "heads")
+    heads = every.filter("same is not null").select("page_id", "same")
     shared = heads.groupBy("same").agg(F.max("page_id").alias("top"), F.min("page_id").alias("low"), F.count(F.lit(1)).alias("n"))
     revisits = hot_join(heads, shared.filter("low < top").drop("low"), "same", rows_of(heads))
     revisits = written(revisits.filter("page_id < top").select(F.col("page_id").alias("again"), "top", "same").distinct(), "revisits")
     if rows_of(revisits) <= BROADCAST_ROWS:
         revisits = F.broadcast(revisits)
-    sizes = rows.groupBy(_size_class().alias("size")).agg(F.avg(F.octet_length("html")).alias("mean")).collect()
+    sizes = every.groupBy(_size_class(F.col("bytes")).alias("size")).agg(F.avg("bytes").alias("mean")).collect()
     # a row that is written has one uuid, whatever is read of it; that of a task run again is another, in another file
     rows = rows.withColumn("digest", digest).withColumn("row", F.expr("uuid()"))
     rows = rows.join(revisits, (F.col("page_id") == F.col("again")) & (F.col("digest") == F.col("same")), "left")
@@ -93,7 +96,7 @@ def write(pages: DataFrame, path: str) -> None:
         _record("metadata", _id(page, F.col("row"), "metadata"), request, url, [], "application/warc-fields", F.concat(F.lit("page-id: "), F.coalesce(page.cast("string"), F.lit("")), F.lit(CRLF))),
     )
     for r in sizes or [None]:
-        some = rows.filter(_size_class() == r.size) if len(sizes) > 1 else rows
+        some = rows.filter(_size_class(n_bytes) == r.size) if len(sizes) > 1 else rows
         each = max(1, int(FILE_BYTES // (r.mean + RECORD_BYTES))) if r else 1
         out = some.select(F.explode(records).alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip")
         out.option("maxRecordsPerFile", 3 * each).text(f"{path}/size={r.size if r else 0}")
