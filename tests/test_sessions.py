@@ -42,3 +42,12 @@ def test_the_setting_changes_the_plan_and_not_the_rows(spark):
     cuts = sessions._cuts(df.filter("k = 7").selectExpr("unix_micros(t) as us"), "us", 8)[1]
     part = F.size(F.filter(F.array(*cuts), lambda x: x <= F.unix_micros("t")))
     assert max(r["count"] for r in df.filter("k = 7").groupBy(part).count().collect()) < 4000 / 8 * 1.5
+
+
+def test_rows_are_merged_before_they_are_shuffled(spark):
+    """Of 40,000 rows of two keys, what is shuffled is a row for each pane; the plan has no sessions of single rows."""
+    df = spark.range(0, 40000, 1, 4).selectExpr("id % 2 as k", "id as v", "timestamp_seconds(id div 10) as t")
+    out = sessions.sliced(df, "t", ["k"], "500 seconds", Merging.of(df, [w.Sum("v")]), "s", 4)
+    assert sorted((r.k, r.v_sum) for r in out.collect()) == [(0, sum(range(0, 40000, 2))), (1, sum(range(1, 40000, 2)))]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MergingSessions" not in plan and "pane" in plan
