@@ -87,3 +87,35 @@ def test_what_cannot_fire_again(spark):
         w.Query.over(df).window(window).late_rows().to_df(spark)
     with pytest.raises(ValueError, match="count of rows"):
         window.with_early_firing(w.ProcessingTimeTrigger(S(1)))
+
+
+class Kept(dict):
+    """A bucket's map state and timers, and how often they are written."""
+
+    def __init__(self):
+        self.saved, self.timers, self.getMapState, self.registerTimer = 0, [], lambda *_: self, lambda at: self.timers.append(at)
+
+    containsKey, getValue, removeKey = dict.__contains__, dict.__getitem__, dict.__delitem__  # noqa: N815
+
+    def updateValue(self, key, value):  # noqa: N802
+        self[key], self.saved = value, self.saved + 1
+
+
+def test_state_is_written_by_bucket_and_window_not_by_key():
+    """500 keys of 20 windows: 20 writes and timers; what was held is merged with what comes later."""
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    from weir.streaming.firing import FiringWindows
+    from weir.streaming.packed import stored
+
+    state = T.StructType([T.StructField("v0", T.LongType()), T.StructField("hv0", T.BooleanType())])
+    machine, kept = FiringWindows(10_000_000, 0, False, 0, 1, ["sum"], state), Kept()
+    machine.init(kept)
+    clock = type("Clock", (), {"getCurrentWatermarkInMs": lambda self: 0, "getExpiryTimeInMs": lambda self: 10_000})()
+    rows = pd.DataFrame([(k, True, 1, True, w * 10_000_000) for w in range(20) for k in range(500)], columns=["k0", "hk0", "v0", "hv0", "at"])
+    for _ in range(2):
+        assert list(machine.handleInputRows((0,), iter([pd.DataFrame({"at": [0], "rows": [stored(rows)]})]), clock)) == []
+    assert (kept.saved, len(kept.timers)) == (40, 20)
+    (out,) = machine.handleExpiredTimer((0,), None, clock)
+    assert sorted(out["k0"]) == list(range(500)) and set(out["v0"]) == {2} and set(out["w"]) == {0} and len(kept) == 19

@@ -189,11 +189,11 @@ def throughput(spark: SparkSession, d: str) -> DataFrame:
 
 
 def streamed_count_windows(build):
-    """Count windows of the records as they arrive: from one file in the order of the events, ``dateTime`` being their number."""
+    """Count windows of the records as they arrive: from files in the order of the events, ``dateTime`` being their number."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
         path, out = new_path(spark, "bids-ordered"), new_path(spark, "counted")
-        binary.write(bids(spark, d).coalesce(1).sortWithinPartitions("event_id").select("auction", "bidder", "price", F.col("event_id").alias("dateTime")), path, generator.BID_SCHEMA)
+        binary.write(bids(spark, d).repartitionByRange("event_id").sortWithinPartitions("event_id").select("auction", "bidder", "price", F.col("event_id").alias("dateTime")), path, generator.BID_SCHEMA)
         own = spark.newSession()  # the state store is a setting of this query alone
         own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
         own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
@@ -217,7 +217,7 @@ def refired(build, late: bool = False):
         rows = bids(spark, d).select("event_id", "auction", "bidder", "price", F.expr(MILLIS).alias("dateTime"))
         behind = F.col("event_id") % 10 == 0
         for part in (rows.filter(~behind), rows.filter(behind)) if late else (rows,):
-            binary.write(part.coalesce(1).sortWithinPartitions("event_id").drop("event_id"), path, generator.BID_SCHEMA)
+            binary.write(part.repartitionByRange("event_id").sortWithinPartitions("event_id").drop("event_id"), path, generator.BID_SCHEMA)
             q.execute(own, checkpoint=progress).awaitTermination()
         read = spark.read.schema(q.to_df(own).schema).option("sep", ";").csv(out)
         return read.select(*(F.unix_millis(c).alias(c) if c.startswith("window_") else c for c in read.columns))

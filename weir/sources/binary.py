@@ -9,6 +9,7 @@ one large file is read by many tasks, in bounded memory.
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -68,6 +69,8 @@ def _splittable(spark: SparkSession, path: str) -> bool:
 def read(spark: SparkSession, path: str, schema: Schema, streaming: bool, files_per_trigger: int, options: dict, columns: list[str] | None = None) -> DataFrame:
     """The records of all files under ``path``; only the fields ``columns`` of them, if given.
 
+    Of a stream, the files of a micro-batch arrive in the order of their names.
+
     Options: ``strict`` (default true): fail on bytes after the last record of
     a file.  ``range_bytes``: of a file for one task, by default
     ``spark.sql.files.maxPartitionBytes``.
@@ -101,15 +104,16 @@ def read(spark: SparkSession, path: str, schema: Schema, streaming: bool, files_
         tasks = min(MOST_TASKS, max(1, ranges.count()))  # from the listing, no file is opened
 
     def decode(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in frames:
-            for name, length, start in zip(*(frame.column(c).to_pylist() for c in range(3)), strict=True):
-                store, at = _store(name)
-                end = min(start + size, length)
-                with store.open_input_file(at) as file:
-                    for here in range(start, end, record * ROWS_PER_BATCH):
-                        yield from batches(file.read_at(min(record * ROWS_PER_BATCH, end - here), here), schema, strict, wanted)
+        listed = [r for frame in frames for r in zip(*(frame.column(c).to_pylist() for c in range(3)), strict=True)]
+        for name, length, start in sorted(listed, key=lambda r: (r[0], r[2])):
+            store, at = _store(name)
+            end = min(start + size, length)
+            with store.open_input_file(at) as file:
+                for here in range(start, end, record * ROWS_PER_BATCH):
+                    yield from batches(file.read_at(min(record * ROWS_PER_BATCH, end - here), here), schema, strict, wanted)
 
-    return ranges.repartition(tasks).mapInArrow(decode, result)
+    # a stream's windows count rows as they arrive: partitions, ranges in them and rows in these are in that order
+    return (ranges.repartitionByRange(tasks, "path", "start") if streaming else ranges.repartition(tasks)).mapInArrow(decode, result)
 
 
 def write(df: DataFrame, path: str, schema: Schema) -> None:
@@ -117,9 +121,9 @@ def write(df: DataFrame, path: str, schema: Schema) -> None:
 
     Executors write through pyarrow's file systems, so ``path`` must be a
     folder that they share; without a scheme it is in Spark's default store.  A partition always has the same file: a task that
-    runs again replaces what the one before it left.
+    runs again replaces what the one before it left.  Names are in the order of the calls and of the partitions.
     """
-    names, call = [f.name for f in schema.fields], uuid.uuid4().hex
+    names, call = [f.name for f in schema.fields], f"{time.time_ns():020d}-{uuid.uuid4().hex}"
     at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at = at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
 
@@ -130,8 +134,11 @@ def write(df: DataFrame, path: str, schema: Schema) -> None:
         for frame in frames:
             rows = np.zeros(frame.num_rows, schema.dtype())
             for i, f in enumerate(schema.fields):
-                values = frame.column(i).to_pylist()
-                rows[f.name] = [v.encode() for v in values] if f.data_type.is_text else values
+                values = frame.column(i)
+                if f.data_type.is_text:
+                    rows[f.name] = [v.encode() for v in values.to_pylist()]
+                else:
+                    rows[f.name] = values.to_pylist() if values.null_count else values.to_numpy(zero_copy_only=False)
             out = out or store.open_output_stream(name)
             out.write(rows.tobytes())
             written += frame.num_rows

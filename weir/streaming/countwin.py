@@ -1,7 +1,7 @@
 """Row-count windows of a stream, kept in Spark's state store.
 
-With aggregations the state of a key is the merged parts of its open window (a
-row for each group in it), whatever the size of the window.
+With aggregations the state of a bucket of keys is the merged parts of their open
+windows (a row for each group in one), whatever the size of the window.
 """
 
 from __future__ import annotations
@@ -11,11 +11,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql import types as T
 
 from weir.functions.aggregates import Merging
+from weir.operators.countwin import free
+from weir.streaming.packed import bucket, coded, loaded, packed, places, stored, unpacked
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -34,10 +36,10 @@ def _frame(stored: bytes) -> pd.DataFrame:
 
 
 class RowCounter(StatefulProcessor):
-    """Numbers the rows of a key as they arrive; state is one count."""
+    """Numbers the rows of a key as they arrive, by ``place``; state is one count."""
 
-    def __init__(self, size: int, keep: list[str]) -> None:
-        self.size, self.keep = size, keep
+    def __init__(self, size: int, keep: list[str], place: str) -> None:
+        self.size, self.keep, self.place = size, keep, place
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.count = handle.getValueState("count", T.StructType([T.StructField("n", T.LongType())]))
@@ -46,7 +48,8 @@ class RowCounter(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         index = self.count.get()[0] if self.count.exists() else 0
         waiting = [_frame(r[0]) for r in self.rows.get()] if self.rows.exists() else []
-        for frame in rows:
+        arrived = list(rows)  # of one key and batch
+        for frame in [pd.concat(arrived, ignore_index=True).sort_values(self.place, kind="stable")] if arrived else []:
             frame = frame[self.keep]
             if waiting:
                 frame = pd.concat([*waiting, frame], ignore_index=True)
@@ -78,7 +81,7 @@ def _blank(kind: T.DataType) -> str:
     for of, text in _BLANK.items():
         if isinstance(kind, of):
             return text
-    raise ValueError(f"values of type {kind.simpleString()} are not kept in a stream's count window")
+    raise ValueError(f"values of type {kind.simpleString()} are not kept in the state of a stream's windows")
 
 
 def _whole(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -98,20 +101,20 @@ def _merged(values: np.ndarray, starts: np.ndarray, how: str) -> np.ndarray:
 
 
 class PartKeeper(StatefulProcessor):
-    """Merges the parts of a key's rows window by window; state is the open window's parts.
+    """Merges the parts of the rows of a bucket of keys window by window; state is the open windows' parts.
 
-    A row has ``g0..`` (its group), ``v0..`` (its parts) and ``hg0.., hv0..``
-    (whether it has them); ``keys`` key columns ``k0..`` are put before them.
+    A row has ``k0..`` (its key), ``g0..`` (its group), ``v0..`` (its parts)
+    and ``hk0.., hg0.., hv0..`` (whether it has them).
     """
 
     def __init__(self, size: int, keys: int, groups: int, merges: list[str], state: T.StructType) -> None:
         self.size, self.merges, self.state = size, merges, state
-        self.keys = [f"k{i}" for i in range(keys)]
-        self.groups = [f"{h}g{i}" for i in range(groups) for h in ("", "h")]
+        self.keys = [f"{h}k{i}" for i in range(keys) for h in ("", "h")]
+        self.groups = ["c", *(f"{h}g{i}" for i in range(groups) for h in ("", "h"))]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.at = handle.getValueState("at", T.StructType([T.StructField("index", T.LongType()), T.StructField("filled", T.LongType())]))
-        self.open = handle.getListState("open", self.state)
+        kept = T.StructType([T.StructField("seen", T.BinaryType()), T.StructField("open", T.BinaryType())])
+        self.kept = handle.getValueState("kept", kept)
 
     def _sums(self, frame: pd.DataFrame) -> pd.DataFrame:
         """A row for each ``w`` and group of ``frame``."""
@@ -130,34 +133,42 @@ class PartKeeper(StatefulProcessor):
         return out
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        index, filled = self.at.get() if self.at.exists() else (0, 0)
-        kept = pd.DataFrame([tuple(r) for r in self.open.get()], columns=self.state.names) if self.open.exists() else None
-        for frame in rows:
-            n = len(frame)
-            if not n:
-                continue
-            frame = frame[self.state.names].assign(w=(filled + np.arange(n)) // self.size)
-            found = self._sums(frame)
-            if kept is not None and len(kept):
-                found = self._sums(pd.concat([kept.astype(frame[self.state.names].dtypes.to_dict()).assign(w=0), found], ignore_index=True))
-            full = (filled + n) // self.size
-            done = found[found["w"] < full]
+        """``seen`` has a key's full windows and the rows in its open one; ``open`` the parts of that, by the key's row in ``seen`` (c)."""
+        seen, kept = pd.DataFrame(), None
+        if self.kept.exists():
+            seen, kept = (x if x is None else loaded(x) for x in self.kept.get())
+        for frame in unpacked(rows):
+            codes, new = coded(seen, frame, self.keys)
+            seen = pd.concat([seen, new.assign(index=0, filled=0)], ignore_index=True)
+            index, filled = seen["index"].to_numpy(), seen["filled"].to_numpy()
+            place = pd.Series(codes).groupby(codes).cumcount().to_numpy() + filled[codes]
+            found = self._sums(frame[self.state.names].assign(w=place // self.size, c=codes))
+            if kept is not None:
+                found = self._sums(pd.concat([kept.assign(w=0), found], ignore_index=True))
+            filled = filled + np.bincount(codes, minlength=len(seen))
+            full, own = filled // self.size, found["c"].to_numpy()
+            done = found[found["w"] < full[own]]
             if len(done):
-                own = {c: [key[i]] * len(done) for i, c in enumerate(self.keys)}
-                yield done.assign(window_index=index + done["w"], **own)[[*self.keys, *self.state.names, "window_index"]]
-            kept = found[found["w"] >= full].drop(columns="w")
-            index, filled = index + full, (filled + n) % self.size
-        self.at.update((index, filled))
-        if kept is not None and len(kept):
-            plain = kept[self.state.names].astype(object)
-            self.open.put([tuple(None if v is None or v is pd.NaT else v for v in r) for r in plain.itertuples(index=False, name=None)])
-        elif self.open.exists():
-            self.open.clear()
+                named = seen[self.keys].iloc[done["c"]].reset_index(drop=True)
+                done = done.assign(window_index=index[done["c"]] + done["w"]).reset_index(drop=True)
+                yield pd.concat([named, done[[*self.state.names, "window_index"]]], axis=1)
+            kept = found[found["w"] >= full[own]].drop(columns="w")
+            kept = kept if len(kept) else None
+            seen["index"], seen["filled"] = index + full, filled % self.size
+        if len(seen):
+            self.kept.update((stored(seen), None if kept is None else stored(kept)))
 
     def close(self) -> None:
         pass
 
 
+def key_columns(df: DataFrame, keys: list[str]) -> tuple[list[Column], list[T.StructField]]:
+    """``k0, hk0..``: values of the keys, with a blank where there is none, and whether there is one."""
+    kinds = [df.schema[c].dataType for c in keys]
+    columns = [x for i, (c, k) in enumerate(zip(keys, kinds, strict=True)) for x in (F.coalesce(c, F.expr(_blank(k)).cast(k)).alias(f"k{i}"), F.col(c).isNotNull().alias(f"hk{i}"))]
+    return columns, [x for i, k in enumerate(kinds) for x in (T.StructField(f"k{i}", k), T.StructField(f"hk{i}", T.BooleanType()))]
+
+
 def stream_count_aggregates(df: DataFrame, size: int, keys: list[str], groups: list[str], aggregations) -> DataFrame:
     """``keys`` (or ``groups``), ``window_index`` and the aggregates of each window as it fills.
 
@@ -180,15 +191,16 @@ def stream_count_aggregates(df: DataFrame, size: int, keys: list[str], groups: l
     kept += [(f"v{i}", p.value.cast(f.dataType), f.dataType) for i, (p, f) in enumerate(zip(flat, sums, strict=True))]
     columns = [x for n, c, kind in kept for x in (F.coalesce(c, F.expr(_blank(kind)).cast(kind)).alias(n), c.isNotNull().alias(f"h{n}"))]
     state = T.StructType([x for n, _, kind in kept for x in (T.StructField(n, kind), T.StructField(f"h{n}", T.BooleanType()))])
-    by = [F.col(c).alias(f"k{i}") for i, c in enumerate(keys)] or [F.lit(0).alias("k0")]
-    own = [T.StructField(f"k{i}", df.schema[c].dataType) for i, c in enumerate(keys)]
-    out = df.select(*by, *columns).groupBy(*(f"k{i}" for i in range(len(by)))).transformWithStateInPandas(
+    by, own = key_columns(df, keys)
+    rows = df.select(*by, *columns, bucket(keys).alias("b"))
+    out = packed(rows).groupBy("b").transformWithStateInPandas(
         PartKeeper(size, len(keys), len(groups), [p.merge for p in flat], state), T.StructType([*own, *state.fields, T.StructField("window_index", T.LongType())]), "append", "none"
     )
+    kept += [(f.name, None, f.dataType) for f in own[::2]]
     nan = {n: F.lit(float("nan")) for n, _, kind in kept if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType)}
     value = lambda n: F.coalesce(n, nan[n]) if n in nan else F.col(n)  # noqa: E731  pandas hands not-a-number back as null
     known = lambda n: F.when(F.col(f"h{n}"), value(n))
-    named = [F.col(f"k{i}").alias(c) for i, c in enumerate(keys)] + [known(f"g{i}").alias(c) for i, c in enumerate(groups)]
+    named = [known(f"k{i}").alias(c) for i, c in enumerate(keys)] + [known(f"g{i}").alias(c) for i, c in enumerate(groups)]
     return out.select(*named, "window_index", *merging.results([known(f"v{i}") for i in range(len(flat))]))
 
 
@@ -203,9 +215,10 @@ def stream_count_windows(df: DataFrame, size: int, keys: list[str], groups: list
     For whole rows; their aggregates come from :func:`stream_count_aggregates`.
     """
     _need_rocksdb(df)
-    keyed = df if keys else df.withColumn("_all", F.lit(0))
+    place, all_ = free(df, "_place", "_all")
+    keyed = places(df if keys else df.withColumn(all_, F.lit(0)), place)
     schema = T.StructType([*df.schema.fields, T.StructField("window_index", T.LongType())])
-    return keyed.groupBy(*(keys or ["_all"])).transformWithStateInPandas(RowCounter(size, df.columns), schema, "append", "none")
+    return keyed.groupBy(*(keys or [all_])).transformWithStateInPandas(RowCounter(size, df.columns, place), schema, "append", "none")
 
 
 def aggregate_full(rows: DataFrame, keys: list[str], aggregations) -> DataFrame:

@@ -1,6 +1,6 @@
 """Time windows of a stream that fire more than once: before their end, and again for late rows.
 
-A window is kept as the merged parts of its rows, in the state of its key.  The
+A window is kept as the merged parts of its rows, in the state of its bucket of keys.  The
 watermark is the largest event time of the batches before; a window ends when
 that passes its end.  Until then a ``CountTrigger`` may fire it at every n-th
 row, and what it holds goes (purging) or stays (accumulating).  With an allowed
@@ -21,114 +21,168 @@ from pyspark.sql import types as T
 
 from weir.functions.aggregates import Merging
 from weir.operators.panes import MICROS, instant, micros
-from weir.streaming.countwin import PartKeeper, _blank, _need_rocksdb
+from weir.streaming.countwin import PartKeeper, _blank, _need_rocksdb, key_columns
+from weir.streaming.packed import bucket, coded, loaded, packed, stored, unpacked
 
 
 class FiringWindows(PartKeeper):
-    """Rows have ``w`` (their window's start, microseconds) and parts as for :class:`PartKeeper`; none are grouped further."""
+    """Rows of a bucket of keys have ``w`` (their window's start, microseconds), key and parts as for :class:`PartKeeper`.
+
+    State is, for each window, what there is of its keys: rows since the last
+    firing, firings so far and whether it has ended, and apart from these the
+    parts that it holds, by the key's row (w).
+    """
 
     def __init__(self, span: int, every: int, purge: bool, lateness: int, keys: int, merges: list[str], state: T.StructType) -> None:
         super().__init__(1, keys, 0, merges, state)
-        self.span, self.every, self.purge, self.lateness = span, every, purge, lateness
+        self.span, self.every, self.purge, self.lateness, self.groups = span, every, purge, lateness, ["chunk"]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        counters = [T.StructField("waiting", T.LongType()), T.StructField("firing", T.LongType()), T.StructField("ended", T.BooleanType()), T.StructField("held", T.BooleanType())]
-        self.windows = handle.getMapState("windows", T.StructType([T.StructField("w", T.LongType())]), T.StructType([*counters, *self.state.fields]))
+        kept = T.StructType([T.StructField("seen", T.BinaryType()), T.StructField("held", T.BinaryType())])
+        self.windows = handle.getMapState("windows", T.StructType([T.StructField("w", T.LongType())]), kept)
+
+    def _both(self, how: str, a, has_a: bool, b, has_b: bool) -> tuple:
+        """The merge of two values, each with whether it is there."""
+        if not (has_a and has_b):
+            return (b, has_b) if has_b else (a, has_a)
+        if how == "sum":
+            both = a + b
+            if isinstance(both, int | np.integer) and not -(1 << 63) <= int(a) + int(b) < 1 << 63:
+                raise OverflowError("a sum in a window passes 64 bits")
+        elif a != a or b != b:  # not-a-number is the largest
+            both = (b if a != a else a) if how == "min" else float("nan")
+        else:
+            both = min(a, b) if how == "min" else max(a, b)
+        return both, True
 
     def _add(self, held: tuple | None, more: tuple) -> tuple:
         """The merge of two windows' parts, each a value and whether it is there."""
         if held is None:
             return more
-        out: list = []
+        return tuple(x for i, how in enumerate(self.merges) for x in self._both(how, *held[2 * i : 2 * i + 2], *more[2 * i : 2 * i + 2]))
+
+    def _running(self, frame: pd.DataFrame) -> pd.DataFrame:
+        """Rows in the order of ``w``, each with the merged parts of those of its ``w`` up to it."""
+        own = frame["w"].to_numpy()
+        n, first = len(own), np.r_[True, own[1:] != own[:-1]]
+        start = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+        out = {}
         for i, how in enumerate(self.merges):
-            (a, has_a), (b, has_b) = held[2 * i : 2 * i + 2], more[2 * i : 2 * i + 2]
-            if not (has_a and has_b):
-                out += [b, has_b] if has_b else [a, has_a]
-                continue
-            if how == "sum":
-                both = a + b
-                if isinstance(both, int) and not -(1 << 63) <= both < 1 << 63:
+            column, has = frame[f"v{i}"], frame[f"hv{i}"].to_numpy(dtype=bool)
+            values, upto = column.to_numpy(), np.cumsum(has)
+            some = upto - upto[start] + has[start] > 0
+            if values.dtype.kind not in "iuf" or not np.isfinite(values).all():
+                values = values.astype(object)
+                for j in np.flatnonzero(~first):
+                    values[j] = self._both(how, values[j - 1], some[j - 1], values[j], has[j])[0]
+                values = pd.Series(values, dtype=column.dtype)
+            elif how == "sum" and values.dtype.kind in "iu":
+                values = np.where(has, values, 0).astype(np.int64)
+                about = np.cumsum(values.astype(np.float64))
+                if np.abs(about - about[start] + values[start]).max() > 9.2e18:
                     raise OverflowError("a sum in a window passes 64 bits")
-            elif a != a or b != b:  # not-a-number is the largest
-                both = (b if a != a else a) if how == "min" else float("nan")
+                total = np.cumsum(values)
+                values = total - total[start] + values[start]
+            elif how == "sum":
+                values = pd.Series(np.where(has, values, 0)).groupby(own).cumsum().to_numpy()
             else:
-                both = min(a, b) if how == "min" else max(a, b)
-            out += [both, True]
-        return tuple(out)
-
-    def _load(self, w: int) -> list:
-        """Rows since the last firing, firings so far, whether it has ended, and the parts it holds."""
-        if not self.windows.containsKey((w,)):
-            return [0, 0, False, None]
-        waiting, firing, ended, held, *parts = self.windows.getValue((w,))
-        return [waiting, firing, ended, tuple(parts) if held else None]
-
-    def _save(self, w: int, waiting: int, firing: int, ended: bool, held: tuple | None) -> None:
-        plain = [None] * len(self.state) if held is None else [None if v is pd.NaT else v for v in held]
-        self.windows.updateValue((w,), (waiting, firing, ended, held is not None, *plain))
-
-    def _fired(self, key, out: list[tuple]) -> Iterator[pd.DataFrame]:
-        """Rows of ``w``, firing and parts, with the key before them."""
-        if out:
-            own = tuple(key[i] for i in range(len(self.keys)))
-            yield pd.DataFrame([own + r for r in out], columns=[*self.keys, "w", "firing", *self.state.names], dtype=object)
+                ends = np.finfo(values.dtype) if values.dtype.kind == "f" else np.iinfo(values.dtype)
+                filled = pd.Series(np.where(has, values, ends.max if how == "min" else ends.min).astype(values.dtype)).groupby(own)
+                values = (filled.cummin() if how == "min" else filled.cummax()).to_numpy()
+            out[f"v{i}"], out[f"hv{i}"] = values, some
+        return frame.assign(**out)
+
+    def _load(self, w: int) -> tuple[pd.DataFrame, pd.DataFrame | None]:
+        seen, held = self.windows.getValue((w,))
+        return loaded(seen), None if held is None else loaded(held)
+
+    def _save(self, w: int, seen: pd.DataFrame, held: pd.DataFrame | None) -> None:
+        self.windows.updateValue((w,), (stored(seen), None if held is None or not len(held) else stored(held)))
+
+    def _fired(self, seen: pd.DataFrame, out: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """Rows of key, ``w``, firing and parts: ``out`` has ``w``, the row of its window in ``seen``."""
+        if len(out):
+            named = seen[[*self.keys, "at"]].iloc[out["w"]].rename(columns={"at": "w"}).reset_index(drop=True)
+            yield pd.concat([named, out[["firing", *self.state.names]].reset_index(drop=True)], axis=1)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        now, corrected = timers.getCurrentWatermarkInMs() * 1000, set()
-        for frame in rows:
-            frame = frame[frame["w"] + self.span + self.lateness > now]  # the others are too late
+        now, names = timers.getCurrentWatermarkInMs() * 1000, self.state.names
+        seen, held, known, by = pd.DataFrame(), None, set(), ["at", *self.keys]
+        for frame in unpacked(rows):
+            frame = frame[frame["at"] + self.span + self.lateness > now].reset_index(drop=True)  # the others are too late
             if not len(frame):
                 continue
-            starts, which, counts = np.unique(frame["w"].to_numpy(), return_inverse=True, return_counts=True)
-            states = [self._load(int(w)) for w in starts]
-            open_ = np.array([not s[2] and w + self.span > now for w, s in zip(starts, states, strict=True)])
-            waiting = np.array([s[0] for s in states], np.int64)
+            for w in map(int, np.setdiff1d(frame["at"].unique(), list(known))):
+                known.add(w)
+                if self.windows.containsKey((w,)):
+                    more, parts = self._load(w)
+                    if parts is not None:
+                        parts = parts.assign(w=parts["w"] + len(seen))
+                        held = parts if held is None else pd.concat([held, parts], ignore_index=True)
+                    seen = pd.concat([seen, more.assign(at=w)], ignore_index=True)
+                else:
+                    self.handle.registerTimer((w + self.span + (self.lateness if w + self.span <= now else 0)) // 1000)
+            codes, new = coded(seen, frame, by)
+            seen = pd.concat([seen, new.assign(waiting=0, firing=0, ended=False)], ignore_index=True)
+            waiting, firing, counts = seen["waiting"].to_numpy(), seen["firing"].to_numpy(), np.bincount(codes, minlength=len(seen))
+            open_ = ~seen["ended"].to_numpy(dtype=bool) & (seen["at"].to_numpy() + self.span > now)
             chunk = np.zeros(len(frame), np.int64)
             if self.every:
-                place = frame.groupby("w").cumcount().to_numpy() + waiting[which]
-                chunk = np.where(open_[which], place // self.every, 0)
-            sums = self._sums(frame[self.state.names].assign(w=which.astype(np.int64) << 40 | chunk)).sort_values("w")
-            out = []
-            for code, *parts in sums[["w", *self.state.names]].itertuples(index=False, name=None):
-                n, at = code >> 40, code & ((1 << 40) - 1)
-                state = states[n]
-                state[3] = self._add(state[3], tuple(parts))
-                if open_[n] and self.every and (at + 1) * self.every <= waiting[n] + counts[n]:
-                    out.append((int(starts[n]), state[1], *state[3]))
-                    state[1], state[3] = state[1] + 1, None if self.purge else state[3]
-            for w, state, is_open, before, more in zip(starts.tolist(), states, open_, waiting.tolist(), counts.tolist(), strict=True):
-                if is_open and not self.windows.containsKey((w,)):
-                    self.handle.registerTimer((w + self.span) // 1000)
-                if not is_open:
-                    corrected.add(w)
-                    if not state[2]:  # its first rows come after its end
-                        self.handle.registerTimer((w + self.span + self.lateness) // 1000)
-                state[0] = (before + more) % self.every if is_open and self.every else before + more
-                self._save(w, state[0], state[1], not is_open, state[3])
-            yield from self._fired(key, out)
-        out = []
-        for w in sorted(corrected):
-            _, firing, ended, held = self._load(w)
-            out.append((w, firing, *held))
-            self._save(w, 0, firing + 1, ended, None if self.purge else held)
-        yield from self._fired(key, out)
+                place = pd.Series(codes).groupby(codes).cumcount().to_numpy() + waiting[codes]
+                chunk = np.where(open_[codes], place // self.every, 0)
+            sums = self._sums(frame[names].assign(w=codes, chunk=chunk))
+            if held is not None:
+                touched = counts[held["w"]] > 0
+                sums = self._sums(pd.concat([held[touched].assign(chunk=0), sums], ignore_index=True))
+                held = held[~touched]
+            sums = sums.sort_values(["w", "chunk"], ignore_index=True)
+            if not self.purge:
+                sums = self._running(sums)
+            own, at = sums["w"].to_numpy(), sums["chunk"].to_numpy()
+            if self.every:
+                full = open_[own] & ((at + 1) * self.every <= (waiting + counts)[own])
+                yield from self._fired(seen, sums[full].assign(firing=firing[own[full]] + at[full]))
+                seen["firing"] = firing + np.bincount(own[full], minlength=len(seen))
+            else:
+                full = np.zeros(len(sums), bool)
+            last = np.r_[own[1:] != own[:-1], True] & ~(full & self.purge)
+            held = sums[last].drop(columns="chunk") if held is None else pd.concat([held, sums[last].drop(columns="chunk")], ignore_index=True)
+            left = waiting + counts
+            seen["waiting"] = np.where(open_, left % self.every, left) if self.every else left
+            seen["ended"] = seen["ended"].to_numpy(dtype=bool) | ~open_ & (counts > 0)
+            seen["late"] = (seen["late"].fillna(False).to_numpy(dtype=bool) if "late" in seen else False) | ~open_ & (counts > 0)
+        if not len(seen):
+            return
+        late = seen.pop("late").to_numpy(dtype=bool)
+        out = held[late[held["w"]]].sort_values("w")
+        yield from self._fired(seen, out.assign(firing=seen["firing"].to_numpy()[out["w"]]))
+        seen["firing"], seen["waiting"] = seen["firing"] + late, np.where(late, 0, seen["waiting"])
+        if self.purge:
+            held = held[~late[held["w"]]]
+        places = seen.groupby("at").cumcount().to_numpy()
+        parts = dict(iter(held.assign(at=seen["at"].to_numpy()[held["w"]], w=places[held["w"]]).groupby("at")))
+        for w, mine in seen.groupby("at"):
+            self._save(int(w), mine.drop(columns="at"), parts[w].drop(columns="at") if w in parts else None)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         at = expiredTimerInfo.getExpiryTimeInMs() * 1000
         w = at - self.span
-        waiting, firing, ended, held = self._load(w)
-        if self.windows.containsKey((w,)) and not ended:
-            if waiting:
-                yield from self._fired(key, [(w, firing, *held)])
-                firing, held = firing + 1, None if self.purge else held
+        if self.windows.containsKey((w,)):
+            seen, held = self._load(w)
+            due = ~seen["ended"].to_numpy(dtype=bool) & (seen["waiting"].to_numpy() > 0)
+            if held is not None:
+                out = held[due[held["w"]]].sort_values("w")
+                yield from self._fired(seen.assign(at=w), out.assign(firing=seen["firing"].to_numpy()[out["w"]]))
             if self.lateness:
-                self._save(w, 0, firing, True, held)
+                if held is not None and self.purge:
+                    held = held[~due[held["w"]]]
+                self._save(w, seen.assign(firing=seen["firing"] + due, waiting=0, ended=True), held)
                 self.handle.registerTimer((at + self.lateness) // 1000)
             else:
                 self.windows.removeKey((w,))
         w = at - self.span - self.lateness
-        if self.lateness and self._load(w)[2]:
+        if self.lateness and self.windows.containsKey((w,)):
             self.windows.removeKey((w,))
 
 
@@ -170,29 +224,27 @@ def fired(df: DataFrame, time: str, window, keys: list[str], aggregations) -> Da
     kept = [(f"v{i}", p.value.cast(f.dataType), f.dataType) for i, (p, f) in enumerate(zip(flat, sums, strict=True))]
     columns = [x for n, c, k in kept for x in (F.coalesce(c, F.expr(_blank(k)).cast(k)).alias(n), c.isNotNull().alias(f"h{n}"))]
     state = T.StructType([x for n, _, k in kept for x in (T.StructField(n, k), T.StructField(f"h{n}", T.BooleanType()))])
-    by = [F.col(c).alias(f"k{i}") for i, c in enumerate(keys)] or [F.lit(0).alias("k0")]
-    own = [T.StructField(f"k{i}", df.schema[c].dataType) for i, c in enumerate(keys)]
-    rows = df.filter(F.col(time).isNotNull()).select(*by, *columns, _starts(df, time, window).alias("w"))  # its time is no longer among the columns, so late rows come through
+    by, own = key_columns(df, keys)
+    rows = df.filter(F.col(time).isNotNull()).select(*by, *columns, bucket(keys).alias("b"), _starts(df, time, window).alias("at"))  # its time is no longer among the columns, so late rows come through
     early = window.early
     machine = FiringWindows(window.size.seconds_ * MICROS, early.every() if early else 0, bool(early) and early.purges(), window.allowed.seconds_ * MICROS, len(keys), [p.merge for p in flat], state)
-    out = rows.groupBy(*(f"k{i}" for i in range(len(by)))).transformWithStateInPandas(
+    out = packed(rows).groupBy("b").transformWithStateInPandas(
         machine, T.StructType([*own, T.StructField("w", T.LongType()), T.StructField("firing", T.LongType()), *state.fields]), "append", "EventTime"
     )
-    nan = {n: F.lit(float("nan")) for n, _, k in kept if isinstance(k, T.FractionalType) and not isinstance(k, T.DecimalType)}
+    nan = {n: F.lit(float("nan")) for n, k in [*((n, k) for n, _, k in kept), *((f.name, f.dataType) for f in own[::2])] if isinstance(k, T.FractionalType) and not isinstance(k, T.DecimalType)}
     known = lambda n: F.when(F.col(f"h{n}"), F.coalesce(n, nan[n]) if n in nan else F.col(n))
     bounds = [instant(F.col("w"), kind).alias("window_start"), instant(F.col("w") + window.size.seconds_ * MICROS, kind).alias("window_end")]
-    return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keys)), *bounds, "firing", *merging.results([known(f"v{i}") for i in range(len(flat))]))
+    return out.select(*(known(f"k{i}").alias(c) for i, c in enumerate(keys)), *bounds, "firing", *merging.results([known(f"v{i}") for i in range(len(flat))]))
 
 
 def too_late(df: DataFrame, columns: list[str], time: str, window, keys: list[str]) -> DataFrame:
     """The rows of ``df`` that come when their window has been let go, each once for each such window, with its ``window_start``."""
     _need_rocksdb(df)
     names = [f"c{i}" for i in range(len(columns))]
-    by = [F.col(c).alias(f"k{i}") for i, c in enumerate(keys)] or [F.lit(0).alias("k0")]
-    rows = df.filter(F.col(time).isNotNull()).select(*by, F.struct(*columns).alias("row"), _starts(df, time, window).alias("w"))
-    rows = rows.select(*(f"k{i}" for i in range(len(by))), *(F.col("row")[c].alias(n) for c, n in zip(columns, names, strict=True)), "w")
+    rows = df.filter(F.col(time).isNotNull()).select(bucket(keys).alias("b"), F.struct(*columns).alias("row"), _starts(df, time, window).alias("w"))
+    rows = rows.select("b", *(F.col("row")[c].alias(n) for c, n in zip(columns, names, strict=True)), "w")
     schema = T.StructType([T.StructField(n, df.schema[c].dataType) for c, n in zip(columns, names, strict=True)] + [T.StructField("w", T.LongType())])
-    out = rows.groupBy(*(f"k{i}" for i in range(len(by)))).transformWithStateInPandas(
+    out = rows.groupBy("b").transformWithStateInPandas(
         TooLate((window.size.seconds_ + window.allowed.seconds_) * MICROS, [*names, "w"]), schema, "append", "EventTime"
     )
     return out.select(*(F.col(n).alias(c) for c, n in zip(columns, names, strict=True)), instant(F.col("w"), df.schema[time].dataType).alias("window_start"))
