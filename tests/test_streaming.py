@@ -10,7 +10,7 @@ import pytest
 import weir as w
 from weir.plans.schema import DataType
 from weir.sources import binary
-from weir.streaming.countwin import aggregate_full
+from weir.streaming.countwin import aggregate_full, stream_count_windows
 
 SCHEMA = w.Schema.create().add_fix_size_field("k", DataType.Long).add_fix_size_field("v", DataType.Long).add_fix_size_field("ms", DataType.Long)
 
@@ -201,3 +201,29 @@ def test_processing_time_stream(spark, tmp_path):
     q = source(spark, tmp_path, [(1, 1, 1)]).input(w.InputType.BinaryFile, streaming=True)
     df = q.window(w.TumblingProcessingTimeWindow(w.Time.seconds(10))).aggregate(w.Count()).to_df(spark)
     assert df.isStreaming and df.columns == ["window_start", "window_end", "count"]
+
+
+@pytest.mark.parametrize("keyed", [True, False])
+def test_count_windows_count_in_order_over_many_ranges_of_many_files(spark, tmp_path, keyed):
+    """Rows 0 to 5999 in three files, read by ranges of 50 rows: window i has the rows from 10 i on."""
+    base = w.Query.generate(w.Config().with_run_length(1000), SCHEMA, str(tmp_path / "in"))
+    rows = spark.range(0, 6000, 1, 3).selectExpr("id % 2 as k", "id as v", "id as ms")
+    binary.write(rows, base.path, SCHEMA)
+    q = base.input(w.InputType.BinaryFile, streaming=True, range_bytes=50 * SCHEMA.record_size())
+    q = (q.key_by("k") if keyed else q).window(w.CountWindow(10)).aggregate(w.Min("v"), w.Max("v"), w.Count()).write(str(tmp_path / "out"))
+    q.execute(spark, checkpoint=str(tmp_path / "cp")).awaitTermination(60)
+    got = sorted(map(tuple, spark.read.schema(q.to_df(spark).schema).option("sep", ";").csv(str(tmp_path / "out")).collect()))
+    if keyed:
+        assert got == [(k, i, 20 * i + k, 20 * i + 18 + k, 10) for k in range(2) for i in range(300)]
+    else:
+        assert got == [(i, 10 * i, 10 * i + 9, 10) for i in range(600)]
+
+
+def test_rows_of_count_windows_are_in_order_over_many_ranges(spark, tmp_path):
+    base = w.Query.generate(w.Config().with_run_length(1000), SCHEMA, str(tmp_path / "in"))
+    rows = spark.range(0, 2000, 1, 2).selectExpr("1L as k", "id as v", "id as ms")
+    binary.write(rows, base.path, SCHEMA)
+    df = base.input(w.InputType.BinaryFile, streaming=True, range_bytes=50 * SCHEMA.record_size()).to_df(spark)
+    live = stream_count_windows(df, 10, ["k"], [], ()).writeStream.format("memory").queryName("counted_rows").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    live.awaitTermination(60)
+    assert sorted((r.v, r.window_index) for r in spark.table("counted_rows").collect()) == [(i, i // 10) for i in range(2000)]

@@ -48,7 +48,7 @@ class RowCounter(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         index = self.count.get()[0] if self.count.exists() else 0
         waiting = [_frame(r[0]) for r in self.rows.get()] if self.rows.exists() else []
-        arrived = list(rows)  # of one key and batch
+        arrived = [f for f in rows if len(f)]  # of one key and batch
         for frame in [pd.concat(arrived, ignore_index=True).sort_values(self.place, kind="stable")] if arrived else []:
             frame = frame[self.keep]
             if waiting:
@@ -215,7 +215,7 @@ def stream_count_windows(df: DataFrame, size: int, keys: list[str], groups: list
     For whole rows; their aggregates come from :func:`stream_count_aggregates`.
     """
     _need_rocksdb(df)
-    place, all_ = free(df, "_place", "_all")
+    place, all_ = free(df, "place", "all")
     keyed = places(df if keys else df.withColumn(all_, F.lit(0)), place)
     schema = T.StructType([*df.schema.fields, T.StructField("window_index", T.LongType())])
     return keyed.groupBy(*(keys or [all_])).transformWithStateInPandas(RowCounter(size, df.columns, place), schema, "append", "none")
