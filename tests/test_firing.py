@@ -119,3 +119,38 @@ def test_state_is_written_by_bucket_and_window_not_by_key():
     assert (kept.saved, len(kept.timers)) == (40, 20)
     (out,) = machine.handleExpiredTimer((0,), None, clock)
     assert sorted(out["k0"]) == list(range(500)) and set(out["v0"]) == {2} and set(out["w"]) == {0} and len(kept) == 19
+
+
+def test_firings_count_in_order_over_many_ranges(spark, tmp_path):
+    """Rows 0 to 1999 of one key in two files, read by ranges of 20 rows: each firing has the next five."""
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    binary.write(spark.range(0, 2000, 1, 2).selectExpr("7L as k", "id as v", "id as ms"), path, SCHEMA)
+    window = w.TumblingEventTimeWindow(S(100), "ms").with_early_firing(w.PurgingTrigger(w.CountTrigger(5)))
+    q = w.Query.generate(w.Config().with_run_length(1000), SCHEMA, path).input(w.InputType.BinaryFile, streaming=True, range_bytes=20 * SCHEMA.record_size())
+    q = q.group_by("k").window(window).aggregate(w.Min("v"), w.Max("v"), w.Count()).write(out)
+    q.execute(spark, checkpoint=str(tmp_path / "cp")).awaitTermination(60)
+    got = spark.read.schema(q.to_df(spark).schema).option("sep", ";").csv(out).select("firing", "v_min", "v_max", "count")
+    assert sorted(map(tuple, got.collect())) == [(i, 5 * i, 5 * i + 4, 5) for i in range(400)]
+
+
+def test_running_merges_equal_merges_one_by_one():
+    """Of whole numbers, doubles with not-a-number and texts, with and without values."""
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    from weir.streaming.firing import FiringWindows
+
+    draw = np.random.default_rng(5)
+    n, merges = 300, ["sum", "min", "max", "sum", "max", "min"]
+    columns = [draw.integers(-9, 9, n), draw.integers(-9, 9, n), draw.normal(size=n), draw.normal(size=n), np.where(draw.random(n) < 0.1, np.nan, draw.normal(size=n)), draw.choice(list("abc"), n).astype(object)]
+    frame = pd.DataFrame({"w": np.sort(draw.integers(0, 40, n))} | {f"{h}v{i}": draw.random(n) < 0.6 if h else c for i, c in enumerate(columns) for h in ("", "h")})
+    state = T.StructType([T.StructField(f"{h}v{i}", T.LongType()) for i in range(6) for h in ("", "h")])
+    machine, held = FiringWindows(1, 0, False, 0, 0, merges, state), {}
+    got = machine._running(frame)
+    for (_, row), (_, new) in zip(frame.iterrows(), got.iterrows(), strict=True):
+        held[row["w"]] = machine._add(held.get(row["w"]), tuple(row[c] for c in state.names))
+        for i in range(6):
+            value, has = held[row["w"]][2 * i : 2 * i + 2]
+            assert bool(new[f"hv{i}"]) == bool(has)
+            assert not has or new[f"v{i}"] == pytest.approx(value, nan_ok=True)
