@@ -227,3 +227,25 @@ def test_rows_of_count_windows_are_in_order_over_many_ranges(spark, tmp_path):
     live = stream_count_windows(df, 10, ["k"], [], ()).writeStream.format("memory").queryName("counted_rows").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     live.awaitTermination(60)
     assert sorted((r.v, r.window_index) for r in spark.table("counted_rows").collect()) == [(i, i // 10) for i in range(2000)]
+
+
+def test_a_streams_buffer_is_in_files_and_goes_on_from_its_checkpoint(spark, tmp_path):
+    base = source(spark, tmp_path, [(i, i, i) for i in range(100)])
+    q = base.input(w.InputType.BinaryFile, streaming=True).to_output_buffer("in_files")
+    for more in (100, 200):
+        q.execute(spark, checkpoint=str(tmp_path / "cp")).awaitTermination(60)
+        assert sorted(r.k for r in spark.table("in_files").collect()) == list(range(more))
+        plan = spark.table("in_files")._jdf.queryExecution().optimizedPlan().toString()
+        assert "parquet" in plan and "MemoryPlan" not in plan
+        source(spark, tmp_path, [(i, i, i) for i in range(100, 200)])
+
+
+def test_a_socket_is_sent_no_more_lines_than_its_stream_takes(spark, monkeypatch):
+    """With 300 lines at a time the stream has all of them, in several batches."""
+    from weir.plans import catalog_io
+
+    monkeypatch.setattr(catalog_io, "LINES", 300)
+    got = catalog_io.from_socket(spark, "/root/testdata/sf0.001")
+    want = spark.read.parquet("/root/testdata/sf0.001/events.parquet").filter("event_type <> 'click'")
+    assert sorted(r.value for r in got.collect()) == sorted(f"{r.event_id},{r.event_type}" for r in want.collect())
+    assert len({f.rsplit("/", 2)[1] for f in got.inputFiles()}) > 3

@@ -26,6 +26,8 @@ RECORDS_SQL = f"(select auction, bidder, price, epoch_us(ts) // 1000 as dateTime
 MILLIS = "unix_date(cast(ts as date)) * 86400000L + hour(ts) * 3600000L + minute(ts) * 60000L + cast(floor(extract(second from ts) * 1000) as bigint)"
 #: Files of a micro-batch: all, so that no row is late and results can be compared.
 ALL_FILES = 1_000_000
+#: Lines that a socket's server sends before it looks how many the stream has taken; the source's time for a batch grows with their square.
+LINES = 50_000
 
 
 def records(spark: SparkSession, d: str) -> DataFrame:
@@ -102,23 +104,39 @@ def from_socket(spark: SparkSession, d: str) -> DataFrame:
     """Lines that a server on the driver sends, a line for each event, as a stream."""
     name, server = f"lines_{uuid.uuid4().hex}", socket.create_server(("127.0.0.1", 0))
     events = spark.read.parquet(f"{d}/events.parquet")
-    lines, n = events.select(F.concat_ws(",", F.col("event_id").cast("string"), "event_type").alias("value")), events.filter("event_type <> 'click'").count()
+    lines, n = events.select(F.concat_ws(",", F.col("event_id").cast("string"), "event_type").alias("value")), events.count()
 
-    def serve() -> None:
+    def taken() -> int:
+        """Lines that the stream has read and written: its offset in the socket."""
+        report = running[0].lastProgress if running else None
+        return int(report["sources"][0]["endOffset"] or -1) + 1 if report else 0
+
+    def serve() -> None:  # a socket's source holds all lines that have come and are not taken yet, so it is given so many at most
         link, _ = server.accept()
-        for row in lines.toLocalIterator():
-            link.sendall(f"{row.value}\n".encode())
-        done.wait(600)
+        held: list[str] = []
+        for sent, row in enumerate(lines.toLocalIterator()):
+            if len(held) == LINES:
+                link.sendall("".join(held).encode())
+                held.clear()
+                while taken() < sent - LINES:
+                    if done.wait(0.1):
+                        return link.close()
+            held.append(f"{row.value}\n")
+        link.sendall("".join(held).encode())
+        done.wait()
         link.close()
 
+    running: list = []
     done = threading.Event()
     threading.Thread(target=serve, daemon=True).start()
     q = w.Query(path=None).input(w.InputType.Socket, streaming=True, host="127.0.0.1", port=server.getsockname()[1])
     kept = w.Query.over(q.to_df(spark).select("value", F.substring_index("value", ",", -1).alias("kind"))).filter(w.NotEqual("kind", "click"))
     live = kept.to_output_buffer(name).execute(spark, checkpoint=new_path(spark, "progress"), available_now=False)
+    running.append(live)
     try:
-        while spark.table(name).count() < n:
+        while taken() < n:
             live.processAllAvailable()
+            done.wait(0.1)
     finally:
         live.stop()
         done.set()

@@ -105,4 +105,23 @@ def _start(df: DataFrame, sink, every: str | None, checkpoint: str | None, avail
         return writer.foreachBatch(lambda rows, n: rows.write.mode("overwrite").option("sep", ";").csv(f"{sink.args[0]}/run={run}/batch={n}")).start()
     if sink.kind == "write":
         return writer.foreachBatch(lambda rows, _: rows.write.mode("append").option("sep", ";").csv(sink.args[0])).start()
-    return writer.format("memory").queryName(sink.args[0] if sink.args else "output").start()
+    if sink.kind == "buffer":
+        return writer.foreachBatch(_buffer(df, sink.args[0], checkpoint, output_mode)).start()
+    return writer.format("memory").queryName("output").start()
+
+
+def _buffer(df: DataFrame, name: str, checkpoint: str | None, output_mode: str):
+    """Keeps a stream's batches in the shared folder (beside its checkpoint, if it has one) under the temporary view ``name``, renewed with each batch; in complete mode the last one."""
+    spark, at = df.sparkSession, f"{checkpoint.rstrip('/')}/buffer" if checkpoint else new_path(df.sparkSession, "buffer")
+
+    def show(path: str) -> None:
+        spark.read.schema(df.schema).option("recursiveFileLookup", True).parquet(path).createOrReplaceTempView(name)
+
+    def keep(rows: DataFrame, n: int) -> None:
+        path = f"{at}/batch={n}"
+        rows.write.mode("overwrite").parquet(path)
+        show(path if output_mode == "complete" else at)
+
+    spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(f"{at}/batch=none")
+    show(f"{at}/batch=none" if output_mode == "complete" else at)
+    return keep
