@@ -249,3 +249,16 @@ def test_a_socket_is_sent_no_more_lines_than_its_stream_takes(spark, monkeypatch
     want = spark.read.parquet("/root/testdata/sf0.001/events.parquet").filter("event_type <> 'click'")
     assert sorted(r.value for r in got.collect()) == sorted(f"{r.event_id},{r.event_type}" for r in want.collect())
     assert len({f.rsplit("/", 2)[1] for f in got.inputFiles()}) > 3
+
+
+def test_packs_are_read_in_the_order_of_arrival_and_are_small():
+    """What one task gets for windows over all rows: packs in any order, of far fewer bytes than their rows."""
+    import numpy as np
+    import pandas as pd
+
+    from weir.streaming.packed import stored, unpacked
+
+    rows = pd.DataFrame({"v0": np.arange(60000) % 100, "hv0": True})
+    packs = [(i, stored(rows.iloc[i * 20000 : (i + 1) * 20000])) for i in (2, 0, 1)]
+    got = pd.concat(list(unpacked(iter([pd.DataFrame([p], columns=["at", "rows"]) for p in packs]))), ignore_index=True)
+    assert got.equals(rows) and sum(len(p) for _, p in packs) < 60000 * 9 / 4
