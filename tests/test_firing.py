@@ -154,3 +154,28 @@ def test_running_merges_equal_merges_one_by_one():
             value, has = held[row["w"]][2 * i : 2 * i + 2]
             assert bool(new[f"hv{i}"]) == bool(has)
             assert not has or new[f"v{i}"] == pytest.approx(value, nan_ok=True)
+
+
+@pytest.mark.parametrize("purge", [True, False])
+def test_windows_of_a_bucket_are_converted_together(monkeypatch, purge):
+    """50 windows of 4 keys, of 5 or 2 rows each and fired at every third: no frame is made for a window when it is kept, none is loaded when it ends."""
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    from weir.streaming import firing, packed
+
+    calls, rows = [], [(k, True, 1, True, w * 10_000_000) for w in range(50) for k in range(4) for _ in range(5 if k % 2 else 2)]
+    for name in ("stored", "loaded"):
+        monkeypatch.setattr(firing, name, lambda x, f=getattr(packed, name): calls.append(1) or f(x))
+    state = T.StructType([T.StructField("v0", T.LongType()), T.StructField("hv0", T.BooleanType())])
+    machine, kept = firing.FiringWindows(10_000_000, 3, purge, 0, 1, ["sum"], state), Kept()
+    machine.init(kept)
+    clock = lambda at: type("Clock", (), {"getCurrentWatermarkInMs": lambda self: 0, "getExpiryTimeInMs": lambda self: at})()
+    frame = pd.DataFrame(rows, columns=["k0", "hk0", "v0", "hv0", "at"])
+    out = list(machine.handleInputRows((0,), iter([pd.DataFrame({"at": [0], "rows": [packed.stored(frame)]})]), clock(0)))
+    for at in sorted(kept.timers):
+        out += machine.handleExpiredTimer((0,), None, clock(at))
+    got = sorted(map(tuple, pd.concat(out)[["w", "k0", "firing", "v0"]].to_numpy().tolist()))
+    one = [(0, 0, 2), (1, 0, 3), (1, 1, 2 if purge else 5), (2, 0, 2), (3, 0, 3), (3, 1, 2 if purge else 5)]
+    assert got == [(w * 10_000_000, *x) for w in range(50) for x in one]
+    assert not calls and not kept

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql import types as T
@@ -22,7 +23,7 @@ from pyspark.sql import types as T
 from weir.functions.aggregates import Merging
 from weir.operators.panes import MICROS, instant, micros
 from weir.streaming.countwin import PartKeeper, _blank, _need_rocksdb, key_columns
-from weir.streaming.packed import bucket, coded, loaded, packed, stored, unpacked
+from weir.streaming.packed import bucket, coded, loaded, opened, packed, stored, stored_by, unpacked
 
 
 class FiringWindows(PartKeeper):
@@ -161,20 +162,27 @@ class FiringWindows(PartKeeper):
         if self.purge:
             held = held[~late[held["w"]]]
         places = seen.groupby("at").cumcount().to_numpy()
-        parts = dict(iter(held.assign(at=seen["at"].to_numpy()[held["w"]], w=places[held["w"]]).groupby("at")))
-        for w, mine in seen.groupby("at"):
-            self._save(int(w), mine.drop(columns="at"), parts[w].drop(columns="at") if w in parts else None)
+        at = seen["at"].to_numpy()
+        parts = stored_by(held.assign(w=places[held["w"]]), at[held["w"]])
+        for w, mine in stored_by(seen.drop(columns="at"), at).items():
+            self.windows.updateValue((w,), (mine, parts.get(w)))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         at = expiredTimerInfo.getExpiryTimeInMs() * 1000
         w = at - self.span
         if self.windows.containsKey((w,)):
-            seen, held = self._load(w)
-            due = ~seen["ended"].to_numpy(dtype=bool) & (seen["waiting"].to_numpy() > 0)
+            seen, held = (x if x is None else opened(x) for x in self.windows.getValue((w,)))
+            due = ~seen["ended"].to_numpy().astype(bool) & (seen["waiting"].to_numpy() > 0)
             if held is not None:
-                out = held[due[held["w"]]].sort_values("w")
-                yield from self._fired(seen.assign(at=w), out.assign(firing=seen["firing"].to_numpy()[out["w"]]))
+                own = held["w"].to_numpy()
+                rows = np.flatnonzero(due[own])
+                rows = rows[np.argsort(own[rows], kind="stable")]
+                if len(rows):  # as Arrow columns: a window has few rows of a bucket, and pandas costs more than these
+                    named, parts = seen.take(own[rows]), held.take(rows)
+                    columns = {c: named[c] for c in self.keys} | {"w": pa.array(np.full(len(rows), w)), "firing": named["firing"]}
+                    yield pa.table(columns | {c: parts[c] for c in self.state.names}).to_pandas()
             if self.lateness:
+                seen, held = seen.to_pandas(), held if held is None else held.to_pandas()
                 if held is not None and self.purge:
                     held = held[~due[held["w"]]]
                 self._save(w, seen.assign(firing=seen["firing"] + due, waiting=0, ended=True), held)
