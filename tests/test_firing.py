@@ -1,6 +1,7 @@
 """Windows of a stream that fire before their end and again for late rows."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import weir as w
 from weir.plans.schema import DataType
@@ -179,3 +180,27 @@ def test_windows_of_a_bucket_are_converted_together(monkeypatch, purge):
     one = [(0, 0, 2), (1, 0, 3), (1, 1, 2 if purge else 5), (2, 0, 2), (3, 0, 3), (3, 1, 2 if purge else 5)]
     assert got == [(w * 10_000_000, *x) for w in range(50) for x in one]
     assert not calls and not kept
+
+
+@pytest.mark.parametrize("late", [True, False])
+def test_ordered_files_are_written_by_all_tasks(spark, tmp_path, monkeypatch, late):
+    """No task sorts all rows before a stream reads them: each has a range of the events, in their order."""
+    from weir.plans import catalog_io
+
+    class Stop(Exception):
+        pass
+
+    def look(df, *_):
+        found.extend(r.n for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect())
+        raise Stop
+
+    found, kept = [], spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.range(8000).selectExpr("id as event_id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, id) as ts", "id % 7 as user_id", "'view' as event_type", "1.5D as value").write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(binary, "write", look)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        with pytest.raises(Stop):
+            catalog_io.refired(lambda q: q.window(w.TumblingEventTimeWindow(S(10), "dateTime").with_allowed_lateness(S(20))).late_rows(), late)(spark, str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
+    assert sum(found) == (7200 if late else 8000) and len(found) == 8 and max(found) < sum(found) / 2
